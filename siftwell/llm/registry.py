@@ -1,9 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from siftwell.llm import exact_dedup, piece_encoding
+from siftwell.llm import exact_dedup, language_id, piece_encoding, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_piece_encoding": piece_encoding.op9_piece_encoding,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL}
