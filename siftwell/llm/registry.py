@@ -1,13 +1,14 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from siftwell.llm import exact_dedup, html_extraction, language_id, piece_encoding, toxicity, warc
+from siftwell.llm import decontamination, exact_dedup, html_extraction, language_id, piece_encoding, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op5_html_extraction": html_extraction.op5_html_extraction,
     "op6_warc": warc.op6_warc,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_piece_encoding": piece_encoding.op9_piece_encoding,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL}
+ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL}
