@@ -44,15 +44,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = src.groupBy("h").count().where(F.col("count") > threshold)
     # at most total / threshold <= HOT_SHARE * n rows, whatever the input
     hot_rows = [(r["h"], -(-r["count"] // threshold)) for r in hot.collect()]
-    salted = src.withColumn("salt", F.lit(0))
+    salted, keys = src, ["p", "h"]
     if hot_rows:
+        keys = ["p", "h", "salt"]
         sizes = F.broadcast(spark.createDataFrame(hot_rows, "h long, salts int"))
         salted = src.join(sizes, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int") + 1, F.lit(0)))
 
-    ranged = salted.withColumn("p", F.substring("norm", 1, SPLIT_PREFIX)).repartitionByRange(n, "p", "h", "salt")
-    group = Window.partitionBy("p", "h", "salt", "norm")
+    ranged = salted.withColumn("p", F.substring("norm", 1, SPLIT_PREFIX)).repartitionByRange(n, *keys)
+    group = Window.partitionBy(*keys, "norm")  # the ranges already hold each group whole: no second shuffle
     out = ranged.select(
-        "doc_id", "norm", "salt", *(["row"] if carry else []),
+        "doc_id", "norm", *(["salt"] if hot_rows else []), *(["row"] if carry else []),
         F.row_number().over(group.orderBy(order)).alias("rn"),
         best("doc_id").over(group).alias("keep_id"),
         F.count(F.lit(1)).over(group).alias("group_size"),
