@@ -54,3 +54,12 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
