@@ -218,6 +218,24 @@ def identify_languages(docs: DataFrame, model: Automaton | None, id_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
+def identified_rows(docs: DataFrame, model: Automaton | None, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has letters and a language of posterior min_score at least."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b, m = whole.slice(lo, 500), shipped.value
+                texts = b.column(at).to_pylist()
+                good = np.array([bool(t) and LETTER.search(t) is not None for t in texts])
+                if m is not None:
+                    good &= posteriors(code_lengths(m, [prepared(t) for t in texts])).max(1) >= min_score
+                yield b.filter(pa.array(good & (m is not None)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out("doc_id", 3, 1)

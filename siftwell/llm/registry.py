@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from siftwell.llm import decontamination, exact_dedup, html_extraction, language_id, piece_encoding, substring_dedup, suffix_dedup, toxicity, warc
+from siftwell.llm import decontamination, exact_dedup, html_extraction, language_id, ngram_join, piece_encoding, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -9,9 +9,9 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_html_extraction": html_extraction.op5_html_extraction,
     "op6_warc": warc.op6_warc,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_piece_encoding": piece_encoding.op9_piece_encoding,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
-    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL}
