@@ -9,13 +9,15 @@ hashes never have to meet. Consecutive windows with one anchor form a run; its t
 2. anchor hashes that occur once are dropped: their windows can't repeat. Counts are combined before the shuffle;
 3. equal segments of one anchor count once, with their number (again combined before the shuffle);
 4. one copy of each remaining segment goes to a shard by its anchor; a shard is a bounded number of symbols of whole
-   anchors. A compressed self-index of the shard gives the matching statistics of its segments, and with them the
-   windows that occur twice;
+   anchors. All windows of a run hold the anchor's gram, so the gram becomes one symbol there. A compressed self-index
+   of the shard gives the matching statistics of its segments, and with them the windows that occur twice;
 5. the repeated windows go back to every run of the segment, and by document to the texts.
 
 An anchor with more than ``most_segments`` different segments would outgrow a shard. Its windows are told apart by
 128-bit fingerprints instead, counted by DataFrame operations over all executors; nothing is dropped.
 
+With ``lone`` off, a segment that is the only one of its anchor skips the index: its windows occur as often as it does.
+
 The tables between the steps are written to the shared folder, so a lost executor costs its own tasks only.
 """
 
@@ -27,16 +29,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import dropped, shuffle_partitions, written
 from siftwell.llm.text_index import FMIndex, Parents, RunIndex, Suffixes, joined, matching_statistics
 
-BLOCK = 1 << 19  # symbols that are hashed at once
+BLOCK = 1 << 18  # symbols that are hashed at once
 PLACE_BITS = 20  # of a symbol within a block; the rest of the anchor's 64 bits is hash
 COUNT_BITS, START_BITS = 12, 31  # pos: 20 bits of the text's hash, start, number of windows less one
-SHARD = 1_000_000  # symbols of one index
+SHARD = 400_000  # symbols of one index
 NO_DOC = -(2**63)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -49,6 +51,7 @@ class Spec:
     gram: int
     index: type
     most_segments: int
+    lone: bool = True
 
     def __post_init__(self) -> None:
         assert self.gram & (self.gram - 1) == 0 and self.gram < self.window and self.window - self.gram < 1 << COUNT_BITS
@@ -106,17 +109,22 @@ def symbols(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndar
     return (_spans_hash(BYTE_HASH[data], begin, end, BASE_B) if len(begin) else np.zeros(0, np.uint64)), sizes
 
 
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all stretches of k symbols, k a power of two."""
+    span = 1
+    while span < k:
+        h = h[:-span] * np.uint64(BASE_A + 2 * span) + h[span:]
+        span *= 2
+    return mixed(h)
+
+
 def runs(h: np.ndarray, sizes: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
     """Runs of the windows of texts that lie side by side: text, start, windows, anchor hash, segment hash."""
     n, size, k = len(h), spec.window, spec.gram
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n < size:
         return none
-    g, span = h, 1
-    while span < k:
-        g = g[:-span] * np.uint64(BASE_A + 2 * span) + g[span:]
-        span *= 2
-    g = mixed(g)
+    g = grams(h, k)
     mask = np.uint64((1 << PLACE_BITS) - 1)
     m = (g & ~mask) | np.arange(len(g), dtype=np.uint64)
     width, span = size - k + 1, 1
@@ -242,19 +250,34 @@ def as_symbols(bodies: list[bytes], words: bool) -> list[np.ndarray]:
     return [np.array([put(w, len(number) + 1) for w in b.split(b" ")], np.int64) for b in bodies]
 
 
-def repeated_windows(bodies: list[bytes], copies: list[int], spec: Spec) -> list[list[int]]:
+def anchored(keys: list[int], bodies: list[bytes], spec: Spec) -> list[np.ndarray]:
+    """Symbols of each segment with the anchor's gram, which its windows share, as one symbol."""
+    sequences = as_symbols(bodies, spec.words)
+    glue = b" " if spec.words else b""
+    data = np.frombuffer(glue.join(bodies), np.uint8)
+    h, _ = symbols(data, np.array([0, len(data)]), spec.words)
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    hit = np.flatnonzero(grams(h, spec.gram) == np.repeat(np.array(keys, np.int64).view(np.uint64), sizes)[: len(h) - spec.gram + 1])
+    at = hit[np.searchsorted(hit, begin)] - begin  # the anchor is the leftmost such gram
+    core = max(int(s.max()) for s in sequences) + 1 + np.unique(np.array(keys), return_inverse=True)[1]
+    return [np.concatenate([s[:a], [c], s[a + spec.gram :]]) for s, a, c in zip(sequences, at.tolist(), core.tolist(), strict=True)]
+
+
+def repeated_windows(keys: list[int], bodies: list[bytes], copies: list[int], spec: Spec) -> list[list[int]]:
     """For each segment of a shard the windows that occur twice or more, as [a, b) pairs one after another."""
     out: list[list[int]] = []
-    sequences = as_symbols(bodies, spec.words)
-    suffixes = Suffixes(joined(sequences)[0], spec.window)
-    parents = Parents(suffixes.lcp, spec.window)
-    stats = matching_statistics(spec.index(suffixes), parents, sequences, spec.window)
+    size = spec.window - spec.gram + 1
+    sequences = anchored(keys, bodies, spec)
+    suffixes = Suffixes(joined(sequences)[0], size)
+    parents = Parents(suffixes.lcp, size)
+    stats = matching_statistics(spec.index(suffixes), parents, sequences, size)
     for s, n in zip(stats, copies, strict=True):
-        windows = len(s) - spec.window + 1
+        windows = len(s) - size + 1
         if n > 1:
             out.append([0, windows])
         else:
-            hit = np.concatenate([[False], s[:windows] == spec.window, [False]])
+            hit = np.concatenate([[False], s[:windows] == size, [False]])
             out.append(np.flatnonzero(hit[1:] != hit[:-1]).tolist())
     return out
 
@@ -267,7 +290,7 @@ def shard_results(segments: DataFrame, spec: Spec, shards: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            spans = repeated_windows([x[3] for x in held], [x[2] for x in held], spec)
+            spans = repeated_windows([x[0] for x in held], [x[3] for x in held], [x[2] for x in held], spec)
             keep = [i for i, s in enumerate(spans) if s]
             return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in keep], pa.int64()), pa.array([held[i][1] for i in keep], pa.int64()), pa.array([spans[i] for i in keep], pa.list_(pa.int32()))], ["key", "seg", "spans"])
 
@@ -277,7 +300,7 @@ def shard_results(segments: DataFrame, spec: Spec, shards: int) -> DataFrame:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size += row[3].count(b" ") + 1 if spec.words else len(row[3])
+                size += (row[3].count(b" ") + 1 if spec.words else len(row[3])) - spec.gram
         if held:
             yield flush()
 
@@ -311,18 +334,19 @@ def repeats(src: DataFrame, spec: Spec, partitions: int | None = None) -> DataFr
     kept = written(every.join(twice, "key", "left_semi"), "kept")
     dropped(every, twice)
     segments = kept.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "pos")).alias("one"))
-    segments = segments.select("key", "seg", "copies", "one.doc", "one.pos")
-    # each hot anchor has over most_segments runs, so there are fewer than runs / most_segments of them
-    hot = F.broadcast(kept.groupBy("key").count().where(F.col("count") > spec.most_segments).select("key", F.lit(True).alias("hot")))
-    wanted = segments.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    segments = segments.select("key", "seg", "copies", "one.doc", "one.pos", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("rivals"))
+    segments = written(segments, "segments")
+    wanted = (segments if spec.lone else segments.where("rivals > 1")).select("key", "seg", "copies", "doc", "pos", (F.col("rivals") > spec.most_segments).alias("hot"))
     texts = src.repartition(n, "doc")
     bodies = segment_table(wanted, texts, spec)
-    any_hot = bool(kept.groupBy("key").count().where(F.col("count") > spec.most_segments).take(1))
-    if any_hot:
-        bodies = written(bodies, "segments")
+    if segments.where(F.col("rivals") > spec.most_segments).take(1):
+        bodies = written(bodies, "bodies")
         results = shard_results(bodies.where("NOT hot"), spec, n).unionByName(hot_results(bodies.where("hot"), spec))
     else:
         results = shard_results(bodies, spec, n)
+    if not spec.lone:
+        windows = F.col("pos").bitwiseAND((1 << COUNT_BITS) - 1).cast("int") + 1
+        results = results.unionByName(segments.where("rivals = 1").select("key", "seg", F.array(F.lit(0), windows).alias("spans")))
     placed = kept.join(results, ["key", "seg"]).groupBy("doc").agg(F.collect_list(F.struct("pos", "spans")).alias("found"))
     return texts.join(placed, "doc", "left")
 

@@ -23,7 +23,7 @@ from siftwell.llm.common import table
 from siftwell.llm.repeats import NO_DOC, FMIndex, Spec, covered, identified, repeats
 
 WINDOW = 35
-SPEC = Spec(words=True, window=WINDOW, gram=4, index=FMIndex, most_segments=20_000)
+SPEC = Spec(words=True, window=WINDOW, gram=8, index=FMIndex, most_segments=20_000)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, spec: Spec, whole: bool) -> DataFrame:

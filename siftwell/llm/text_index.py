@@ -31,7 +31,7 @@ def joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """Order of the keys, dense ranks, and whether all differ."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.empty(len(key), np.int64)
     new[:1] = 0
     s = key[order]
@@ -101,6 +101,7 @@ class Parents:
     """Shortens matches: intervals of fixed depth, and parent intervals by descent over minima of the LCP array."""
 
     def __init__(self, lcp: np.ndarray, cap: int) -> None:
+        lcp = lcp.astype(np.int16 if cap < 16_000 else np.int32)
         self.lcp = lcp
         n = len(lcp) - 1
         at = np.arange(n + 1)
@@ -131,7 +132,7 @@ class Parents:
             ok = hi < len(m)
             ok[ok] = m[hi[ok]] >= depth[ok]
             hi += span * ok
-        return lo, hi, np.maximum(depth, 0)
+        return lo, hi, np.maximum(depth, 0).astype(np.int64)
 
 
 class FMIndex:
