@@ -2,7 +2,8 @@
 
 A byte goes if a string of ``WINDOW`` bytes that covers it starts at a second place of the corpus. ``repeats`` finds
 these strings: segments around common anchors are sharded, the Burrows-Wheeler transform of each shard is kept as
-runs with sampled run ends, and backward search streams the segments against it.
+runs with sampled run ends, and backward search streams the segments against it. Anchors are grams of 256 bytes; a
+segment that is the only one of its anchor skips the index, as its windows occur as often as the segment does.
 
 Defined cases: a null text has no bytes; texts shorter than a window keep all; repeated rows of one document are
 occurrences of their own, so both lose what they share; kept bytes need not be valid UTF-8, so the general operator
@@ -22,7 +23,7 @@ from siftwell.llm.common import table
 from siftwell.llm.repeats import NO_DOC, RunIndex, Spec, covered, identified, repeats
 
 WINDOW = 400
-SPEC = Spec(words=False, window=WINDOW, gram=32, index=RunIndex, most_segments=3_000)
+SPEC = Spec(words=False, window=WINDOW, gram=256, index=RunIndex, most_segments=3_000, lone=False)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, spec: Spec, whole: bool) -> DataFrame:
