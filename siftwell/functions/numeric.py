@@ -77,11 +77,12 @@ def wilcoxon_less(d: np.ndarray, mode: str = "auto") -> float:
     w = ranks[d > 0].sum()
     ties = np.unique(size, return_counts=True)[1]
     if mode == "exact" or (mode == "auto" and n <= 50 and not had_zero and ties.max() == 1):
-        ways = np.zeros(n * (n + 1) // 2 + 1)
+        doubled = np.rint(2 * ranks).astype(int)  # tied ranks are halves
+        ways = np.zeros(doubled.sum() + 1)
         ways[0] = 1
-        for r in range(1, n + 1):
+        for r in doubled:
             ways[r:] = ways[r:] + ways[:-r]
-        return float(ways[: int(math.floor(w)) + 1].sum() / 2.0**n)
+        return float(ways[: int(round(2 * w)) + 1].sum() / 2.0**n)
     var = n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
     return normal_cdf((w - n * (n + 1) / 4) / math.sqrt(var))
 

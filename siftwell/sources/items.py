@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -215,10 +217,6 @@ def parse_error_list(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC, stripped; in Arrow batches, as Spark has no such function."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip())
