@@ -63,3 +63,34 @@ def dropped(*tables: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             path = jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the filter of likely_members, and so, divided by 64, the most rows that it broadcasts.
+FILTER_BITS = 1 << 24
+
+
+def likely_members(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of df whose key may be in wanted: all that are, and few others, by a bit table of fixed size.
+
+    An exact semi-join should follow; it then shuffles few rows. The bit table has at most FILTER_BITS / 64 rows,
+    whatever wanted holds, so it can be broadcast.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)).cast("int")
+    table_ = wanted.select(bit(wanted_key).alias("bit_")).selectExpr("bit_ DIV 64 AS word_", "shiftleft(1L, bit_ % 64) AS mask_")
+    table_ = F.broadcast(table_.groupBy("word_").agg(F.bit_or("mask_").alias("mask_")))
+    own = df.withColumn("bit_", bit(key))
+    return own.join(table_, F.expr("word_ = bit_ DIV 64 AND shiftright(mask_, bit_ % 64) & 1L = 1"), "left_semi").drop("bit_")
+
+
+#: Rows and bytes of the batches that go to Python: rows hold whole documents, so Spark's defaults would be large.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, where they are not bounded more tightly already."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        number = int(now) if now.isdigit() else 1 << 62
+        if not 0 < number <= most:
+            spark.conf.set(key, most)

@@ -6,7 +6,9 @@ Two documents link if 100 * intersection >= 85 * union.
 Candidates, without a loss: sets of at most r shingles that link differ in at most d = floor(30 r / 185) shingles. The
 shingles are dealt to more than d parts by their hash; a part without a difference is equal in both sets. So linked
 sets share the signature (hash of all shingles) of a part that isn't empty. Part numbers depend on the size class
-alone; a set also signs for the next class if a partner there can link with it.
+alone; a set also signs for the next class if a partner there can link with it. With more parts than d + 1, linked
+sets share several signatures. If they share at least A, each may leave out its A - 1 most frequent ones (one order for
+all) and they still share one: passages that many documents quote stop making candidates.
 
 Groups: documents that share signatures gather around the least document of their most frequent signature partner.
 Groups are cut into chunks of at most about ``CHUNK`` documents, so that no task holds an unbounded one.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import dropped, shuffle_partitions, table, text_or_empty, written
+from siftwell.llm.common import dropped, likely_members, shuffle_partitions, small_batches, table, text_or_empty, written
 from siftwell.llm.components import components
 from siftwell.llm.repeats import BASE_A, BASE_B, BLOCK, _pieces, mixed, symbols, text_buffer
 
@@ -40,7 +42,7 @@ SHINGLE = 4
 NUMERATOR = 85  # of 100
 CHUNK = 256
 CLASS_RATIO = 1.7
-SLACK_SHARE, SLACK = 0.03, 4
+SLACK_SHARE, SLACK = 0.1, 5
 U = np.uint64
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -107,14 +109,15 @@ def parts_of(k: int, numerator: int = NUMERATOR) -> tuple[int, int]:
     return d + 1 + slack, slack
 
 
-def signatures(s: np.ndarray, numerator: int = NUMERATOR) -> np.ndarray:
-    """Signatures of one set: all linked sets share one with it."""
+def signatures(s: np.ndarray, numerator: int = NUMERATOR) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set, all linked sets share one with it; and for each its size class and how many of that class may be left out."""
     n = len(s)
+    none = np.zeros(0, np.int64)
     if not n:
-        return s
+        return s, none
     k = size_class(n)
     classes = [k] + ([k + 1] if 100 * n >= numerator * (class_end(k) + 1) else [])
-    out = []
+    out, spare = [], []
     for c in classes:
         m, slack = parts_of(c, numerator)
         if not m:
@@ -125,13 +128,20 @@ def signatures(s: np.ndarray, numerator: int = NUMERATOR) -> np.ndarray:
         np.add.at(sums, part, mixed(s ^ U(BASE_B)))
         place = np.arange(m, dtype=np.uint64) + U(c << 40)
         signed = mixed(sums + mixed(place))
-        # more empty parts than allowed for: the empty ones have to speak as well
-        out.append(signed if m - filled.sum() > slack else signed[filled])
-    return np.concatenate(out) if out else s[:0]
+        largest = min(class_end(c), 100 * n // numerator)
+        differ = (n + largest) * (100 - numerator) // (100 + numerator)
+        empty = int(m - filled.sum())
+        if empty > slack:  # more empty parts than allowed for: the empty ones have to speak as well
+            empty = slack
+        else:
+            signed = signed[filled]
+        out.append(signed)
+        spare.append(np.full(len(signed), c << 32 | max(0, m - differ - empty - 1)))
+    return (np.concatenate(out), np.concatenate(spare)) if out else (s[:0], none)
 
 
 def _set_rows(src: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (digest of the set), sigs (empty where the task has already seen the set)."""
+    """doc_id, n_shingles, s1, s2 (digest of the set), sigs and spare (empty where the task has already seen the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -141,15 +151,17 @@ def _set_rows(src: DataFrame) -> DataFrame:
                 sets = shingle_sets(*text_buffer(b.column(1)))
                 s1 = [int(mixed(s ^ U(BASE_A)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 s2 = [int(mixed(s + U(BASE_B)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                sigs = []
+                sigs, spare = [], []
                 for doc, s, key in zip(b.column(0), sets, zip(s1, s2, strict=True), strict=True):
-                    sigs.append(np.zeros(0, np.int64) if key in seen or not doc.is_valid else signatures(s).view(np.int64))
+                    signed, left = signatures(s[:0] if key in seen or not doc.is_valid else s)
+                    sigs.append(signed.view(np.int64))
+                    spare.append(left)
                     if len(seen) > 200_000:  # only saves work: a set that is signed twice is still right
                         seen.clear()
                     seen.add(key)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "sigs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(spare, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "sigs", "spare"])
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sigs array<long>")
+    return src.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sigs array<long>, spare array<long>")
 
 
 class Groups:
@@ -267,15 +279,20 @@ def query_links(asked: DataFrame, partitions: int) -> DataFrame:
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = _set_rows(src)
 
-    # one shuffle of the signatures; the sorted rows of a signature are neighbours, and only shared ones are kept
+    # one shuffle of all signatures; only shared ones are kept, and of those the rarer ones of each document
+    signed = rows.select(F.col("doc_id").alias("doc"), F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("spare").alias("spare"))))
+    counted = written(signed.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("c > 1"), "signatures")
+    frequent = Window.partitionBy("doc", "spare").orderBy(F.desc("c"), "sig")
+    trimmed = counted.withColumn("r", F.row_number().over(frequent)).where(F.col("r") > F.col("spare").bitwiseAND((1 << 32) - 1))
     by_sig = Window.partitionBy("sig").orderBy("doc")
-    signed = rows.select(F.col("doc_id").alias("doc"), F.explode("sigs").alias("sig"))
-    hubs = signed.select("sig", "doc", F.first("doc").over(by_sig.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"), F.lead("doc").over(by_sig).alias("next"))
-    shared = written(hubs.where("doc <> hub OR next IS NOT NULL").select("sig", "doc", "hub"), "signatures")
+    hubs = trimmed.select("sig", "doc", F.first("doc").over(by_sig.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"), F.lead("doc").over(by_sig).alias("next"))
+    shared = written(hubs.where("doc <> hub OR next IS NOT NULL").select("sig", "doc", "hub"), "shared")
+    dropped(counted)
     sets = written(_set_rows(src).select("doc_id", "n_shingles", "s1", "s2"), "sets")
     equal = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = equal.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -290,15 +307,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     centres = salted.select(F.col("hub").alias("doc"), "hub", "salt").distinct()
     everyone = salted.select("doc", "hub", "salt").unionByName(centres).distinct()
 
-    wanted = salted.select("doc").distinct()
-    texts = written(src.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").groupBy(F.col("doc_id").alias("doc")).agg(F.max("text").alias("text")), "texts")
+    wanted = salted.select("doc")  # one row for each document
+    texts = likely_members(src, "doc_id", wanted, "doc").join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")
+    texts = written(texts.groupBy(F.col("doc_id").alias("doc")).agg(F.max("text").alias("text")), "texts")
     inner = written(chunk_links(everyone.join(texts, "doc"), n), "links")
     known = written(equal_links.unionByName(inner), "known")
     labels = components(known)
 
     # signatures that still join several components
-    named = shared.select("sig", "doc").join(salted, "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "hub", "salt", F.coalesce("component", "doc").alias("component"))
-    named = written(named, "named")
+    place = salted.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "hub", "salt", F.coalesce("component", "doc").alias("component"))
+    named = written(shared.select("sig", "doc").join(place, "doc"), "named")
     sizes = named.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed_sigs = sizes.groupBy("sig").agg(F.max(F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sig", F.col("main.component").alias("main"))
     open_rows = written(named.join(mixed_sigs, "sig"), "open")
