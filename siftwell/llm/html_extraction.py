@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import table
+from siftwell.llm.common import small_batches, table
 
 #: Elements that hold no text of the page.
 SILENT = frozenset("script style noscript template head iframe object svg math form select textarea button canvas audio video map datalist".split())
@@ -253,6 +253,7 @@ def main_text(html: str | None) -> str:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import table
+from siftwell.llm.common import small_batches, table
 
 ORDER = 4
 ROWS_PER_LANGUAGE = 64
@@ -35,6 +35,7 @@ MAX_CONTEXTS = 24_000
 COLUMN = 512
 BATCH_BYTES = 3_000_000
 LETTER = re.compile(r"[^\W\d_]")
+GAP = re.compile(r"[\W\d_]+")
 UND = "und"
 
 
@@ -169,7 +170,8 @@ def posteriors(bits: np.ndarray) -> np.ndarray:
 
 
 def prepared(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "replace")
+    """Lower case; whatever lies between letters (digits, signs, white space) becomes one space, as no language is told by it."""
+    return GAP.sub(" ", (text or "").lower()).encode("utf-8", "replace")
 
 
 def sample_rows(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_PER_LANGUAGE, chars: int = TRAIN_CHARS) -> dict[str, list[bytes]]:
@@ -191,6 +193,7 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 def identify_languages(docs: DataFrame, model: Automaton | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (posterior of the predicted language), bits_per_byte (its code length)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)
 
@@ -204,7 +207,7 @@ def identify_languages(docs: DataFrame, model: Automaton | None, id_col: str = "
             p, best = posteriors(bits), bits.argmin(1)
             for i, ok in enumerate(letters):
                 if ok:
-                    lang[i], score[i], rate[i] = m.languages[best[i]], p[i, best[i]], bits[i, best[i]] / len(data[i])
+                    lang[i], score[i], rate[i] = m.languages[best[i]], p[i, best[i]], bits[i, best[i]] / max(1, len(data[i]))
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +223,7 @@ def identify_languages(docs: DataFrame, model: Automaton | None, id_col: str = "
 
 def identified_rows(docs: DataFrame, model: Automaton | None, min_score: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text has letters and a language of posterior min_score at least."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm.common import table, tokenizer_path
+from siftwell.llm.common import small_batches, table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁".encode()
@@ -208,6 +208,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, ids, begins and ends (original byte offsets of each piece), decoded."""
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path(MODEL)
 
     def run(batches):
@@ -225,6 +226,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Counts and digests of what encode_documents gives, without shipping the ids: doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes (original bytes that the spans cover)."""
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path(MODEL)
 
     def run(batches):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import dropped, shuffle_partitions, written
+from siftwell.llm.common import dropped, shuffle_partitions, small_batches, written
 from siftwell.llm.text_index import FMIndex, Parents, RunIndex, Suffixes, joined, matching_statistics
 
 BLOCK = 1 << 18  # symbols that are hashed at once
@@ -328,6 +328,7 @@ def hot_results(segments: DataFrame, spec: Spec) -> DataFrame:
 
 def repeats(src: DataFrame, spec: Spec, partitions: int | None = None) -> DataFrame:
     """doc, rh, text, found: the runs of the text that hold repeated windows, as structs of pos and spans (null: none)."""
+    small_batches(src.sparkSession)
     n = partitions or shuffle_partitions(src.sparkSession)
     every = written(run_table(src, spec), "runs")
     twice = written(every.groupBy("key").count().where("count > 1").select("key"), "anchors")

@@ -2,12 +2,12 @@
 
 A token is toxic or not. Its potential is the sum of the weights of its features (the word, its beginnings of three
 to five letters, a bias); a 2 x 2 matrix scores neighbouring tags. Forward-backward gives each token's marginal;
-the marginals aggregate to a document score (a logistic calibration of their noisy-or and of their sum), and the
+the marginals aggregate to a document score (a logistic calibration of the largest and of the sum of the notable ones), and the
 tokens above ``SPAN_AT`` are the offending spans.
 
 The table labels whole documents, so token labels are derived in training: in a toxic document, a token is labelled
-toxic if one of its features separates the labelled documents (log odds of ``LABEL_ODDS`` at least and hardly ever
-in a clean one). Training reads at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled rows (by hash of the id) and at most
+toxic if one of its features separates the labelled documents (log odds of ``LABEL_ODDS`` at least, counted by the
+different words it follows, and hardly ever in a clean one). Training reads at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled rows (by hash of the id) and at most
 ``TRAIN_CHARS`` characters of each. Scoring reads whole texts.
 
 Defined cases: null and empty texts get the calibrated score of a document without tokens; without labels of both
@@ -27,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import table
+from siftwell.llm.common import small_batches, table
 from siftwell.llm.language_id import held_out
 
 TOKEN = re.compile(r"[^\W_]+")
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1500, 3000, 20_000
 LABEL_ODDS = 3.5
 SPAN_AT = 0.5
+#: Marginals below this are background.
+NOTABLE = 0.1
+#: After a fit, words of clean documents with marginals of HARD_AT or more are added to the training windows; so many times.
+HARD_AT, HARD_ROUNDS = 0.02, 2
 BACKGROUND = "\0"
 CACHE = 400_000
 
@@ -45,7 +49,7 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class ChainField:
-    """Weights of the toxic tag against the other, transition scores [from][to], calibration (bias, noisy-or logit, sum)."""
+    """Weights of the toxic tag against the other, transition scores [from][to], calibration (bias, largest marginal, sum)."""
 
     weights: dict[str, float]
     bias: float
@@ -117,34 +121,65 @@ def train(texts: list[str], toxic: list[int], rounds: int = 80, window: int = 24
     if len(set(y.tolist())) < 2:
         return None
     bad, good = Counter(), Counter()
+    places: dict[str, set[str]] = {}
     for d, v in zip(docs, y, strict=True):
-        (bad if v else good).update({f for w in set(d) for f in features(w)})
+        if v:
+            for before, w in zip(["", *d], d, strict=False):
+                for f in features(w):
+                    places.setdefault(f, set()).add(before)
+        else:
+            good.update({f for w in set(d) for f in features(w)})
+    # copies of one toxic document repeat its other words too, but always behind the same word
+    bad.update({f: len(x) for f, x in places.items()})
     n_bad, n_good = y.sum(), len(y) - y.sum()
     strong = {f for f, n in bad.items() if np.log((n + 0.5) / (n_bad + 1)) - np.log((good[f] + 0.5) / (n_good + 1)) >= LABEL_ODDS and good[f] <= 0.001 * n_good}
     rng = np.random.default_rng(seed)
+    hits = [[i for i, w in enumerate(d) if v and any(f in strong for f in features(w))] for d, v in zip(docs, y, strict=True)]
+    windows = []
+    for k, d in enumerate(docs):
+        windows += [(k, max(0, hits[k][0] - window // 2))] if hits[k] else []
+        windows += [(k, int(rng.integers(0, max(1, len(d) - window))))] if d else []
+    model = None
+    for _ in range(HARD_ROUNDS + 1):
+        if model:  # clean words that look toxic so far, each once
+            p, owner = document_marginals(model, docs)
+            place = np.arange(len(p)) - np.searchsorted(owner, owner)
+            known: set[str] = set()
+            for t in np.flatnonzero((p >= HARD_AT) & (y[owner] == 0)).tolist():
+                word = docs[owner[t]][place[t]]
+                if word not in known:
+                    known.add(word)
+                    windows.append((int(owner[t]), max(0, int(place[t]) - window // 2)))
+        model = _fitted(docs, hits, windows, window, rounds)
+    x = aggregates(model, docs)
+    x, c = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
+    for _ in range(100):  # damped Newton steps of the calibration
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3)
+        move = np.linalg.solve(h, x.T @ (y - p) - 0.5 * c)
+        c = c + move * min(1, 0.5 / max(np.abs(move).max(), 1e-9))
+    model.calibration = c
+    return model
+
+
+def _fitted(docs: list[list[str]], hits: list[list[int]], windows: list[tuple[int, int]], window: int, rounds: int) -> ChainField:
+    """Weights of a chain field on stretches (document, start) of window tokens, labelled toxic at the hits."""
     number: dict[str, int] = {}
     rows, labels, sizes = [], [], []
-    for d, v in zip(docs, y, strict=True):
-        hit = [i for i, w in enumerate(d) if v and any(f in strong for f in features(w))]
-        starts = [max(0, hit[0] - window // 2)] if hit else []
-        starts += [int(rng.integers(0, max(1, len(d) - window)))] if d else []
-        for s in starts:
-            part = d[s : s + window]
-            tagged = {i - s for i in hit}
-            for i, w in enumerate(part):
-                rows.append([number.setdefault(f, len(number)) for f in features(w)])
-                labels.append(float(i in tagged))
-            sizes.append(len(part))
+    for k, start in windows:
+        part, tagged = docs[k][start : start + window], {i - start for i in hits[k]}
+        rows += [[number.setdefault(f, len(number)) for f in features(w)] for w in part]
+        labels += [float(i in tagged) for i in range(len(part))]
+        sizes.append(len(part))
     flat = np.array([f for r in rows for f in r], np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     gold, sizes = np.array(labels), np.array(sizes, np.int64)
-    w, bias, trans = np.zeros(len(number)), -3.0, np.zeros((2, 2))
     gold_trans = np.zeros((2, 2))
-    at = 0
-    for s in sizes:
-        g = gold[at : at + s].astype(int)
-        np.add.at(gold_trans, (g[:-1], g[1:]), 1)
-        at += s
+    inner = np.ones(len(gold), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    i = np.flatnonzero(inner)
+    np.add.at(gold_trans, (gold[i].astype(int), gold[i + 1].astype(int)), 1)
+    w, bias, trans = np.zeros(len(number)), -3.0, np.zeros((2, 2))
     sw, sb, st = np.full(len(w), 1e-3), 1e-3, np.full((2, 2), 1e-3)
     for _ in range(rounds):
         p, expected = chain_marginals(bias + np.bincount(owner, w[flat], len(rows)), sizes, trans)
@@ -152,26 +187,21 @@ def train(texts: list[str], toxic: list[int], rounds: int = 80, window: int = 24
         gw, gb, gt = np.bincount(flat, err[owner], len(w)) - 0.02 * w, err.sum(), gold_trans - expected - 0.1 * trans
         sw, sb, st = sw + gw**2, sb + gb**2, st + gt**2
         w, bias, trans = w + 0.5 * gw / np.sqrt(sw), bias + 0.5 * gb / np.sqrt(sb), trans + 0.2 * gt / np.sqrt(st)
-    model = ChainField({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, float(bias), trans)
-    x = aggregates(model, docs)
-    x, c = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
-    for _ in range(100):  # damped Newton steps of the calibration
-        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3)
-        move = np.linalg.solve(h, x.T @ (y - p) - 0.5 * c)
-        c = c + move * min(1, 0.5 / max(np.abs(move).max(), 1e-9))
-    model.calibration = c
-    return model
+    return ChainField({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, float(bias), trans)
 
 
 def aggregates(model: ChainField, docs: list[list[str]]) -> np.ndarray:
-    """For each document: clipped logit of the noisy-or of its marginals, log of one plus their sum."""
+    """For each document: clipped logit of its largest marginal, log of one plus the sum of the marginals that are not background.
+
+    Background marginals are left out, or the many of a very long text would add up.
+    """
     p, owner = document_marginals(model, docs)
     n = len(docs)
-    none = np.bincount(owner, np.log1p(-np.clip(p, 0, 1 - 1e-9)), n)
-    total = np.bincount(owner, p, n)
-    some = np.clip(-np.expm1(none), 1e-6, 1 - 1e-6)
-    return np.column_stack([np.log(some / (1 - some)), np.log1p(total)])
+    most = np.full(n, 1e-4)
+    np.maximum.at(most, owner, p)
+    most = np.minimum(most, 1 - 1e-4)
+    total = np.bincount(owner, np.where(p >= NOTABLE, p, 0.0), n)
+    return np.column_stack([np.log(most / (1 - most)), np.log1p(total)])
 
 
 def document_marginals(model: ChainField, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,6 +246,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def score_toxicity(docs: DataFrame, model: ChainField | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """doc_id, score and, if asked for, spans: array of (begin, end) character offsets in the lower-cased text."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
