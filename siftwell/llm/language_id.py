@@ -222,7 +222,7 @@ def identify_languages(docs: DataFrame, model: Automaton | None, id_col: str = "
 
 
 def identified_rows(docs: DataFrame, model: Automaton | None, min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text has letters and a language of posterior min_score at least."""
+    """The rows of docs, with all their columns, whose text has letters and a language of posterior min_score at least. Without a model, letters alone decide."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -235,7 +235,7 @@ def identified_rows(docs: DataFrame, model: Automaton | None, min_score: float,
                 good = np.array([bool(t) and LETTER.search(t) is not None for t in texts])
                 if m is not None:
                     good &= posteriors(code_lengths(m, [prepared(t) for t in texts])).max(1) >= min_score
-                yield b.filter(pa.array(good & (m is not None)))
+                yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
