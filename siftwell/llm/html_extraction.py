@@ -44,6 +44,9 @@ BAD_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*
 ENDS = {x: frozenset({"p"}) for x in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 ENDS |= {"li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"})}
 
+#: Of these, the words whose element can't hold the page's article.
+CLOSED_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|comments?|commentlist|reply|replies|disqus|respond|related|cookies?|popup|modal)(?=$|[\s_-]|\d)", re.I)
+
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
 NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -61,7 +64,7 @@ class Block:
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks in page order. path: numbers of the open elements; verdict: -1 below boilerplate, 1 below content, 0 neither."""
+    """Blocks in page order. path: numbers of the open elements; verdict: below 0 in boilerplate (-2: for good), 1 in content, 0 neither."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, bool, bool]] = []  # name, number, verdict, silent, link
     parts: list[str] = []
@@ -126,14 +129,17 @@ def blocks_of(html: str) -> list[Block]:
         attributes = m[3]
         number += 1
         mine, quiet = verdict, silent or name in SILENT or bool(attributes and HIDDEN.search(attributes))
-        if verdict >= 0:
+        if verdict >= -1:  # a wrapper that is only called a sidebar or header may still hold the article
             if name in CONTENT:
                 mine = 1
             elif name in BOILERPLATE:
-                mine = -1
-            if attributes and name not in ("html", "body", "article", "main"):
+                mine = -2
+            if attributes and name not in ("html", "body"):
                 for a in NAMING.finditer(attributes):
-                    if BAD_WORDS.search(a[1] or a[2] or a[3] or ""):
+                    word = a[1] or a[2] or a[3] or ""
+                    if CLOSED_WORDS.search(word):
+                        mine = -2
+                    elif name not in CONTENT and mine > -2 and BAD_WORDS.search(word):
                         mine = -1
         if attributes.endswith("/") and name in ("svg", "math"):
             continue

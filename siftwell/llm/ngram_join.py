@@ -41,6 +41,8 @@ from siftwell.llm.repeats import BASE_A, BASE_B, BLOCK, _pieces, mixed, symbols,
 SHINGLE = 4
 NUMERATOR = 85  # of 100
 CHUNK = 256
+#: About so many queries meet a chunk in one task; more are dealt over copies of the chunk.
+QUERIES = 1000
 CLASS_RATIO = 1.7
 SLACK_SHARE, SLACK = 0.1, 5
 U = np.uint64
@@ -257,13 +259,13 @@ def chunk_links(placed: DataFrame, partitions: int) -> DataFrame:
 
 
 def query_links(asked: DataFrame, partitions: int) -> DataFrame:
-    """Exact links of queries with chunks: asked has hub, salt, query (false: member), doc, component, text."""
+    """Exact links of queries with chunks: asked has hub, salt, block, query (false: member), doc, component, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, groups, place, rows = None, Groups(), {}, []
-        for hub, salt, query, doc, component, s in _grouped(batches):
-            if (hub, salt) != now:
-                now, groups, place = (hub, salt), Groups(), {}
+        for hub, salt, block, query, doc, component, s in _grouped(batches):
+            if (hub, salt, block) != now:
+                now, groups, place = (hub, salt, block), Groups(), {}
             if not query:
                 groups.put(place, component, doc, s)
             else:
@@ -274,7 +276,7 @@ def query_links(asked: DataFrame, partitions: int) -> DataFrame:
                 rows = []
         yield _pairs(rows)
 
-    return asked.select("hub", "salt", "query", "doc", "component", "text").repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", "query", "doc").mapInArrow(run, "a long, b long")
+    return asked.select("hub", "salt", "block", "query", "doc", "component", "text").repartition(partitions, "hub", "salt", "block").sortWithinPartitions("hub", "salt", "block", "query", "doc").mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,8 +326,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chunks = open_rows.groupBy("sig", "hub", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     pairs = queries.join(chunks, "sig").where("lo <> qc OR hi <> qc").select("q", "qc", "hub", "salt").distinct()
     pairs = written(pairs, "queries")
-    members = everyone.join(pairs.select("hub", "salt").distinct(), ["hub", "salt"], "left_semi").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    asked = members.select("hub", "salt", F.lit(False).alias("query"), "doc", F.coalesce("component", "doc").alias("component")).unionByName(pairs.select("hub", "salt", F.lit(True).alias("query"), F.col("q").alias("doc"), F.col("qc").alias("component")))
+    dealt = pairs.groupBy("hub", "salt").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    members = everyone.join(dealt, ["hub", "salt"]).join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    members = members.select("hub", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "doc", F.coalesce("component", "doc").alias("component"))
+    queries = pairs.join(dealt, ["hub", "salt"]).select("hub", "salt", F.pmod(F.xxhash64("q"), "blocks").cast("int").alias("block"), F.lit(True).alias("query"), F.col("q").alias("doc"), F.col("qc").alias("component"))
+    asked = members.unionByName(queries)
     outer = written(query_links(asked.join(texts, "doc"), n), "links")
     if outer.take(1):
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer))
@@ -335,3 +340,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m ON m.doc_id = d.doc_id
+"""

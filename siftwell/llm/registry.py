@@ -14,4 +14,10 @@ QUERIES = {
     "op9_piece_encoding": piece_encoding.op9_piece_encoding,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_decontamination": decontamination.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op6_warc": warc.OP6_SQL,
+    "op7_ngram_join": ngram_join.OP7_SQL,
+}

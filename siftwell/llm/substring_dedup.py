@@ -54,3 +54,15 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(table(spark, sf_dir, "documents"), "doc_id", "text", SPEC, whole=False)
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, s, md5(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+bad AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(s, s + 35)) AS p FROM win SEMI JOIN twice USING (h))),
+each AS (SELECT r, w[p] AS word, p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN bad USING (r, p) GROUP BY r),
+gone AS (SELECT r, count(*) AS n FROM bad GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""

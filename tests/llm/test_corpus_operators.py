@@ -263,6 +263,7 @@ def near_copies(rng, n=150):
 @pytest.mark.parametrize("seed, chunk", [(0, 256), (1, 3)])
 def test_ngram_join(spark, monkeypatch, seed, chunk):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "QUERIES", 2 if chunk == 3 else 1000)
     texts = near_copies(random.Random(seed))
     got = ngram_join.similar_components(docs(spark, texts)).orderBy("doc_id").collect()
     assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts)

@@ -136,7 +136,7 @@ def test_toxicity_query(spark, data):
 
 
 def test_toxicity_odd_inputs(spark):
-    model = toxicity.train(["bad word"] * 40 + ["fine day"] * 40, [1] * 40 + [0] * 40)
+    model = toxicity.train([f"w{i} bad word" for i in range(40)] + [f"w{i} fine day" for i in range(40)], [1] * 40 + [0] * 40)
     got = toxicity.score_toxicity(docs(spark, [None, "", "bad word", "fine " * 50000]), model, spans=True).orderBy("doc_id").collect()
     assert got[0]["spans"] == [] and got[2]["score"] > got[3]["score"]
     assert toxicity.score_toxicity(docs(spark, ["x"]), None).first()["score"] == 0
@@ -209,6 +209,7 @@ def test_character_map_takes_the_longest_prefix():
     ("<article><p>Text.</p><div class='comments'><p>Reader says a lot of things here.</p></div><form>Mail <input></form><script>var a='</p>'</script></article>", "Text."),
     ("<main><p>a &lt;b&gt; &amp;amp; c</p><!-- <p>hidden</p> --><style>p{}</style></main>", "a <b> &amp; c"),
     ("<div class=cookie-notice>We use cookies. Accept all of them now.</div><main><p>Main</p></main>", "Main"),
+    ("<div class='layout sidebar-right'><div id=menu>Menu</div><article><p>Body.</p></article><div id=comments><article>First!</article></div></div>", "Body."),
     ("<p>A page without an article that still has a long paragraph. It has sentences, and words enough to be content by itself.</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>", "A page without an article that still has a long paragraph. It has sentences, and words enough to be content by itself."),
 ])
 def test_main_text(html, text):
