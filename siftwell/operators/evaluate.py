@@ -287,9 +287,15 @@ def spa_curve(scores: DataFrame, ranked: DataFrame, metric: str = "human", props
     return both.groupBy("prop").agg((1 - F.avg(F.abs(F.col("a_") - F.col("b_")))).alias("spa"))
 
 
-def spa_every_prefix(scores: DataFrame, ranked: DataFrame, metric: str = "human", permutations: int = 200, seed: int = 0) -> DataFrame:
-    """k, spa for every prefix: signed sums accumulate along the ranking, so each item is read once. Data sets run in parallel; one task holds an items x systems matrix."""
-    own = scores.where(F.col("metric") == metric).join(ranked.select("item_id", "rank"), "item_id").select(F.lit(0).alias("g"), "rank", "system", "value")
+def spa_every_prefix(scores: DataFrame, ranked: DataFrame, metric: str = "human", permutations: int = 200, seed: int = 0, by: By = ()) -> DataFrame:
+    """k, spa for every prefix: signed sums accumulate along the ranking, so each item is read once.
+
+    Groups (by: data sets, seeds) run in parallel; one task holds the items x systems matrix of one group.
+    """
+    own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*by, "item_id"]).select(*by, "rank", "system", "value")
+    keys = list(by) or ["g_"]
+    own = own if by else own.withColumn("g_", F.lit(0))
+    types = dict(own.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot_table(index="rank", columns="system", values="value").sort_index().to_numpy()
@@ -306,9 +312,43 @@ def spa_every_prefix(scores: DataFrame, ranked: DataFrame, metric: str = "human"
             total += np.where(rng.random(permutations) < 0.5, -1.0, 1.0)[:, None] * row
             real += row
             out.append(1 - np.abs(p_of(total, real) - old).mean())
-        return pd.DataFrame({"k": np.arange(1, len(m) + 1), "spa": out})
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "k": np.arange(1, len(m) + 1), "spa": out})
+
+    return own.groupBy(*keys).applyInPandas(run, "".join(f"{k} {types[k]}, " for k in by) + "k long, spa double")
+
+
+def seeded_ranks(items: DataFrame, seeds: list[int]) -> DataFrame:
+    """seed, item_id, pos, rank: random orders, all seeds as rows of one job."""
+    from siftwell.functions.columns import uniform
+
+    seeded = items.select("item_id", "pos").distinct().select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+    return rank_items(seeded.withColumn("utility", uniform(F.col("seed"), F.col("item_id"))), ("seed",))
+
+
+def random_baseline(scores: DataFrame, metric: str = "human", value: str = "correlation", props: list[float] | None = None, seeds: int = 10, permutations: int = 100) -> DataFrame:
+    """prop, target (mean curve of the first seeds at the proportions), random_parity (mean parity of as many further seeds against it). value: correlation or spa."""
+    spark, items = scores.sparkSession, scores.select("item_id", "pos").distinct()
+    n = items.count()
+    points = proportions(spark, n, props)
+
+    def curves(numbers: list[int]) -> DataFrame:
+        ranked = seeded_ranks(items, numbers)
+        every = scores.join(ranked.select("seed").distinct())
+        return correlation_curve(every, ranked, metric, "kendall", ("seed",)) if value == "correlation" else spa_every_prefix(every, ranked, metric, permutations, by=("seed",))
+
+    targets = curves(list(range(seeds))).join(points, "k").groupBy("prop").agg(F.avg(value).alias("target"))
+    further = list(range(seeds, 2 * seeds))
+    each = targets.select("prop", "target", F.explode(F.array(*[F.lit(s) for s in further])).alias("seed"))
+    found = parity(curves(further), each, n, value, by=("seed",))
+    return found.groupBy("prop").agg(F.avg("parity").alias("random_parity")).join(targets, "prop")
+
 
-    return own.groupBy("g").applyInPandas(run, "k long, spa double")
+def parity_normalized(scores: DataFrame, ranked: DataFrame, baseline: DataFrame, metric: str = "human", value: str = "correlation", permutations: int = 100) -> DataFrame:
+    """prop, parity of an order divided by the random one's. baseline comes from random_baseline and can be kept for many methods."""
+    n = scores.select("item_id").distinct().count()
+    curve = correlation_curve(scores, ranked, metric) if value == "correlation" else spa_every_prefix(scores, ranked, metric, permutations)
+    own = parity(curve, baseline.select("prop", "target"), n, value)
+    return own.join(baseline.select("prop", "random_parity"), "prop").select("prop", F.try_divide("parity", "random_parity").alias("parity"))
 
 
 def confidence_bands(scores: DataFrame, by: By, confidence: float = 0.95) -> DataFrame:

@@ -178,3 +178,44 @@ def results_table(results: DataFrame, methods: list[str], digits: int = 3) -> Da
 def mean_correlations(correlations: DataFrame) -> DataFrame:
     """Mean correlation of each metric over data sets (dataset, metric, correlation)."""
     return correlations.groupBy("metric").agg(F.avg("correlation").alias("correlation"))
+
+
+def metric_quality(scores: DataFrame, methods: dict, target: str = "human", props: list[float] | None = None) -> DataFrame:
+    """metric, method, quality (correlation of the metric with the target), gain (mean over proportions of prefix correlation minus full agreement).
+
+    methods maps names to functions (scores, metric) -> utility; every metric but the target is swept.
+    """
+    n = scores.select("item_id").distinct().count()
+    points = evaluate.proportions(scores.sparkSession, n, props)
+    names = [r["metric"] for r in scores.select("metric").distinct().collect() if r["metric"] != target]  # metrics are few
+    out = None
+    for name in sorted(names):
+        for method, fn in methods.items():
+            curve = evaluate.correlation_curve(scores, evaluate.rank_items(fn(scores, name)), target).join(points, "k")
+            row = curve.agg(F.avg("correlation").alias("gain")).select(F.lit(name).alias("metric"), F.lit(method).alias("method"), "gain")
+            out = row if out is None else out.unionByName(row)
+    return out.join(evaluate.metrics_correlations(scores, target).withColumnRenamed("correlation", "quality"), "metric")
+
+
+def multidimensional_irt(scores: DataFrame, metric: str, dimensions: int = 2, epochs: int = 300, seed: int = 0) -> DataFrame:
+    """item_id, pos, diff, disc_sum: sigmoid(sum over dimensions of disc * theta - diff), fitted on one data set in one task (min-max scaled scores)."""
+    own = scores.where(F.col("metric") == metric).select(F.lit(0).alias("g"), "item_id", "pos", "system", "value")
+    kind = dict(scores.dtypes)["item_id"]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot_table(index="system", columns=["pos", "item_id"], values="value").sort_index()
+        y = m.to_numpy(float)
+        y = np.where(np.isnan(y), np.nanmean(y), y)
+        y = (y - y.min()) / max(y.max() - y.min(), 1e-12)
+        rng = np.random.default_rng(seed)
+        p = [rng.normal(0, 0.3, (y.shape[0], dimensions)), 0.5 + rng.normal(0, 0.1, (y.shape[1], dimensions)), np.zeros(y.shape[1])]
+        m1, m2 = ([np.zeros_like(x) for x in p] for _ in range(2))
+        for t in range(1, epochs + 1):
+            q = 1 / (1 + np.exp(-np.clip(p[0] @ p[1].T - p[2], -30, 30)))
+            e = q - y
+            for k, g in enumerate((e @ p[1] + 0.1 * p[0], e.T @ p[0] + 0.1 * (p[1] - 0.5), -e.sum(0) + 0.1 * p[2])):
+                m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g**2
+                p[k] = p[k] - 0.05 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
+        return pd.DataFrame({"item_id": [c[1] for c in m.columns], "pos": [c[0] for c in m.columns], "diff": p[2], "disc_sum": p[1].sum(1)})
+
+    return own.groupBy("g").applyInPandas(fit, f"item_id {kind}, pos long, diff double, disc_sum double")

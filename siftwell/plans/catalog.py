@@ -550,6 +550,46 @@ def random_norm(spark, d):
     return r6(E.random_curve(scores, scores, "m", [0, 1, 2]), "correlation").select(F.col("k").cast("long").alias("k"), "correlation")
 
 
+BASE_SQL = EV + f""", sd AS (SELECT unnest(range(4)) AS seed), it AS (SELECT DISTINCT item_id, pos FROM scores), n AS (SELECT count(*) AS n FROM it), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM it, sd),
+pm AS (SELECT seed, system, rank AS k, round(avg(value) OVER (PARTITION BY seed, system ORDER BY rank ROWS UNBOUNDED PRECEDING), 9) AS x FROM scores JOIN rk USING (item_id) WHERE metric = 'm'),
+mm AS (SELECT * FROM pm JOIN (SELECT system, round(avg(value), 9) AS y FROM scores WHERE metric = 'm' GROUP BY system) USING (system)),
+cs AS (SELECT a.seed, a.k, CASE WHEN sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))) = 0 THEN 0 ELSE sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) END AS c FROM mm a JOIN mm b ON a.seed = b.seed AND a.k = b.k AND a.system < b.system GROUP BY 1, 2),
+pr AS (SELECT unnest([0.1, 0.25, 0.5])::DOUBLE AS prop), tg AS (SELECT prop, avg(c) AS target FROM cs, pr, n WHERE seed < 2 AND k = floor(n * prop) GROUP BY prop),
+hit AS (SELECT seed, prop, min(k) AS k FROM cs, tg WHERE seed >= 2 AND k >= 5 AND c >= target GROUP BY 1, 2),
+bl AS (SELECT prop, target, avg(coalesce(k, n) / (n * prop)) AS random_parity FROM tg CROSS JOIN (SELECT seed FROM sd WHERE seed >= 2) CROSS JOIN n LEFT JOIN hit USING (seed, prop) GROUP BY prop, target)
+"""
+
+
+@query(BASE_SQL + "SELECT prop, round(target, 6) AS target, round(random_parity, 6) AS random_parity FROM bl")
+def random_baseline(spark, d):
+    return r6(E.random_baseline(V.event_scores(spark, d), "m", props=[0.1, 0.25, 0.5], seeds=2), "target", "random_parity").select("prop", "target", "random_parity")
+
+
+@query()
+def parity_normalized(spark, d):
+    scores = V.event_scores(spark, d)
+    baseline = E.random_baseline(scores, "m", props=[0.1, 0.25, 0.5], seeds=2)
+    return r6(E.parity_normalized(scores, _ranked(scores), baseline, "m"), "parity")
+
+
+@query()
+def parity_normalized_spa(spark, d):
+    scores = V.event_scores(spark, d)
+    baseline = E.random_baseline(scores, "m", "spa", [0.1, 0.25, 0.5], 2, 30)
+    return r6(E.parity_normalized(scores, _ranked(scores), baseline, "m", "spa", 30), "parity")
+
+
+@query()
+def metric_quality(spark, d):
+    found = X.metric_quality(V.event_scores(spark, d), {"var": S.metric_var, "avg": S.metric_avg}, props=[0.1, 0.25, 0.5])
+    return r6(found, "quality", "gain")
+
+
+@query()
+def multidimensional_irt(spark, d):
+    return r6(X.multidimensional_irt(V.event_scores(spark, d), "m", epochs=60), "diff", "disc_sum").select("item_id", "diff", "disc_sum")
+
+
 @query()
 def spa_curve(spark, d):
     scores = V.event_scores(spark, d)

@@ -21,6 +21,8 @@ WIRE = "i string, src string, ref string, doc string, domain string, cost double
 NEUTRAL_BIOMQM = {"minor": -1.0, "major": -5.0}
 HUMAN_PROTOCOLS = ("mqm", "esa-merged", "esa", "da-sqm", "mqm", "wmt", "appraise", "wmt-raw", "wmt-appraise")
 REFERENCES = ("refA", "refB", "refC", "ref")
+#: The test pairs of wmt23.
+TEST_PAIRS = ("cs-uk", "de-en", "en-cs", "en-de", "en-ja", "en-zh", "he-en", "ja-en", "zh-en")
 NOT_SYSTEMS = ("synthetic_ref", "chrf_bestmbr")
 
 
@@ -191,6 +193,17 @@ def read_wmt_many(spark: SparkSession, root: str, pairs: list[tuple[str, str]],
     return out
 
 
+def wmt_pairs(spark: SparkSession, root: str, years: list[str] | None = None) -> list[tuple[str, str]]:
+    """Every (year, language pair) with a source file below root."""
+    found = years or [n for n in _names(spark, root) if n.startswith("wmt")]
+    return [(y, n.removesuffix(".txt")) for y in found for n in _names(spark, f"{root}/{y}/sources") if n.endswith(".txt")]
+
+
+def read_wmt_test(spark: SparkSession, root: str, **options) -> dict[tuple[str, str], Tables]:
+    """The fixed test pairs."""
+    return read_wmt_many(spark, root, [("wmt23", p) for p in TEST_PAIRS], min_items=0, **options)
+
+
 # ---- other collections ----------------------------------------------------------------------------------------------
 
 
