@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import numeric
-from siftwell.functions.columns import PROPS, sign
+from siftwell.functions.columns import PROPS, sign, uniform
+from siftwell.operators.ranking import in_order
 
 By = tuple[str, ...]
 
@@ -37,6 +38,8 @@ def kendall_columns(df: DataFrame, keys: list[str], name: str, x: str, y: str, v
 
 def rank_items(utility: DataFrame, by: By = ()) -> DataFrame:
     """rank from 1: utility descending, ties in input order."""
+    if not by:
+        return in_order(utility, "utility", ["pos", "item_id"])
     order = Window.partitionBy(*by).orderBy(F.desc("utility"), "pos", "item_id")
     return utility.withColumn("rank", F.row_number().over(order))
 
@@ -246,9 +249,17 @@ def at_proportions(scores: DataFrame, ranked: DataFrame, props: DataFrame, by: B
     return scores.join(tagged, [*by, "item_id"])
 
 
+def shared(scores: DataFrame, by: By) -> list[str]:
+    """The grouping columns that the scores have."""
+    return [c for c in by if c in scores.columns]
+
+
 def prefix_means(scores: DataFrame, ranked: DataFrame, metric: str = "human", by: By = ()) -> DataFrame:
-    """Means of each system on every prefix at once: one cumulative window instead of a scan for each k. system, k, x."""
-    own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*by, "item_id"])
+    """Means of each system on every prefix at once: one cumulative window instead of a scan for each k. system, k, x.
+
+    by may name columns that ranked alone has (the seed of a random order): each order then meets the same scores.
+    """
+    own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*shared(scores, by), "item_id"])
     running = Window.partitionBy(*by, "system").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return own.select(*by, "system", F.col("rank").alias("k"), F.avg("value").over(running).alias("x"))
 
@@ -256,7 +267,8 @@ def prefix_means(scores: DataFrame, ranked: DataFrame, metric: str = "human", by
 def correlation_curve(scores: DataFrame, ranked: DataFrame, metric: str | tuple[str, str] = "human", kind: str = "kendall", by: By = ()) -> DataFrame:
     """k, correlation of the prefix means with the full means, for every k."""
     m_new, m_old = (metric, metric) if isinstance(metric, str) else metric
-    means = prefix_means(scores, ranked, m_new, by).join(model_absolute(scores, m_old, by).withColumnRenamed("mean", "y"), [*by, "system"])
+    own = shared(scores, by)
+    means = prefix_means(scores, ranked, m_new, by).join(model_absolute(scores, m_old, tuple(own)).withColumnRenamed("mean", "y"), [*own, "system"])
     means = means.withColumn("x", F.round("x", 9)).withColumn("y", F.round("y", 9))
     return correlation(means, kind, (*by, "k"))
 
@@ -270,12 +282,8 @@ def parity(curve: DataFrame, targets: DataFrame, n: int, value: str = "correlati
 
 def random_curve(scores: DataFrame, items: DataFrame, metric: str = "human", seeds: list[int] | None = None, kind: str = "kendall") -> DataFrame:
     """Mean correlation curve of random orders; seeds are rows, so that all orders are one job."""
-    from siftwell.functions.columns import uniform
-
-    seeded = items.select("item_id", "pos").distinct().select("*", F.explode(F.array(*[F.lit(s) for s in (seeds or list(range(10)))])).alias("seed"))
-    ranked = rank_items(seeded.withColumn("utility", uniform(F.col("seed"), F.col("item_id"))), ("seed",))
-    every = scores.join(seeded.select("seed").distinct())
-    return correlation_curve(every, ranked, metric, kind, ("seed",)).groupBy("k").agg(F.avg("correlation").alias("correlation"))
+    ranked = seeded_ranks(items, seeds or list(range(10)))
+    return correlation_curve(scores, ranked, metric, kind, ("seed",)).groupBy("k").agg(F.avg("correlation").alias("correlation"))
 
 
 def spa_curve(scores: DataFrame, ranked: DataFrame, metric: str = "human", props: DataFrame | None = None, permutations: int = 1000, seed: int = 0) -> DataFrame:
@@ -292,7 +300,7 @@ def spa_every_prefix(scores: DataFrame, ranked: DataFrame, metric: str = "human"
 
     Groups (by: data sets, seeds) run in parallel; one task holds the items x systems matrix of one group.
     """
-    own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*by, "item_id"]).select(*by, "rank", "system", "value")
+    own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*shared(scores, by), "item_id"]).select(*by, "rank", "system", "value")
     keys = list(by) or ["g_"]
     own = own if by else own.withColumn("g_", F.lit(0))
     types = dict(own.dtypes)
@@ -319,8 +327,6 @@ def spa_every_prefix(scores: DataFrame, ranked: DataFrame, metric: str = "human"
 
 def seeded_ranks(items: DataFrame, seeds: list[int]) -> DataFrame:
     """seed, item_id, pos, rank: random orders, all seeds as rows of one job."""
-    from siftwell.functions.columns import uniform
-
     seeded = items.select("item_id", "pos").distinct().select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
     return rank_items(seeded.withColumn("utility", uniform(F.col("seed"), F.col("item_id"))), ("seed",))
 
@@ -333,8 +339,7 @@ def random_baseline(scores: DataFrame, metric: str = "human", value: str = "corr
 
     def curves(numbers: list[int]) -> DataFrame:
         ranked = seeded_ranks(items, numbers)
-        every = scores.join(ranked.select("seed").distinct())
-        return correlation_curve(every, ranked, metric, "kendall", ("seed",)) if value == "correlation" else spa_every_prefix(every, ranked, metric, permutations, by=("seed",))
+        return correlation_curve(scores, ranked, metric, "kendall", ("seed",)) if value == "correlation" else spa_every_prefix(scores, ranked, metric, permutations, by=("seed",))
 
     targets = curves(list(range(seeds))).join(points, "k").groupBy("prop").agg(F.avg(value).alias("target"))
     further = list(range(seeds, 2 * seeds))

@@ -140,7 +140,9 @@ def theta_accuracy(models: DataFrame, scores: DataFrame, metric: str) -> DataFra
 
 def ordering_convergence(scores: DataFrame, ranked: DataFrame, metric: str = "human", by: By = ()) -> DataFrame:
     """k, distance: mean absolute distance of the prefix means from the full means."""
-    means = evaluate.prefix_means(scores, ranked, metric, by).join(evaluate.model_absolute(scores, metric, by).withColumnRenamed("mean", "y"), [*by, "system"])
+    means = evaluate.prefix_means(scores, ranked, metric, by)
+    own = evaluate.shared(scores, by)
+    means = means.join(evaluate.model_absolute(scores, metric, tuple(own)).withColumnRenamed("mean", "y"), [*own, "system"])
     return means.groupBy(*by, "k").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("distance"))
 
 

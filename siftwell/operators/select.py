@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import numeric
 from siftwell.functions.columns import uniform
 from siftwell.operators import evaluate, scorers
+from siftwell.operators.ranking import in_order
 
 By = tuple[str, ...]
 
@@ -64,9 +65,13 @@ def top(ranked: DataFrame, k: int) -> DataFrame:
 
 def costaware_greedy(items: DataFrame, budget: float, by: By = ()) -> DataFrame:
     """Takes items by utility per cost until the running cost reaches the budget: rank, spent."""
-    order = Window.partitionBy(*by).orderBy(F.desc(F.try_divide("utility", "cost")), "pos", "item_id")
-    ranked = items.withColumn("rank", F.row_number().over(order))
-    return ranked.withColumn("spent", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("spent") < budget)
+    worth = items.withColumn("worth_", F.try_divide("utility", "cost"))
+    if by:
+        order = Window.partitionBy(*by).orderBy(F.desc("worth_"), "pos", "item_id")
+        ranked = worth.withColumn("rank", F.row_number().over(order)).withColumn("spent", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        ranked = in_order(worth, "worth_", ["pos", "item_id"], running="cost", total="spent")
+    return ranked.where(F.col("spent") < budget).drop("worth_")
 
 
 def costaware(items: DataFrame, budget: float, strict: bool = True, scale: int = 1000, by: By = ()) -> DataFrame:
@@ -99,14 +104,14 @@ def by_document(utility: DataFrame, docs: DataFrame) -> DataFrame:
     both = utility.join(docs.select("item_id", "doc"), "item_id")
     whole = Window.partitionBy("doc")
     both = both.withColumn("doc_utility", F.round(F.avg("utility").over(whole), 9)).withColumn("first_", F.min("pos").over(whole))
-    return both.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("doc_utility"), "first_", "pos", "item_id"))).drop("first_")
+    return in_order(both, "doc_utility", ["first_", "pos", "item_id"]).drop("first_")
 
 
 def by_domain(utility: DataFrame, docs: DataFrame) -> DataFrame:
     """Interleaves the domains, best items first in each; domains in the order of their first item."""
     both = utility.join(docs.select("item_id", "domain"), "item_id")
     both = both.withColumn("first_", F.min("pos").over(Window.partitionBy("domain"))).withColumn("turn_", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("utility"), "pos", "item_id")))
-    return both.withColumn("rank", F.row_number().over(Window.orderBy("turn_", "first_", "domain"))).drop("first_", "turn_")
+    return in_order(both, "turn_", ["first_", "domain"], descending=False).drop("first_", "turn_")
 
 
 def by_domain_document(utility: DataFrame, docs: DataFrame) -> DataFrame:
@@ -116,7 +121,7 @@ def by_domain_document(utility: DataFrame, docs: DataFrame) -> DataFrame:
     both = both.withColumn("doc_utility", F.round(F.avg("utility").over(whole), 9)).withColumn("doc_first_", F.min("pos").over(whole))
     both = both.withColumn("first_", F.min("pos").over(Window.partitionBy("domain")))
     both = both.withColumn("turn_", F.dense_rank().over(Window.partitionBy("domain").orderBy(F.desc("doc_utility"), "doc_first_", "doc")))
-    return both.withColumn("rank", F.row_number().over(Window.orderBy("turn_", "first_", "domain", "pos", "item_id"))).drop("first_", "turn_", "doc_first_")
+    return in_order(both, "turn_", ["first_", "domain", "pos", "item_id"], descending=False).drop("first_", "turn_", "doc_first_")
 
 
 def sample(items: DataFrame, k: int, seed: int = 0) -> DataFrame:

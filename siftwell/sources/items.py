@@ -326,7 +326,7 @@ def load_data(spark: SparkSession, data: str | list[dict], root: str | None = No
     if data.startswith("wmt") and root:
         year, langs = data.split("/")
         if year == "wmt":
-            return read_wmt_many(spark, root, options.pop("pairs"), **options)
+            return read_wmt_many(spark, root, options.pop("pairs", None) or wmt_pairs(spark, root), **options)
         return read_wmt(spark, root, year, langs, **options)
     if data in READERS:
         return READERS[data](spark, root, **options)

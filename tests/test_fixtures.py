@@ -13,6 +13,7 @@ from siftwell.operators import experiments as X
 from siftwell.operators import normalize as N
 from siftwell.operators import scorers as S
 from siftwell.operators import select as L
+from siftwell.operators.ranking import in_order
 
 VALUES = {"a": ([0.9, 0.5, 0.1], [90, 60, 20]), "b": ([0.8, 0.8, 0.2], [80, 70, 30]), "c": ([0.5, 0.5, 0.5], [50, 40, 60]), "d": ([0.1, 0.6, 0.7], [30, 65, 70])}
 
@@ -235,3 +236,20 @@ def test_ward():
     x = np.array([[0.0], [0.1], [5.0], [5.1], [9.0]])
     assert len(set(Q.ward(x, 3))) == 3 and Q.ward(x, 3)[0] == Q.ward(x, 3)[1] and Q.ward(x, 3)[2] == Q.ward(x, 3)[3]
     assert len(set(Q.ward(x, 1))) == 1
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_distributed_order_is_the_plain_one(spark, descending):
+    rng = np.random.default_rng(0)
+    rows = [(i, None if i % 17 == 0 else float(rng.integers(0, 9)), float(i % 5)) for i in range(300)] + [(300, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "pos long, u double, cost double")
+    plain, cut = (in_order(df, "u", ["pos"], descending, running="cost", buckets=n).orderBy("rank").collect() for n in (1, 7))
+    assert [(r["pos"], r["rank"], r["running"]) for r in plain] == [(r["pos"], r["rank"], r["running"]) for r in cut]
+    assert in_order(df.limit(0), "u", ["pos"], buckets=4).count() == 0
+
+
+def test_seeds_share_the_scores(scores):
+    curve = E.random_curve(scores, scores, "human", [0, 1, 2])
+    assert sorted(r["k"] for r in curve.collect()) == [1, 2, 3, 4] and round(curve.where("k = 4").first()["correlation"], 6) == 1
+    base = E.random_baseline(scores, "human", props=[0.5, 1.0], seeds=2)
+    assert {r["prop"] for r in E.parity_normalized(scores, E.rank_items(S.metric_var(scores, "human")), base, "human").collect()} == {0.5, 1.0}

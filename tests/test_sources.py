@@ -75,6 +75,9 @@ def test_wmt_folder(spark, tmp_path, canary):
     assert {r["system"] for r in t["outputs"].collect()} == {"A", "B"}
     many = I.read_wmt_many(spark, str(tmp_path), [("wmt23", "en-cs"), ("wmt23", "en-xx")], min_items=1, name_filter=lambda y, l: l == "en-cs")
     assert list(many) == [("wmt23", "en-cs")]
+    assert I.wmt_pairs(spark, str(tmp_path)) == [("wmt23", "en-cs")]
+    assert list(I.read_wmt_test(spark, str(tmp_path))) == [("wmt23", "en-cs")]
+    assert list(I.load_data(spark, "wmt/all", str(tmp_path), min_items=1)) == [("wmt23", "en-cs")]
 
 
 def test_wmt_without_human_scores(spark, tmp_path):
