@@ -43,6 +43,8 @@ NUMERATOR = 85  # of 100
 CHUNK = 256
 #: About so many queries meet a chunk in one task; more are dealt over copies of the chunk.
 QUERIES = 1000
+#: Parts that the documents of one set are dealt to before they are linked.
+EQUAL_SALTS = 32
 CLASS_RATIO = 1.7
 SLACK_SHARE, SLACK = 0.1, 5
 U = np.uint64
@@ -297,8 +299,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dropped(counted)
     sets = written(_set_rows(src).select("doc_id", "n_shingles", "s1", "s2"), "sets")
     equal = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = equal.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    equal_links = equal.join(first, ["s1", "s2", "n_shingles"]).select(F.col("doc_id").alias("a"), "b")
+    # in two steps, so that the copies of one set are spread over tasks
+    same, some = ["s1", "s2", "n_shingles"], F.pmod(F.xxhash64("doc_id"), F.lit(EQUAL_SALTS)).alias("part")
+    local = equal.select(*same, some, "doc_id").groupBy(*same, "part").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c"))
+    whole = local.groupBy(*same).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    inside = equal.select(*same, some, "doc_id").join(local.where("c > 1"), [*same, "part"]).select(F.col("doc_id").alias("a"), "b")
+    equal_links = inside.unionByName(local.join(whole, same).select(F.col("b").alias("a"), F.col("least").alias("b")))
 
     # each document joins the hub that it shares most signatures with; a hub without a better one stays its own
     votes = shared.groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("c"))
