@@ -331,8 +331,7 @@ def costaware_greedy(spark, d):
 
 @query()
 def costaware_exact(spark, d):
-    items = _costs(spark, d).where("domain = 'es'")
-    return r6(L.costaware(items, 3000.0), "spent").select("item_id", "spent")
+    return r6(L.costaware(_costs(spark, d), 3000.0, by=("domain",)), "spent").select("item_id", "spent")
 
 
 DOC_SQL = DC + ", m AS (SELECT *, round(avg(utility) OVER (PARTITION BY doc), 9) AS du, min(pos) OVER (PARTITION BY doc) AS f FROM items)"
