@@ -176,12 +176,12 @@ def metric_cons(spark, d):
 c AS (SELECT item_id, system, t, count(*) AS c FROM (SELECT item_id, system, unnest(w) AS t FROM w) GROUP BY 1, 2, 3),
 o AS (SELECT a.item_id, a.system AS a, b.system AS b, sum(least(a.c, b.c)) AS k FROM c a JOIN c b ON a.item_id = b.item_id AND a.t = b.t AND a.system < b.system GROUP BY 1, 2, 3),
 p AS (SELECT x.item_id, CASE WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 1.0 ELSE 2.0 * coalesce(k, 0) / (len(x.w) + len(y.w)) END AS f FROM w x JOIN w y ON x.item_id = y.item_id AND x.system < y.system LEFT JOIN o ON o.item_id = x.item_id AND o.a = x.system AND o.b = y.system)
-SELECT item_id, round(coalesce(-avg(f), 0), 6) AS utility FROM (SELECT DISTINCT item_id FROM outputs) LEFT JOIN p USING (item_id) GROUP BY item_id""")
+SELECT item_id, round(coalesce(-avg(f), 0), 6) + 0.0 AS utility FROM (SELECT DISTINCT item_id FROM outputs) LEFT JOIN p USING (item_id) GROUP BY item_id""")
 def diversity_unigram(spark, d):
     return r6(S.diversity_unigram(V.conversation_outputs(spark, d)), "utility").select("item_id", "utility")
 
 
-@query(VC + "SELECT item_id, round(coalesce(-avg(s), 0), 6) AS utility FROM (SELECT DISTINCT item_id FROM vectors) LEFT JOIN (SELECT a.item_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM vectors a JOIN vectors b ON a.item_id = b.item_id AND a.system < b.system) USING (item_id) GROUP BY item_id")
+@query(VC + "SELECT item_id, round(coalesce(-avg(s), 0), 6) + 0.0 AS utility FROM (SELECT DISTINCT item_id FROM vectors) LEFT JOIN (SELECT a.item_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM vectors a JOIN vectors b ON a.item_id = b.item_id AND a.system < b.system) USING (item_id) GROUP BY item_id")
 def diversity_dot(spark, d):
     return r6(S.diversity_dot(V.vectors(spark, d)), "utility").select("item_id", "utility")
 
