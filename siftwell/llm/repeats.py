@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import dropped, shuffle_partitions, small_batches, written
-from siftwell.llm.text_index import FMIndex, Parents, RunIndex, Suffixes, joined, matching_statistics
+from siftwell.llm.text_index import Parents, Suffixes, joined, matching_statistics
 
 BLOCK = 1 << 18  # symbols that are hashed at once
 PLACE_BITS = 20  # of a symbol within a block; the rest of the anchor's 64 bits is hash

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import table
-from siftwell.llm.repeats import NO_DOC, FMIndex, Spec, covered, identified, repeats
+from siftwell.llm.repeats import NO_DOC, Spec, covered, identified, repeats
+from siftwell.llm.text_index import FMIndex
 
 WINDOW = 35
 SPEC = Spec(words=True, window=WINDOW, gram=8, index=FMIndex, most_segments=20_000)

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import table
-from siftwell.llm.repeats import NO_DOC, RunIndex, Spec, covered, identified, repeats
+from siftwell.llm.repeats import NO_DOC, Spec, covered, identified, repeats
+from siftwell.llm.text_index import RunIndex
 
 WINDOW = 400
 SPEC = Spec(words=False, window=WINDOW, gram=256, index=RunIndex, most_segments=3_000, lone=False)
