@@ -10,6 +10,8 @@ from siftwell.llm.common import table, written
 
 #: A document whose best language has a smaller posterior than this is rejected, as is one without letters.
 MIN_LANGUAGE_SCORE = 0.5
+#: Near copies share at least so many hundredths of their distinct runs of so many words.
+NEAR_SHINGLE, NEAR_NUMERATOR = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id stays."""
-    found = ngram_join.similar_components(docs)
+    found = ngram_join.similar_components(docs, shingle=NEAR_SHINGLE, numerator=NEAR_NUMERATOR)
     return docs.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 

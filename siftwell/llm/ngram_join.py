@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join with a token-group matrix, up to its connected components.
 
-A document's set holds its distinct 4-word shingles as 64-bit hashes (a document of fewer words has one shingle).
-Two documents link if 100 * intersection >= 85 * union.
+A document's set holds its distinct shingles (``shingle`` words, 4 in the query) as 64-bit hashes (a document of fewer
+words has one shingle). Two documents link if 100 * intersection >= ``numerator`` (85 in the query) * union.
 
-Candidates, without a loss: sets of at most r shingles that link differ in at most d = floor(30 r / 185) shingles. The
+Candidates, without a loss: sets of at most r shingles that link differ in at most d = floor(2 (100 - numerator) r /
+(100 + numerator)) shingles. The
 shingles are dealt to more than d parts by their hash; a part without a difference is equal in both sets. So linked
 sets share the signature (hash of all shingles) of a part that isn't empty. Part numbers depend on the size class
 alone; a set also signs for the next class if a partner there can link with it. With more parts than d + 1, linked
@@ -144,7 +145,7 @@ def signatures(s: np.ndarray, numerator: int = NUMERATOR) -> tuple[np.ndarray, n
     return (np.concatenate(out), np.concatenate(spare)) if out else (s[:0], none)
 
 
-def _set_rows(src: DataFrame) -> DataFrame:
+def _set_rows(src: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (digest of the set), sigs and spare (empty where the task has already seen the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +153,12 @@ def _set_rows(src: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                sets = shingle_sets(*text_buffer(b.column(1)))
+                sets = shingle_sets(*text_buffer(b.column(1)), shingle)
                 s1 = [int(mixed(s ^ U(BASE_A)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 s2 = [int(mixed(s + U(BASE_B)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 sigs, spare = [], []
                 for doc, s, key in zip(b.column(0), sets, zip(s1, s2, strict=True), strict=True):
-                    signed, left = signatures(s[:0] if key in seen or not doc.is_valid else s)
+                    signed, left = signatures(s[:0] if key in seen or not doc.is_valid else s, numerator)
                     sigs.append(signed.view(np.int64))
                     spare.append(left)
                     if len(seen) > 200_000:  # only saves work: a set that is signed twice is still right
@@ -230,12 +231,12 @@ class Groups:
             self.least[g] = min(self.least[g], len(s))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _grouped(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[tuple]:
     """Rows of sorted batches with the set of the last column's text appended."""
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            sets = shingle_sets(*text_buffer(part.column(part.num_columns - 1)))
+            sets = shingle_sets(*text_buffer(part.column(part.num_columns - 1)), shingle)
             yield from zip(*(part.column(c).to_pylist() for c in range(part.num_columns - 1)), sets, strict=True)
 
 
@@ -243,14 +244,14 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], ["a", "b"])
 
 
-def chunk_links(placed: DataFrame, partitions: int) -> DataFrame:
+def chunk_links(placed: DataFrame, partitions: int, shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
     """Exact links within chunks: placed has hub, salt, doc, text. Links that components don't need are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, groups, rows = None, Groups(), []
-        for hub, salt, doc, s in _grouped(batches):
+        now, groups, rows = None, Groups(numerator), []
+        for hub, salt, doc, s in _grouped(batches, shingle):
             if (hub, salt) != now:
-                now, groups = (hub, salt), Groups()
+                now, groups = (hub, salt), Groups(numerator)
             rows += [(doc, other) for other in groups.add(doc, s)]
             if len(rows) > 5000:
                 yield _pairs(rows)
@@ -260,14 +261,14 @@ def chunk_links(placed: DataFrame, partitions: int) -> DataFrame:
     return placed.select("hub", "salt", "doc", "text").repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", "doc").mapInArrow(run, "a long, b long")
 
 
-def query_links(asked: DataFrame, partitions: int) -> DataFrame:
+def query_links(asked: DataFrame, partitions: int, shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
     """Exact links of queries with chunks: asked has hub, salt, block, query (false: member), doc, component, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, groups, place, rows = None, Groups(), {}, []
-        for hub, salt, block, query, doc, component, s in _grouped(batches):
+        now, groups, place, rows = None, Groups(numerator), {}, []
+        for hub, salt, block, query, doc, component, s in _grouped(batches, shingle):
             if (hub, salt, block) != now:
-                now, groups, place = (hub, salt, block), Groups(), {}
+                now, groups, place = (hub, salt, block), Groups(numerator), {}
             if not query:
                 groups.put(place, component, doc, s)
             else:
@@ -281,12 +282,12 @@ def query_links(asked: DataFrame, partitions: int) -> DataFrame:
     return asked.select("hub", "salt", "block", "query", "doc", "component", "text").repartition(partitions, "hub", "salt", "block").sortWithinPartitions("hub", "salt", "block", "query", "doc").mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     small_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = _set_rows(src)
+    rows = _set_rows(src, shingle, numerator)
 
     # one shuffle of all signatures; only shared ones are kept, and of those the rarer ones of each document
     signed = rows.select(F.col("doc_id").alias("doc"), F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("spare").alias("spare"))))
@@ -297,7 +298,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = trimmed.select("sig", "doc", F.first("doc").over(by_sig.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"), F.lead("doc").over(by_sig).alias("next"))
     shared = written(hubs.where("doc <> hub OR next IS NOT NULL").select("sig", "doc", "hub"), "shared")
     dropped(counted)
-    sets = written(_set_rows(src).select("doc_id", "n_shingles", "s1", "s2"), "sets")
+    sets = written(_set_rows(src, shingle, numerator).select("doc_id", "n_shingles", "s1", "s2"), "sets")
     equal = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # in two steps, so that the copies of one set are spread over tasks
     same, some = ["s1", "s2", "n_shingles"], F.pmod(F.xxhash64("doc_id"), F.lit(EQUAL_SALTS)).alias("part")
@@ -318,7 +319,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = salted.select("doc")  # one row for each document
     texts = likely_members(src, "doc_id", wanted, "doc").join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")
     texts = written(texts.groupBy(F.col("doc_id").alias("doc")).agg(F.max("text").alias("text")), "texts")
-    inner = written(chunk_links(everyone.join(texts, "doc"), n), "links")
+    inner = written(chunk_links(everyone.join(texts, "doc"), n, shingle, numerator), "links")
     known = written(equal_links.unionByName(inner), "known")
     labels = components(known)
 
@@ -337,7 +338,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.select("hub", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "doc", F.coalesce("component", "doc").alias("component"))
     queries = pairs.join(dealt, ["hub", "salt"]).select("hub", "salt", F.pmod(F.xxhash64("q"), "blocks").cast("int").alias("block"), F.lit(True).alias("query"), F.col("q").alias("doc"), F.col("qc").alias("component"))
     asked = members.unionByName(queries)
-    outer = written(query_links(asked.join(texts, "doc"), n), "links")
+    outer = written(query_links(asked.join(texts, "doc"), n, shingle, numerator), "links")
     if outer.take(1):
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer))
     dropped(shared, texts, named, open_rows, pairs)

@@ -222,12 +222,12 @@ def test_queries_on_data(spark, data):
 # ---- n-gram join ----------------------------------------------------------------------------------------------------
 
 
-def brute_components(texts, ids=None):
+def brute_components(texts, ids=None, size=4, numerator=85):
     ids = list(ids or range(len(texts)))
     sets = []
     for t in texts:
         w = words(lower(t))
-        sets.append({tuple(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
     parent = {i: i for i in ids}
 
     def find(x):
@@ -237,7 +237,7 @@ def brute_components(texts, ids=None):
 
     for a in range(len(ids)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= numerator * len(sets[a] | sets[b]):
                 x, y = sorted((find(ids[a]), find(ids[b])))
                 parent[y] = x
     return [(len(s), find(i)) for i, s in zip(ids, sets, strict=True)]
@@ -269,6 +269,15 @@ def test_ngram_join(spark, monkeypatch, seed, chunk):
     assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts)
 
 
+@pytest.mark.parametrize("seed, chunk", [(2, 256), (3, 3)])
+def test_ngram_join_other_threshold(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "QUERIES", 2 if chunk == 3 else 1000)
+    texts = near_copies(random.Random(seed))
+    got = ngram_join.similar_components(docs(spark, texts), shingle=5, numerator=80).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts, size=5, numerator=80) != brute_components(texts)
+
+
 def test_linked_sets_share_kept_signatures():
     """Whatever the order of the signatures, two linked sets keep a common one after leaving out what they may."""
     rng = np.random.default_rng(4)
@@ -360,6 +369,17 @@ def test_pipeline(spark, data):
     assert len(corpus_pipeline.run(spark, data).columns) == 5
 
 
+def test_pipeline_near_copies(spark, data):
+    import corpus_pipeline
+
+    w, other = [f"w{i}" for i in range(104)], [f"o{i}" for i in range(46 + 4)]
+    more = [f"m{i}" for i in range(25)]  # 100 of 125 runs of 5 words, 101 of 126 of 4: appended text
+    changed = [*other[:20], "new", *other[21:]]  # 41 of 51 of 5, 43 of 51 of 4: one word changed
+    texts = [" ".join(x) for x in (w, w + more, other, changed, w + more + ["last"])]
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs(spark, texts), data).collect())
+    assert kept == [i for i, (_, c) in enumerate(brute_components(texts, size=5, numerator=80)) if i == c] == [0, 2]
+
+
 def test_pipeline_odd_rows(spark, data, tmp_path):
     import corpus_pipeline
 
