@@ -171,31 +171,53 @@ def chrf(hyp: list[Counter], ref: list[Counter], beta: float = 2.0) -> float:
     return 100 * (1 + beta**2) * p * r / (beta**2 * p + r)
 
 
-def knapsack(utility: np.ndarray, cost: np.ndarray, budget: float, scale: int = 1000, most_cells: int = 50_000_000) -> list[int]:
-    """Positions that maximise utility within the budget: exact on costs in units of budget / scale (rounded up), greedy by density if the table would be too large."""
-    n = len(utility)
-    if n * (scale + 1) > most_cells:
-        out, spent = [], 0.0
-        for i in np.argsort(-(utility / np.maximum(cost, 1e-12)), kind="stable"):
-            if spent + cost[i] <= budget:
-                out.append(int(i))
-                spent += cost[i]
-        return sorted(out)
-    units = np.ceil(np.asarray(cost, float) * scale / budget - 1e-9).astype(int)
-    best, take = np.zeros(scale + 1), np.zeros((n, scale + 1), bool)
-    for i in range(n):
-        u = units[i]
-        if u <= scale:
-            other = np.full(scale + 1, -np.inf)
-            other[u:] = best[: scale + 1 - u] + utility[i]
-            take[i] = other > best
-            best = np.where(take[i], other, best)
-    out, left = [], scale
-    for i in range(n - 1, -1, -1):
-        if take[i, left]:
+def knapsack(utility: np.ndarray, cost: np.ndarray, budget: float, scale: int = 1000) -> list[int]:
+    """Positions that maximise utility within the budget, exact on the real costs at every size; scale has no effect.
+
+    Items come by density. States that another one beats in cost and utility go, as do those whose fractional bound
+    is not above the best whole completion so far. Sums that differ by rounding errors (1e-12) count as equal.
+    """
+    utility, cost = np.asarray(utility, float), np.asarray(cost, float)
+    most = budget + 1e-12 * abs(budget)
+    able = np.flatnonzero((utility > 0) & (cost <= most))
+    density = utility[able] / np.maximum(cost[able], 1e-300)
+    able = able[np.argsort(-density, kind="stable")]
+    u, c = utility[able], cost[able]
+    n = len(able)
+    us, cs = np.concatenate([[0.0], np.cumsum(u)]), np.concatenate([[0.0], np.cumsum(c)])
+    density = np.append(u / np.maximum(c, 1e-300), 0.0)
+    spent, gain, node = np.zeros(1), np.zeros(1), np.full(1, -1)
+    nodes: list[tuple[int, np.ndarray, int]] = []  # item, parents, id of the first
+    made, best, found = 0, 0.0, (-1, 0, 0)
+    for i in range(n + 1):
+        left = most - spent
+        to = np.maximum(np.searchsorted(cs, cs[i] + left, side="right") - 1, i)
+        whole = gain + us[to] - us[i]
+        k = int(np.argmax(whole))
+        if whole[k] > best:
+            best, found = float(whole[k]), (int(node[k]), i, int(to[k]))
+        open_ = whole + np.maximum(left - (cs[to] - cs[i]), 0) * density[to] > best + 1e-12 * max(1.0, best)
+        spent, gain, node = spent[open_], gain[open_], node[open_]
+        if i == n or not len(spent):
+            break
+        fits = spent + c[i] <= most
+        parents = node[fits]
+        nodes.append((i, parents, made))
+        more = np.arange(made, made + len(parents))
+        made += len(parents)
+        spent, gain, node = np.concatenate([spent, spent[fits] + c[i]]), np.concatenate([gain, gain[fits] + u[i]]), np.concatenate([node, more])
+        order = np.lexsort((-gain, spent))
+        spent, gain, node = spent[order], gain[order], node[order]
+        before = np.concatenate([[-np.inf], np.maximum.accumulate(gain)[:-1]])
+        kept = gain > before + 1e-12
+        spent, gain, node = spent[kept], gain[kept], node[kept]
+    at, start, end = found
+    out = list(range(start, end))
+    for i, parents, first in reversed(nodes):
+        if at >= first:
             out.append(i)
-            left -= units[i]
-    return out[::-1]
+            at = int(parents[at - first])
+    return sorted(able[out].tolist())
 
 
 def ward(x: np.ndarray, clusters: int) -> np.ndarray:

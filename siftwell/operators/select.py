@@ -75,7 +75,7 @@ def costaware_greedy(items: DataFrame, budget: float, by: By = ()) -> DataFrame:
 
 
 def costaware(items: DataFrame, budget: float, strict: bool = True, scale: int = 1000, by: By = ()) -> DataFrame:
-    """0/1 knapsack on utility rescaled to [0.1, 0.6], then the chosen items by utility while the running cost stays below the budget.
+    """Exact 0/1 knapsack on utility rescaled to [0.1, 0.6] (scale has no effect), then the chosen items by utility while the running cost stays below the budget.
 
     strict: the budget itself must not be reached; otherwise it may be met exactly. Data sets (by) are solved in parallel.
     """

@@ -131,6 +131,20 @@ def test_knapsack_against_all_subsets():
         assert math.isclose(u[Q.knapsack(u, c, 12, 12)].sum(), best)
 
 
+def test_knapsack_on_real_costs_at_every_size():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        u, c = rng.random(9), 34 + 3 * rng.random(9)
+        c[:2] = 50.0004, 49.9996  # fit together only without rounding
+        best = max(sum(u[i] for i in range(9) if k >> i & 1) for k in range(512) if sum(c[i] for i in range(9) if k >> i & 1) <= 100)
+        got = Q.knapsack(u, c, 100)
+        assert math.isclose(u[got].sum(), best) and c[got].sum() <= 100 + 1e-9
+    # more rows than the former table held: the densest item keeps the best pair out
+    u, c = np.full(60_000, 0.1), np.full(60_000, 90.0)
+    u[[5, 7, 9]], c[[5, 7, 9]] = (0.5, 0.6, 0.6), (40.0, 50.0, 50.0)
+    assert Q.knapsack(u, c, 100) == [7, 9]
+
+
 def test_irt(spark):
     df = spark.createDataFrame([("i", 0, 0.5, 1.5, 0.2)], "item_id string, pos long, diff double, disc double, feas double")
     models = spark.createDataFrame([("a", -1.0), ("b", 0.0), ("c", 2.0)], "system string, theta double")
