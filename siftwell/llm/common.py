@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh one in local mode, an error on a cluster."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -69,17 +73,21 @@ def dropped(*tables: DataFrame) -> None:
 FILTER_BITS = 1 << 24
 
 
+def bit_table(wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, Callable[[Column], Column], Column]:
+    """A broadcast bit table (word_, mask_) over the hashes of a long column; what gives the bit of a key; and, for rows with bit_ joined by word_, whether it is set."""
+    bit = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS)).cast("int")
+    bits = wanted.select(bit(F.col(wanted_key)).alias("bit_")).selectExpr("bit_ DIV 64 AS word_", "shiftleft(1L, bit_ % 64) AS mask_")
+    return F.broadcast(bits.groupBy("word_").agg(F.bit_or("mask_").alias("mask_"))), bit, F.expr("shiftright(mask_, bit_ % 64) & 1L = 1")
+
+
 def likely_members(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """The rows of df whose key may be in wanted: all that are, and few others, by a bit table of fixed size.
 
     An exact semi-join should follow; it then shuffles few rows. The bit table has at most FILTER_BITS / 64 rows,
     whatever wanted holds, so it can be broadcast.
     """
-    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)).cast("int")
-    table_ = wanted.select(bit(wanted_key).alias("bit_")).selectExpr("bit_ DIV 64 AS word_", "shiftleft(1L, bit_ % 64) AS mask_")
-    table_ = F.broadcast(table_.groupBy("word_").agg(F.bit_or("mask_").alias("mask_")))
-    own = df.withColumn("bit_", bit(key))
-    return own.join(table_, F.expr("word_ = bit_ DIV 64 AND shiftright(mask_, bit_ % 64) & 1L = 1"), "left_semi").drop("bit_")
+    bits, bit, inside = bit_table(wanted, wanted_key)
+    return df.withColumn("bit_", bit(F.col(key))).join(bits, F.expr("word_ = bit_ DIV 64") & inside, "left_semi").drop("bit_")
 
 
 #: Rows and bytes of the batches that go to Python: rows hold whole documents, so Spark's defaults would be large.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import written
+from siftwell.llm.common import dropped, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -22,17 +22,20 @@ def _small(edges: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node is tied to two, and none that is tied has another tied to it."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").take(1)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its least member) of every node of edges (a, b). Nulls and loops are ignored; isolated nodes have no row."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
     for _ in range(rounds):
-        if not mark[0]:
-            break
-        now = written(_small(_large(now).distinct()).distinct(), "edges")
-        seen, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if tuple(seen) == tuple(mark):
+        if _settled(now):  # every edge leads down, so the centre of a star is its least node
             break
+        before, now = now, written(_small(_large(now).distinct()).distinct(), "edges")
+        dropped(before)
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

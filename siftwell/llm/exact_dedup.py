@@ -6,7 +6,7 @@ window operator compares each text in full with its neighbour.
 
 A text with very many copies would fill one range. Counts by hash (combined before the shuffle) find such texts;
 at most ``4 * partitions`` hashes can be above the threshold, so that list is broadcast. Rows of a hot text are
-salted into ranges of bounded size; the salted groups, again a bounded number, are merged by id afterwards.
+salted into ranges of bounded size; the salted groups, again a bounded number, are merged by hash and digest afterwards.
 
 Defined cases: a null text counts as empty; repeated rows (same id, same text) are one group of which exactly one
 row stays; a null id sorts below every other id; an empty table gives an empty result.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ascii_lower, shuffle_partitions, table, text_or_empty
+from siftwell.llm.common import ascii_lower, shuffle_partitions, table
 
 #: Characters of the normalised text that take part in the splitters as they are.
 SPLIT_PREFIX = 32
@@ -32,11 +32,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     n = partitions or shuffle_partitions(spark)
-    src = docs.select(
-        F.col(id_col).alias("doc_id"),
-        ascii_lower(text_or_empty(text_col)).alias("norm"),
-        *([F.struct("*").alias("row")] if carry else []),
-    ).withColumn("h", F.xxhash64("norm"))
+    norm = lambda text: ascii_lower(F.coalesce(text, F.lit("")))
+    shipped = F.struct("*").alias("row") if carry else norm(F.col(text_col)).alias("norm")
+    src = docs.select(F.col(id_col).alias("doc_id"), norm(F.col(text_col)).alias("norm_"), shipped).withColumn("h", F.xxhash64("norm_"))
     best = F.max if keep == "max" else F.min
     order = F.desc_nulls_last("doc_id") if keep == "max" else F.asc_nulls_last("doc_id")
 
@@ -50,24 +48,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sizes = F.broadcast(spark.createDataFrame(hot_rows, "h long, salts int"))
         salted = src.join(sizes, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts").cast("int") + 1, F.lit(0)))
 
-    ranged = salted.withColumn("p", F.substring("norm", 1, SPLIT_PREFIX)).repartitionByRange(n, *keys)
+    ranged = salted.withColumn("p", F.substring("norm_", 1, SPLIT_PREFIX)).drop("norm_").repartitionByRange(n, *keys)
+    if carry:  # the row holds the text, so the normalised one is made again instead of shuffled
+        ranged = ranged.withColumn("norm", norm(F.col("row")[text_col]))
     group = Window.partitionBy(*keys, "norm")  # the ranges already hold each group whole: no second shuffle
     out = ranged.select(
-        "doc_id", "norm", *(["salt"] if hot_rows else []), *(["row"] if carry else []),
+        "doc_id", "norm", *(["h", "salt"] if hot_rows else []), *(["row"] if carry else []),
         F.row_number().over(group.orderBy(order)).alias("rn"),
         best("doc_id").over(group).alias("keep_id"),
         F.count(F.lit(1)).over(group).alias("group_size"),
     )
     if hot_rows:
-        parts = salted.where("salt > 0").groupBy("h", "norm", "salt").agg(best("doc_id").alias("local"), F.count(F.lit(1)).alias("c"))
-        whole = Window.partitionBy("h", "norm")
-        merged = parts.select(F.col("local"), best("local").over(whole).alias("whole_id"), F.sum("c").over(whole).alias("whole_size"))
+        # the digest stands for the text, which may be long; it is made of hot rows only
+        digest = lambda text: F.when(F.col("salt") > 0, F.sha2(text, 256))
+        parts = salted.where("salt > 0").groupBy("h", "salt", digest(F.col("norm_")).alias("digest")).agg(best("doc_id").alias("local"), F.count(F.lit(1)).alias("c"))
+        whole = Window.partitionBy("h", "digest")
+        merged = parts.select(F.col("h").alias("h_"), F.col("salt").alias("salt_"), F.col("digest").alias("digest_"), best("local").over(whole).alias("whole_id"), F.sum("c").over(whole).alias("whole_size"), "local")
+        # equal ids have equal salts, so one part alone holds the id that stays
+        merged = merged.withColumn("first", F.col("local").eqNullSafe(F.col("whole_id"))).drop("local")
         # at most two rows for each threshold rows of the input: bounded by the number of partitions, not by the data
         merged = F.broadcast(merged)
-        out = out.join(merged, (F.col("salt") > 0) & F.col("keep_id").eqNullSafe(F.col("local")), "left").select(
+        out = out.withColumn("digest", digest(F.col("norm"))).join(merged, (F.col("h") == F.col("h_")) & (F.col("salt") == F.col("salt_")) & (F.col("digest") == F.col("digest_")), "left").select(
             "doc_id", "norm", *(["row"] if carry else []),
-            F.when(F.col("salt") > 0, F.when(F.col("keep_id").eqNullSafe(F.col("whole_id")), F.col("rn")).otherwise(0)).otherwise(F.col("rn")).alias("rn"),
-            F.coalesce("whole_id", "keep_id").alias("keep_id"),
+            F.when((F.col("salt") > 0) & ~F.col("first"), F.lit(0)).otherwise(F.col("rn")).alias("rn"),
+            F.when(F.col("salt") > 0, F.col("whole_id")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("whole_size", "group_size").alias("group_size"),
         )
     return out.select("doc_id", "keep_id", "group_size", (F.col("rn") == 1).alias("kept"), "norm", *(["row"] if carry else []))
