@@ -7,12 +7,14 @@ leftmost place) becomes its prefix. Document words meet the prefixes in a join;
 fixes where the window would start, the length bound drops starts that would run over the document's ends, and the
 words in between are compared in full.
 
-The windows are broadcast in blocks of at most ``WINDOWS_PER_BLOCK``, so that a large benchmark costs more passes and
-never a larger broadcast. The exploded document words are never shuffled: only verified matches are.
+Documents are read twice, whatever the size of the benchmark: to count its words and to find prefixes. A bit table of
+fixed size is all that is broadcast; it lets few other words through to the exact joins. Each word that passes takes
+its neighbours along, a window's length to both sides, so that the comparison needs no second look at the document.
+Item lists stay in a table of their own, which verified windows are joined with at the end.
 
 Defined cases: null texts and texts without words have no words, hits or items; repeated items count once per
-item_id; a null item_id is skipped; repeated document rows each get their own result row if their ids differ, and
-the union of their hits if they share an id; empty tables give documents without hits, or no rows.
+item_id; a null item_id is skipped; every document row gets its own result row, whatever ids are null or shared;
+empty tables give documents without hits, or no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ascii_lower, table, text_or_empty
+from siftwell.llm.common import ascii_lower, bit_table, likely_members, table, text_or_empty, written
 
 WINDOW = 10
-WINDOWS_PER_BLOCK = 50_000
 #: Fixed pattern of a word, after A-Z became lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What tells document rows apart; rows that agree in all three are alike.
+ROW = ["doc_id", "t1", "t2"]
 
 
 def words_of(text: Column) -> Column:
@@ -33,76 +36,71 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """Distinct windows: words, and the ids of the items that hold them."""
+    """item_id, words, wid (digest of the words) of the different windows of each item."""
     src = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words_of(text_or_empty(text_col)).alias("all"))
     src = src.where(F.size("all") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)))
     each = src.select("item_id", "all", F.explode(starts).alias("s")).select("item_id", F.slice("all", F.col("s") + 1, window).alias("words"))
-    return each.groupBy("words").agg(F.collect_set("item_id").alias("items"))
+    return each.distinct().select("item_id", "words", F.md5(F.concat_ws(" ", "words")).alias("wid"))
 
 
-def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted as strings)."""
-    src = docs.select(F.col(id_col).alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
-    windows = windows_of(items, item_id, item_text, window)
-    n_windows = windows.count()
-    blocks = -(-n_windows // per_block)
+def document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t1 and t2 (hashes of the text), words."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), words_of(text).alias("words"))
+
+
+def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_hit, items (sorted as strings), t1 (xxhash64 of the text)."""
+    src = document_rows(docs, id_col, text_col)
+    held = written(windows_of(items, item_id, item_text, window), "windows")
+    windows = held.select("wid", "words").distinct()
 
     # how often each benchmark word occurs in all documents
-    vocabulary = windows.select(F.explode("words").alias("w")).distinct()
-    counted = None
-    for b in range(blocks):
-        part = F.broadcast(vocabulary.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b))  # about per_block * window words, and each is in some window
-        seen = src.select(F.explode_outer("words").alias("w")).join(part, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        counted = seen if counted is None else counted.unionByName(seen)
-
-    head = src.select("doc_id", F.size("words").cast("long").alias("n_words"))
-    if counted is None:
-        return head.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    rare = windows.select("words", "items", F.posexplode("words").alias("off", "w")).join(counted, "w", "left").where("n IS NOT NULL")
+    vocabulary = written(windows.select(F.explode("words").alias("w")).distinct().withColumn("wh", F.xxhash64("w")), "vocabulary")
+    counted = likely_members(src.select(F.explode("words").alias("w")).withColumn("wh", F.xxhash64("w")), "wh", vocabulary, "wh").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     # a window with a word that no document has can't occur; it is short of one row and dropped
-    rare = rare.groupBy("words").agg(
-        F.first("items").alias("items"), F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "w", "off")).alias("least")
-    ).where(F.col("known") == F.size("words"))
-    prefixes = rare.select(F.col("least.w").alias("prefix"), F.col("least.off").alias("off"), F.col("words").alias("window"), "items")
+    rare = windows.select("wid", "words", F.posexplode("words").alias("off", "w")).join(counted, "w").groupBy("wid").agg(
+        F.first("words").alias("window"), F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "w", "off")).alias("least")
+    ).where(F.col("known") == F.size("window"))
+    prefixes = written(rare.select(F.col("least.w").alias("prefix"), F.col("least.off").alias("off"), "window", "wid"), "prefixes")
 
-    found = None
-    for b in range(blocks):
-        block = prefixes if blocks == 1 else prefixes.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        hits = _matches(src, block, with_heads=b == 0)
-        found = hits if found is None else found.unionByName(hits)
-    return _summary(found)
+    near = written(_near_prefixes(src, prefixes, window), "near")
+    start = F.col("pos") - F.col("off")
+    same = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
+    same = same & (F.slice("context", F.greatest(start - F.col("begin"), F.lit(0)) + 1, F.size("window")) == F.col("window"))
+    hits = near.where("w IS NOT NULL").join(prefixes, F.col("w") == F.col("prefix")).where(same).select(*ROW, start.alias("s"), (start + F.size("window")).alias("e"), "wid")
+    hits = written(hits.distinct(), "hits")
+    return _summary(near.where("w IS NULL").select(*ROW, "n_words"), hits, held)
 
 
-def _matches(src: DataFrame, prefixes: DataFrame, with_heads: bool) -> DataFrame:
-    """Verified windows (doc_id, s, e, items) and, with_heads, a row with n_words for each document.
+def _near_prefixes(src: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
+    """Document words that may be prefixes (w), their places and neighbours; and for each row of src one without a word.
 
-    The explode, the broadcast join and the comparison are one code-generated stage: nothing is copied per word.
+    The explode and the look into the bit table are one code-generated stage: nothing is copied per word.
     """
-    # the null behind the last word gives each document one row of its own
-    each = src.select("doc_id", "words", F.posexplode_outer(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "w"))
-    start = F.col("pos") - F.col("off")
-    same = (start >= 0) & (start + F.size("window") <= F.size("words"))
-    same = same & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window"))
-    joined = each.join(F.broadcast(prefixes), F.col("w") == F.col("prefix"), "left")
-    hit = F.col("off").isNotNull() & same
-    kept = joined.where(F.col("w").isNull() | hit) if with_heads else joined.where(hit)
-    return kept.select(
-        "doc_id", F.when(F.col("w").isNull(), F.size("words").cast("long")).alias("n_words"),
-        F.when(F.col("w").isNotNull(), start).alias("s"), F.when(F.col("w").isNotNull(), start + F.size("window")).alias("e"), "items",
-    )
-
-
-def _summary(found: DataFrame) -> DataFrame:
-    """Length of the union of the hit intervals, and the items, for each document."""
-    by_doc = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("s"), "e")
-    before = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    # the null behind the last word gives each row one row of its own
+    each = src.select(*ROW, "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "w"))
+    bits, bit, inside = bit_table(prefixes.select(F.xxhash64("prefix").alias("wh")), "wh")
+    found = each.withColumn("bit_", bit(F.xxhash64("w"))).join(bits, F.expr("word_ = bit_ DIV 64"), "left").where(F.col("w").isNull() | inside)
+    begin = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    context = F.when(F.col("w").isNotNull(), F.slice("words", begin + 1, 2 * window - 1))
+    return found.select(*ROW, F.size("words").cast("long").alias("n_words"), "w", "pos", begin.alias("begin"), context.alias("context"))
+
+
+def _summary(heads: DataFrame, hits: DataFrame, held: DataFrame) -> DataFrame:
+    """Length of the union of the hit intervals, and the items, for each document row."""
+    by_row = Window.partitionBy(*ROW).orderBy("s", "e")
+    before = F.max("e").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(before, F.lit(0))))
-    rows = found.withColumn("new", F.coalesce(new, F.lit(0)).cast("long"))
-    return rows.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.sum("new").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string")))).alias("items"),
+    none = lambda kind: F.lit(None).cast(kind)
+    length = hits.select(*ROW, "s", "e").distinct().select(*ROW, none("long").alias("n_words"), new.cast("long").alias("new"), none("string").alias("item"))
+    items = hits.select(*ROW, "wid").distinct().join(held.select("wid", F.col("item_id").cast("string").alias("item")), "wid").select(*ROW, none("long").alias("n_words"), none("long").alias("new"), "item").distinct()
+    rows = heads.select(*ROW, "n_words", none("long").alias("new"), none("string").alias("item")).unionByName(length).unionByName(items)
+    found = rows.groupBy(*ROW).agg(
+        F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.coalesce(F.sum("new"), F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"),
     )
+    return found.select("doc_id", "n_words", "n_hit", "items", "t1", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
