@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import dropped, shuffle_partitions, small_batches, written
@@ -39,7 +39,6 @@ BLOCK = 1 << 18  # symbols that are hashed at once
 PLACE_BITS = 20  # of a symbol within a block; the rest of the anchor's 64 bits is hash
 COUNT_BITS, START_BITS = 12, 31  # pos: 20 bits of the text's hash, start, number of windows less one
 SHARD = 400_000  # symbols of one index
-NO_DOC = -(2**63)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 
@@ -187,9 +186,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (never null), rh (20 bits of the text's hash, which keeps rows of one id apart), text (never null)."""
+    """id, text (never null), and what tells rows apart: doc (64 bits of a hash of id and text) and rh (20 bits of another).
+
+    Rows of one id and one text are alike in everything, so they may share the mark.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(text).bitwiseAND((1 << 20) - 1).alias("rh"), text.alias("text"))
+    own = F.col(id_col).cast("long")
+    return docs.select(own.alias("id"), F.xxhash64(own.isNull(), own, text).alias("doc"), F.xxhash64(F.lit(1), text).bitwiseAND((1 << 20) - 1).alias("rh"), text.alias("text"))
 
 
 def run_table(src: DataFrame, spec: Spec) -> DataFrame:
@@ -200,7 +203,7 @@ def run_table(src: DataFrame, spec: Spec) -> DataFrame:
                 pos = (rh[text] << START_BITS | start) << COUNT_BITS | (count - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc[text]), pa.array(pos)], ["key", "seg", "doc", "pos"])
 
-    return src.mapInArrow(run, "key long, seg long, doc long, pos long")
+    return src.select("doc", "rh", "text").mapInArrow(run, "key long, seg long, doc long, pos long")
 
 
 def unpacked(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,11 +223,15 @@ def _slices(text: str, spec: Spec) -> Callable[[int, int], bytes]:
 def segment_table(wanted: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     """key, seg, copies, hot, body of the wanted segments (key, seg, copies, hot, doc, pos), cut from the texts."""
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "seg", "copies", "hot", "pos")).alias("wanted"))
-    both = texts.join(lists, "doc").select("rh", "text", "wanted")
+    both = texts.join(lists, "doc").select("rh", "text", "wanted", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            for i in range(b.num_rows):
+            for i, mark in enumerate(zip(b.column(3).to_pylist(), b.column(0).to_pylist(), strict=True)):
+                if mark == last:  # repeated rows follow each other; one of them speaks for all
+                    continue
+                last = mark
                 w = b.column(2)[i].values
                 rh, start, count = unpacked(w.field("pos").to_numpy())
                 mine = np.flatnonzero(rh == b.column(0)[i].as_py())
@@ -327,7 +334,11 @@ def hot_results(segments: DataFrame, spec: Spec) -> DataFrame:
 
 
 def repeats(src: DataFrame, spec: Spec, partitions: int | None = None) -> DataFrame:
-    """doc, rh, text, found: the runs of the text that hold repeated windows, as structs of pos and spans (null: none)."""
+    """id, rh, text, found: the runs of the text that hold repeated windows, as structs of pos and spans (null: none).
+
+    Anchors and segments with very many rows are only counted (combined before the shuffle) and joined by equality,
+    where adaptive execution splits a partition that one of them fills.
+    """
     small_batches(src.sparkSession)
     n = partitions or shuffle_partitions(src.sparkSession)
     every = written(run_table(src, spec), "runs")
@@ -335,21 +346,28 @@ def repeats(src: DataFrame, spec: Spec, partitions: int | None = None) -> DataFr
     kept = written(every.join(twice, "key", "left_semi"), "kept")
     dropped(every, twice)
     segments = kept.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "pos")).alias("one"))
-    segments = segments.select("key", "seg", "copies", "one.doc", "one.pos", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("rivals"))
-    segments = written(segments, "segments")
-    wanted = (segments if spec.lone else segments.where("rivals > 1")).select("key", "seg", "copies", "doc", "pos", (F.col("rivals") > spec.most_segments).alias("hot"))
+    segments = written(segments.select("key", "seg", "copies", "one.doc", "one.pos"), "segments")
+    rivals = segments.groupBy("key").agg(F.count(F.lit(1)).alias("rivals"))
+    crowded = written(rivals.where(F.col("rivals") > spec.most_segments).select("key", F.lit(True).alias("hot")), "crowded")
+    any_hot = bool(crowded.take(1))
+    wanted, lone = segments, None
+    if not spec.lone:
+        alone = written(rivals.where("rivals = 1").select("key"), "alone")
+        wanted, lone = segments.join(alone, "key", "left_anti"), segments.join(alone, "key", "left_semi")
+    wanted = wanted.join(crowded, "key", "left") if any_hot else wanted.withColumn("hot", F.lit(False))
+    wanted = wanted.select("key", "seg", "copies", "doc", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))
     texts = src.repartition(n, "doc")
     bodies = segment_table(wanted, texts, spec)
-    if segments.where(F.col("rivals") > spec.most_segments).take(1):
+    if any_hot:
         bodies = written(bodies, "bodies")
         results = shard_results(bodies.where("NOT hot"), spec, n).unionByName(hot_results(bodies.where("hot"), spec))
     else:
         results = shard_results(bodies, spec, n)
-    if not spec.lone:
+    if lone is not None:
         windows = F.col("pos").bitwiseAND((1 << COUNT_BITS) - 1).cast("int") + 1
-        results = results.unionByName(segments.where("rivals = 1").select("key", "seg", F.array(F.lit(0), windows).alias("spans")))
+        results = results.unionByName(lone.select("key", "seg", F.array(F.lit(0), windows).alias("spans")))
     placed = kept.join(results, ["key", "seg"]).groupBy("doc").agg(F.collect_list(F.struct("pos", "spans")).alias("found"))
-    return texts.join(placed, "doc", "left")
+    return texts.join(placed, "doc", "left").select("id", "rh", "text", "found")
 
 
 def covered(found: pa.Scalar, rh: int, n: int, window: int) -> np.ndarray:

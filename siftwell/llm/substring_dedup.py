@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import table
-from siftwell.llm.repeats import NO_DOC, Spec, covered, identified, repeats
+from siftwell.llm.repeats import Spec, covered, identified, repeats
 from siftwell.llm.text_index import FMIndex
 
 WINDOW = 35
@@ -28,7 +28,7 @@ SPEC = Spec(words=True, window=WINDOW, gram=8, index=FMIndex, most_segments=20_0
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, spec: Spec, whole: bool) -> DataFrame:
-    both = repeats(identified(docs, id_col, text_col), spec).select("doc", "rh", "text", "found")
+    both = repeats(identified(docs, id_col, text_col), spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -38,7 +38,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, spec: Spec, whole: b
                 words = text.encode().split()
                 bad = covered(b.column(3)[i], rh, len(words), spec.window)
                 kept = b" ".join([words[j] for j in np.flatnonzero(~bad).tolist()] if bad.any() else words)
-                ids.append(None if doc == NO_DOC else doc)
+                ids.append(doc)
                 total.append(len(words))
                 gone.append(int(bad.sum()))
                 out.append(kept.decode() if whole else hashlib.sha256(kept).hexdigest())

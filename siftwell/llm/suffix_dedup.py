@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import table
-from siftwell.llm.repeats import NO_DOC, Spec, covered, identified, repeats
+from siftwell.llm.repeats import Spec, covered, identified, repeats
 from siftwell.llm.text_index import RunIndex
 
 WINDOW = 400
@@ -28,7 +28,7 @@ SPEC = Spec(words=False, window=WINDOW, gram=256, index=RunIndex, most_segments=
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, spec: Spec, whole: bool) -> DataFrame:
-    both = repeats(identified(docs, id_col, text_col), spec).select("doc", "rh", "text", "found")
+    both = repeats(identified(docs, id_col, text_col), spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -40,7 +40,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, spec: Spec, whole: b
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], bad, [False]]).astype(np.int8)))
                 cuts = [0, *edge.tolist(), len(data)]
                 kept = b"".join(data[x:y] for x, y in zip(cuts[0::2], cuts[1::2], strict=True)) if len(edge) else data
-                ids.append(None if doc == NO_DOC else doc)
+                ids.append(doc)
                 total.append(len(data))
                 gone.append(int(bad.sum()))
                 spans.append(len(edge) // 2)
