@@ -1,14 +1,18 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page is cut into blocks: runs of text between block-level tags. Each block has a content cost and a boilerplate
-cost from a fixed classifier (link share, tag path, text length, punctuation), which become the capacities of its
-edges to the two terminals. Blocks that follow each other and blocks whose tag paths share an ancestor are joined by
-smoothness edges. The maximum flow from the content terminal to the boilerplate terminal gives the cheapest
+A page is cut into blocks: runs of text between block-level tags. A classifier gives the log odds that a block is
+content, from its words, full stops and share of links, from what its ancestors' tags and class, id and role words
+say, and from the tag and word names themselves. The odds, bounded by ``MOST_ODDS``, become the capacities of the
+block's edges to the two terminals. Blocks that follow each other and blocks whose tag paths share an ancestor are
+joined by smoothness edges. The maximum flow from the content terminal to the boilerplate terminal gives the cheapest
 labelling; the text of the content blocks is the result.
 
-Whatever can never be text (scripts, styles, markup, forms, comments) is dropped while cutting; blocks below an
-element that names itself boilerplate (nav, header, footer, aside, adverts, notices, reader comments) get a cost that
-smoothness can't outweigh, blocks below article or main the opposite.
+The classifier is a logistic regression, fitted from a prior that holds the general knowledge (``PRIOR``) to blocks
+of at most ``TRAIN_PAGES`` pages (by hash of the id, of at most ``TRAIN_CHARS`` characters) that mark their article
+themselves. Each block counts twice, once without what its article and its markup say, so that the weights also serve
+pages without such marks. Every page is labelled, whole. Without such pages the prior alone decides.
+
+Whatever can never be text (scripts, styles, markup, forms, comments) is dropped while cutting.
 
 Defined cases: a null or empty page gives an empty text; unclosed and stray tags are closed by the nearest fitting
 ancestor; white space (including that from character references) becomes one space; an empty table gives an empty result.
@@ -16,11 +20,13 @@ ancestor; white space (including that from character references) becomes one spa
 
 from __future__ import annotations
 
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import small_batches, table
 
 #: Elements that hold no text of the page.
-SILENT = frozenset("script style noscript template head iframe object svg math form select textarea button canvas audio video map datalist".split())
+SILENT = frozenset("script style noscript template head iframe form select textarea button datalist".split())
 #: Elements whose content is raw text up to their end tag.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 #: Elements that have no end tag.
@@ -49,40 +55,46 @@ CLOSED_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|comments?|commen
 
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
 NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WHITE = re.compile(r"\s+")
 
-#: Costs (in the units of the capacities) of the classifier and of the smoothness edges.
-SURE, PRIOR, PER_WORD, MOST_WORDS, LINK, FULL_STOP, NEXT, RELATED = 1000, 6, 1, 20, 30, 4, 6, 4
+#: Weights of the features before anything is learnt, in log odds.
+PRIOR = {"bias": -1.5, "words": 3.0, "stops": 1.5, "links": -4.0, "says:content": 6.0, "says:bad word": -6.0, "says:boilerplate": -8.0}
+#: Variances of the weights around these, and of the weights of tag and word names around 0.
+PRIOR_VARIANCE, NAME_VARIANCE = 1.0, 0.25
+#: A weight moves from its prior by at most this; the odds of a block are cut to MOST_ODDS.
+MOST_MOVE, MOST_ODDS = 3.0, 12.0
+#: Capacities of the smoothness edges, in log odds, and units of a log odds in integer capacities.
+NEXT, RELATED, UNITS = 1.0, 0.5, 1000
+TRAIN_PAGES, TRAIN_CHARS = 200, 200_000
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "verdict")
+    __slots__ = ("text", "path", "linked", "verdict", "names")
 
-    def __init__(self, text: str, path: tuple[int, ...], linked: int, verdict: int) -> None:
-        self.text, self.path, self.linked, self.verdict = text, path, linked, verdict
+    def __init__(self, text: str, path: tuple[int, ...], linked: int, verdict: int, names: frozenset[str] = frozenset()) -> None:
+        self.text, self.path, self.linked, self.verdict, self.names = text, path, linked, verdict, names
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks in page order. path: numbers of the open elements; verdict: below 0 in boilerplate (-2: for good), 1 in content, 0 neither."""
+    """Blocks in page order. path: numbers of the open elements; verdict: what the markup says, below 0 boilerplate (-2: outright), 1 content, 0 nothing."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool, bool]] = []  # name, number, verdict, silent, link
+    stack: list[tuple[str, int, int, bool, bool, frozenset[str]]] = []  # name, number, verdict, silent, link, tag and word names
     parts: list[str] = []
     linked = number = 0
-    verdict, silent, link = 0, False, False
+    verdict, silent, link, names = 0, False, False, frozenset()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = WHITE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, tuple(x[1] for x in stack if x[0] not in INLINE), min(linked, len(text)), verdict))
+                out.append(Block(text, tuple(x[1] for x in stack if x[0] not in INLINE), min(linked, len(text)), verdict, names))
             parts.clear()
         linked = 0
 
     def restore() -> None:
-        nonlocal verdict, silent, link
-        verdict, silent, link = (stack[-1][2], stack[-1][3], stack[-1][4]) if stack else (0, False, False)
+        nonlocal verdict, silent, link, names
+        verdict, silent, link, names = stack[-1][2:] if stack else (0, False, False, frozenset())
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -128,22 +140,23 @@ def blocks_of(html: str) -> list[Block]:
             continue
         attributes = m[3]
         number += 1
-        mine, quiet = verdict, silent or name in SILENT or bool(attributes and HIDDEN.search(attributes))
-        if verdict >= -1:  # a wrapper that is only called a sidebar or header may still hold the article
-            if name in CONTENT:
-                mine = 1
-            elif name in BOILERPLATE:
-                mine = -2
-            if attributes and name not in ("html", "body"):
-                for a in NAMING.finditer(attributes):
-                    word = a[1] or a[2] or a[3] or ""
+        mine, quiet, called = verdict, silent or name in SILENT, [] if name in INLINE else [f"tag:{name}"]
+        if name in CONTENT:
+            mine = 1 if verdict >= -1 else verdict
+        elif name in BOILERPLATE:
+            mine = -2
+        if attributes and name not in ("html", "body"):
+            for a in NAMING.finditer(attributes):
+                word = a[1] or a[2] or a[3] or ""
+                called += [f"word:{x}" for x in word.lower().split()]
+                if verdict >= -1:  # a wrapper that is only called a sidebar or header may still hold the article
                     if CLOSED_WORDS.search(word):
                         mine = -2
                     elif name not in CONTENT and mine > -2 and BAD_WORDS.search(word):
                         mine = -1
         if attributes.endswith("/") and name in ("svg", "math"):
             continue
-        stack.append((name, number, mine, quiet, link or name == "a"))
+        stack.append((name, number, mine, quiet, link or name == "a", names.union(called) if called else names))
         restore()
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
@@ -152,16 +165,58 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def costs(b: Block) -> tuple[int, int]:
-    """Cost of calling the block boilerplate, and of calling it content."""
+SAYS = {1: "says:content", -1: "says:bad word", -2: "says:boilerplate"}
+
+
+def text_features(b: Block) -> dict[str, float]:
+    """What the text of a block alone tells, each between 0 and 1."""
     words = b.text.count(" ") + 1
-    as_boilerplate = PER_WORD * min(words, MOST_WORDS) + FULL_STOP * min(3, sum(b.text.count(x) for x in ".!?…。"))
-    as_content = PRIOR + LINK * b.linked // max(1, len(b.text))
-    if b.verdict > 0:
-        as_boilerplate += SURE
-    elif b.verdict < 0:
-        as_content += SURE
-    return as_boilerplate, as_content
+    stops = sum(map(b.text.count, ".!?…。"))
+    return {"bias": 1.0, "words": min(1.0, math.log2(words) / 5), "stops": min(1.0, stops / 2), "links": b.linked / max(1, len(b.text))}
+
+
+class Classifier:
+    """Logistic regression of content against boilerplate."""
+
+    def __init__(self, weights: dict[str, float] | None = None) -> None:
+        self.weights = weights or PRIOR
+
+    def odds(self, b: Block) -> float:
+        """Log odds of content."""
+        w = self.weights
+        z = sum(w[k] * v for k, v in text_features(b).items()) + sum(w.get(x, 0.0) for x in b.names)
+        if b.verdict:
+            z += w[SAYS[b.verdict]]
+        return max(-MOST_ODDS, min(MOST_ODDS, z))
+
+
+def train(pages: list[str], rounds: int = 30) -> Classifier:
+    """Fits the weights to the blocks of pages that mark an article, by damped Newton steps on the diagonal."""
+    rows: list[dict[str, float]] = []
+    gold: list[float] = []
+    for html in pages:
+        blocks = blocks_of(html)
+        if not any(b.verdict > 0 for b in blocks):
+            continue
+        for b in blocks:
+            plain = text_features(b)
+            rows += [plain | {x: 1.0 for x in b.names} | ({SAYS[b.verdict]: 1.0} if b.verdict else {}), plain]
+            gold += [float(b.verdict > 0)] * 2
+    if not rows:
+        return Classifier()
+    number = {k: i for i, k in enumerate(dict.fromkeys(k for r in [PRIOR, *rows] for k in r))}
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.array([number[k] for r in rows for k in r])
+    val = np.array([v for r in rows for v in r.values()])
+    y, prior = np.array(gold), np.array([PRIOR.get(k, 0.0) for k in number])
+    firm = np.where(np.isin(np.arange(len(number)), [number[k] for k in PRIOR]), 1 / PRIOR_VARIANCE, 1 / NAME_VARIANCE)
+    w = prior.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[col] * val, len(rows)), -30, 30)))
+        slope = np.bincount(col, (y - p)[at] * val, len(w)) - firm * (w - prior)
+        curve = np.bincount(col, (p * (1 - p))[at] * val * val, len(w)) * 8 + firm  # 8: features overlap
+        w = np.clip(w + slope / curve, prior - MOST_MOVE, prior + MOST_MOVE)
+    return Classifier({k: float(w[i]) for k, i in number.items()})
 
 
 class MaxFlow:
@@ -226,46 +281,54 @@ class MaxFlow:
         return [x >= 0 for x in level]
 
 
-def label(blocks: list[Block]) -> list[bool]:
+def label(blocks: list[Block], classifier: Classifier) -> list[bool]:
     """Which blocks are content: the source side of the minimum cut."""
     n = len(blocks)
     s, t = n, n + 1
     flow = MaxFlow(n + 2)
     last: dict[int, int] = {}
+    near, related = round(NEXT * UNITS), round(RELATED * UNITS)
     for i, b in enumerate(blocks):
-        keep, drop = costs(b)
-        base = min(keep, drop)  # what both labels cost moves the cut by a constant
-        if keep > base:
-            flow.edge(s, i, keep - base)
-        if drop > base:
-            flow.edge(i, t, drop - base)
+        odds = round(classifier.odds(b) * UNITS)
+        if odds > 0:
+            flow.edge(s, i, odds)
+        elif odds < 0:
+            flow.edge(i, t, -odds)
         if i:
-            flow.edge(i - 1, i, NEXT, NEXT)
+            flow.edge(i - 1, i, near, near)
         for d, x in enumerate(b.path):  # nearest earlier block below each ancestor but the outermost two; joined once, by the deepest
             last_seen = last.get(x)
             if d >= 2 and last_seen is not None and (d + 1 == len(b.path) or b.path[d + 1] not in last) and last_seen != i - 1:
-                flow.edge(last_seen, i, RELATED, RELATED)
+                flow.edge(last_seen, i, related, related)
         for x in b.path:
             last[x] = i
     return flow.source_side(s, t)[:n]
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, classifier: Classifier | None = None) -> str:
     blocks = blocks_of(html or "")
     if not blocks:
         return ""
-    return " ".join(b.text for b, keep in zip(blocks, label(blocks), strict=True) if keep)
+    return " ".join(b.text for b, keep in zip(blocks, label(blocks, classifier or Classifier()), strict=True) if keep)
+
+
+def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[str]:
+    """At most TRAIN_PAGES whole pages of at most TRAIN_CHARS characters."""
+    order = F.xxhash64(F.col(id_col).cast("string"))
+    got = pages.where(F.length(html_col) <= TRAIN_CHARS).orderBy(order, F.xxhash64(html_col)).select(html_col).limit(TRAIN_PAGES).collect()
+    return [r[0] for r in got]
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, classifier: Classifier | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
+    classifier = classifier or Classifier()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                texts = [main_text(x) for x in b.column(2).to_pylist()]
+                texts = [main_text(x, classifier) for x in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -273,4 +336,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, train(sample_pages(pages)))
