@@ -2,8 +2,12 @@
 
 The normaliser walks the text with the longest prefix that the model's compiled character map knows (a double-array
 trie followed by its replacement strings, both read from the model file), and records for each normalised byte the
-original byte it came from. The piece ids are the library's own; each piece covers a run of normalised bytes, which
-the alignment projects to a span of original bytes.
+original byte it came from. What it gives is what gets encoded: the library's merges run on the normalised text, with
+the library's own normalisation switched off. Each piece covers a run of normalised bytes, which the alignment
+projects to a span of original bytes.
+
+If no piece of the model continues behind a space mark, merges never cross the beginning of a word. Then words are
+encoded one by one and remembered; otherwise the whole text is one stretch.
 
 Defined cases: a null text is empty and has no ids; an empty table gives an empty result; very long texts are
 encoded whole, one at a time.
@@ -12,6 +16,7 @@ encoded whole, one at a time.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -144,33 +149,64 @@ class Normalizer:
         return b"".join(out), np.array([*align, len(data)], np.int64)
 
 
+#: Appended to a model, this empties its character map and takes no part in white space: text is encoded as it is.
+AS_IT_IS = b"\x1a\x08\x12\x00\x18\x00\x20\x00\x28\x00"
+WORD = re.compile("▁+[^▁]*|[^▁]+")
+#: Words that an encoder remembers, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
+
+
 class PieceEncoder:
-    """Encodes with the library and projects pieces to spans of original bytes."""
+    """Encodes normalised text by the library's merges and projects pieces to spans of original bytes."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
-            self.normalizer = Normalizer(f.read())
+            model = f.read()
+        self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=model + AS_IT_IS)
+        self.normalizer = Normalizer(model)
         n = self.lib.get_piece_size()
+        pieces = [self.lib.id_to_piece(i) for i in range(n)]
         self.decimal = [str(i) for i in range(n)]
-        self.width = np.array([1 if self.lib.is_byte(i) else 0 if self.lib.is_control(i) else len(self.lib.id_to_piece(i).encode()) for i in range(n)], np.int64)
+        self.width = np.array([1 if self.lib.is_byte(i) else 0 if self.lib.is_control(i) else len(pieces[i].encode()) for i in range(n)], np.int64)
         self.unknown = self.lib.unk_id()
+        kinds = {dict(_fields(v)).get(3, 1) for k, v in _fields(model) if k == 1}
+        # 4: symbols that a user defined are cut out before the merges
+        self.by_words = self.normalizer.escape and 4 not in kinds and "▁" in pieces and not any("▁" in x.lstrip("▁") for x in pieces)
+        self.known: dict[str, list[int]] = {}
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.merges.encode(word, add_bos=False, add_eos=False)
+        if len(word) <= LONGEST:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+    def encode_normalized(self, norm: bytes) -> list[int]:
+        text = norm.decode()
+        if not self.by_words:
+            return self.merges.encode(text, add_bos=False, add_eos=False)
+        known, word, out = self.known, self._word, []
+        for x in WORD.findall(text):
+            out += known.get(x) or word(x)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return self.lib.encode(text, add_bos=False, add_eos=False)
+        return self.encode_normalized(self.normalizer(text.encode())[0])
 
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
-        """For each id the [begin, end) of original bytes that it covers, as rows. The spans lie side by side."""
-        data = text.encode()
-        norm, align = self.normalizer(data)
+    def encode_spans(self, text: str) -> tuple[list[int], np.ndarray]:
+        """The ids, and for each the [begin, end) of original bytes that it covers, as rows. The spans lie side by side."""
+        norm, align = self.normalizer(text.encode())
+        ids = self.encode_normalized(norm)
         width = self.width[ids] if ids else np.zeros(0, np.int64)
         ends = np.cumsum(width)
         if len(ids) and ends[-1] != len(norm):  # an unknown piece without byte fallback has no fixed width
-            return self._spans_by_search(norm, align, ids)
+            return ids, self._spans_by_search(norm, align, ids)
         edge = align[np.concatenate([[0], ends])] if len(ids) else np.zeros(1, np.int64)
-        return np.stack([edge[:-1], edge[1:]], 1)
+        return ids, np.stack([edge[:-1], edge[1:]], 1)
 
     def _spans_by_search(self, norm: bytes, align: np.ndarray, ids: list[int]) -> np.ndarray:
         edges, at = [0], 0
@@ -196,7 +232,7 @@ def encoder(path: str) -> PieceEncoder:
 
 
 ENCODED = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, covered_bytes long"
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -214,8 +250,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         enc = encoder(path)
         for ids, texts in _texts(batches):
-            got = [enc.encode(t) for t in texts]
-            spans = [enc.spans(t, g) for t, g in zip(texts, got, strict=True)]
+            got, spans = zip(*map(enc.encode_spans, texts), strict=True)
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array(got, pa.list_(pa.int32())), pa.array([s[:, 0] for s in spans], pa.list_(pa.int32())),
                 pa.array([s[:, 1] for s in spans], pa.list_(pa.int32())), pa.array([enc.decode(g) for g in got]),
@@ -225,7 +260,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Counts and digests of what encode_documents gives, without shipping the ids: doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes (original bytes that the spans cover)."""
+    """Counts and digests of what encode_documents gives, without shipping the ids.
+
+    doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (of begin and end of every span, as 64-bit little-endian
+    numbers), covered_bytes (the sum of their lengths).
+    """
     small_batches(docs.sparkSession)
     path = path or tokenizer_path(MODEL)
 
@@ -233,14 +272,14 @@ def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         enc = encoder(path)
         name = enc.decimal.__getitem__
         for ids, texts in _texts(batches):
-            got = [enc.encode(t) for t in texts]
-            covered = [int((s := enc.spans(t, g))[-1, 1] - s[0, 0]) if g else 0 for t, g in zip(texts, got, strict=True)]
+            got, spans = zip(*map(enc.encode_spans, texts), strict=True)
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array([len(g) for g in got], pa.int64()),
                 pa.array([hashlib.sha256(",".join(map(name, g)).encode()).hexdigest() for g in got]),
                 pa.array([hashlib.sha256(enc.decode(g).encode()).hexdigest() for g in got]),
-                pa.array(covered, pa.int64()),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
+                pa.array([hashlib.sha256(s.astype("<i8").tobytes()).hexdigest() for s in spans]),
+                pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
+            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "covered_bytes"])
 
     return docs.selectExpr(f"CAST(`{id_col}` AS long) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, DIGESTS)
 
