@@ -217,16 +217,19 @@ def document_scores(model: ChainField, docs: list[list[str]]) -> np.ndarray:
 
 
 def offending_spans(model: ChainField, text: str | None, at: float = SPAN_AT) -> list[tuple[int, int]]:
-    """Character offsets [begin, end) of the maximal runs of tokens whose marginal reaches at."""
-    found = list(TOKEN.finditer((text or "").lower()))
+    """Character offsets [begin, end) in text of the maximal runs of tokens whose marginal reaches at."""
+    text = text or ""
+    small = text.lower()
+    found = list(TOKEN.finditer(small))
+    back = range(len(text)) if len(small) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]  # a capital may give several letters
     p, _ = document_marginals(model, [[m.group() for m in found]])
     out: list[tuple[int, int]] = []
     for i, m in enumerate(found):
         if p[i] >= at:
             if out and i and p[i - 1] >= at:
-                out[-1] = (out[-1][0], m.end())
+                out[-1] = (out[-1][0], back[m.end() - 1] + 1)
             else:
-                out.append((m.start(), m.end()))
+                out.append((back[m.start()], back[m.end() - 1] + 1))
     return out
 
 
@@ -245,7 +248,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def score_toxicity(docs: DataFrame, model: ChainField | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """doc_id, score and, if asked for, spans: array of (begin, end) character offsets in the lower-cased text."""
+    """doc_id, score and, if asked for, spans: array of (begin, end) character offsets in the text."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
