@@ -12,23 +12,26 @@ sets share several signatures. If they share at least A, each may leave out its
 all) and they still share one: passages that many documents quote stop making candidates.
 
 Groups: documents that share signatures gather around the least document of their most frequent signature partner.
-Groups are cut into chunks of at most about ``CHUNK`` documents, so that no task holds an unbounded one.
+Groups are cut into, or packed to, chunks of about ``CHUNK`` documents, so that no task holds an unbounded one.
 
 1. In each chunk, documents are joined exactly: local groups keep the union of their tokens, the overlap of a document
    with that union bounds its similarity with every member, and only groups that the bound lets through are opened.
-2. Signatures whose documents all lie in one component need nothing more. Of the others, documents outside the
-   signature's largest component are queries against the chunks that the signature touches, by the same bound.
+2. Signatures whose documents all lie in one component need nothing more. Of the others, chunks that hold documents
+   outside the signature's largest component meet the chunks that the signature touches: chunks are paired, not
+   documents, and each pair once, however many signatures it shares. In a pair, such documents are queries against
+   the groups (by component) that share a signature with them, by the same bound.
 
 Both steps verify on whole sets, so the links decide alone. Equal sets are linked through their 128-bit digest and do
 not meet otherwise.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a null id keeps its own
-row with a null component; rows that share an id count as linked; an empty table gives an empty result.
+row with a null component; rows that share an id count as linked, and each of their texts links; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,28 +148,45 @@ def signatures(s: np.ndarray, numerator: int = NUMERATOR) -> tuple[np.ndarray, n
     return (np.concatenate(out), np.concatenate(spare)) if out else (s[:0], none)
 
 
-def _set_rows(src: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (digest of the set), sigs and spare (empty where the task has already seen the set)."""
+SIGNED = "doc long, sig long, spare long, digest struct<n:long,s1:long,s2:long>"
+
+
+def _signed(src: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
+    """doc, sig, spare of each signature (none where the task has already seen the set), and for each row of src one row with its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        rows = 0
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
+                n, ids = b.num_rows, b.column(0).to_pylist()
                 sets = shingle_sets(*text_buffer(b.column(1)), shingle)
-                s1 = [int(mixed(s ^ U(BASE_A)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                s2 = [int(mixed(s + U(BASE_B)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                sigs, spare = [], []
-                for doc, s, key in zip(b.column(0), sets, zip(s1, s2, strict=True), strict=True):
-                    signed, left = signatures(s[:0] if key in seen or not doc.is_valid else s, numerator)
-                    sigs.append(signed.view(np.int64))
-                    spare.append(left)
+                s1 = np.array([mixed(s ^ U(BASE_A)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                s2 = np.array([mixed(s + U(BASE_B)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                docs, sigs, spares = [], [], []
+                for doc, s, key in zip(ids, sets, zip(s1.tolist(), s2.tolist(), strict=True), strict=True):
+                    if doc is None or key in seen:
+                        continue
                     if len(seen) > 200_000:  # only saves work: a set that is signed twice is still right
                         seen.clear()
                     seen.add(key)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(spare, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "sigs", "spare"])
+                    signed, left = signatures(s, numerator)
+                    docs.append(np.full(len(signed), doc, np.int64))
+                    sigs.append(signed.view(np.int64))
+                    spares.append(left)
+                spread = mixed(np.arange(rows, rows + n, dtype=np.uint64) + U(1 << 62)).view(np.int64)  # deals the digests out evenly
+                rows += n
+                k = sum(map(len, sigs))
+                flags = np.concatenate([np.ones(k, bool), np.zeros(n, bool)])
+                fill = np.zeros(k, np.int64)
+                digest = pa.StructArray.from_arrays([pa.array(np.concatenate([fill, x])) for x in (np.array([len(s) for s in sets], np.int64), s1, s2)], ["n", "s1", "s2"], mask=pa.array(flags))
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([pa.array(np.concatenate([fill[:0], *docs])), b.column(0)]),
+                    pa.array(np.concatenate([fill[:0], *sigs, spread])), pa.array(np.concatenate([fill[:0], *spares, np.zeros(n, np.int64)])), digest,
+                ], ["doc", "sig", "spare", "digest"])
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sigs array<long>, spare array<long>")
+    return src.mapInArrow(run, SIGNED)
 
 
 class Groups:
@@ -187,11 +207,11 @@ class Groups:
         i = np.minimum(np.searchsorted(b, a), len(b) - 1)
         return int((b[i] == a).sum())
 
-    def linked(self, s: np.ndarray) -> list[tuple[int, int]]:
-        """(group, a member that s links with) for every group with such a member."""
+    def linked(self, s: np.ndarray, among: Iterable[int] | None = None) -> list[tuple[int, int]]:
+        """(group, a member that s links with) for every group, or each of those among, with such a member."""
         out = []
-        for g, union in enumerate(self.union):
-            if self.overlap(s, union) < least_common(len(s), self.least[g], self.numerator):
+        for g in range(len(self.union)) if among is None else among:
+            if self.overlap(s, self.union[g]) < least_common(len(s), self.least[g], self.numerator):
                 continue  # no member shares enough
             for node, x in self.members[g]:
                 if 100 * min(len(s), len(x)) >= self.numerator * max(len(s), len(x)) and links(len(s), len(x), self.overlap(s, x), self.numerator):
@@ -217,11 +237,11 @@ class Groups:
                 del self.members[other], self.union[other], self.least[other]
         return [n for _, n in found]
 
-    def put(self, group: dict, key: int, node: int, s: np.ndarray) -> None:
-        """Takes a document in whose component is known."""
+    def put(self, group: dict, key: int, node: int, s: np.ndarray) -> int:
+        """Takes a document in whose component is known; its group."""
         g = group.get(key)
         if g is None:
-            group[key] = len(self.members)
+            g = group[key] = len(self.members)
             self.members.append([(node, s)])
             self.union.append(s)
             self.least.append(len(s))
@@ -229,6 +249,7 @@ class Groups:
             self.members[g].append((node, s))
             self.union[g] = np.union1d(self.union[g], s)
             self.least[g] = min(self.least[g], len(s))
+        return g
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[tuple]:
@@ -262,24 +283,52 @@ def chunk_links(placed: DataFrame, partitions: int, shingle: int = SHINGLE, nume
 
 
 def query_links(asked: DataFrame, partitions: int, shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
-    """Exact links of queries with chunks: asked has hub, salt, block, query (false: member), doc, component, text."""
+    """Exact links of queries with chunks: asked has hub, salt, block, query (false: member), doc, component, sigs, text.
+
+    A query looks at the groups that share a signature with it, the bound is asked for those, and the rest stay closed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, groups, place, rows = None, Groups(numerator), {}, []
-        for hub, salt, block, query, doc, component, s in _grouped(batches, shingle):
+        now, groups, place, signed, rows = None, Groups(numerator), {}, {}, []
+        for hub, salt, block, query, doc, component, sigs, s in _grouped(batches, shingle):
             if (hub, salt, block) != now:
-                now, groups, place = (hub, salt, block), Groups(numerator), {}
+                now, groups, place, signed = (hub, salt, block), Groups(numerator), {}, {}
             if not query:
-                groups.put(place, component, doc, s)
+                g = groups.put(place, component, doc, s)
+                for x in sigs:
+                    signed.setdefault(x, set()).add(g)
             else:
-                own = place.get(component)
-                rows += [(doc, other) for g, other in groups.linked(s) if g != own]
+                among = set().union(*(signed.get(x, ()) for x in sigs)) - {place.get(component)}
+                rows += [(doc, other) for _, other in groups.linked(s, sorted(among))]
             if len(rows) > 5000:
                 yield _pairs(rows)
                 rows = []
         yield _pairs(rows)
 
-    return asked.select("hub", "salt", "block", "query", "doc", "component", "text").repartition(partitions, "hub", "salt", "block").sortWithinPartitions("hub", "salt", "block", "query", "doc").mapInArrow(run, "a long, b long")
+    return asked.select("hub", "salt", "block", "query", "doc", "component", "sigs", "text").repartition(partitions, "hub", "salt", "block").sortWithinPartitions("hub", "salt", "block", "query", "doc").mapInArrow(run, "a long, b long")
+
+
+def chunked(shared: DataFrame) -> DataFrame:
+    """doc, hub, salt: the chunk of each document of shared (sig, doc, hub, n: documents of the signature).
+
+    A document votes for the hub that it shares most signatures with; a hub without a better one stays its own. A hub
+    of more than CHUNK documents is cut by their hashes. Smaller ones are packed, whole, with others of the same
+    most frequent signature, so that a frequent signature touches few chunks, not one for each little hub.
+    """
+    votes = shared.groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    best = votes.groupBy("doc").agg(F.max(F.struct(F.col("doc") != F.col("hub"), F.col("c"), F.bitwise_not("hub").alias("h"))).alias("v"), F.max(F.struct(F.col("n"), F.bitwise_not("hub").alias("h"))).alias("w"))
+    best = written(best.select("doc", F.bitwise_not("v.h").alias("hub"), F.bitwise_not("w.h").alias("pack")), "votes")
+    hubs = best.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).join(best.select(F.col("doc").alias("hub"), "pack"), "hub")
+    packs = hubs.where(F.col("size") <= CHUNK).groupBy("pack").agg(F.ceil(F.sum("size") / CHUNK).alias("packs"))
+    hubs = hubs.join(packs, "pack", "left")
+    small = F.col("size") <= CHUNK
+    placed = best.select("doc", "hub").join(hubs, "hub").select(
+        "doc", F.col("hub").alias("centre"), F.when(small, F.col("pack")).otherwise(F.col("hub")).alias("hub"),
+        F.when(small, -1 - F.pmod(F.xxhash64("hub"), "packs")).otherwise(F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CHUNK))).alias("salt"),
+    )
+    placed = written(placed, "groups")
+    dropped(best)
+    return placed
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
@@ -287,18 +336,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = _set_rows(src, shingle, numerator)
 
-    # one shuffle of all signatures; only shared ones are kept, and of those the rarer ones of each document
-    signed = rows.select(F.col("doc_id").alias("doc"), F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("spare").alias("spare"))))
-    counted = written(signed.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("c > 1"), "signatures")
+    # one shuffle of all signatures and digests; only shared signatures are kept, and of those the rarer ones of each document
+    counted = _signed(src, shingle, numerator).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("c > 1 OR digest IS NOT NULL")
+    counted = written(counted, "signatures")
+    sets = written(counted.where("digest IS NOT NULL").selectExpr("doc AS doc_id", "digest.n AS n_shingles", "digest.s1", "digest.s2"), "sets")
     frequent = Window.partitionBy("doc", "spare").orderBy(F.desc("c"), "sig")
-    trimmed = counted.withColumn("r", F.row_number().over(frequent)).where(F.col("r") > F.col("spare").bitwiseAND((1 << 32) - 1))
-    by_sig = Window.partitionBy("sig").orderBy("doc")
-    hubs = trimmed.select("sig", "doc", F.first("doc").over(by_sig.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"), F.lead("doc").over(by_sig).alias("next"))
-    shared = written(hubs.where("doc <> hub OR next IS NOT NULL").select("sig", "doc", "hub"), "shared")
+    trimmed = counted.where("digest IS NULL").withColumn("r", F.row_number().over(frequent)).where(F.col("r") > F.col("spare").bitwiseAND((1 << 32) - 1))
+    trimmed = written(trimmed.select("sig", "doc"), "trimmed")
     dropped(counted)
-    sets = written(_set_rows(src, shingle, numerator).select("doc_id", "n_shingles", "s1", "s2"), "sets")
+    least = trimmed.groupBy("sig").agg(F.min("doc").alias("hub"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("hub <> last")
+    shared = written(trimmed.join(least, "sig").select("sig", "doc", "hub", "n"), "shared")
+    dropped(trimmed)
     equal = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # in two steps, so that the copies of one set are spread over tasks
     same, some = ["s1", "s2", "n_shingles"], F.pmod(F.xxhash64("doc_id"), F.lit(EQUAL_SALTS)).alias("part")
@@ -307,41 +356,39 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     inside = equal.select(*same, some, "doc_id").join(local.where("c > 1"), [*same, "part"]).select(F.col("doc_id").alias("a"), "b")
     equal_links = inside.unionByName(local.join(whole, same).select(F.col("b").alias("a"), F.col("least").alias("b")))
 
-    # each document joins the hub that it shares most signatures with; a hub without a better one stays its own
-    votes = shared.groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("c"))
-    best = votes.groupBy("doc").agg(F.max(F.struct(F.col("doc") != F.col("hub"), F.col("c"), (-F.col("hub")).alias("h"))).alias("v")).select("doc", (-F.col("v.h")).alias("hub"))
-    counts = best.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    salted = best.join(counts, "hub").select("doc", "hub", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CHUNK)).alias("salt"))
-    salted = written(salted, "groups")
-    centres = salted.select(F.col("hub").alias("doc"), "hub", "salt").distinct()
-    everyone = salted.select("doc", "hub", "salt").unionByName(centres).distinct()
-
-    wanted = salted.select("doc")  # one row for each document
+    chunks = chunked(shared)
+    centres = chunks.select(F.col("centre").alias("doc"), "hub", "salt").distinct()
+    everyone = chunks.select("doc", "hub", "salt").unionByName(centres).distinct()
+    wanted = chunks.select("doc")  # one row for each document
     texts = likely_members(src, "doc_id", wanted, "doc").join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")
-    texts = written(texts.groupBy(F.col("doc_id").alias("doc")).agg(F.max("text").alias("text")), "texts")
+    texts = written(texts.select(F.col("doc_id").alias("doc"), "text").distinct(), "texts")  # every different text of an id
     inner = written(chunk_links(everyone.join(texts, "doc"), n, shingle, numerator), "links")
     known = written(equal_links.unionByName(inner), "known")
     labels = components(known)
 
     # signatures that still join several components
-    place = salted.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "hub", "salt", F.coalesce("component", "doc").alias("component"))
+    place = chunks.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "hub", "salt", F.coalesce("component", "doc").alias("component"))
     named = written(shared.select("sig", "doc").join(place, "doc"), "named")
     sizes = named.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed_sigs = sizes.groupBy("sig").agg(F.max(F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sig", F.col("main.component").alias("main"))
     open_rows = written(named.join(mixed_sigs, "sig"), "open")
-    queries = open_rows.where("component <> main").select("sig", F.col("doc").alias("q"), F.col("component").alias("qc")).distinct()
-    chunks = open_rows.groupBy("sig", "hub", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    pairs = queries.join(chunks, "sig").where("lo <> qc OR hi <> qc").select("q", "qc", "hub", "salt").distinct()
-    pairs = written(pairs, "queries")
-    dealt = pairs.groupBy("hub", "salt").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
-    members = everyone.join(dealt, ["hub", "salt"]).join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    members = members.select("hub", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "doc", F.coalesce("component", "doc").alias("component"))
-    queries = pairs.join(dealt, ["hub", "salt"]).select("hub", "salt", F.pmod(F.xxhash64("q"), "blocks").cast("int").alias("block"), F.lit(True).alias("query"), F.col("q").alias("doc"), F.col("qc").alias("component"))
-    asked = members.unionByName(queries)
-    outer = written(query_links(asked.join(texts, "doc"), n, shingle, numerator), "links")
+    # chunks of queries against chunks of members; within one chunk everything has met already
+    touched = open_rows.groupBy("sig", "hub", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("component") != F.col("main")).alias("asks"))
+    asking = touched.where("asks").select("sig", F.col("hub").alias("own"), F.col("salt").alias("part"), F.col("lo").alias("least"), F.col("hi").alias("most"))
+    pairs = touched.join(asking, "sig").where("(hub <> own OR salt <> part) AND (lo <> hi OR least <> most OR lo <> least)").select("own", "part", "hub", "salt").distinct()
+    pairs = written(pairs, "pairs")
+    docs_open = open_rows.groupBy("doc", "hub", "salt", "component").agg(F.collect_set("sig").alias("sigs"), F.max(F.col("component") != F.col("main")).alias("asks"))
+    docs_open = written(docs_open, "askers")
+    queries = docs_open.where("asks").select(F.col("hub").alias("own"), F.col("salt").alias("part"), "doc", "component", "sigs")
+    counts = queries.groupBy("own", "part").agg(F.count(F.lit(1)).alias("c"))
+    dealt = pairs.join(counts, ["own", "part"]).groupBy("hub", "salt").agg(F.ceil(F.sum("c") / QUERIES).cast("int").alias("blocks"))
+    members = docs_open.join(dealt, ["hub", "salt"]).select("hub", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "doc", "component", "sigs")
+    asked = pairs.join(dealt, ["hub", "salt"]).join(queries, ["own", "part"]).select("hub", "salt", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.lit(True).alias("query"), "doc", "component", "sigs")
+    outer = written(query_links(members.unionByName(asked).join(texts, "doc"), n, shingle, numerator), "links")
     if outer.take(1):
-        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer))
-    dropped(shared, texts, named, open_rows, pairs)
+        before, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(outer))
+        dropped(before)
+    dropped(shared, chunks, texts, inner, known, named, open_rows, pairs, docs_open, outer)
     return sets.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

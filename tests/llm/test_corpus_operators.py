@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import components, decontamination, exact_dedup, ngram_join, registry, repeats, substring_dedup, suffix_dedup
+from siftwell.llm import common, components, decontamination, exact_dedup, ngram_join, registry, repeats, substring_dedup, suffix_dedup
 from siftwell.llm.text_index import FMIndex, Parents, RunIndex, Suffixes, joined, matching_statistics
 from tests.conftest import same_rows
 
@@ -62,6 +62,16 @@ def test_exact_dedup_smallest_and_rows(spark):
     assert found.columns == df.columns and sorted(r["doc_id"] for r in found.collect()) == [0, 2, 3]
 
 
+@pytest.mark.parametrize("carry", [False, True])
+def test_hot_texts_that_share_ids(spark, carry):
+    hot = docs(spark, ["first"] * 100 + ["second"] * 100 + ["rare"], [*range(1, 101)] * 2 + [7])
+    got = exact_dedup.exact_dedup(hot, partitions=2, carry=carry).collect()
+    assert len(got) == 201 and sorted((r["norm"], r["doc_id"]) for r in got if r["kept"]) == [("first", 100), ("rare", 7), ("second", 100)]
+    assert {(r["norm"], r["keep_id"], r["group_size"]) for r in got} == {("first", 100, 100), ("second", 100, 100), ("rare", 7, 1)}
+    if carry:
+        assert all(r["row"]["text"] == r["norm"] and r["row"]["doc_id"] == r["doc_id"] for r in got)
+
+
 def test_exact_dedup_odd_ids(spark):
     df = docs(spark, ["a", "a", "a", "b", "b"], [1, 1, None, None, None])
     got = exact_dedup.exact_dedup(df).collect()
@@ -90,7 +100,9 @@ def brute_hits(texts, items, size):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("bits", [common.FILTER_BITS, 64])
+def test_decontamination(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     rng = random.Random(0)
     vocabulary = ["a", "b", "c", "dd", "é", "x9"]
     texts = [None, "", "!!", "A-b a"] + [" ".join(rng.choices(vocabulary, k=rng.randint(1, 40))) for _ in range(40)]
@@ -99,8 +111,9 @@ def test_decontamination(spark):
     both = defaultdict(list)
     for i, t in items:
         both[i].append(t)
-    for per_block in (50_000, 3):
-        got = decontamination.contaminated_words(docs(spark, texts), bench, window=4, per_block=per_block).orderBy("doc_id").collect()
+    for extra in (["a", "b"], []):
+        clash = docs(spark, texts).withColumns({x: F.lit(1) for x in ["w", "pos", "words", *extra]})
+        got = decontamination.contaminated_words(clash, bench, window=4).orderBy("doc_id").collect()
         want = [brute_hits([t], [(f"{i}", x) for i, xs in both.items() for x in xs], 4)[0] for t in texts]
         merged = []
         for t in texts:
@@ -125,6 +138,15 @@ def test_decontamination_empty_tables(spark):
     assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == [(2, 0, []), (0, 0, [])]
 
 
+def test_decontamination_rows_of_one_id(spark):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "x y")], "item_id long, text string")
+    texts = ["a b c q", "q a b c x y", "x y", "x y", None, "a b c"]
+    got = decontamination.contaminated_words(docs(spark, texts, [1, 1, None, None, None, 4]), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == [
+        (0, 0, 0, ()), (0, 2, 2, ("2",)), (0, 2, 2, ("2",)), (1, 4, 3, ("1",)), (1, 6, 5, ("1", "2")), (4, 3, 3, ("1",)),
+    ]
+
+
 # ---- indexes and substring dedups -------------------------------------------------------------------------------------
 
 
@@ -308,6 +330,27 @@ def test_ngram_join_odd_tables(spark):
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, None), (4, 4), (3, 3)}
 
 
+def test_ngram_join_null_and_shared_ids(spark):
+    w = [f"w{i}" for i in range(40)]
+    text, near, other = " ".join(w), " ".join([*w, "x"]), "a b c d e f"
+    for order in ([(None, text), (5, text), (9, near)], [(5, text), (9, near), (None, text)]):
+        got = ngram_join.similar_components(docs(spark, [t for _, t in order], [i for i, _ in order]).coalesce(1)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, None), (5, 5), (9, 5)}
+    for pair in ([other, text], [text, other]):
+        got = ngram_join.similar_components(docs(spark, [*pair, near, other], [1, 1, 2, 3])).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_ngram_join_pairs_chunks(spark, monkeypatch):
+    """A passage in all documents: signatures of many components, and hubs that are packed."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    rng = random.Random(11)
+    passage = rng.choices([f"p{i}" for i in range(30)], k=60)
+    texts = [" ".join(passage + [f"q{i}x{j}" for j in range(rng.choice([0, 8, 12, 16, 20, 25]))]) for i in range(90)]
+    got = ngram_join.similar_components(docs(spark, texts), shingle=5, numerator=80).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == brute_components(texts, size=5, numerator=80)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (None, 3)]
@@ -380,6 +423,17 @@ def test_pipeline_near_copies(spark, data):
     assert kept == [i for i, (_, c) in enumerate(brute_components(texts, size=5, numerator=80)) if i == c] == [0, 2]
 
 
+def test_pipeline_rows_without_an_id_or_with_a_shared_one(spark, data):
+    import corpus_pipeline
+
+    bad = spark.read.parquet(f"{data}/benchmark.parquet").first()["text"]
+    some = docs(spark, [bad, bad, "clean words here", "more clean words"], [None, 1, 1, None]).withColumn("gone_", F.lit(1))
+    kept = corpus_pipeline.drop_contaminated(spark, some, data)
+    assert kept.columns == some.columns and sorted(r["text"] for r in kept.collect()) == ["clean words here", "more clean words"]
+    copies = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "q r s"], [2, 1, None, 2]).withColumn("gone_", F.lit(1))
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, copies, data).collect()) == ["1", "None"]
+
+
 def test_pipeline_odd_rows(spark, data, tmp_path):
     import corpus_pipeline
 

@@ -3,7 +3,10 @@
 import base64
 import hashlib
 import math
+import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +128,7 @@ def test_toxic_spans_and_scores():
     assert score[0] > 0.7 > 0.3 > score[1] and 0 <= score[2] < 0.3
     text = "River stone VILEWORD garden"
     assert [text[a:b] for a, b in toxicity.offending_spans(model, text)] == ["VILEWORD"]
-    assert toxicity.offending_spans(model, None) == []
+    assert toxicity.offending_spans(model, None) == [] and toxicity.offending_spans(model, "İİİ vileword") == [(4, 12)]
     assert toxicity.train(["a", "b"], [1, 1]) is None
 
 
@@ -135,6 +138,19 @@ def test_toxicity_query(spark, data):
     assert found.count() == n and found.where("score < 0 OR score > 1 OR predicted <> cast(score >= 0.3 AS int)").count() == 0
 
 
+def test_toxicity_of_held_out_rows(spark, data):
+    """Labelled rows that were not learnt from: nearly all toxic ones are found, few clean ones are marked."""
+    larger = f"{os.path.dirname(data)}/sf0.01"
+    if not os.path.isdir(larger):
+        pytest.skip("too few labels")
+    marks = spark.read.parquet(f"{larger}/labels.parquet").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = toxicity.op8_toxicity(spark, larger).where("held_out").join(marks, "doc_id").collect()
+    found = [r["predicted"] for r in rows if r["toxic"]]
+    alarms = [r["predicted"] for r in rows if not r["toxic"]]
+    print(sum(found), len(found), sum(alarms), len(alarms))
+    assert sum(found) >= 0.8 * len(found) > 0 and sum(alarms) <= 0.15 * len(alarms)
+
+
 def test_toxicity_odd_inputs(spark):
     model = toxicity.train([f"w{i} bad word" for i in range(40)] + [f"w{i} fine day" for i in range(40)], [1] * 40 + [0] * 40)
     got = toxicity.score_toxicity(docs(spark, [None, "", "bad word", "fine " * 50000]), model, spans=True).orderBy("doc_id").collect()
@@ -176,6 +192,28 @@ def test_encoding_query_against_library(spark, data):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
         assert r["covered_bytes"] == len(texts[r["doc_id"]].encode())
+        # the library's own offsets, in normalised text, which has two more bytes for each space and three in front
+        text, at, spans = texts[r["doc_id"]].encode(), 0, b""
+        place = np.cumsum([0, *([3] if text else []), *(3 if x == 32 else 1 for x in text)])
+        back = np.concatenate([np.repeat([0, *range(len(text))][: len(place) - 1], np.diff(place)), [len(text)]])
+        for i in ids:
+            end = at + (1 if lib.is_byte(i) else len(lib.id_to_piece(i).encode()))
+            spans += np.array([back[at], back[end]], "<i8").tobytes()
+            at = end
+        assert r["spans_sha256"] == hashlib.sha256(spans).hexdigest()
+
+
+def test_encoding_by_words_and_as_a_whole():
+    import sentencepiece
+
+    path = tokenizer_path(piece_encoding.MODEL)
+    lib, words, whole = sentencepiece.SentencePieceProcessor(model_file=path), piece_encoding.PieceEncoder(path), piece_encoding.PieceEncoder(path)
+    assert words.by_words
+    whole.by_words = False
+    rng = random.Random(4)
+    alphabet = ["a", "the", " ", "  ", "▁", "é", "漢", "\n", "\t", "ing", "<s>", "😀", "\u00a0", "1", ".", "Re"]
+    for text in [t or "" for t in ODD] + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(800)]:
+        assert words.encode(text) == whole.encode(text) == lib.encode(text), text
 
 
 def test_character_map_takes_the_longest_prefix():
@@ -242,6 +280,45 @@ def test_html_query(spark, data):
     assert html_extraction.extract_text(pages.limit(3).withColumn("text", F.lit(1))).count() == 3
 
 
+def without_marks(html):
+    """The page with nothing that names an article or boilerplate."""
+    return re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", html))
+
+
+def test_pages_without_marks(spark, data):
+    """Precision and recall of words where only text and neighbours tell; the cut decides some of the blocks."""
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").where("html IS NOT NULL").collect()]
+    model = html_extraction.train(html_extraction.sample_pages(spark.read.parquet(f"{data}/pages.parquet")))
+    both = found = wanted = changed = 0
+    for html in pages:
+        inside = re.search(r"<article>(.*)</article>", html, re.S)[1]
+        want = [w for b in html_extraction.blocks_of(inside) for w in b.text.split()]
+        assert html_extraction.main_text(html, model).split() == want
+        blocks = html_extraction.blocks_of(without_marks(html))
+        keep = html_extraction.label(blocks, model)
+        got = [w for b, k in zip(blocks, keep, strict=True) if k for w in b.text.split()]
+        both += (Counter(want) & Counter(got)).total()
+        found, wanted = found + len(got), wanted + len(want)
+        changed += sum(k != (model.odds(b) > 0) for b, k in zip(blocks, keep, strict=True))
+    assert both / found > 0.9 and both / wanted > 0.97 and changed > 0
+
+
+def test_classifier_is_bounded_and_learns():
+    page = "<div class=zig><p>One two three four five six. Seven eight.</p></div><article><p>Short</p><p>Text of the article. More of it.</p></article>" * 5
+    model = html_extraction.train([page] * 10)
+    assert model.weights["word:zig"] < 0 < model.weights["tag:article"]
+    assert all(abs(w - html_extraction.PRIOR.get(k, 0)) <= html_extraction.MOST_MOVE for k, w in model.weights.items())
+    assert html_extraction.train([]).weights == html_extraction.train(["<p>no article</p>"]).weights == html_extraction.PRIOR
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<article title="The hidden cost"><p>One.</p><p data-x="a hidden b">Two.</p></article>', "One. Two."),
+    ("<article><p>Let <math><mi>x</mi></math> be <object>an object</object>.</p></article>", "Let x be an object ."),
+])
+def test_nothing_else_is_dropped(html, text):
+    assert html_extraction.main_text(html).replace(" .", ".") == text.replace(" .", ".")
+
+
 def test_deep_and_long_pages():
     assert html_extraction.main_text("<div>" * 3000 + "x" + "</div>" * 3000) in ("", "x")
     long = "<article>" + "<p>Some words here, and more.</p>" * 3000 + "</article>"
