@@ -27,19 +27,21 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
+    """Of each group of linked documents, the one with the smallest doc_id stays. Rows of one id stay or go together; those without an id stay."""
     found = ngram_join.similar_components(docs, shingle=NEAR_SHINGLE, numerator=NEAR_NUMERATOR)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    found = decontamination.contaminated_words(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Drops the rows that hold a window of a benchmark item, each by its own text, whatever its id."""
+    found = decontamination.contaminated_words(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("gone_"), F.col("t1").alias("hash_")).distinct()
+    same = docs["doc_id"].eqNullSafe(found["gone_"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["hash_"])
+    return docs.join(found, same, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256, covered_bytes."""
     return piece_encoding.encoding_digests(docs.select(F.col("doc_id"), F.col("text")))
 
 
