@@ -8,8 +8,8 @@ is exact and the trees are a finite automaton over their common contexts: one ta
 the code lengths under every language. Texts are cut into columns that advance together; each column starts with the
 ORDER bytes before it, so the cut changes nothing.
 
-Training reads at most ``ROWS_PER_LANGUAGE`` rows of each language (by hash of the id), at most ``TRAIN_CHARS``
-characters of each, and keeps at most ``MAX_CONTEXTS`` contexts. Prediction reads whole texts.
+Training reads at most ``ROWS_PER_LANGUAGE`` rows of each language (by hash of the id), of those that have at most
+``TRAIN_CHARS`` characters, whole; no context of theirs is left out. Prediction reads whole texts.
 
 Defined cases: ``und`` with score 0 for a null text or one without letters, and for every text if there was nothing
 to learn from; ties go to the language that sorts first; an empty table gives an empty result.
@@ -31,7 +31,6 @@ from siftwell.llm.common import small_batches, table
 ORDER = 4
 ROWS_PER_LANGUAGE = 64
 TRAIN_CHARS = 4000
-MAX_CONTEXTS = 24_000
 COLUMN = 512
 BATCH_BYTES = 3_000_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -67,8 +66,8 @@ def _count(sample: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray
     return out
 
 
-def train(samples: dict[str, list[bytes]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Automaton | None:
-    """samples: the training bytes of each language."""
+def train(samples: dict[str, list[bytes]], order: int = ORDER, max_contexts: int | None = None) -> Automaton | None:
+    """samples: the training bytes of each language; max_contexts: keep the most frequent ones only."""
     languages = sorted(k for k, v in samples.items() if any(v))
     if not languages:
         return None
@@ -175,9 +174,9 @@ def prepared(text: str | None) -> bytes:
 
 
 def sample_rows(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_PER_LANGUAGE, chars: int = TRAIN_CHARS) -> dict[str, list[bytes]]:
-    """The training sample: at most rows * languages rows of at most chars characters reach the driver."""
-    src = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(id_col).alias("id"), F.substring(text_col, 1, chars).alias("text")
+    """The training sample: at most rows * languages rows reach the driver, of at most chars characters, whole."""
+    src = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) <= chars)).select(
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
     first = Window.partitionBy("lang").orderBy("at", "id", "text")  # Spark keeps the first rows of each task before it shuffles
     got = src.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= rows).select("lang", "text").collect()

@@ -7,8 +7,8 @@ tokens above ``SPAN_AT`` are the offending spans.
 
 The table labels whole documents, so token labels are derived in training: in a toxic document, a token is labelled
 toxic if one of its features separates the labelled documents (log odds of ``LABEL_ODDS`` at least, counted by the
-different words it follows, and hardly ever in a clean one). Training reads at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled rows (by hash of the id) and at most
-``TRAIN_CHARS`` characters of each. Scoring reads whole texts.
+different words it follows, and hardly ever in a clean one). Training reads at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled rows (by hash of the id), whole, and
+of each kind only as many as have ``TRAIN_CHARS`` characters together. Scoring reads whole texts.
 
 Defined cases: null and empty texts get the calibrated score of a document without tokens; without labels of both
 kinds every score is 0; several label rows for one document count as toxic if one is; an empty table gives an
@@ -24,14 +24,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import small_batches, table
 from siftwell.llm.language_id import held_out
 
 TOKEN = re.compile(r"[^\W_]+")
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1500, 3000, 20_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1500, 3000, 16_000_000
+#: Documents whose marginals training holds at once.
+TRAIN_BLOCK = 256
 LABEL_ODDS = 3.5
 SPAN_AT = 0.5
 #: Marginals below this are background.
@@ -117,7 +119,8 @@ def tokens(text: str | None) -> list[str]:
 
 def train(texts: list[str], toxic: list[int], rounds: int = 80, window: int = 24, seed: int = 7) -> ChainField | None:
     """Derives token labels from document labels and fits the weights by full-batch AdaGrad."""
-    docs, y = [tokens(t) for t in texts], np.array(toxic)
+    one: dict[str, str] = {}  # each different word is held once
+    docs, y = [[one.setdefault(w, w) for w in tokens(t)] for t in texts], np.array(toxic)
     if len(set(y.tolist())) < 2:
         return None
     bad, good = Counter(), Counter()
@@ -142,16 +145,18 @@ def train(texts: list[str], toxic: list[int], rounds: int = 80, window: int = 24
     model = None
     for _ in range(HARD_ROUNDS + 1):
         if model:  # clean words that look toxic so far, each once
-            p, owner = document_marginals(model, docs)
-            place = np.arange(len(p)) - np.searchsorted(owner, owner)
             known: set[str] = set()
-            for t in np.flatnonzero((p >= HARD_AT) & (y[owner] == 0)).tolist():
-                word = docs[owner[t]][place[t]]
-                if word not in known:
-                    known.add(word)
-                    windows.append((int(owner[t]), max(0, int(place[t]) - window // 2)))
+            for first in range(0, len(docs), TRAIN_BLOCK):
+                p, owner = document_marginals(model, docs[first : first + TRAIN_BLOCK])
+                place = np.arange(len(p)) - np.searchsorted(owner, owner)
+                for t in np.flatnonzero((p >= HARD_AT) & (y[owner + first] == 0)).tolist():
+                    k = int(owner[t]) + first
+                    word = docs[k][place[t]]
+                    if word not in known:
+                        known.add(word)
+                        windows.append((k, max(0, int(place[t]) - window // 2)))
         model = _fitted(docs, hits, windows, window, rounds)
-    x = aggregates(model, docs)
+    x = np.concatenate([aggregates(model, docs[i : i + TRAIN_BLOCK]) for i in range(0, len(docs), TRAIN_BLOCK)])
     x, c = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
     for _ in range(100):  # damped Newton steps of the calibration
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
@@ -234,17 +239,19 @@ def offending_spans(model: ChainField, text: str | None, at: float = SPAN_AT) ->
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable=None) -> tuple[list[str], list[int]]:
-    """At most TOXIC_ROWS + CLEAN_ROWS rows of at most TRAIN_CHARS characters reach the driver."""
+    """At most TOXIC_ROWS + CLEAN_ROWS labelled documents, and of each kind at most TRAIN_CHARS characters, reach the driver. Whole texts."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("toxic"))
     marks = marks.where(usable) if usable is not None else marks
     picked = None
     for value, rows in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
         part = marks.where(F.col("toxic") == value).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"))
-    got = src.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("at"), "doc_id").collect()
-    got.sort(key=lambda r: (r["at"], r["doc_id"], r["text"] or ""))
-    return [r["text"] or "" for r in got], [int(r["toxic"]) for r in got]
+    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = src.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("at"), "doc_id")
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("at", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = got.withColumn("sum", so_far).where(F.col("sum") <= TRAIN_CHARS).select("at", "doc_id", "text", "toxic").collect()
+    rows.sort()
+    return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
 
 
 def score_toxicity(docs: DataFrame, model: ChainField | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:

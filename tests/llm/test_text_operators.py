@@ -140,15 +140,14 @@ def test_toxicity_query(spark, data):
 
 def test_toxicity_of_held_out_rows(spark, data):
     """Labelled rows that were not learnt from: nearly all toxic ones are found, few clean ones are marked."""
-    larger = f"{os.path.dirname(data)}/sf0.01"
+    larger = f"{os.path.dirname(data)}/sf0.1"
     if not os.path.isdir(larger):
         pytest.skip("too few labels")
     marks = spark.read.parquet(f"{larger}/labels.parquet").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = toxicity.op8_toxicity(spark, larger).where("held_out").join(marks, "doc_id").collect()
     found = [r["predicted"] for r in rows if r["toxic"]]
     alarms = [r["predicted"] for r in rows if not r["toxic"]]
-    print(sum(found), len(found), sum(alarms), len(alarms))
-    assert sum(found) >= 0.8 * len(found) > 0 and sum(alarms) <= 0.15 * len(alarms)
+    assert sum(found) >= 0.85 * len(found) > 0 and sum(alarms) <= 0.1 * len(alarms), (sum(found), len(found), sum(alarms), len(alarms))
 
 
 def test_toxicity_odd_inputs(spark):
