@@ -7,9 +7,10 @@ leftmost place) becomes its prefix. Document words meet the prefixes in a join;
 fixes where the window would start, the length bound drops starts that would run over the document's ends, and the
 words in between are compared in full.
 
-Documents are read twice, whatever the size of the benchmark: to count its words and to find prefixes. A bit table of
-fixed size is all that is broadcast; it lets few other words through to the exact joins. Each word that passes takes
-its neighbours along, a window's length to both sides, so that the comparison needs no second look at the document.
+Documents are read twice, whatever the size of the benchmark: to count its words and to find prefixes. What is
+broadcast for that are the words themselves if they are at most ``MOST_BROADCAST``, counted first, and a bit table of
+fixed size otherwise, which lets few other words through to the exact joins. Each word that passes takes its
+neighbours along, a window's length to both sides, so that the comparison needs no second look at the document.
 Item lists stay in a table of their own, which verified windows are joined with at the end.
 
 Defined cases: null texts and texts without words have no words, hits or items; repeated items count once per
@@ -27,6 +28,8 @@ from siftwell.llm.common import ascii_lower, bit_table, likely_members, table, t
 WINDOW = 10
 #: Fixed pattern of a word, after A-Z became lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: At most so many words are broadcast as they are.
+MOST_BROADCAST = 50_000
 #: What tells document rows apart; rows that agree in all three are alike.
 ROW = ["doc_id", "t1", "t2"]
 
@@ -57,8 +60,13 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     windows = held.select("wid", "words").distinct()
 
     # how often each benchmark word occurs in all documents
-    vocabulary = written(windows.select(F.explode("words").alias("w")).distinct().withColumn("wh", F.xxhash64("w")), "vocabulary")
-    counted = likely_members(src.select(F.explode("words").alias("w")).withColumn("wh", F.xxhash64("w")), "wh", vocabulary, "wh").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = written(windows.select(F.explode("words").alias("w")).distinct(), "vocabulary")
+    each = src.select(F.explode("words").alias("w"))
+    if vocabulary.count() <= MOST_BROADCAST:
+        each = each.join(F.broadcast(vocabulary), "w", "left_semi")
+    else:
+        each = likely_members(each.withColumn("wh", F.xxhash64("w")), "wh", vocabulary.select(F.xxhash64("w").alias("wh")), "wh")
+    counted = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     # a window with a word that no document has can't occur; it is short of one row and dropped
     rare = windows.select("wid", "words", F.posexplode("words").alias("off", "w")).join(counted, "w").groupBy("wid").agg(
         F.first("words").alias("window"), F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "w", "off")).alias("least")
@@ -77,12 +85,16 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 def _near_prefixes(src: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
     """Document words that may be prefixes (w), their places and neighbours; and for each row of src one without a word.
 
-    The explode and the look into the bit table are one code-generated stage: nothing is copied per word.
+    The explode and the look into what is broadcast are one code-generated stage: nothing is copied per word.
     """
     # the null behind the last word gives each row one row of its own
     each = src.select(*ROW, "words", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "w"))
-    bits, bit, inside = bit_table(prefixes.select(F.xxhash64("prefix").alias("wh")), "wh")
-    found = each.withColumn("bit_", bit(F.xxhash64("w"))).join(bits, F.expr("word_ = bit_ DIV 64"), "left").where(F.col("w").isNull() | inside)
+    words = written(prefixes.select("prefix").distinct(), "prefix-words")
+    if words.count() <= MOST_BROADCAST:
+        found = each.join(F.broadcast(words), F.col("w") == F.col("prefix"), "left").where(F.col("w").isNull() | F.col("prefix").isNotNull())
+    else:
+        bits, bit, inside = bit_table(words.select(F.xxhash64("prefix").alias("wh")), "wh")
+        found = each.withColumn("bit_", bit(F.xxhash64("w"))).join(bits, F.expr("word_ = bit_ DIV 64"), "left").where(F.col("w").isNull() | inside)
     begin = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     context = F.when(F.col("w").isNotNull(), F.slice("words", begin + 1, 2 * window - 1))
     return found.select(*ROW, F.size("words").cast("long").alias("n_words"), "w", "pos", begin.alias("begin"), context.alias("context"))

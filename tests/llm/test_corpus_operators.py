@@ -100,9 +100,11 @@ def brute_hits(texts, items, size):
     return out
 
 
-@pytest.mark.parametrize("bits", [common.FILTER_BITS, 64])
-def test_decontamination(spark, monkeypatch, bits):
-    monkeypatch.setattr(common, "FILTER_BITS", bits)
+@pytest.mark.parametrize("bits, most", [(None, None), (1 << 20, 0), (64, 0)])
+def test_decontamination(spark, monkeypatch, bits, most):
+    if bits:
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
     rng = random.Random(0)
     vocabulary = ["a", "b", "c", "dd", "é", "x9"]
     texts = [None, "", "!!", "A-b a"] + [" ".join(rng.choices(vocabulary, k=rng.randint(1, 40))) for _ in range(40)]
