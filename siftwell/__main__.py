@@ -37,7 +37,7 @@ def evaluate_selection(spark: SparkSession, old: str, new: str, metric: str, pro
     means = evaluate.model_absolute(tagged, metric, ("prop",)).withColumnRenamed("mean", "x")
     both = means.join(evaluate.model_absolute(scores, metric).withColumnRenamed("mean", "y"), "system")
     correlation = evaluate.correlation(both, "kendall", ("prop",)).agg(F.avg("correlation")).first()[0]
-    clusters = evaluate.cluster_count(tagged, metric, ("prop",)).agg(F.avg("clusters")).first()[0]
+    clusters = evaluate.cluster_curve(scores, ranked, points, metric).agg(F.avg("clusters")).first()[0]
     return 100 * (correlation or 0.0), clusters or 0.0
 
 

@@ -8,6 +8,9 @@ from collections import Counter
 
 import numpy as np
 
+#: z below which a one-sided normal p is below 0.05.
+CRITICAL_Z = -1.6448536269514722
+
 
 def normal_cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
@@ -272,3 +275,25 @@ def fit_irt(y: np.ndarray, model: str = "2pl", epochs: int = 400, rate: float =
     if model != "1pl" and p["disc"].mean() < 0:  # the mirror image fits as well; keep better systems higher
         p["theta"], p["diff"], p["disc"] = -p["theta"], -p["diff"], -p["disc"]
     return {k: p[k] for k in train}
+
+
+def cluster_total(m: np.ndarray) -> int:
+    """Significance clusters of the systems (columns, by name) on some items (rows; NaN: no score), by the normal form of the signed-rank test."""
+    if len(m) < 3:
+        return 1
+    with np.errstate(invalid="ignore"):
+        order = np.argsort(-np.nanmean(m, axis=0), kind="stable")
+    total = 1
+    for a, b in zip(order[1:], order, strict=False):
+        d = np.round(m[:, a] - m[:, b], 9)
+        d = d[~np.isnan(d)]
+        x = d[d != 0]
+        if not len(x):
+            total += 1
+            continue
+        _, at, count = np.unique(np.abs(x), return_inverse=True, return_counts=True)
+        rank = (np.cumsum(count) - (count - 1) / 2)[at]
+        n, t = len(x), count.astype(float)
+        spread = n * (n + 1) * (2 * n + 1) / 24 - (t**3 - t).sum() / 48
+        total += bool(spread > 0 and (rank[x > 0].sum() - n * (n + 1) / 4) / math.sqrt(spread) < CRITICAL_Z)
+    return total

@@ -6,16 +6,23 @@ have system, mean. Systems are ordered by name wherever an order among equals is
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import numeric
-from siftwell.functions.columns import PROPS, sign, uniform
-from siftwell.operators.ranking import in_order
+from siftwell.functions.columns import PROPS, uniform
+from siftwell.operators.ranking import in_order, planned_buckets
 
 By = tuple[str, ...]
+#: Permutations whose signs one MD5 gives; rows whose signs a task holds at once; vectors that it adds up before it lets them go.
+SIGNS, SIGNED_ROWS, HELD_VECTORS = 128, 2000, 10_000
+#: Ranks of one bucket of a running mean over many items.
+BUCKET_RANKS = 10_000
 
 
 def kendall_columns(df: DataFrame, keys: list[str], name: str, x: str, y: str, variant: str = "b") -> DataFrame:
@@ -153,10 +160,6 @@ def wilcoxon_z(differences: DataFrame, keys: list[str]) -> DataFrame:
     return differences.select(*keys).distinct().join(sums.select(*keys, "n", "w", z.alias("z")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-#: z below which a one-sided normal p is below 0.05.
-CRITICAL_Z = -1.6448536269514722
-
-
 def clusters(scores: DataFrame, metric: str = "human", mode: str = "normal", equal_splits: bool = True, by: By = ()) -> DataFrame:
     """ord, system, p or z, cluster (from 1, best first). A system opens a cluster if it is significantly worse than the one before.
 
@@ -169,7 +172,7 @@ def clusters(scores: DataFrame, metric: str = "human", mode: str = "normal", equ
     keys = [*by, "ord"]
     enough = scores.where(F.col("metric") == metric).groupBy(*by).agg((F.countDistinct("item_id") >= 3).alias("enough_"))
     if mode == "normal":
-        tested = wilcoxon_z(d, keys).select(*keys, "z", F.when(F.col("n") == 0, F.lit(equal_splits)).otherwise(F.coalesce(F.col("z") < CRITICAL_Z, F.lit(False))).alias("new_"))
+        tested = wilcoxon_z(d, keys).select(*keys, "z", F.when(F.col("n") == 0, F.lit(equal_splits)).otherwise(F.coalesce(F.col("z") < numeric.CRITICAL_Z, F.lit(False))).alias("new_"))
         shown = ["z"]
     else:
         types = dict(d.dtypes)
@@ -203,17 +206,53 @@ def clusters_top(new: DataFrame, old: DataFrame, metric: str = "human", by: By =
 # ---- soft pairwise accuracy -----------------------------------------------------------------------------------------
 
 
+def sign_rows(seed: int, items: list[str], permutations: int) -> np.ndarray:
+    """+1 or -1 for each item and permutation. One MD5 of seed, block and item gives the signs of 128 permutations."""
+    out = np.empty((len(items), permutations))
+    for block in range(-(-permutations // SIGNS)):
+        raw = b"".join(hashlib.md5(f"{seed}:{block}:{x}".encode()).digest() for x in items)
+        bits = np.unpackbits(np.frombuffer(raw, ">u4").astype("<u4").view(np.uint8), bitorder="little").reshape(len(items), SIGNS)
+        at = block * SIGNS
+        out[:, at : at + SIGNS] = 1.0 - 2.0 * bits[:, : permutations - at]
+    return out
+
+
 def permutation_p(scores: DataFrame, metric: str = "human", permutations: int = 1000, seed: int = 0, by: By = ()) -> DataFrame:
     """p of each pair of systems (sys_i before sys_j by name): share of sign flips whose difference reaches the real one.
 
-    The signs depend on (seed, permutation, item), so all pairs share them. The signed sums are one aggregation; the
-    items never meet in one task.
+    The signs depend on (seed, permutation, item), so all pairs share them. Each task adds up the signed values of its
+    rows, a vector for each system of a group; the vectors are one aggregation, and the items never meet in one task.
     """
     keys = list(by)
-    own = scores.where(F.col("metric") == metric).select(*keys, "item_id", "system", "value")
-    perms = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
-    flipped = own.select("*", perms.alias("perm")).withColumn("v_", sign(F.concat_ws(":", F.lit(seed), "perm"), F.col("item_id")) * F.col("value"))
-    sums = flipped.groupBy(*keys, "perm", "system").agg(F.round(F.sum("v_"), 6).alias("s_"))
+    own = scores.where((F.col("metric") == metric) & F.col("value").isNotNull()).select(*keys, "system", F.col("item_id").cast("string").alias("item_id"), F.col("value").cast("double").alias("value"))
+    types = dict(own.dtypes)
+    names = [*keys, "system"]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(list(held), columns=names)
+            out["v_"] = list(held.values())
+            held.clear()
+            return out
+
+        for whole in batches:
+            for at in range(0, len(whole), SIGNED_ROWS):
+                pdf = whole.iloc[at : at + SIGNED_ROWS]
+                code, items = pd.factorize(pdf["item_id"])
+                signs = sign_rows(seed, list(items), permutations)
+                for key, rows in pdf.groupby(names, sort=False, dropna=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    total = pdf["value"].to_numpy()[rows] @ signs[code[rows]]
+                    held[key] = held[key] + total if key in held else total
+                if len(held) > HELD_VECTORS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    parts = own.mapInPandas(add, "".join(f"{k} {types[k]}, " for k in names) + "v_ array<double>")
+    sums = parts.select(*names, F.posexplode("v_").alias("perm", "v_")).groupBy(*keys, "perm", "system").agg(F.round(F.sum("v_"), 6).alias("s_"))
     real = own.groupBy(*keys, "system").agg(F.round(F.sum("value"), 6).alias("r_"))
     both = sums.join(real, [*keys, "system"])
     a = both.select(*keys, "perm", F.col("system").alias("sys_i"), F.col("s_").alias("si_"), F.col("r_").alias("ri_"))
@@ -244,9 +283,12 @@ def proportions(spark: SparkSession, n: int, props: list[float] | None = None) -
 
 
 def at_proportions(scores: DataFrame, ranked: DataFrame, props: DataFrame, by: By = ()) -> DataFrame:
-    """The scores of every prefix, tagged with prop and k. props has a row for each point of the curve."""
+    """The scores of every prefix, tagged with prop and k. props has a row for each point of the curve.
+
+    by may name columns that ranked alone has (the seed of a random order).
+    """
     tagged = ranked.select(*by, "item_id", "rank").join(F.broadcast(props), F.col("rank") <= F.col("k")).drop("rank")
-    return scores.join(tagged, [*by, "item_id"])
+    return scores.join(tagged, [*shared(scores, by), "item_id"])
 
 
 def shared(scores: DataFrame, by: By) -> list[str]:
@@ -254,14 +296,26 @@ def shared(scores: DataFrame, by: By) -> list[str]:
     return [c for c in by if c in scores.columns]
 
 
-def prefix_means(scores: DataFrame, ranked: DataFrame, metric: str = "human", by: By = ()) -> DataFrame:
+def prefix_means(scores: DataFrame, ranked: DataFrame, metric: str = "human", by: By = (), buckets: bool | None = None) -> DataFrame:
     """Means of each system on every prefix at once: one cumulative window instead of a scan for each k. system, k, x.
 
+    With much data (or buckets) the ranks are cut into stretches of BUCKET_RANKS: the window runs within a stretch, and
+    the sums of the stretches before it are added, so that no task walks through all items of a system.
     by may name columns that ranked alone has (the seed of a random order): each order then meets the same scores.
     """
+    cut = planned_buckets(scores) > 1 if buckets is None else buckets
     own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*shared(scores, by), "item_id"])
-    running = Window.partitionBy(*by, "system").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return own.select(*by, "system", F.col("rank").alias("k"), F.avg("value").over(running).alias("x"))
+    keys = [*by, "system"]
+    if not cut:
+        running = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return own.select(*keys, F.col("rank").alias("k"), F.avg("value").over(running).alias("x"))
+    own = own.select(*keys, "rank", "value", F.expr(f"(rank - 1) DIV {BUCKET_RANKS}").alias("b_"))
+    before = Window.partitionBy(*keys).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(*keys, "b_").agg(F.sum("value").alias("s_"), F.count("value").alias("c_"))
+    sums = sums.select(*keys, "b_", F.coalesce(F.sum("s_").over(before), F.lit(0.0)).alias("s_"), F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("c_"))
+    running = Window.partitionBy(*keys, "b_").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = own.select(*keys, "b_", F.col("rank").alias("k"), F.coalesce(F.sum("value").over(running), F.lit(0.0)).alias("v_"), F.count("value").over(running).alias("n_"))
+    return here.join(sums, [*keys, "b_"]).select(*keys, "k", F.try_divide(F.col("v_") + F.col("s_"), F.col("n_") + F.col("c_")).alias("x"))
 
 
 def correlation_curve(scores: DataFrame, ranked: DataFrame, metric: str | tuple[str, str] = "human", kind: str = "kendall", by: By = ()) -> DataFrame:
@@ -280,6 +334,43 @@ def parity(curve: DataFrame, targets: DataFrame, n: int, value: str = "correlati
     return targets.join(first, [*by, "prop"], "left").select(*by, "prop", F.coalesce("k", F.lit(n)).alias("k"), (F.coalesce("k", F.lit(n)) / (n * F.col("prop"))).alias("parity"))
 
 
+def cluster_curve(scores: DataFrame, ranked: DataFrame, props: DataFrame, metric: str = "human", by: By = (), **options) -> DataFrame:
+    """prop, clusters: the number of significance clusters on each prefix of the ranking."""
+    tagged = at_proportions(scores, ranked, props, by)
+    return cluster_count(tagged, metric, (*by, "prop"), **options)
+
+
+def cluster_parity(scores: DataFrame, ranked: DataFrame, targets: DataFrame, n: int, metric: str = "human", least: int = 5, by: By = ()) -> DataFrame:
+    """For each target (prop, target): the least prefix of least items or more that has so many clusters (else n), divided by n * prop.
+
+    Each group (by: data sets, seeds) walks down its ranking in one task, which holds its items x systems matrix and
+    stops once all its targets are met.
+    """
+    keys = list(by) or ["g_"]
+    own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*shared(scores, by), "item_id"]).select(*by, "rank", "system", "value")
+    asked = targets.groupBy(*by).agg(F.collect_list(F.struct("prop", "target")).alias("t_"))
+    own, asked = (own, asked) if by else (own.withColumn("g_", F.lit(0)), asked.withColumn("g_", F.lit(0)))
+    types = dict(own.dtypes)
+
+    def walk(key: tuple, pdf: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="rank", columns="system", values="value", sort=True, dropna=False) if len(pdf) else pd.DataFrame()
+        m = wide.sort_index(axis=1).to_numpy() if len(pdf) else np.zeros((0, 0))
+        wanted = [(t["prop"], t["target"]) for x in goal["t_"] for t in x]
+        found: dict[float, int] = {}
+        for k in range(least, len(m) + 1):
+            if len(found) == len(wanted):
+                break
+            got = numeric.cluster_total(m[:k])
+            for prop, target in wanted:
+                if got >= target:
+                    found.setdefault(prop, k)
+        ks = [found.get(prop, n) for prop, _ in wanted]
+        return pd.DataFrame({**dict(zip(by, key, strict=False)), "prop": [x for x, _ in wanted], "k": ks, "parity": [k / (n * prop) for k, (prop, _) in zip(ks, wanted, strict=True)]})
+
+    schema = "".join(f"{x} {types[x]}, " for x in by) + "prop double, k long, parity double"
+    return own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(walk, schema)
+
+
 def random_curve(scores: DataFrame, items: DataFrame, metric: str = "human", seeds: list[int] | None = None, kind: str = "kendall") -> DataFrame:
     """Mean correlation curve of random orders; seeds are rows, so that all orders are one job."""
     ranked = seeded_ranks(items, seeds or list(range(10)))
@@ -332,7 +423,7 @@ def seeded_ranks(items: DataFrame, seeds: list[int]) -> DataFrame:
 
 
 def random_baseline(scores: DataFrame, metric: str = "human", value: str = "correlation", props: list[float] | None = None, seeds: int = 10, permutations: int = 100) -> DataFrame:
-    """prop, target (mean curve of the first seeds at the proportions), random_parity (mean parity of as many further seeds against it). value: correlation or spa."""
+    """prop, target (mean curve of the first seeds at the proportions), random_parity (mean parity of as many further seeds against it). value: correlation, clusters or spa."""
     spark, items = scores.sparkSession, scores.select("item_id", "pos").distinct()
     n = items.count()
     points = proportions(spark, n, props)
@@ -341,18 +432,25 @@ def random_baseline(scores: DataFrame, metric: str = "human", value: str = "corr
         ranked = seeded_ranks(items, numbers)
         return correlation_curve(scores, ranked, metric, "kendall", ("seed",)) if value == "correlation" else spa_every_prefix(scores, ranked, metric, permutations, by=("seed",))
 
-    targets = curves(list(range(seeds))).join(points, "k").groupBy("prop").agg(F.avg(value).alias("target"))
-    further = list(range(seeds, 2 * seeds))
+    first, further = list(range(seeds)), list(range(seeds, 2 * seeds))
+    if value == "clusters":
+        found = cluster_curve(scores, seeded_ranks(items, first), points, metric, ("seed",))
+        targets = found.groupBy("prop").agg(F.avg("clusters").alias("target"))
+    else:
+        targets = curves(first).join(points, "k").groupBy("prop").agg(F.avg(value).alias("target"))
     each = targets.select("prop", "target", F.explode(F.array(*[F.lit(s) for s in further])).alias("seed"))
-    found = parity(curves(further), each, n, value, by=("seed",))
+    found = cluster_parity(scores, seeded_ranks(items, further), each, n, metric, by=("seed",)) if value == "clusters" else parity(curves(further), each, n, value, by=("seed",))
     return found.groupBy("prop").agg(F.avg("parity").alias("random_parity")).join(targets, "prop")
 
 
 def parity_normalized(scores: DataFrame, ranked: DataFrame, baseline: DataFrame, metric: str = "human", value: str = "correlation", permutations: int = 100) -> DataFrame:
     """prop, parity of an order divided by the random one's. baseline comes from random_baseline and can be kept for many methods."""
     n = scores.select("item_id").distinct().count()
-    curve = correlation_curve(scores, ranked, metric) if value == "correlation" else spa_every_prefix(scores, ranked, metric, permutations)
-    own = parity(curve, baseline.select("prop", "target"), n, value)
+    targets = baseline.select("prop", "target")
+    if value == "clusters":
+        own = cluster_parity(scores, ranked, targets, n, metric)
+    else:
+        own = parity(correlation_curve(scores, ranked, metric) if value == "correlation" else spa_every_prefix(scores, ranked, metric, permutations), targets, n, value)
     return own.join(baseline.select("prop", "random_parity"), "prop").select("prop", F.try_divide("parity", "random_parity").alias("parity"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import numeric
 from siftwell.functions.columns import dot, irt_information, uniform, words
 from siftwell.operators.evaluate import kendall_columns
+from siftwell.operators.ranking import in_order, planned_buckets
 
 By = tuple[str, ...]
 
@@ -130,7 +131,11 @@ def combine(utilities: list[DataFrame | tuple[DataFrame, float]], operation: str
         df, w = u if isinstance(u, tuple | list) else (u, 1.0)
         weights.append(abs(w))
         x, all_ = F.col("utility"), Window.partitionBy(*by)
-        if normalize == "rank":
+        if normalize == "rank" and not by and planned_buckets(df) > 1:
+            place = in_order(df, "utility", ["item_id"], descending=False)
+            ends = place.groupBy("utility").agg(((F.min("rank") + F.max("rank")) / 2).alias(f"u{i}_"))  # equals share the mean of their places
+            part = place.join(ends, place["utility"].eqNullSafe(ends["utility"])).select(*keys, f"u{i}_")
+        elif normalize == "rank":
             equal = Window.partitionBy(*by, "utility")
             value: Column = F.rank().over(all_.orderBy("utility")) + (F.count(F.lit(1)).over(equal) - 1) / 2
             part = df.select(*keys, value.cast("double").alias(f"u{i}_"))

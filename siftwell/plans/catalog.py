@@ -186,12 +186,31 @@ def diversity_dot(spark, d):
     return r6(S.diversity_dot(V.vectors(spark, d)), "utility").select("item_id", "utility")
 
 
-@query()
+BLEU_SQL = CV + r""", t1 AS (SELECT item_id, system, ' ' || replace(replace(replace(replace(replace(replace(replace(coalesce(tgt, ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ' AS s FROM outputs),
+t2 AS (SELECT item_id, system, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '([{-~\[-` -&(-+:-@/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\S+') AS w FROM t1),
+ln AS (SELECT item_id, system, len(w) AS l FROM t2),
+g AS (SELECT item_id, system, n, array_to_string(w[i:i + n - 1], ' ') AS gram, count(*) AS c FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM t2, (SELECT unnest(range(1, 5)) AS n)) GROUP BY ALL),
+m AS (SELECT a.item_id, a.system AS x, b.system AS y, a.n, sum(least(a.c, b.c)) AS m FROM g a JOIN g b ON a.item_id = b.item_id AND a.n = b.n AND a.gram = b.gram AND a.system <> b.system GROUP BY ALL),
+p AS (SELECT a.item_id, a.system AS x, b.system AS y, a.l AS la, b.l AS lb, q.n, a.l - q.n + 1 AS total, coalesce(m.m, 0) AS m FROM ln a JOIN ln b ON a.item_id = b.item_id AND a.system <> b.system JOIN (SELECT unnest(range(1, 5)) AS n) q ON a.l >= q.n LEFT JOIN m ON m.item_id = a.item_id AND m.x = a.system AND m.y = b.system AND m.n = q.n),
+z AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY item_id, x, y ORDER BY n) AS zeros FROM p),
+f AS (SELECT item_id, x, y, CASE WHEN sum(m) = 0 THEN 0 ELSE 100 * exp(least(0, 1 - max(lb) / max(la)) + avg(ln(CASE WHEN m > 0 THEN m / total ELSE 1 / (2.0 ** zeros * total) END))) END AS s FROM z GROUP BY ALL),
+o AS (SELECT item_id, count(*) AS n, 100.0 * count(*) FILTER (trim(tgt) <> '') AS own FROM outputs GROUP BY item_id)
+SELECT item_id, round(CASE WHEN n < 2 THEN 0 ELSE -(own + coalesce(s, 0)) / (n * n) END, 6) + 0.0 AS utility FROM o LEFT JOIN (SELECT item_id, sum(s) AS s FROM f GROUP BY item_id) USING (item_id)"""
+CHRF_SQL = CV + r""", t AS (SELECT item_id, system, regexp_replace(coalesce(tgt, ''), '\s+', '', 'g') AS s FROM outputs),
+g AS (SELECT item_id, system, n, substr(s, i, n) AS gram, count(*) AS c FROM (SELECT *, unnest(range(1, length(s) - n + 2)) AS i FROM t, (SELECT unnest(range(1, 7)) AS n)) GROUP BY ALL),
+tot AS (SELECT item_id, system, n, sum(c) AS c FROM g GROUP BY ALL),
+m AS (SELECT a.item_id, a.system AS x, b.system AS y, a.n, sum(least(a.c, b.c)) AS m FROM g a JOIN g b ON a.item_id = b.item_id AND a.n = b.n AND a.gram = b.gram AND a.system <> b.system GROUP BY ALL),
+f AS (SELECT a.item_id, a.system AS x, b.system AS y, avg(coalesce(m.m, 0) / a.c) AS p, avg(coalesce(m.m, 0) / b.c) AS r FROM tot a JOIN tot b ON a.item_id = b.item_id AND a.n = b.n AND a.system <> b.system LEFT JOIN m ON m.item_id = a.item_id AND m.x = a.system AND m.y = b.system AND m.n = a.n GROUP BY ALL),
+o AS (SELECT item_id, count(*) AS n, 100.0 * count(*) FILTER (trim(tgt) <> '') AS own FROM outputs GROUP BY item_id)
+SELECT item_id, round(-(own + coalesce(s, 0)) / (n * n), 6) + 0.0 AS utility FROM o LEFT JOIN (SELECT item_id, sum(CASE WHEN p + r = 0 THEN 0 ELSE 500 * p * r / (4 * p + r) END) AS s FROM f GROUP BY item_id) USING (item_id)"""
+
+
+@query(BLEU_SQL)
 def diversity_bleu(spark, d):
     return r6(S.diversity("BLEU", V.conversation_outputs(spark, d)), "utility").select("item_id", "utility")
 
 
-@query()
+@query(CHRF_SQL)
 def diversity_chrf(spark, d):
     return r6(S.diversity("chrF", V.conversation_outputs(spark, d)), "utility").select("item_id", "utility")
 
@@ -497,22 +516,22 @@ def clusters_top_dice(spark, d):
     return r6(E.clusters_top(new, old, "m"), "dice")
 
 
-def perm_sql(source: str, name: str, seed: int, n: int = 32) -> str:
-    u = uniform_sql(f"'{seed}:' || perm", "item_id")
-    return f"""{name}_s AS (SELECT perm, system, round(sum(CASE WHEN {u} < 0.5 THEN -value ELSE value END), 6) AS s FROM {source}, (SELECT unnest(range({n})) AS perm) WHERE metric = 'm' GROUP BY 1, 2),
+def perm_sql(source: str, name: str, seed: int, n: int = 1000) -> str:
+    bit = f"(('0x' || substr(md5('{seed}:' || (perm // 128) || ':' || item_id), 1 + (perm % 128) // 32 * 8, 8))::UBIGINT >> (perm % 32)::UBIGINT) & 1"
+    return f"""{name}_s AS (SELECT perm, system, round(sum(CASE WHEN {bit} = 1 THEN -value ELSE value END), 6) AS s FROM {source}, (SELECT unnest(range({n})) AS perm) WHERE metric = 'm' GROUP BY 1, 2),
 {name}_r AS (SELECT system, round(sum(value), 6) AS r FROM {source} WHERE metric = 'm' GROUP BY 1),
 {name} AS (SELECT a.system AS sys_i, b.system AS sys_j, avg((round(a.s - b.s, 5) >= round(x.r - y.r, 5))::INT) AS p FROM {name}_s a JOIN {name}_s b ON a.perm = b.perm AND a.system < b.system JOIN {name}_r x ON x.system = a.system JOIN {name}_r y ON y.system = b.system GROUP BY 1, 2)"""
 
 
 @query(EV + ", " + perm_sql("scores", "p", 0) + " SELECT sys_i, sys_j, round(p, 6) AS p FROM p")
 def perm_pvalues(spark, d):
-    return r6(E.permutation_p(V.event_scores(spark, d), "m", 32, 0), "p")
+    return r6(E.permutation_p(V.event_scores(spark, d), "m"), "p")
 
 
 @query(EV + RANKED_SQL + ", " + perm_sql("new", "p", 0) + ", " + perm_sql("scores", "q", 1) + " SELECT round(1 - avg(abs(p.p - q.p)), 6) AS spa FROM p JOIN q USING (sys_i, sys_j)")
 def spa(spark, d):
     new, old = _quarter(spark, d)
-    return r6(E.spa(new, old, "m", 32, 0), "spa")
+    return r6(E.spa(new, old, "m"), "spa")
 
 
 CURVE_SQL = EV + RANKED_SQL + """, pm AS (SELECT system, rank AS k, round(avg(value) OVER (PARTITION BY system ORDER BY rank ROWS UNBOUNDED PRECEDING), 9) AS x FROM scores JOIN ranked USING (item_id) WHERE metric = 'm'),
@@ -536,7 +555,7 @@ def parity_k(spark, d):
     return r6(found, "parity").select(F.round("prop", 2).alias("prop"), F.col("k").cast("long").alias("k"), "parity")
 
 
-SEEDED_SQL = EV + f""", sd AS (SELECT unnest(range(3)) AS seed), it AS (SELECT DISTINCT item_id, pos FROM scores), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM it, sd),
+SEEDED_SQL = EV + f""", sd AS (SELECT unnest(range(10)) AS seed), it AS (SELECT DISTINCT item_id, pos FROM scores), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM it, sd),
 pm AS (SELECT seed, system, rank AS k, round(avg(value) OVER (PARTITION BY seed, system ORDER BY rank ROWS UNBOUNDED PRECEDING), 9) AS x FROM scores JOIN rk USING (item_id) WHERE metric = 'm'),
 mm AS (SELECT * FROM pm JOIN (SELECT system, round(avg(value), 9) AS y FROM scores WHERE metric = 'm' GROUP BY system) USING (system)),
 cs AS (SELECT a.seed, a.k, CASE WHEN sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))) = 0 THEN 0 ELSE sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) END AS c FROM mm a JOIN mm b ON a.seed = b.seed AND a.k = b.k AND a.system < b.system GROUP BY 1, 2)
@@ -546,29 +565,87 @@ cs AS (SELECT a.seed, a.k, CASE WHEN sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.
 @query(SEEDED_SQL + "SELECT k, round(avg(c), 6) AS correlation FROM cs GROUP BY k")
 def random_norm(spark, d):
     scores = V.event_scores(spark, d)
-    return r6(E.random_curve(scores, scores, "m", [0, 1, 2]), "correlation").select(F.col("k").cast("long").alias("k"), "correlation")
+    return r6(E.random_curve(scores, scores, "m"), "correlation").select(F.col("k").cast("long").alias("k"), "correlation")
 
 
-BASE_SQL = EV + f""", sd AS (SELECT unnest(range(4)) AS seed), it AS (SELECT DISTINCT item_id, pos FROM scores), n AS (SELECT count(*) AS n FROM it), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM it, sd),
+BASE_SQL = EV + f""", sd AS (SELECT unnest(range(20)) AS seed), it AS (SELECT DISTINCT item_id, pos FROM scores), n AS (SELECT count(*) AS n FROM it), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM it, sd),
 pm AS (SELECT seed, system, rank AS k, round(avg(value) OVER (PARTITION BY seed, system ORDER BY rank ROWS UNBOUNDED PRECEDING), 9) AS x FROM scores JOIN rk USING (item_id) WHERE metric = 'm'),
 mm AS (SELECT * FROM pm JOIN (SELECT system, round(avg(value), 9) AS y FROM scores WHERE metric = 'm' GROUP BY system) USING (system)),
 cs AS (SELECT a.seed, a.k, CASE WHEN sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))) = 0 THEN 0 ELSE sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) END AS c FROM mm a JOIN mm b ON a.seed = b.seed AND a.k = b.k AND a.system < b.system GROUP BY 1, 2),
-pr AS (SELECT unnest([0.1, 0.25, 0.5])::DOUBLE AS prop), tg AS (SELECT prop, avg(c) AS target FROM cs, pr, n WHERE seed < 2 AND k = floor(n * prop) GROUP BY prop),
-hit AS (SELECT seed, prop, min(k) AS k FROM cs, tg WHERE seed >= 2 AND k >= 5 AND c >= target GROUP BY 1, 2),
-bl AS (SELECT prop, target, avg(coalesce(k, n) / (n * prop)) AS random_parity FROM tg CROSS JOIN (SELECT seed FROM sd WHERE seed >= 2) CROSS JOIN n LEFT JOIN hit USING (seed, prop) GROUP BY prop, target)
+pr AS (SELECT 0.05 + i * 0.05 AS prop FROM (SELECT unnest(range(10))::DOUBLE AS i)), tg AS (SELECT prop, avg(c) AS target FROM cs, pr, n WHERE seed < 10 AND k = floor(n * prop) GROUP BY prop),
+hit AS (SELECT seed, prop, min(k) AS k FROM cs, tg WHERE seed >= 10 AND k >= 5 AND c >= target GROUP BY 1, 2),
+bl AS (SELECT prop, target, avg(coalesce(k, n) / (n * prop)) AS random_parity FROM tg CROSS JOIN (SELECT seed FROM sd WHERE seed >= 10) CROSS JOIN n LEFT JOIN hit USING (seed, prop) GROUP BY prop, target)
 """
 
 
-@query(BASE_SQL + "SELECT prop, round(target, 6) AS target, round(random_parity, 6) AS random_parity FROM bl")
+@query(BASE_SQL + "SELECT round(prop, 2) AS prop, round(target, 6) AS target, round(random_parity, 6) AS random_parity FROM bl")
 def random_baseline(spark, d):
-    return r6(E.random_baseline(V.event_scores(spark, d), "m", props=[0.1, 0.25, 0.5], seeds=2), "target", "random_parity").select("prop", "target", "random_parity")
+    found = r6(E.random_baseline(V.event_scores(spark, d), "m"), "target", "random_parity")
+    return found.select(F.round("prop", 2).alias("prop"), "target", "random_parity")
 
 
-@query()
+@query(BASE_SQL + RANKED_SQL + """, om AS (SELECT system, rank AS k, round(avg(value) OVER (PARTITION BY system ORDER BY rank ROWS UNBOUNDED PRECEDING), 9) AS x FROM scores JOIN ranked USING (item_id) WHERE metric = 'm'),
+omm AS (SELECT * FROM om JOIN (SELECT system, round(avg(value), 9) AS y FROM scores WHERE metric = 'm' GROUP BY system) USING (system)),
+oc AS (SELECT a.k, CASE WHEN sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))) = 0 THEN 0 ELSE sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) END AS c FROM omm a JOIN omm b ON a.k = b.k AND a.system < b.system GROUP BY 1),
+oh AS (SELECT prop, min(k) AS k FROM oc, tg WHERE k >= 5 AND c >= target GROUP BY 1)
+SELECT round(prop, 2) AS prop, round(coalesce(k, n) / (n * prop) / random_parity, 6) AS parity FROM bl CROSS JOIN n LEFT JOIN oh USING (prop)""")
 def parity_normalized(spark, d):
     scores = V.event_scores(spark, d)
-    baseline = E.random_baseline(scores, "m", props=[0.1, 0.25, 0.5], seeds=2)
-    return r6(E.parity_normalized(scores, _ranked(scores), baseline, "m"), "parity")
+    found = E.parity_normalized(scores, _ranked(scores), E.random_baseline(scores, "m"), "m")
+    return r6(found, "parity").select(F.round("prop", 2).alias("prop"), "parity")
+
+
+def clusters_by_sql(source: str, keys: str, out: str) -> str:
+    """clusters in each group of keys; source has keys, item_id, system, value."""
+    on = " AND ".join(f"b.{k.strip()} = w.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"w.{k.strip()}" for k in keys.split(","))
+    return f"""{out}_o AS (SELECT {keys}, system, row_number() OVER (PARTITION BY {keys} ORDER BY avg(value) DESC, system) - 1 AS ord FROM {source} GROUP BY {keys}, system),
+{out}_n AS (SELECT {keys}, count(DISTINCT item_id) >= 3 AS enough FROM {source} GROUP BY {keys}),
+{out}_w AS (SELECT *, lag(system) OVER (PARTITION BY {keys} ORDER BY ord) AS prev FROM {out}_o),
+{out}_d AS (SELECT {own}, w.ord, round(a.value - b.value, 9) AS d FROM {out}_w w JOIN {source} a ON a.system = w.system AND {on.replace('b.', 'a.')} JOIN {source} b ON b.system = w.prev AND b.item_id = a.item_id AND {on}),
+{out}_r AS (SELECT {keys}, ord, d, rank() OVER (PARTITION BY {keys}, ord ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {keys}, ord, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {keys}, ord, abs(d)) AS t FROM {out}_d WHERE d <> 0),
+{out}_z AS (SELECT {keys}, ord, 1 AS has, (coalesce(sum(r) FILTER (d > 0), 0) - count(*) * (count(*) + 1) / 4.0) / sqrt(nullif(greatest(count(*) * (count(*) + 1.0) * (2 * count(*) + 1) / 24 - sum(t * t - 1.0) / 48, 0), 0)) AS z FROM {out}_r GROUP BY {keys}, ord),
+{out} AS (SELECT {keys}, 1 + sum(CASE WHEN ord = 0 OR NOT enough THEN 0 WHEN has IS NULL THEN 1 WHEN z < -1.6448536269514722 THEN 1 ELSE 0 END)::BIGINT AS clusters FROM {out}_o LEFT JOIN {out}_z USING ({keys}, ord) JOIN {out}_n USING ({keys}) GROUP BY {keys})"""
+
+
+POINTS_SQL = ", pr AS (SELECT 0.05 + i * 0.05 AS prop FROM (SELECT unnest(range(10))::DOUBLE AS i)), n AS (SELECT count(DISTINCT item_id) AS n FROM scores), pk AS (SELECT prop, floor(n * prop) AS k FROM pr, n)"
+PREFIX_SQL = POINTS_SQL + ", ks AS (SELECT unnest(range(5, n + 1)) AS k FROM n), every AS (SELECT k, item_id, system, value FROM scores JOIN ranked USING (item_id) JOIN ks ON rank <= k WHERE metric = 'm'), " + clusters_by_sql("every", "k", "ck")
+
+
+@query(EV + RANKED_SQL + POINTS_SQL + ", part AS (SELECT prop, item_id, system, value FROM scores JOIN ranked USING (item_id) JOIN pk ON rank <= k WHERE metric = 'm'), " + clusters_by_sql("part", "prop", "cp") + " SELECT round(prop, 2) AS prop, clusters FROM cp")
+def cluster_curve(spark, d):
+    scores = V.event_scores(spark, d)
+    points = E.proportions(spark, scores.select("item_id").distinct().count())
+    return E.cluster_curve(scores, _ranked(scores), points, "m").select(F.round("prop", 2).alias("prop"), "clusters")
+
+
+@query(EV + RANKED_SQL + PREFIX_SQL + ", hit AS (SELECT prop, min(k) AS k FROM ck, pr WHERE clusters >= 2 GROUP BY prop) SELECT round(prop, 2) AS prop, coalesce(k, n) AS k, round(coalesce(k, n) / (n * prop), 6) AS parity FROM pr CROSS JOIN n LEFT JOIN hit USING (prop)")
+def cluster_parity(spark, d):
+    scores = V.event_scores(spark, d)
+    n = scores.select("item_id").distinct().count()
+    targets = spark.createDataFrame([(p, 2.0) for p in C.PROPS], "prop double, target double")
+    return r6(E.cluster_parity(scores, _ranked(scores), targets, n, "m"), "parity").select(F.round("prop", 2).alias("prop"), "k", "parity")
+
+
+CLUSTER_BASE_SQL = EV + POINTS_SQL + f""", sd AS (SELECT unnest(range(20)) AS seed), it AS (SELECT DISTINCT item_id, pos FROM scores), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM it, sd),
+tp AS (SELECT seed, prop, item_id, system, value FROM scores JOIN rk USING (item_id) JOIN pk ON rank <= k WHERE metric = 'm' AND seed < 10), {clusters_by_sql("tp", "seed, prop", "ct")}, tg AS (SELECT prop, avg(clusters) AS target FROM ct GROUP BY prop),
+sk AS (SELECT unnest(range(5, n + 1)) AS k FROM n), se AS (SELECT seed, k, item_id, system, value FROM scores JOIN rk USING (item_id) JOIN sk ON rank <= k WHERE metric = 'm' AND seed >= 10), {clusters_by_sql("se", "seed, k", "cs")},
+hit AS (SELECT seed, prop, min(k) AS k FROM cs, tg WHERE clusters >= target GROUP BY 1, 2),
+bl AS (SELECT prop, target, avg(coalesce(k, n) / (n * prop)) AS random_parity FROM tg CROSS JOIN (SELECT seed FROM sd WHERE seed >= 10) CROSS JOIN n LEFT JOIN hit USING (seed, prop) GROUP BY prop, target)
+"""
+
+
+@query(CLUSTER_BASE_SQL + "SELECT round(prop, 2) AS prop, round(target, 6) AS target, round(random_parity, 6) AS random_parity FROM bl")
+def random_baseline_clusters(spark, d):
+    found = r6(E.random_baseline(V.event_scores(spark, d), "m", "clusters"), "target", "random_parity")
+    return found.select(F.round("prop", 2).alias("prop"), "target", "random_parity")
+
+
+@query(CLUSTER_BASE_SQL + RANKED_SQL + PREFIX_SQL.removeprefix(POINTS_SQL) + ", oh AS (SELECT prop, min(k) AS k FROM ck, tg WHERE clusters >= target GROUP BY 1) SELECT round(prop, 2) AS prop, round(coalesce(k, n) / (n * prop) / random_parity, 6) AS parity FROM bl CROSS JOIN n LEFT JOIN oh USING (prop)")
+def parity_normalized_clusters(spark, d):
+    scores = V.event_scores(spark, d)
+    found = E.parity_normalized(scores, _ranked(scores), E.random_baseline(scores, "m", "clusters"), "m", "clusters")
+    return r6(found, "parity").select(F.round("prop", 2).alias("prop"), "parity")
 
 
 @query()
@@ -715,12 +792,66 @@ def holdout_error(spark, d):
 # ---- sources and sinks ----------------------------------------------------------------------------------------------
 
 
-@query(EV + "SELECT item_id::VARCHAR AS item_id, system, metric, value FROM scores")
-def nested_round_trip(spark, d):
+def _wire(spark, d):
+    """The events as nested items."""
     from siftwell.sources import items as I
 
     scores = V.event_scores(spark, d).withColumn("dataset", F.lit("x")).withColumn("item_id", F.col("item_id").cast("string"))
     none = F.lit(None).cast("string")
     rows = scores.select("dataset", "item_id", "pos").distinct().select("*", none.alias("src"), none.alias("ref"), none.alias("doc"), none.alias("domain"), F.lit(None).cast("double").alias("cost"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("tgt"))
-    wire = I.to_wire({"items": rows, "scores": scores})
-    return I.to_long(wire.drop("dataset"), "x")["scores"].select("item_id", "system", "metric", "value")
+    return I.to_wire({"items": rows, "scores": scores})
+
+
+@query(EV + "SELECT item_id::VARCHAR AS item_id, system, metric, value FROM scores")
+def nested_round_trip(spark, d):
+    from siftwell.sources import items as I
+
+    return I.to_long(_wire(spark, d).drop("dataset"), "x")["scores"].select("item_id", "system", "metric", "value")
+
+
+@query(EV + "SELECT dense_rank() OVER (ORDER BY item_id) - 1 AS pos, item_id::VARCHAR AS item_id, system, metric, value FROM scores")
+def jsonl_round_trip(spark, d):
+    """Written as JSON lines in order, read back with the lines' numbers as positions."""
+    from siftwell.sources import items as I
+
+    path = V.scratch(spark, "jsonl")
+    I.write_jsonl(_wire(spark, d), path, "pos")
+    return I.load_data(spark, path)["scores"].select("pos", "item_id", "system", "metric", "value")
+
+
+@query(EV + "SELECT 'user ' || item_id AS src, avg(value) AS score FROM scores WHERE metric = 'n' GROUP BY item_id")
+def training_csv(spark, d):
+    from siftwell.sources import items as I
+
+    scores, path = V.event_scores(spark, d), V.scratch(spark, "csv")
+    utility = S.metric_avg(scores, "n").withColumn("utility", -F.col("utility"))
+    I.write_training_csv(utility, scores.select("item_id", "pos", F.concat(F.lit("user "), "item_id").alias("src")).distinct(), path)
+    return spark.read.option("header", True).schema("src string, score double").csv(path).select("src", F.abs("score").alias("score"))
+
+
+@query(EV + "SELECT item_id, system, metric, value FROM scores")
+def cached_table(spark, d):
+    """Made once, then read from the cache: the second maker would give nothing."""
+    from siftwell.sources import items as I
+
+    folder, scores = V.scratch(spark, "cache"), V.event_scores(spark, d).select("item_id", "system", "metric", "value")
+    I.cached(spark, folder, {"data": "events"}, "1", lambda: scores)
+    return I.cached(spark, folder, {"data": "events"}, "1", lambda: scores.limit(0))
+
+
+@query(PT + "SELECT item_id, system, metric, value FROM scores")
+def registered_reader(spark, d):
+    from siftwell.sources import items as I
+
+    I.register_reader("parts", lambda session, root, **options: {"scores": V.part_scores(session, root)})
+    return I.load_data(spark, "parts", d)["scores"].select("item_id", "system", "metric", "value")
+
+
+@query("SELECT dense_rank() OVER (ORDER BY s_name) - 1 AS pos, s_name AS src, s_nationkey::VARCHAR AS system, round((s_acctbal + s_suppkey) / 2, 6) AS value FROM supplier")
+def rating_csv(spark, d):
+    from siftwell.sources import items as I
+
+    path = V.scratch(spark, "ratings")
+    V.table(spark, d, "supplier").select(F.col("s_name").alias("source"), F.col("s_nationkey").alias("system"), F.col("s_suppkey").cast("string").alias("output"), F.col("s_acctbal").alias("first"), F.col("s_suppkey").alias("second")).write.option("header", True).csv(path)
+    found = I.read_rating_csv(spark, path, "source", "output", "system", ["first", "second"])
+    return r6(found["scores"].join(found["items"].select("item_id", "src"), "item_id"), "value").select("pos", "src", "system", "value")

@@ -7,6 +7,9 @@ language as domain and a source as document.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
+    return f"{shared.rstrip('/')}/siftwell-{name}-{uuid.uuid4().hex}"
+
+
 def _long(wide: DataFrame, metrics: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(m).cast("double"), 6).alias("value")) for m in metrics])
     return wide.select("item_id", "pos", "system", F.explode(cells).alias("c")).select("item_id", "pos", "system", "c.metric", "c.value")

@@ -49,9 +49,15 @@ def to_wire(tables: Tables, extra: list[str] | None = None) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """pos (from 0), line. A file of lines is one dataset: its lines are numbered by file offset order within the one file."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("l_"))
-    return lines.select(F.posexplode("l_").alias("pos", name)).withColumn("pos", F.col("pos").cast("long"))
+    """pos (from 0, in each file), line. Files are read in blocks: lines count within their block, and the lines of the blocks before it are added."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", r"\r\z", "").alias(name), F.col("_metadata.file_path").alias("f_"), F.col("_metadata.file_block_start").alias("b_"), F.monotonically_increasing_id().alias("o_")
+    )
+    before = Window.partitionBy("f_").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("f_", "b_").agg(F.count(F.lit(1)).alias("c_"))
+    blocks = blocks.select("f_", "b_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("c_"))
+    inside = F.row_number().over(Window.partitionBy("f_", "b_").orderBy("o_")) - 1
+    return lines.withColumn("n_", inside).join(blocks, ["f_", "b_"]).select((F.col("n_") + F.col("c_")).cast("long").alias("pos"), name)
 
 
 def read_jsonl(spark: SparkSession, path: str, dataset: str = "custom") -> Tables:

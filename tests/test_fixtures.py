@@ -14,6 +14,7 @@ from siftwell.operators import normalize as N
 from siftwell.operators import scorers as S
 from siftwell.operators import select as L
 from siftwell.operators.ranking import in_order
+from siftwell.sources import items
 
 VALUES = {"a": ([0.9, 0.5, 0.1], [90, 60, 20]), "b": ([0.8, 0.8, 0.2], [80, 70, 30]), "c": ([0.5, 0.5, 0.5], [50, 40, 60]), "d": ([0.1, 0.6, 0.7], [30, 65, 70])}
 
@@ -267,3 +268,58 @@ def test_seeds_share_the_scores(scores):
     assert sorted(r["k"] for r in curve.collect()) == [1, 2, 3, 4] and round(curve.where("k = 4").first()["correlation"], 6) == 1
     base = E.random_baseline(scores, "human", props=[0.5, 1.0], seeds=2)
     assert {r["prop"] for r in E.parity_normalized(scores, E.rank_items(S.metric_var(scores, "human")), base, "human").collect()} == {0.5, 1.0}
+
+
+# ---- plans for many items give what the plain ones give --------------------------------------------------------------
+
+
+def _noise(spark, n=60, systems="abcd"):
+    rng = np.random.default_rng(5)
+    rows = [(i, i, s, "m", None if rng.random() < 0.05 else float(np.round(rng.normal(k * 0.4, 1), 2))) for i in range(n) for k, s in enumerate(systems)]
+    return spark.createDataFrame(rows, "item_id long, pos long, system string, metric string, value double")
+
+
+def test_prefix_means_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(E, "BUCKET_RANKS", 7)
+    scores = _noise(spark)
+    ranked = E.seeded_ranks(scores, [0, 1])
+    plain, cut = (E.prefix_means(scores, ranked, "m", ("seed",), buckets=b).orderBy("seed", "system", "k").collect() for b in (False, True))
+    assert len(plain) == len(cut) == 2 * 4 * 60
+    for a, b in zip(plain, cut, strict=True):
+        assert a[:3] == b[:3] and (a["x"] == b["x"] or abs(a["x"] - b["x"]) < 1e-9)
+
+
+def test_ranks_without_one_task(spark, monkeypatch):
+    u = _noise(spark, systems="a").select("item_id", "pos", F.round("value", 0).alias("utility"))
+    plain = S.combine([u]).orderBy("item_id").collect()
+    monkeypatch.setattr(S, "planned_buckets", lambda df: 3)
+    monkeypatch.setattr("siftwell.operators.ranking.planned_buckets", lambda df: 3)
+    assert S.combine([u]).orderBy("item_id").collect() == plain
+
+
+def test_cluster_walk_against_windows(spark):
+    scores = _noise(spark)
+    wide = scores.toPandas().pivot_table(index="item_id", columns="system", values="value", dropna=False).to_numpy()
+    for k in (1, 2, 3, 5, 20, 60):
+        got = E.cluster_count(scores.where(F.col("item_id") < k), "m").first()[0]
+        assert Q.cluster_total(wide[:k]) == got
+    same = np.array([[1.0, 1.0], [2.0, 2.0], [3.0, 3.0]])
+    assert Q.cluster_total(same) == 2 and Q.cluster_total(same[:2]) == 1
+
+
+def test_signs_are_balanced_and_stable():
+    signs = E.sign_rows(3, [str(i) for i in range(200)], 300)
+    assert set(np.unique(signs)) == {-1.0, 1.0} and abs(signs.mean()) < 0.02
+    assert (E.sign_rows(3, ["7"], 300)[0] == signs[7]).all() and (E.sign_rows(4, ["7"], 300)[0] != signs[7]).any()
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "x.txt").write_bytes("\r\n".join(lines).encode() + b"\r\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = items.numbered_lines(spark, str(tmp_path / "x.txt")).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [tuple(r) for r in got] == list(enumerate(lines))
