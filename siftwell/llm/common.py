@@ -90,6 +90,16 @@ def likely_members(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str)
     return df.withColumn("bit_", bit(F.col(key))).join(bits, F.expr("word_ = bit_ DIV 64") & inside, "left_semi").drop("bit_")
 
 
+def split_members(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key is in wanted (distinct, of the same name), and the others. Only rows that pass the bit table are shuffled."""
+    bits, bit, inside = bit_table(wanted, key)
+    columns = df.columns
+    marked = df.withColumn("bit_", bit(F.col(key))).join(bits, F.expr("word_ = bit_ DIV 64"), "left")
+    maybe = marked.where(inside).select(columns)
+    surely_not = marked.where(~F.coalesce(inside, F.lit(False))).select(columns)
+    return maybe.join(wanted, key, "left_semi"), surely_not.unionByName(maybe.join(wanted, key, "left_anti"))
+
+
 #: Rows and bytes of the batches that go to Python: rows hold whole documents, so Spark's defaults would be large.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

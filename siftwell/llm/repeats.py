@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import dropped, shuffle_partitions, small_batches, written
+from siftwell.llm.common import dropped, shuffle_partitions, small_batches, split_members, written
 from siftwell.llm.text_index import Parents, Suffixes, joined, matching_statistics
 
 BLOCK = 1 << 18  # symbols that are hashed at once
@@ -352,8 +352,7 @@ def repeats(src: DataFrame, spec: Spec, partitions: int | None = None) -> DataFr
     any_hot = bool(crowded.take(1))
     wanted, lone = segments, None
     if not spec.lone:
-        alone = written(rivals.where("rivals = 1").select("key"), "alone")
-        wanted, lone = segments.join(alone, "key", "left_anti"), segments.join(alone, "key", "left_semi")
+        wanted, lone = split_members(segments, "key", written(rivals.where("rivals > 1").select("key"), "rivals"))
     wanted = wanted.join(crowded, "key", "left") if any_hot else wanted.withColumn("hot", F.lit(False))
     wanted = wanted.select("key", "seg", "copies", "doc", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))
     texts = src.repartition(n, "doc")

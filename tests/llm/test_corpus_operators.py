@@ -40,6 +40,15 @@ def test_query_against_sql(spark, data, duck, name):
     assert same_rows(registry.QUERIES[name](spark, data), duck.execute(registry.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("bits", [1 << 20, 64])
+def test_split_members(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = spark.createDataFrame([(k % 50, k) for k in range(200)], "key long, bit_ long").withColumnRenamed("bit_", "n")
+    inside, outside = common.split_members(rows, "key", spark.createDataFrame([(k,) for k in range(0, 60, 7)], "key long"))
+    assert sorted(r["n"] for r in inside.collect()) == [k for k in range(200) if k % 50 % 7 == 0]
+    assert sorted(r["n"] for r in outside.collect()) == [k for k in range(200) if k % 50 % 7]
+
+
 # ---- exact dedup ----------------------------------------------------------------------------------------------------
 
 
