@@ -186,12 +186,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text (never null), and what tells rows apart: doc (64 bits of a hash of id and text) and rh (20 bits of another).
+    """id, text (never null), and what tells rows apart: doc and rh.
 
-    Rows of one id and one text are alike in everything, so they may share the mark.
+    Ids that are all different do so by themselves, and take little room. Otherwise doc is 64 bits of a hash of id and
+    text and rh 20 bits of another; rows of one id and one text are alike in everything, so they may share the mark.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = F.col(id_col).cast("long")
+    if not docs.select(own.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR id IS NULL").take(1):
+        return docs.select(own.alias("id"), own.alias("doc"), F.lit(0).cast("long").alias("rh"), text.alias("text"))
     return docs.select(own.alias("id"), F.xxhash64(own.isNull(), own, text).alias("doc"), F.xxhash64(F.lit(1), text).bitwiseAND((1 << 20) - 1).alias("rh"), text.alias("text"))
 
 
