@@ -194,7 +194,8 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = F.col(id_col).cast("long")
     if not docs.select(own.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR id IS NULL").take(1):
-        return docs.select(own.alias("id"), own.alias("doc"), F.lit(0).cast("long").alias("rh"), text.alias("text"))
+        whole = F.coalesce(own, F.lit(0))  # there is no null, and so Spark knows it: a filter for it would undo the reuse of the texts' shuffle
+        return docs.select(own.alias("id"), whole.alias("doc"), F.lit(0).cast("long").alias("rh"), text.alias("text"))
     return docs.select(own.alias("id"), F.xxhash64(own.isNull(), own, text).alias("doc"), F.xxhash64(F.lit(1), text).bitwiseAND((1 << 20) - 1).alias("rh"), text.alias("text"))
 
 
@@ -226,7 +227,7 @@ def _slices(text: str, spec: Spec) -> Callable[[int, int], bytes]:
 def segment_table(wanted: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     """key, seg, copies, hot, body of the wanted segments (key, seg, copies, hot, doc, pos), cut from the texts."""
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "seg", "copies", "hot", "pos")).alias("wanted"))
-    both = texts.join(lists, "doc").select("rh", "text", "wanted", "doc")
+    both = texts.join(lists, "doc").select("rh", "text", "wanted", "doc", "id")  # id: so that the shuffle of the texts serves twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
