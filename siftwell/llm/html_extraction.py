@@ -313,10 +313,11 @@ def main_text(html: str | None, classifier: Classifier | None = None) -> str:
 
 
 def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[str]:
-    """At most TRAIN_PAGES whole pages of at most TRAIN_CHARS characters."""
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    got = pages.where(F.length(html_col) <= TRAIN_CHARS).orderBy(order, F.xxhash64(html_col)).select(html_col).limit(TRAIN_PAGES).collect()
-    return [r[0] for r in got]
+    """At most TRAIN_PAGES different whole pages of at most TRAIN_CHARS characters. Only their keys are ordered, not their texts."""
+    src = pages.where(F.length(html_col) <= TRAIN_CHARS).select(F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.xxhash64(html_col).alias("same"), F.col(html_col).alias("html"))
+    picked = src.select("at", "same").distinct().orderBy("at", "same").limit(TRAIN_PAGES)
+    got = src.join(F.broadcast(picked), ["at", "same"]).groupBy("at", "same").agg(F.min("html").alias("html")).collect()
+    return [r["html"] for r in sorted(got)]
 
 
 def extract_text(pages: DataFrame, classifier: Classifier | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
