@@ -5,34 +5,43 @@ response, the others revisit it. A payload with very many copies is spread over
 from counts that are combined before the shuffle; at most ``4 * partitions`` payloads can be that frequent). Spark's
 text writer puts the records into gzip files in the shared folder, at most ``RECORDS_PER_FILE`` in each.
 
-Reading: within a file, every occurrence of the version line is a candidate record; its header gives the offset of
-its successor. Pointer jumping from the start of the file (each round doubles the length of the known chain) keeps the
-candidates that the chain reaches, so version lines inside payloads are rejected.
+Reading: Spark's text reader cuts archives at the version mark, so a plain archive is read in splits by many tasks, a
+gzip file as a stream by one; no task holds an archive. Every mark is a candidate record. A task emits, for each candidate
+of its split, the offset of its successor and where the chain from it leaves the split (pointer jumping). Offsets within
+a split become offsets in the file by running sums of split sizes; pointer jumping over the joined offsets (each round
+doubles the known chain, one round for each doubling of the splits of a file) finds where the chain from the start of the
+file enters each split, and only the candidates reached from there stay: marks inside payloads are rejected. Payloads
+are hashed as they are read; a record that goes on in the next split behind a mark in its payload is put together from
+its pieces afterwards.
 
 Defined cases: a null html is an empty payload; empty payloads count as equal; a null url is left out of the header;
 repeated rows of one page make one response and revisits of it; an empty table gives an empty result; a file whose
-chain breaks raises an error instead of losing records.
+chain breaks raises an error instead of losing records; a file without bytes has no records.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import shared_dir, shuffle_partitions, table, text_or_empty
+from siftwell.llm.common import dropped, shared_dir, shuffle_partitions, small_batches, table, text_or_empty, written
 
 RECORDS_PER_FILE = 10_000
 HOT_SHARE = 4
-VERSION = b"WARC/1.1\r\n"
+#: What every record starts with, and what may follow it.
+MARK, VERSIONS = b"WARC/1.", (b"0\r\n", b"1\r\n")
+#: Kinds of rows of a scan.
+RECORD, CANDIDATE, SPLIT, HEADLESS = 0, 1, 2, 3
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ID = "urn:page:"
 
@@ -91,64 +100,17 @@ def record(page_id: Column, url: Column, payload: Column, revisit: Column, refer
     return F.concat(head, block, F.lit("\r\n\r"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Writes gzip archives into the folder path, which all executors must share."""
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip") -> None:
+    """Writes archives into the folder path, which all executors must share. With compression="none" they are read in splits later."""
     found = with_response(pages, id_col, url_col, payload_col)
     records = found.select(record(*(F.col(c) for c in ("page_id", "url", "payload", "revisit", "refers_to"))).alias("value"))
-    records.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", "\n").text(path)
-
-
-def inflate(data: bytes) -> bytes:
-    """All members of a gzip file; other files as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        out.append(d.flush())
-        data = d.unused_data.lstrip(b"\0")
-    return b"".join(out)
-
-
-LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", re.I)
-
-
-def candidates(data: bytes, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of version lines that start in [lo, hi), the block of each, and where its successor would start (-1: no valid record)."""
-    at, body, successor = [], [], []
-    i = data.find(VERSION, lo)
-    hi = len(data) if hi is None else hi
-    while 0 <= i < hi:
-        end = data.find(b"\r\n\r\n", i)
-        m = LENGTH.search(data, i, end + 2) if end >= 0 else None
-        nxt = end + 4 + int(m[1]) + 4 if m else -1
-        at.append(i)
-        body.append(end + 4)
-        successor.append(nxt if 0 <= nxt <= len(data) and data[nxt - 4 : nxt] == b"\r\n\r\n" else -1)
-        i = data.find(VERSION, i + 1)
-    return np.array(at, np.int64), np.array(body, np.int64), np.array(successor, np.int64)
-
-
-def reachable(at: np.ndarray, successor: np.ndarray, size: int) -> np.ndarray:
-    """Which candidates the chain from offset 0 reaches, by pointer jumping."""
-    n = len(at)
-    if not n:
-        if size:
-            raise ValueError("not a WARC file: it has no record")
-        return np.zeros(0, bool)
-    jump = np.searchsorted(at, successor)
-    jump = np.where((jump < n) & (at[np.minimum(jump, n - 1)] == successor), jump, n + 1)
-    jump = np.where(successor == size, n, jump)  # n: the end of the file, n + 1: nowhere
-    jump = np.append(jump, [n, n + 1])
-    reached = np.zeros(n + 2, bool)
-    reached[0] = at[0] == 0
-    for _ in range(max(1, n.bit_length() + 1)):
-        reached[jump[np.flatnonzero(reached)]] = True
-        jump = jump[jump]
-    if not reached[n]:
-        raise ValueError("the chain of records breaks before the end of the file")
-    return reached[:n]
+    records.write.option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", "\n").text(path)
+
+
+BREAK = b"\r\n\r\n"
+LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
+#: Records are handed on in batches of this many.
+BATCH = 1000
 
 
 def _header(head: bytes) -> dict[str, str]:
@@ -157,40 +119,277 @@ def _header(head: bytes) -> dict[str, str]:
 
 def _page(uri: str | None) -> int | None:
     found = (uri or "").strip("<>").removeprefix(ID)
-    return int(found) if re.fullmatch(r"-?\d+", found) else None
-
-
-def records_of(data: bytes) -> Iterator[tuple]:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of each record of one archive."""
-    at, body, successor = candidates(data)
-    for k in np.flatnonzero(reachable(at, successor, len(data))):
-        head = _header(data[at[k] : body[k] - 4])
-        kind = head.get("warc-type")
-        block = data[body[k] : successor[k] - 4]
-        http, _, payload = block.partition(b"\r\n\r\n")
-        page, url = _page(head.get("warc-record-id")), head.get("warc-target-uri")
-        if kind == "response":
-            yield page, url, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), kind, None, payload
-        elif kind == "revisit":
-            yield page, url, int(_header(http).get("content-length", 0)), head.get("warc-payload-digest", "").removeprefix("sha1:"), kind, _page(head.get("warc-refers-to")), None
-
-
-READ = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    return int(found) if re.fullmatch(r"-?\d{1,18}", found) else None
+
+
+class Candidate:
+    """A record that is being read from the bytes behind its mark. What it keeps of them: headers, a digest, and the payload if asked to."""
+
+    def __init__(self, at: int, keep: bool):
+        self.at, self.keep, self.head, self.need, self.left = at, keep, None, None, 0
+        self.pending, self.http, self.tail = bytearray(MARK), None, b""
+        self.sha, self.bytes, self.parts, self.valid, self.closed = hashlib.sha1(), 0, [], False, False
+
+    def feed(self, data: bytes) -> None:
+        if self.head is None:
+            searched = max(0, len(self.pending) - 3)
+            self.pending += data
+            end = self.pending.find(BREAK, searched)
+            if end < 0:
+                return
+            found = LENGTH.search(self.pending, 0, end + 2)
+            if not found:
+                self.closed = True
+                return
+            self.head, self.left = _header(bytes(self.pending[:end])), int(found[1])
+            self.need = end + 4 + self.left + 4
+            data, self.pending = bytes(self.pending[end + 4 :]), bytearray()
+        block, rest = data[: self.left], data[self.left :]
+        self.left -= len(block)
+        if block and self.http is None:
+            searched = max(0, len(self.pending) - 3)
+            self.pending += block
+            end = self.pending.find(BREAK, searched)
+            if end < 0:
+                block = b""
+            else:
+                self.http, block = bytes(self.pending[:end]), bytes(self.pending[end + 4 :])
+                self.pending = bytearray()
+        if block:
+            self.sha.update(block)
+            self.bytes += len(block)
+            if self.keep:
+                self.parts.append(block)
+        if not self.left:
+            self.tail += rest[: 4 - len(self.tail)]
+            if len(self.tail) == 4:
+                self.closed, self.valid = True, self.tail == BREAK
+
+    def row(self) -> tuple:
+        """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
+        head = self.head
+        kind, page, url = head.get("warc-type"), _page(head.get("warc-record-id")), head.get("warc-target-uri")
+        if kind == "revisit":
+            http = self.http if self.http is not None else bytes(self.pending)
+            length = _header(http).get("content-length", "")
+            return page, url, int(length) if re.fullmatch(r"\d{1,18}", length) else 0, head.get("warc-payload-digest", "").removeprefix("sha1:"), kind, _page(head.get("warc-refers-to")), None
+        return page, url, self.bytes, base64.b32encode(self.sha.digest()).decode(), kind, None, b"".join(self.parts) if self.keep else None
+
+
+def leaps(at: np.ndarray, successor: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For candidates at ascending offsets of a split of that size: the place of each one's successor among them (its own place: none there), and the
+    offset at or behind the split's end where the chain from it comes out (-1: it breaks), by pointer jumping."""
+    n = len(at)
+    place = np.searchsorted(at, successor)
+    inside = (place < n) & (at[np.minimum(place, n - 1)] == successor) if n else np.zeros(0, bool)
+    step = np.where(inside, place, np.arange(n))
+    root = step
+    for _ in range(n.bit_length()):
+        root = root[root]
+    return step, np.where(successor[root] >= size, successor[root], -1)
+
+
+def chain(at: np.ndarray, successor: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Which candidates of a split the chains from the entries reach: each round doubles the jump and follows it from all reached so far."""
+    step, _ = leaps(at, successor, 0)
+    reached = np.isin(at, entries)
+    for _ in range(len(at).bit_length()):
+        reached[step[reached]] = True
+        step = step[step]
+    return reached
+
+
+class Split:
+    """The pieces of one split, in order. Offsets count from the first of its pieces."""
+
+    def __init__(self, file: str, start: int, keep: bool):
+        self.file, self.start, self.keep, self.size, self.pieces = file, start, keep, 0, 0
+        self.open: list[Candidate] = []
+        self.at: list[int] = []
+        self.successor: dict[int, int] = {}
+        self.before = BREAK
+
+    def add(self, piece: bytes) -> Iterator[tuple]:
+        """The bytes between two marks; those before the first mark of a file are no candidate."""
+        self.pieces += 1
+        marked = self.start > 0 or self.pieces > 1
+        whole = MARK + piece if marked else piece
+        for c in self.open:
+            c.feed(whole)
+        if marked and piece[:3] in VERSIONS and (self.before == BREAK or self.pieces == 1):
+            c = Candidate(self.size, self.keep)
+            c.feed(piece)
+            self.at.append(c.at)
+            self.open.append(c)
+        self.size += len(whole)
+        self.before = (self.before + whole[-4:])[-4:]
+        yield from self._closed()
+
+    def _closed(self) -> Iterator[tuple]:
+        for c in self.open:
+            if c.closed and c.valid:
+                self.successor[c.at] = c.at + c.need
+                yield self._record(c, False)
+        self.open = [c for c in self.open if not c.closed]
+
+    def _record(self, c: Candidate, unfinished: bool) -> tuple:
+        row = (None,) * 7 if unfinished else c.row()
+        return (RECORD, self.file, self.start, c.at, c.at + c.need, None, unfinished, *row)
+
+    def end(self) -> Iterator[tuple]:
+        for c in self.open:
+            if c.need is None:  # its header goes on behind the split
+                yield (HEADLESS, self.file, self.start, c.at, None, None, None, *(None,) * 7)
+            else:  # it goes on behind the split
+                self.successor[c.at] = c.at + c.need
+                yield self._record(c, True)
+        at = np.array(self.at, np.int64)
+        successor = np.array([self.successor.get(a, -1) for a in self.at], np.int64)
+        _, out = leaps(at, successor, self.size)
+        yield (SPLIT, self.file, self.start, self.size, None, None, None, *(None,) * 7)
+        for a, s, o in zip(at.tolist(), successor.tolist(), out.tolist(), strict=True):
+            yield (CANDIDATE, self.file, self.start, a, s, o, None, *(None,) * 7)
+
+
+READ = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+READ_SQL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+SCANNED = {"what": pa.int8(), "file": pa.string(), "start": pa.int64(), "at": pa.int64(), "successor": pa.int64(), "out": pa.int64(), "unfinished": pa.bool_()} | READ
+SCANNED_SQL = f"what byte, file string, start long, at long, successor long, out long, unfinished boolean, {READ_SQL}"
+
+
+def _in_batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
+
+
+def _cut(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, start (of the split), value (bytes between two marks), in the order of the file within a split."""
+    small_batches(spark)
+    return spark.read.option("lineSep", MARK.decode()).text(path).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
+
+
+def scan(cut: DataFrame, payload: bool = False) -> DataFrame:
+    """One row for each whole or unfinished record, each candidate and each split (at: its size); which records count, the chain decides."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (file, start), pieces in itertools.groupby(_pieces(batches), lambda p: p[:2]):
+            split = Split(file, start, payload)
+            for _, _, piece in pieces:
+                yield from split.add(piece)
+            yield from split.end()
+
+    return cut.mapInArrow(lambda batches: _in_batches(rows(batches), SCANNED), SCANNED_SQL)
+
+
+def scan_all(spark: SparkSession, path: str, payload: bool) -> DataFrame:
+    """scan(), written. A file in which a mark inside a header parts that header from its split is scanned again, as one split (rare: only a
+    header that holds a mark can be parted)."""
+    scanned = written(scan(_cut(spark, path), payload), "warc-scan")
+    parted = scanned.where(F.col("what") == HEADLESS).select("file").distinct()
+    files = [r["file"] for r in parted.collect()]
+    if not files:
+        return scanned
+    whole = {"spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": str(1 << 59)}
+    before = {k: spark.conf.get(k, None) for k in whole}
+    try:
+        for k, v in whole.items():
+            spark.conf.set(k, v)
+        again = written(scan(_cut(spark, files), payload), "warc-scan")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return scanned.join(parted, "file", "left_anti").unionByName(again.where(F.col("what") != HEADLESS))
+
+
+def entries(scanned: DataFrame, splits: DataFrame) -> DataFrame:
+    """file, start, at: where the chain of each file enters its splits. An error where a chain breaks before the end of its file."""
+    to_file = splits.select("file", "start", "base")
+    found = scanned.where(F.col("what") == CANDIDATE).join(to_file, ["file", "start"])
+    found = found.select("file", "start", (F.col("base") + F.col("at")).alias("from"), F.when(F.col("out") >= 0, F.col("base") + F.col("out")).alias("to"))
+    first = splits.select("file", F.lit(0).cast("long").alias("from")).distinct()
+    most = splits.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    # Only candidates at which another split's chain comes out, or that begin a file, can be entries.
+    asked = found.where("to is not null").select("file", F.col("to").alias("from")).distinct().union(first).distinct()
+    jump = written(found.join(asked, ["file", "from"], "left_semi"), "warc-jumps")
+    steps, reached, temporary = jump.select("file", "from", "to"), first, [jump]
+    for _ in range(max(0, most - 1).bit_length()):
+        onward = steps.where("to is not null").select("file", "from", F.col("to").alias("at"))
+        reached = written(reached.union(reached.join(onward, ["file", "from"]).select("file", "at")).distinct(), "warc-reached")
+        twice = steps.select("file", F.col("from").alias("at"), F.col("to").alias("further"))
+        steps = written(onward.join(twice, ["file", "at"], "left").select("file", "from", F.coalesce("further", "at").alias("to")), "warc-steps")
+        temporary += [reached, steps]
+    on_chain = jump.join(reached, ["file", "from"], "left_semi")
+    sizes = splits.groupBy("file").agg(F.max(F.col("base") + F.col("size")).alias("size")).where("size > 0")
+    broken = sizes.join(on_chain, (sizes["file"] == on_chain["file"]) & (on_chain["to"] == sizes["size"]), "left_anti").take(1)
+    if broken:
+        raise ValueError(f"not a WARC file, or the chain of records breaks before its end: {broken[0]['file']}")
+    out = written(on_chain.join(to_file, ["file", "start"]).select("file", "start", (F.col("from") - F.col("base")).alias("at")), "warc-entries")
+    dropped(*temporary)
+    return out
+
+
+def on_chain(scanned: DataFrame, entered: DataFrame) -> DataFrame:
+    """file, start, at of the candidates that the chain reaches."""
+
+    def run(candidates: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        candidates = candidates.sort_values("at")
+        return candidates[chain(candidates["at"].to_numpy(), candidates["successor"].to_numpy(), entry["at"].to_numpy())][["file", "start", "at"]]
+
+    candidates = scanned.where(F.col("what") == CANDIDATE).select("file", "start", "at", "successor")
+    return candidates.groupBy("file", "start").cogroup(entered.groupBy("file", "start")).applyInPandas(run, "file string, start long, at long")
+
+
+def finished(cut: DataFrame, unfinished: DataFrame, splits: DataFrame, payload: bool) -> DataFrame:
+    """Records (file, start, at, successor) that go on behind their split, from their pieces in all splits; one record's pieces meet in one row."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (file, start), group in itertools.groupby(_pieces(batches), lambda p: p[:2]):
+            at = 0
+            for k, (_, _, piece) in enumerate(group):
+                whole = MARK + piece if start > 0 or k > 0 else piece
+                yield file, start, at, whole
+                at += len(whole)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for parts in b.column(0):
+                c = Candidate(0, payload)
+                for k, part in enumerate(parts.as_py()):
+                    c.feed(part["data"] if k else part["data"][len(MARK) :])
+                if not c.valid:
+                    raise ValueError("the chain of records breaks: a record does not end with its declared length")
+                yield c.row()
+
+    kinds = {"file": pa.string(), "start": pa.int64(), "at": pa.int64(), "data": pa.binary()}
+    all_pieces = cut.mapInArrow(lambda batches: _in_batches(pieces(batches), kinds), "file string, start long, at long, data binary")
+    spans = unfinished.join(splits.select("file", "start", "base"), ["file", "start"])
+    spans = spans.select("file", (F.col("base") + F.col("at")).alias("lo"), (F.col("base") + F.col("successor")).alias("hi"))
+    touched = spans.join(splits, "file").where("base < hi and base + size > lo").select("file", "start", "base", "lo", "hi")
+    inside = all_pieces.join(touched, ["file", "start"]).withColumn("at", F.col("base") + F.col("at")).where("at >= lo and at < hi")
+    groups = inside.groupBy("file", "lo").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("parts")).select("parts")
+    return groups.mapInArrow(lambda batches: _in_batches(whole(batches), READ), READ_SQL)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """One row for each response or revisit record of the archives in a folder."""
-    kinds = READ | ({"payload": pa.binary()} if payload else {})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                rows = list(records_of(inflate(b.column(0)[i].as_py())))
-                columns = zip(*rows, strict=True) if rows else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=False)], list(kinds))
-
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, schema)
+    """One row for each response or revisit record of the archives (plain or gzip) in a folder."""
+    scanned = scan_all(spark, path, payload)
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = scanned.where(F.col("what") == SPLIT).select("file", "start", F.col("at").alias("size"))
+    splits = written(splits.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))), "warc-splits")
+    reached = on_chain(scanned, entries(scanned, splits))
+    records = scanned.where(F.col("what") == RECORD).join(reached, ["file", "start", "at"], "left_semi")
+    out = records.where("not unfinished").select(*READ)
+    unfinished = records.where("unfinished").select("file", "start", "at", "successor")
+    if scanned.where(F.col("what") == RECORD).where("unfinished").take(1):
+        out = out.unionByName(finished(_cut(spark, path), unfinished, splits, payload))
+    out = out.where(F.col("record_type").isin("response", "revisit"))
+    return out if payload else out.drop("payload")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,13 +347,47 @@ def test_warc_round_trip(spark, tmp_path):
     assert rows[1]["url"] == "http://x/1%20y" and rows[0]["url"] is None
 
 
-def test_warc_broken_chains():
+@pytest.mark.parametrize("split", [700, 5000])
+def test_warc_splits_inside_archives(spark, tmp_path, split):
+    magic = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    htmls = [magic * k + "WWARC/1" * (k % 3) + "y" * (37 * k) for k in range(12)] + ["WARC/1." * 300, "WARC/1.0\r\n" * 200]
+    pages = spark.createDataFrame([(i, "http://x/WARC/1.1" if i % 4 == 0 else None, h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(pages.coalesce(2), path, compression="none")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        rows = {r["page_id"]: r for r in warc.read_warc(spark, path, payload=True).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(rows) == list(range(len(htmls)))
+    for i, h in enumerate(htmls):
+        assert rows[i]["payload"] == h.encode() and rows[i]["payload_bytes"] == len(h.encode()) and rows[i]["record_type"] == "response"
+        assert rows[i]["payload_digest"] == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        assert rows[i]["url"] == ("http://x/WARC/1.1" if i % 4 == 0 else None)
+
+
+def test_warc_broken_chains(spark, tmp_path):
     good = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
-    assert list(warc.records_of(good * 3)) == [] and warc.reachable(*[warc.candidates(good * 3)[k] for k in (0, 2)], len(good * 3)).all()
-    for bad in (good + good[:-3], b"junk" + good, b"junk", good.replace(b"Length: 2", b"Length: 9")):
-        with pytest.raises(ValueError):
-            list(warc.records_of(bad))
-    assert list(warc.records_of(b"")) == []
+    for k, (data, fine) in enumerate([(good * 3, True), (b"", True), (good.replace(b"1.1", b"1.0"), True), (good + good[:-3], False), (b"junk" + good, False), (b"junk", False), (good.replace(b"Length: 2", b"Length: 9"), False)]):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        (folder / "a.warc").write_bytes(data)
+        if fine:
+            assert warc.read_warc(spark, f"file://{folder}").count() == 0
+        else:
+            with pytest.raises(ValueError):
+                warc.read_warc(spark, f"file://{folder}")
+
+
+def test_warc_pointer_jumping():
+    at, successor = np.array([0, 5, 10, 20, 30]), np.array([10, 20, 30, -1, 47])
+    step, out = warc.leaps(at, successor, 40)
+    assert step.tolist() == [2, 3, 4, 3, 4] and out.tolist() == [47, -1, 47, -1, 47]
+    assert warc.chain(at, successor, np.array([0])).tolist() == [True, False, True, False, True]
+    assert warc.leaps(np.zeros(0, np.int64), np.zeros(0, np.int64), 3)[1].tolist() == []
 
 
 def test_warc_repeated_rows_and_empty_table(spark, tmp_path):
