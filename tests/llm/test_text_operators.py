@@ -369,6 +369,23 @@ def test_warc_splits_inside_archives(spark, tmp_path, split):
         assert rows[i]["url"] == ("http://x/WARC/1.1" if i % 4 == 0 else None)
 
 
+def test_warc_header_parted_from_its_split(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://x/" + "WARC/1.1/" * 12, f"{i}" + "z" * (11 * i)) for i in range(10)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(pages.coalesce(1), path, compression="none")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 600)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        assert warc.scan(warc._cut(spark, path)).where(f"what = {warc.HEADLESS}").count() > 0
+        rows = {r["page_id"]: r["payload_bytes"] for r in warc.read_warc(spark, path).collect()}
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "600"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert rows == {i: 1 + 11 * i for i in range(10)}
+
+
 def test_warc_broken_chains(spark, tmp_path):
     good = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     for k, (data, fine) in enumerate([(good * 3, True), (b"", True), (good.replace(b"1.1", b"1.0"), True), (good + good[:-3], False), (b"junk" + good, False), (b"junk", False), (good.replace(b"Length: 2", b"Length: 9"), False)]):
