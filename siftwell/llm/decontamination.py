@@ -61,7 +61,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     # how often each benchmark word occurs in all documents
     vocabulary = written(windows.select(F.explode("words").alias("w")).distinct(), "vocabulary")
-    each = src.select(F.explode("words").alias("w"))
+    # the outer form adds no filter on the array, which would split each document once more for each of its conditions
+    each = src.select(F.explode_outer("words").alias("w")).where("w IS NOT NULL")
     if vocabulary.count() <= MOST_BROADCAST:
         each = each.join(F.broadcast(vocabulary), "w", "left_semi")
     else:
