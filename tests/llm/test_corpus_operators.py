@@ -385,6 +385,14 @@ def test_components(spark):
 # ---- pipeline -------------------------------------------------------------------------------------------------------
 
 
+def test_decontamination_words(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", " ", "..a", "a..", "A0b1", "\x00a\n", "İAb", "É-é\x7fx", "😀b 😀", "a  b\u00a0c"]
+    rows = docs(spark, texts).select("doc_id", decontamination.words_of(F.col("text")).alias("w")).collect()
+    assert {r["doc_id"]: r["w"] for r in rows} == {i: WORD.findall(lower(t)) for i, t in enumerate(texts)}
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
