@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from siftwell.llm import decontamination, exact_dedup, html_extraction, language_id, ngram_join, piece_encoding, substring_dedup, suffix_dedup, toxicity, warc
+from siftwell.llm import decontamination, exact_dedup, fill_in_middle, hard_negatives, html_extraction, language_id, ngram_join, piece_encoding, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_piece_encoding": piece_encoding.op9_piece_encoding,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
@@ -20,4 +22,6 @@ ORACLES = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_ngram_join": ngram_join.OP7_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
