@@ -277,23 +277,38 @@ def fit_irt(y: np.ndarray, model: str = "2pl", epochs: int = 400, rate: float =
     return {k: p[k] for k in train}
 
 
-def cluster_total(m: np.ndarray) -> int:
-    """Significance clusters of the systems (columns, by name) on some items (rows; NaN: no score), by the normal form of the signed-rank test."""
-    if len(m) < 3:
-        return 1
-    with np.errstate(invalid="ignore"):
-        order = np.argsort(-np.nanmean(m, axis=0), kind="stable")
-    total = 1
-    for a, b in zip(order[1:], order, strict=False):
-        d = np.round(m[:, a] - m[:, b], 9)
-        d = d[~np.isnan(d)]
-        x = d[d != 0]
-        if not len(x):
-            total += 1
-            continue
-        _, at, count = np.unique(np.abs(x), return_inverse=True, return_counts=True)
-        rank = (np.cumsum(count) - (count - 1) / 2)[at]
-        n, t = len(x), count.astype(float)
-        spread = n * (n + 1) * (2 * n + 1) / 24 - (t**3 - t).sum() / 48
-        total += bool(spread > 0 and (rank[x > 0].sum() - n * (n + 1) / 4) / math.sqrt(spread) < CRITICAL_Z)
-    return total
+def earlier_counts(code: np.ndarray, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each weighting and each place: the weight of the earlier places with a smaller code, and with a code at most as large.
+
+    The levels of an order-statistics tree, one at a time and for all places at once: on each, the right half of every block looks up its left half.
+    """
+    n = len(code)
+    out = [(np.zeros(n, np.int64), np.zeros(n, np.int64)) for _ in weights]
+    span, at, half = int(code.max(initial=0)) + 1, np.arange(n), 1
+    while half < n:
+        block, right = at // (2 * half), (at // half) % 2 == 1
+        key = block * span + code
+        order = np.argsort(key, kind="stable")
+        keys = key[order]
+        first, less, equal = (np.searchsorted(keys, x, side) for x, side in ((block[right] * span, "left"), (key[right], "left"), (key[right], "right")))
+        for weight, (below, up_to) in zip(weights, out, strict=True):
+            total = np.concatenate([[0], np.cumsum(np.where(right, 0, weight)[order])])
+            below[right] += total[less] - total[first]
+            up_to[right] += total[equal] - total[first]
+        half *= 2
+    return out
+
+
+def running_signed_ranks(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n (differences that are not zero) and z of the signed-rank test on every prefix of d, normal form with tie correction. NaNs count as no difference; z is NaN where it has no spread."""
+    size, use = np.abs(d), ~np.isnan(d) & (d != 0)
+    n, positive = use.astype(np.int64), (use & (d > 0)).astype(np.int64)
+    code = np.unique(np.where(use, size, -1.0), return_inverse=True)[1]
+    (less, up_to), (less_positive, up_to_positive) = earlier_counts(code, [n, positive])
+    tied, seen = up_to - less, np.cumsum(positive) - positive
+    # a new difference lifts the larger ones by a rank and its equals by half a rank, and has a rank itself
+    gain = (seen - up_to_positive) + (up_to_positive - less_positive) / 2 + positive * (less + tied / 2 + 1)
+    w, ties, n = np.cumsum(use * gain), np.cumsum(use * 3 * tied * (tied + 1)), np.cumsum(n)
+    size = n.astype(float)
+    spread = size * (size + 1) * (2 * size + 1) / 24 - ties / 48
+    return n, np.divide(w - size * (size + 1) / 4, np.sqrt(np.maximum(spread, 0)), out=np.full(len(d), np.nan), where=spread > 0)

@@ -21,8 +21,10 @@ from siftwell.operators.ranking import in_order, planned_buckets
 By = tuple[str, ...]
 #: Permutations whose signs one MD5 gives; rows whose signs a task holds at once; vectors that it adds up before it lets them go.
 SIGNS, SIGNED_ROWS, HELD_VECTORS = 128, 2000, 10_000
-#: Ranks of one bucket of a running mean over many items.
-BUCKET_RANKS = 10_000
+#: Ranks of one bucket of a running mean over many items, and of one stretch of a scan of signed vectors.
+BUCKET_RANKS, STRETCH_RANKS = 10_000, 256
+#: Digits after which averages count as equal: the order in which tasks add up must not decide a comparison.
+PLACES = 9
 
 
 def kendall_columns(df: DataFrame, keys: list[str], name: str, x: str, y: str, variant: str = "b") -> DataFrame:
@@ -57,8 +59,8 @@ def model_absolute(scores: DataFrame, metric: str = "human", by: By = ()) -> Dat
 
 
 def model_ordering(scores: DataFrame, metric: str = "human", by: By = ()) -> DataFrame:
-    """ord from 0, best first; equal means keep the order of names."""
-    order = Window.partitionBy(*by).orderBy(F.desc("mean"), "system")
+    """ord from 0, best first; means that are equal to PLACES digits keep the order of names."""
+    order = Window.partitionBy(*by).orderBy(F.round("mean", PLACES).desc(), "system")
     return model_absolute(scores, metric, by).withColumn("ord", F.row_number().over(order) - 1)
 
 
@@ -107,9 +109,10 @@ def correlation(means: DataFrame, kind: str = "kendall", by: By = ()) -> DataFra
 
 
 def pearson(x: str, y: str) -> Column:
-    """Pearson's r from sums; 0 for constant sides."""
-    var = F.var_pop(x) * F.var_pop(y)
-    return F.coalesce(F.when(var > 1e-24, F.try_divide(F.covar_pop(x, y), F.sqrt(var))), F.lit(0.0))
+    """Pearson's r from sums; 0 for constant sides (those whose deviation is below 1e-12 of their size, whatever their scale)."""
+    varies = lambda c: F.var_pop(c) > 1e-24 * F.avg(F.col(c) * F.col(c))
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+    return F.coalesce(F.when(varies(x) & varies(y), r), F.lit(0.0))
 
 
 def error(means: DataFrame, kind: str = "absolute", by: By = ()) -> DataFrame:
@@ -303,8 +306,12 @@ def prefix_means(scores: DataFrame, ranked: DataFrame, metric: str = "human", by
     the sums of the stretches before it are added, so that no task walks through all items of a system.
     by may name columns that ranked alone has (the seed of a random order): each order then meets the same scores.
     """
-    cut = planned_buckets(scores) > 1 if buckets is None else buckets
     own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*shared(scores, by), "item_id"])
+    return running_means(own, by, planned_buckets(scores) > 1 if buckets is None else buckets)
+
+
+def running_means(own: DataFrame, by: By, cut: bool) -> DataFrame:
+    """system, k, x of rows (by, system, rank, value): means of the values up to each rank, nulls left out."""
     keys = [*by, "system"]
     if not cut:
         running = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -318,6 +325,15 @@ def prefix_means(scores: DataFrame, ranked: DataFrame, metric: str = "human", by
     return here.join(sums, [*keys, "b_"]).select(*keys, "k", F.try_divide(F.col("v_") + F.col("s_"), F.col("n_") + F.col("c_")).alias("x"))
 
 
+def grid(scores: DataFrame, ranked: DataFrame, metric: str, by: By = ()) -> DataFrame:
+    """rank, item_id, cells (system to value), systems (all of the group, by name): one row for each item of each ranking."""
+    own = scores.where((F.col("metric") == metric) & F.col("value").isNotNull()).join(ranked.select(*by, "item_id", "rank"), [*shared(scores, by), "item_id"])
+    own = own.groupBy(*by, "rank", F.col("item_id").cast("string").alias("item_id"), "system").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    cells = own.groupBy(*by, "rank", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("system", "value"))).alias("cells"))  # as many as there are systems
+    names = own.groupBy(*by).agg(F.array_sort(F.collect_set("system")).alias("systems"))
+    return cells.join(names, list(by)) if by else cells.crossJoin(F.broadcast(names))  # without groups, names is one row
+
+
 def correlation_curve(scores: DataFrame, ranked: DataFrame, metric: str | tuple[str, str] = "human", kind: str = "kendall", by: By = ()) -> DataFrame:
     """k, correlation of the prefix means with the full means, for every k."""
     m_new, m_old = (metric, metric) if isinstance(metric, str) else metric
@@ -328,9 +344,9 @@ def correlation_curve(scores: DataFrame, ranked: DataFrame, metric: str | tuple[
 
 
 def parity(curve: DataFrame, targets: DataFrame, n: int, value: str = "correlation", least: int = 5, by: By = ()) -> DataFrame:
-    """For each target (prop, target): the least k >= least whose value reaches it (else n), divided by n * prop."""
+    """For each target (prop, target): the least k >= least whose value reaches it (else n), divided by n * prop. Both sides are rounded to PLACES digits."""
     hit = curve.where(F.col("k") >= least).join(targets, list(by)) if by else curve.where(F.col("k") >= least).crossJoin(F.broadcast(targets))
-    first = hit.where(F.col(value) >= F.col("target")).groupBy(*by, "prop").agg(F.min("k").alias("k"))
+    first = hit.where(F.round(value, PLACES) >= F.round("target", PLACES)).groupBy(*by, "prop").agg(F.min("k").alias("k"))
     return targets.join(first, [*by, "prop"], "left").select(*by, "prop", F.coalesce("k", F.lit(n)).alias("k"), (F.coalesce("k", F.lit(n)) / (n * F.col("prop"))).alias("parity"))
 
 
@@ -340,35 +356,40 @@ def cluster_curve(scores: DataFrame, ranked: DataFrame, props: DataFrame, metric
     return cluster_count(tagged, metric, (*by, "prop"), **options)
 
 
-def cluster_parity(scores: DataFrame, ranked: DataFrame, targets: DataFrame, n: int, metric: str = "human", least: int = 5, by: By = ()) -> DataFrame:
-    """For each target (prop, target): the least prefix of least items or more that has so many clusters (else n), divided by n * prop.
+def clusters_every_prefix(scores: DataFrame, ranked: DataFrame, metric: str = "human", by: By = (), equal_splits: bool = True) -> DataFrame:
+    """k, clusters: the number of significance clusters (normal form) on every prefix of the rankings.
 
-    Each group (by: data sets, seeds) walks down its ranking in one task, which holds its items x systems matrix and
-    stops once all its targets are met.
+    Which systems are neighbours changes along a ranking, so each pair of systems gets the statistic of its signed ranks on all prefixes, from counts of
+    earlier smaller differences; the running means then say which pairs count at which prefix. A task holds the differences of one pair of systems.
     """
-    keys = list(by) or ["g_"]
-    own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*shared(scores, by), "item_id"]).select(*by, "rank", "system", "value")
-    asked = targets.groupBy(*by).agg(F.collect_list(F.struct("prop", "target")).alias("t_"))
-    own, asked = (own, asked) if by else (own.withColumn("g_", F.lit(0)), asked.withColumn("g_", F.lit(0)))
-    types = dict(own.dtypes)
+    cells = grid(scores, ranked, metric, by)
+    i = F.sequence(F.lit(0), F.size("systems") - 1)
+    pairs = F.flatten(F.transform(i, lambda a: F.transform(F.filter(i, lambda b: b > a), lambda b: F.struct(F.get("systems", a).alias("a_"), F.get("systems", b).alias("b_")))))
+    value = lambda name: F.try_element_at("cells", F.col(name))
+    apart = cells.select(*by, "rank", "cells", F.explode(pairs).alias("p_")).select(*by, "rank", "cells", "p_.*")
+    apart = apart.select(*by, "a_", "b_", "rank", F.round(value("a_") - value("b_"), PLACES).alias("d_"))
+    types = dict(apart.dtypes)
+    keys = [*by, "a_", "b_"]
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank", kind="stable")
+        n, z = numeric.running_signed_ranks(pdf["d_"].to_numpy(float))
+        return pdf[keys].assign(k=pdf["rank"].to_numpy(), n_=n, z_=z)
+
+    tested = apart.groupBy(*keys).applyInPandas(test, "".join(f"{k} {types[k]}, " for k in keys) + "k long, n_ long, z_ double")
+    own = cells.select(*by, "rank", "cells", F.explode("systems").alias("system")).withColumn("value", value("system"))
+    means = running_means(own.select(*by, "rank", "system", "value"), by, planned_buckets(scores) > 1)
+    here = Window.partitionBy(*by, "k").orderBy(F.round("x", PLACES).desc_nulls_last(), "system")
+    walk = means.select(*by, F.col("k").cast("long").alias("k"), "system", F.lag("system").over(here).alias("before_"))
+    asked = walk.select(*by, "k", F.least("system", "before_").alias("a_"), F.greatest("system", "before_").alias("b_"), (F.col("system") < F.col("before_")).alias("up_"), F.col("before_").isNull().alias("first_"))
+    both = asked.join(tested, [*keys, "k"], "left")
+    new = F.when(F.col("first_"), False).when(F.col("n_") == 0, equal_splits).otherwise(F.coalesce(F.when(F.col("up_"), F.col("z_")).otherwise(-F.col("z_")) < numeric.CRITICAL_Z, F.lit(False)))
+    return both.groupBy(*by, "k").agg(F.when(F.col("k") < 3, F.lit(1)).otherwise(1 + F.sum(new.cast("int"))).cast("long").alias("clusters"))
+
 
-    def walk(key: tuple, pdf: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="rank", columns="system", values="value", sort=True, dropna=False) if len(pdf) else pd.DataFrame()
-        m = wide.sort_index(axis=1).to_numpy() if len(pdf) else np.zeros((0, 0))
-        wanted = [(t["prop"], t["target"]) for x in goal["t_"] for t in x]
-        found: dict[float, int] = {}
-        for k in range(least, len(m) + 1):
-            if len(found) == len(wanted):
-                break
-            got = numeric.cluster_total(m[:k])
-            for prop, target in wanted:
-                if got >= target:
-                    found.setdefault(prop, k)
-        ks = [found.get(prop, n) for prop, _ in wanted]
-        return pd.DataFrame({**dict(zip(by, key, strict=False)), "prop": [x for x, _ in wanted], "k": ks, "parity": [k / (n * prop) for k, (prop, _) in zip(ks, wanted, strict=True)]})
-
-    schema = "".join(f"{x} {types[x]}, " for x in by) + "prop double, k long, parity double"
-    return own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(walk, schema)
+def cluster_parity(scores: DataFrame, ranked: DataFrame, targets: DataFrame, n: int, metric: str = "human", least: int = 5, by: By = ()) -> DataFrame:
+    """For each target (prop, target): the least prefix of least items or more that has so many clusters (else n), divided by n * prop."""
+    return parity(clusters_every_prefix(scores, ranked, metric, by), targets, n, "clusters", least, by)
 
 
 def random_curve(scores: DataFrame, items: DataFrame, metric: str = "human", seeds: list[int] | None = None, kind: str = "kendall") -> DataFrame:
@@ -386,34 +407,55 @@ def spa_curve(scores: DataFrame, ranked: DataFrame, metric: str = "human", props
     return both.groupBy("prop").agg((1 - F.avg(F.abs(F.col("a_") - F.col("b_")))).alias("spa"))
 
 
-def spa_every_prefix(scores: DataFrame, ranked: DataFrame, metric: str = "human", permutations: int = 200, seed: int = 0, by: By = ()) -> DataFrame:
-    """k, spa for every prefix: signed sums accumulate along the ranking, so each item is read once.
+def spa_every_prefix(scores: DataFrame, ranked: DataFrame, metric: str = "human", permutations: int = 1000, seed: int = 0, by: By = ()) -> DataFrame:
+    """k, spa of every prefix of the rankings with all items: what spa_curve gives at the same k.
 
-    Groups (by: data sets, seeds) run in parallel; one task holds the items x systems matrix of one group.
+    A prefix scan in three steps: the signed sums of each stretch of STRETCH_RANKS ranks, their running sums over the stretches, and a walk through each stretch
+    from the sums before it. A task holds one stretch of one ranking and a vector of permutations for each system.
     """
-    own = scores.where(F.col("metric") == metric).join(ranked.select(*by, "item_id", "rank"), [*shared(scores, by), "item_id"]).select(*by, "rank", "system", "value")
-    keys = list(by) or ["g_"]
-    own = own if by else own.withColumn("g_", F.lit(0))
-    types = dict(own.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="rank", columns="system", values="value").sort_index().to_numpy()
-        rng = np.random.default_rng(seed)
-        i, j = np.triu_indices(m.shape[1], 1)
-
-        def p_of(total: np.ndarray, real: np.ndarray) -> np.ndarray:
-            return (total[:, i] - total[:, j] >= (real[i] - real[j])).mean(0)
-
-        full = np.where(rng.random((permutations, len(m))) < 0.5, -1.0, 1.0) @ m
-        old = p_of(full, m.sum(0))
-        out, total, real = [], np.zeros((permutations, m.shape[1])), np.zeros(m.shape[1])
-        for row in m:
-            total += np.where(rng.random(permutations) < 0.5, -1.0, 1.0)[:, None] * row
-            real += row
-            out.append(1 - np.abs(p_of(total, real) - old).mean())
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "k": np.arange(1, len(m) + 1), "spa": out})
-
-    return own.groupBy(*keys).applyInPandas(run, "".join(f"{k} {types[k]}, " for k in by) + "k long, spa double")
+    keys = [*by, "s_"]
+    cells = grid(scores, ranked, metric, by).withColumn("s_", F.expr(f"(rank - 1) DIV {STRETCH_RANKS}"))
+    cells = cells.select(*keys, "rank", "item_id", "systems", F.transform("systems", lambda x: F.coalesce(F.try_element_at("cells", x), F.lit(float("nan")))).alias("values"))
+    types = dict(cells.dtypes)
+    kinds = "".join(f"{k} {types[k]}, " for k in keys)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(pdf["values"].tolist())
+        known = ~np.isnan(m)
+        m = np.where(known, m, 0.0)
+        total = np.concatenate([sign_rows(seed, pdf["item_id"].tolist(), permutations).T @ m, [m.sum(0), known.sum(0)]])  # the last rows: without signs, and how many
+        names = list(pdf["systems"].iloc[0])
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "system": names, "v_": list(total.T)})
+
+    parts = cells.groupBy(*keys).applyInPandas(sums, kinds + "system string, v_ array<double>")
+    each = parts.select(*keys, "system", F.posexplode("v_").alias("perm_", "v_"))
+    before = Window.partitionBy(*by, "system", "perm_").orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select(*keys, "system", "perm_", F.coalesce(F.sum("v_").over(before), F.lit(0.0)).alias("v_"))
+    offsets = offsets.groupBy(*keys, "system").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm_", "v_"))), lambda x: x["v_"]).alias("v_"))
+
+    def walk(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        pdf, start = pdf.sort_values("rank"), start.sort_values("system")
+        names = start["system"].to_numpy()
+        total = np.array(start["v_"].tolist()).T
+        total, real, seen = total[:-2], total[-2], total[-1]
+        i, j = np.triu_indices(len(names), 1)
+        signs, m = sign_rows(seed, pdf["item_id"].tolist(), permutations), np.array(pdf["values"].tolist())
+        p = np.empty((len(m), len(i)))
+        for r, row in enumerate(m):
+            seen, row = seen + ~np.isnan(row), np.nan_to_num(row)
+            total, real = total + signs[r][:, None] * row, real + row
+            s, x = np.round(total, 6), np.round(real, 6)
+            p[r] = np.where((seen[i] > 0) & (seen[j] > 0), (np.round(s[:, i] - s[:, j], 5) >= np.round(x[i] - x[j], 5)).mean(0), np.nan)
+        n, k = len(i), pdf["rank"].to_numpy()
+        out = pd.DataFrame({**{x: pdf[x].iloc[0] for x in by}, "k": np.repeat(k, n), "sys_i": np.tile(names[i], len(k)), "sys_j": np.tile(names[j], len(k)), "p": p.ravel()})
+        return out.dropna(subset="p")  # a pair counts once both systems have a score
+
+    schema = "".join(f"{k} {types[k]}, " for k in by) + "k long, sys_i string, sys_j string, p double"
+    new = cells.groupBy(*keys).cogroup(offsets.groupBy(*keys)).applyInPandas(walk, schema)
+    own = shared(scores, by)
+    old = permutation_p(scores, metric, permutations, seed + 1, tuple(own))
+    both = new.withColumnRenamed("p", "a_").join(old.withColumnRenamed("p", "b_"), [*own, "sys_i", "sys_j"])
+    return both.groupBy(*by, "k").agg((1 - F.avg(F.abs(F.col("a_") - F.col("b_")))).alias("spa"))
 
 
 def seeded_ranks(items: DataFrame, seeds: list[int]) -> DataFrame:
@@ -422,7 +464,7 @@ def seeded_ranks(items: DataFrame, seeds: list[int]) -> DataFrame:
     return rank_items(seeded.withColumn("utility", uniform(F.col("seed"), F.col("item_id"))), ("seed",))
 
 
-def random_baseline(scores: DataFrame, metric: str = "human", value: str = "correlation", props: list[float] | None = None, seeds: int = 10, permutations: int = 100) -> DataFrame:
+def random_baseline(scores: DataFrame, metric: str = "human", value: str = "correlation", props: list[float] | None = None, seeds: int = 10, permutations: int = 1000) -> DataFrame:
     """prop, target (mean curve of the first seeds at the proportions), random_parity (mean parity of as many further seeds against it). value: correlation, clusters or spa."""
     spark, items = scores.sparkSession, scores.select("item_id", "pos").distinct()
     n = items.count()
@@ -435,15 +477,15 @@ def random_baseline(scores: DataFrame, metric: str = "human", value: str = "corr
     first, further = list(range(seeds)), list(range(seeds, 2 * seeds))
     if value == "clusters":
         found = cluster_curve(scores, seeded_ranks(items, first), points, metric, ("seed",))
-        targets = found.groupBy("prop").agg(F.avg("clusters").alias("target"))
+        targets = found.groupBy("prop").agg(F.round(F.avg("clusters"), PLACES).alias("target"))
     else:
-        targets = curves(first).join(points, "k").groupBy("prop").agg(F.avg(value).alias("target"))
+        targets = curves(first).join(points, "k").groupBy("prop").agg(F.round(F.avg(value), PLACES).alias("target"))
     each = targets.select("prop", "target", F.explode(F.array(*[F.lit(s) for s in further])).alias("seed"))
     found = cluster_parity(scores, seeded_ranks(items, further), each, n, metric, by=("seed",)) if value == "clusters" else parity(curves(further), each, n, value, by=("seed",))
     return found.groupBy("prop").agg(F.avg("parity").alias("random_parity")).join(targets, "prop")
 
 
-def parity_normalized(scores: DataFrame, ranked: DataFrame, baseline: DataFrame, metric: str = "human", value: str = "correlation", permutations: int = 100) -> DataFrame:
+def parity_normalized(scores: DataFrame, ranked: DataFrame, baseline: DataFrame, metric: str = "human", value: str = "correlation", permutations: int = 1000) -> DataFrame:
     """prop, parity of an order divided by the random one's. baseline comes from random_baseline and can be kept for many methods."""
     n = scores.select("item_id").distinct().count()
     targets = baseline.select("prop", "target")

@@ -412,7 +412,7 @@ def model_absolute(spark, d):
     return r6(out, "mean")
 
 
-@query(EV + "SELECT system, row_number() OVER (ORDER BY avg(value) DESC, system) - 1 AS ord FROM scores WHERE metric = 'm' GROUP BY system")
+@query(EV + "SELECT system, row_number() OVER (ORDER BY round(avg(value), 9) DESC, system) - 1 AS ord FROM scores WHERE metric = 'm' GROUP BY system")
 def model_ordering(spark, d):
     return E.model_ordering(V.event_scores(spark, d), "m").select("system", F.col("ord").cast("long").alias("ord"))
 
@@ -480,7 +480,7 @@ def best_metric(spark, d):
 
 
 def wilcoxon_sql(source: str) -> str:
-    return f"""ord AS (SELECT system, row_number() OVER (ORDER BY avg(value) DESC, system) - 1 AS ord FROM {source} WHERE metric = 'm' GROUP BY system),
+    return f"""ord AS (SELECT system, row_number() OVER (ORDER BY round(avg(value), 9) DESC, system) - 1 AS ord FROM {source} WHERE metric = 'm' GROUP BY system),
 walk AS (SELECT system, ord, lag(system) OVER (ORDER BY ord) AS prev FROM ord),
 df AS (SELECT w.ord, w.system, round(a.value - b.value, 9) AS d FROM walk w JOIN {source} a ON a.system = w.system AND a.metric = 'm' JOIN {source} b ON b.system = w.prev AND b.item_id = a.item_id AND b.metric = 'm'),
 rk AS (SELECT ord, system, d, rank() OVER (PARTITION BY ord ORDER BY abs(d)) + (count(*) OVER (PARTITION BY ord, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY ord, abs(d)) AS t FROM df WHERE d <> 0),
@@ -562,7 +562,7 @@ cs AS (SELECT a.seed, a.k, CASE WHEN sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.
 """
 
 
-@query(SEEDED_SQL + "SELECT k, round(avg(c), 6) AS correlation FROM cs GROUP BY k")
+@query(SEEDED_SQL + "SELECT k, round(avg(c), 6) + 0.0 AS correlation FROM cs GROUP BY k")
 def random_norm(spark, d):
     scores = V.event_scores(spark, d)
     return r6(E.random_curve(scores, scores, "m"), "correlation").select(F.col("k").cast("long").alias("k"), "correlation")
@@ -572,13 +572,13 @@ BASE_SQL = EV + f""", sd AS (SELECT unnest(range(20)) AS seed), it AS (SELECT DI
 pm AS (SELECT seed, system, rank AS k, round(avg(value) OVER (PARTITION BY seed, system ORDER BY rank ROWS UNBOUNDED PRECEDING), 9) AS x FROM scores JOIN rk USING (item_id) WHERE metric = 'm'),
 mm AS (SELECT * FROM pm JOIN (SELECT system, round(avg(value), 9) AS y FROM scores WHERE metric = 'm' GROUP BY system) USING (system)),
 cs AS (SELECT a.seed, a.k, CASE WHEN sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))) = 0 THEN 0 ELSE sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) END AS c FROM mm a JOIN mm b ON a.seed = b.seed AND a.k = b.k AND a.system < b.system GROUP BY 1, 2),
-pr AS (SELECT 0.05 + i * 0.05 AS prop FROM (SELECT unnest(range(10))::DOUBLE AS i)), tg AS (SELECT prop, avg(c) AS target FROM cs, pr, n WHERE seed < 10 AND k = floor(n * prop) GROUP BY prop),
-hit AS (SELECT seed, prop, min(k) AS k FROM cs, tg WHERE seed >= 10 AND k >= 5 AND c >= target GROUP BY 1, 2),
+pr AS (SELECT 0.05 + i * 0.05 AS prop FROM (SELECT unnest(range(10))::DOUBLE AS i)), tg AS (SELECT prop, round(avg(c), 9) AS target FROM cs, pr, n WHERE seed < 10 AND k = floor(n * prop) GROUP BY prop),
+hit AS (SELECT seed, prop, min(k) AS k FROM cs, tg WHERE seed >= 10 AND k >= 5 AND round(c, 9) >= target GROUP BY 1, 2),
 bl AS (SELECT prop, target, avg(coalesce(k, n) / (n * prop)) AS random_parity FROM tg CROSS JOIN (SELECT seed FROM sd WHERE seed >= 10) CROSS JOIN n LEFT JOIN hit USING (seed, prop) GROUP BY prop, target)
 """
 
 
-@query(BASE_SQL + "SELECT round(prop, 2) AS prop, round(target, 6) AS target, round(random_parity, 6) AS random_parity FROM bl")
+@query(BASE_SQL + "SELECT round(prop, 2) AS prop, round(target, 6) + 0.0 AS target, round(random_parity, 6) AS random_parity FROM bl")
 def random_baseline(spark, d):
     found = r6(E.random_baseline(V.event_scores(spark, d), "m"), "target", "random_parity")
     return found.select(F.round("prop", 2).alias("prop"), "target", "random_parity")
@@ -587,7 +587,7 @@ def random_baseline(spark, d):
 @query(BASE_SQL + RANKED_SQL + """, om AS (SELECT system, rank AS k, round(avg(value) OVER (PARTITION BY system ORDER BY rank ROWS UNBOUNDED PRECEDING), 9) AS x FROM scores JOIN ranked USING (item_id) WHERE metric = 'm'),
 omm AS (SELECT * FROM om JOIN (SELECT system, round(avg(value), 9) AS y FROM scores WHERE metric = 'm' GROUP BY system) USING (system)),
 oc AS (SELECT a.k, CASE WHEN sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y))) = 0 THEN 0 ELSE sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) END AS c FROM omm a JOIN omm b ON a.k = b.k AND a.system < b.system GROUP BY 1),
-oh AS (SELECT prop, min(k) AS k FROM oc, tg WHERE k >= 5 AND c >= target GROUP BY 1)
+oh AS (SELECT prop, min(k) AS k FROM oc, tg WHERE k >= 5 AND round(c, 9) >= target GROUP BY 1)
 SELECT round(prop, 2) AS prop, round(coalesce(k, n) / (n * prop) / random_parity, 6) AS parity FROM bl CROSS JOIN n LEFT JOIN oh USING (prop)""")
 def parity_normalized(spark, d):
     scores = V.event_scores(spark, d)
@@ -599,7 +599,7 @@ def clusters_by_sql(source: str, keys: str, out: str) -> str:
     """clusters in each group of keys; source has keys, item_id, system, value."""
     on = " AND ".join(f"b.{k.strip()} = w.{k.strip()}" for k in keys.split(","))
     own = ", ".join(f"w.{k.strip()}" for k in keys.split(","))
-    return f"""{out}_o AS (SELECT {keys}, system, row_number() OVER (PARTITION BY {keys} ORDER BY avg(value) DESC, system) - 1 AS ord FROM {source} GROUP BY {keys}, system),
+    return f"""{out}_o AS (SELECT {keys}, system, row_number() OVER (PARTITION BY {keys} ORDER BY round(avg(value), 9) DESC, system) - 1 AS ord FROM {source} GROUP BY {keys}, system),
 {out}_n AS (SELECT {keys}, count(DISTINCT item_id) >= 3 AS enough FROM {source} GROUP BY {keys}),
 {out}_w AS (SELECT *, lag(system) OVER (PARTITION BY {keys} ORDER BY ord) AS prev FROM {out}_o),
 {out}_d AS (SELECT {own}, w.ord, round(a.value - b.value, 9) AS d FROM {out}_w w JOIN {source} a ON a.system = w.system AND {on.replace('b.', 'a.')} JOIN {source} b ON b.system = w.prev AND b.item_id = a.item_id AND {on}),
@@ -628,14 +628,14 @@ def cluster_parity(spark, d):
 
 
 CLUSTER_BASE_SQL = EV + POINTS_SQL + f""", sd AS (SELECT unnest(range(20)) AS seed), it AS (SELECT DISTINCT item_id, pos FROM scores), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM it, sd),
-tp AS (SELECT seed, prop, item_id, system, value FROM scores JOIN rk USING (item_id) JOIN pk ON rank <= k WHERE metric = 'm' AND seed < 10), {clusters_by_sql("tp", "seed, prop", "ct")}, tg AS (SELECT prop, avg(clusters) AS target FROM ct GROUP BY prop),
+tp AS (SELECT seed, prop, item_id, system, value FROM scores JOIN rk USING (item_id) JOIN pk ON rank <= k WHERE metric = 'm' AND seed < 10), {clusters_by_sql("tp", "seed, prop", "ct")}, tg AS (SELECT prop, round(avg(clusters), 9) AS target FROM ct GROUP BY prop),
 sk AS (SELECT unnest(range(5, n + 1)) AS k FROM n), se AS (SELECT seed, k, item_id, system, value FROM scores JOIN rk USING (item_id) JOIN sk ON rank <= k WHERE metric = 'm' AND seed >= 10), {clusters_by_sql("se", "seed, k", "cs")},
 hit AS (SELECT seed, prop, min(k) AS k FROM cs, tg WHERE clusters >= target GROUP BY 1, 2),
 bl AS (SELECT prop, target, avg(coalesce(k, n) / (n * prop)) AS random_parity FROM tg CROSS JOIN (SELECT seed FROM sd WHERE seed >= 10) CROSS JOIN n LEFT JOIN hit USING (seed, prop) GROUP BY prop, target)
 """
 
 
-@query(CLUSTER_BASE_SQL + "SELECT round(prop, 2) AS prop, round(target, 6) AS target, round(random_parity, 6) AS random_parity FROM bl")
+@query(CLUSTER_BASE_SQL + "SELECT round(prop, 2) AS prop, round(target, 6) + 0.0 AS target, round(random_parity, 6) AS random_parity FROM bl")
 def random_baseline_clusters(spark, d):
     found = r6(E.random_baseline(V.event_scores(spark, d), "m", "clusters"), "target", "random_parity")
     return found.select(F.round("prop", 2).alias("prop"), "target", "random_parity")
@@ -648,11 +648,29 @@ def parity_normalized_clusters(spark, d):
     return r6(found, "parity").select(F.round("prop", 2).alias("prop"), "parity")
 
 
-@query()
+SIGNS_SQL = ", sg AS (SELECT perm, item_id, 1 - 2 * (((('0x' || substr(md5('0:' || (perm // 128) || ':' || item_id), 1 + (perm % 128) // 32 * 8, 8))::UBIGINT >> (perm % 32)::UBIGINT) & 1)::INT) AS sg FROM (SELECT DISTINCT item_id FROM scores), (SELECT unnest(range(1000)) AS perm)), " + perm_sql("scores", "q", 1)
+
+
+def prefix_spa_sql(ranked: str, out: str, key: str = "") -> str:
+    """spa of every prefix of the rankings in a table (key, item_id, rank)."""
+    k, on, own = (f"{key}, ", f"AND b.{key} = a.{key} ", f"a.{key}, ") if key else ("", "", "")
+    same = f"AND {{0}}.{key} = a.{key} " if key else ""
+    return f""", {out}_c AS (SELECT {k}perm, system, rank AS k, round(sum(sg * value) OVER (PARTITION BY {k}perm, system ORDER BY rank), 6) AS s FROM scores JOIN {ranked} USING (item_id) JOIN sg USING (item_id) WHERE metric = 'm'),
+{out}_r AS (SELECT {k}system, rank AS k, round(sum(value) OVER (PARTITION BY {k}system ORDER BY rank), 6) AS r FROM scores JOIN {ranked} USING (item_id) WHERE metric = 'm'),
+{out}_p AS (SELECT {own}a.k, a.system AS sys_i, b.system AS sys_j, avg((round(a.s - b.s, 5) >= round(x.r - y.r, 5))::INT) AS p FROM {out}_c a JOIN {out}_c b ON a.perm = b.perm AND a.k = b.k {on}AND a.system < b.system JOIN {out}_r x ON x.system = a.system AND x.k = a.k {same.format('x')}JOIN {out}_r y ON y.system = b.system AND y.k = a.k {same.format('y')}GROUP BY {own}a.k, a.system, b.system),
+{out} AS (SELECT {k}k, 1 - avg(abs({out}_p.p - q.p)) AS spa FROM {out}_p JOIN q USING (sys_i, sys_j) GROUP BY {k}k)"""
+
+
+@query(EV + RANKED_SQL + POINTS_SQL + SIGNS_SQL + f""", sd AS (SELECT unnest(range(20)) AS seed), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM (SELECT DISTINCT item_id, pos FROM scores), sd)"""
+       + prefix_spa_sql("ranked", "own") + prefix_spa_sql("rk", "ev", "seed") + """, tg AS (SELECT prop, round(avg(spa), 9) AS target FROM ev JOIN pk USING (k) WHERE seed < 10 GROUP BY prop),
+hit AS (SELECT seed, prop, min(k) AS k FROM ev, tg WHERE seed >= 10 AND k >= 5 AND round(spa, 9) >= target GROUP BY 1, 2),
+bl AS (SELECT prop, avg(coalesce(k, n) / (n * prop)) AS random_parity FROM tg CROSS JOIN (SELECT seed FROM sd WHERE seed >= 10) CROSS JOIN n LEFT JOIN hit USING (seed, prop) GROUP BY prop),
+oh AS (SELECT prop, min(k) AS k FROM own, tg WHERE k >= 5 AND round(spa, 9) >= target GROUP BY 1)
+SELECT round(prop, 2) AS prop, round(coalesce(k, n) / (n * prop) / random_parity, 6) AS parity FROM bl CROSS JOIN n LEFT JOIN oh USING (prop)""")
 def parity_normalized_spa(spark, d):
     scores = V.event_scores(spark, d)
-    baseline = E.random_baseline(scores, "m", "spa", [0.1, 0.25, 0.5], 2, 30)
-    return r6(E.parity_normalized(scores, _ranked(scores), baseline, "m", "spa", 30), "parity")
+    found = E.parity_normalized(scores, _ranked(scores), E.random_baseline(scores, "m", "spa"), "m", "spa")
+    return r6(found, "parity").select(F.round("prop", 2).alias("prop"), "parity")
 
 
 @query()
@@ -666,17 +684,17 @@ def multidimensional_irt(spark, d):
     return r6(X.multidimensional_irt(V.event_scores(spark, d), "m", epochs=60), "diff", "disc_sum").select("item_id", "diff", "disc_sum")
 
 
-@query()
+@query(EV + RANKED_SQL + POINTS_SQL + SIGNS_SQL + prefix_spa_sql("ranked", "own") + " SELECT round(prop, 2) AS prop, round(spa, 6) AS spa FROM own JOIN pk USING (k)")
 def spa_curve(spark, d):
     scores = V.event_scores(spark, d)
     props = E.proportions(spark, scores.select("item_id").distinct().count())
-    return r6(E.spa_curve(scores, _ranked(scores), "m", props, 16), "prop", "spa")
+    return r6(E.spa_curve(scores, _ranked(scores), "m", props), "spa").select(F.round("prop", 2).alias("prop"), "spa")
 
 
-@query()
+@query(EV + RANKED_SQL + SIGNS_SQL + prefix_spa_sql("ranked", "own") + " SELECT k, round(spa, 6) AS spa FROM own")
 def spa_every_prefix(spark, d):
     scores = V.event_scores(spark, d)
-    return r6(E.spa_every_prefix(scores, _ranked(scores), "m", 50), "spa")
+    return r6(E.spa_every_prefix(scores, _ranked(scores), "m"), "spa")
 
 
 @query(CURVE_SQL + "SELECT k, round(avg(abs(x - y)), 6) AS distance FROM mm GROUP BY k")

@@ -297,16 +297,6 @@ def test_ranks_without_one_task(spark, monkeypatch):
     assert S.combine([u]).orderBy("item_id").collect() == plain
 
 
-def test_cluster_walk_against_windows(spark):
-    scores = _noise(spark)
-    wide = scores.toPandas().pivot_table(index="item_id", columns="system", values="value", dropna=False).to_numpy()
-    for k in (1, 2, 3, 5, 20, 60):
-        got = E.cluster_count(scores.where(F.col("item_id") < k), "m").first()[0]
-        assert Q.cluster_total(wide[:k]) == got
-    same = np.array([[1.0, 1.0], [2.0, 2.0], [3.0, 3.0]])
-    assert Q.cluster_total(same) == 2 and Q.cluster_total(same[:2]) == 1
-
-
 def test_signs_are_balanced_and_stable():
     signs = E.sign_rows(3, [str(i) for i in range(200)], 300)
     assert set(np.unique(signs)) == {-1.0, 1.0} and abs(signs.mean()) < 0.02
