@@ -8,11 +8,13 @@ is exact and the trees are a finite automaton over their common contexts: one ta
 the code lengths under every language. Texts are cut into columns that advance together; each column starts with the
 ORDER bytes before it, so the cut changes nothing.
 
-Training reads at most ``ROWS_PER_LANGUAGE`` rows of each language (by hash of the id), of those that have at most
-``TRAIN_CHARS`` characters, whole; no context of theirs is left out. Prediction reads whole texts.
+Training reads at most ``ROWS_PER_LANGUAGE`` rows of each language, whole: first those of at most ``ROW_CHARS`` characters (by hash of the id), then
+longer ones, the shortest first, while the rows of the language have at most ``LANGUAGE_CHARS`` characters together. The first row of a language
+is always read, so no language is lost for the length of its texts. No context of these rows is left out. Prediction reads whole texts.
 
 Defined cases: ``und`` with score 0 for a null text or one without letters, and for every text if there was nothing
-to learn from; ties go to the language that sorts first; an empty table gives an empty result.
+to learn from; ties go to the language that sorts first; repeated rows are predicted alike, each on its own; very long texts are read whole; columns
+other than those named are ignored (``identified_rows`` keeps them as they are), whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import small_batches, table
 
 ORDER = 4
-ROWS_PER_LANGUAGE = 64
-TRAIN_CHARS = 4000
+ROWS_PER_LANGUAGE, ROW_CHARS, LANGUAGE_CHARS = 64, 4000, 256_000
 COLUMN = 512
 BATCH_BYTES = 3_000_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -173,13 +174,15 @@ def prepared(text: str | None) -> bytes:
     return GAP.sub(" ", (text or "").lower()).encode("utf-8", "replace")
 
 
-def sample_rows(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_PER_LANGUAGE, chars: int = TRAIN_CHARS) -> dict[str, list[bytes]]:
-    """The training sample: at most rows * languages rows reach the driver, of at most chars characters, whole."""
-    src = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) <= chars)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
+def sample_rows(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_PER_LANGUAGE, chars: int = ROW_CHARS, total: int = LANGUAGE_CHARS) -> dict[str, list[bytes]]:
+    """The training sample, whole rows: at most rows of each language and, but for its first row, at most total characters of each reach the driver."""
+    src = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.length(text_col).alias("size")
     )
-    first = Window.partitionBy("lang").orderBy("at", "id", "text")  # Spark keeps the first rows of each task before it shuffles
-    got = src.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= rows).select("lang", "text").collect()
+    first = Window.partitionBy("lang").orderBy(F.when(F.col("size") > chars, F.col("size")).otherwise(0), "at", "id", "text")  # Spark keeps the first rows of each task before it shuffles
+    some = src.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= rows)
+    sums = F.sum("size").over(Window.partitionBy("lang").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))  # of rows at most
+    got = some.withColumn("sum", sums).where((F.col("sum") <= total) | (F.col("rn") == 1)).select("lang", "text").collect()
     out: dict[str, list[bytes]] = {}
     for r in got:
         out.setdefault(r["lang"], []).append(prepared(r["text"]))

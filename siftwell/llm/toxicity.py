@@ -7,12 +7,12 @@ tokens above ``SPAN_AT`` are the offending spans.
 
 The table labels whole documents, so token labels are derived in training: in a toxic document, a token is labelled
 toxic if one of its features separates the labelled documents (log odds of ``LABEL_ODDS`` at least, counted by the
-different words it follows, and hardly ever in a clean one). Training reads at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled rows (by hash of the id), whole, and
-of each kind only as many as have ``TRAIN_CHARS`` characters together. Scoring reads whole texts.
+different words it follows, and hardly ever in a clean one). Training reads at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled rows (by hash of the id), whole; of
+each kind a row that no longer fits into ``TRAIN_CHARS`` characters is passed over, and the next ones are tried. Scoring reads whole texts.
 
 Defined cases: null and empty texts get the calibrated score of a document without tokens; without labels of both
-kinds every score is 0; several label rows for one document count as toxic if one is; an empty table gives an
-empty result.
+kinds every score is 0; several label rows for one document count as toxic if one is; rows of one id and text are learnt from once, rows of one id with several
+texts count each; repeated rows are scored alike, each on its own; columns other than those named are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -239,17 +239,34 @@ def offending_spans(model: ChainField, text: str | None, at: float = SPAN_AT) ->
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable=None) -> tuple[list[str], list[int]]:
-    """At most TOXIC_ROWS + CLEAN_ROWS labelled documents, and of each kind at most TRAIN_CHARS characters, reach the driver. Whole texts."""
+    """At most TOXIC_ROWS + CLEAN_ROWS labelled documents, and of each kind at most TRAIN_CHARS characters (or one row), reach the driver. Whole texts."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("toxic"))
     marks = marks.where(usable) if usable is not None else marks
+    most = {1: TOXIC_ROWS, 0: CLEAN_ROWS}
     picked = None
-    for value, rows in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
+    for value, rows in most.items():
         part = marks.where(F.col("toxic") == value).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = src.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("at"), "doc_id")
-    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("at", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    rows = got.withColumn("sum", so_far).where(F.col("sum") <= TRAIN_CHARS).select("at", "doc_id", "text", "toxic").collect()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
+    got = src.join(F.broadcast(picked), "doc_id")
+    # one id may have very many rows: only the first keys of each kind are taken, and of those the texts
+    keys = got.groupBy("toxic", "doc_id", "same").agg(F.max(F.length("text")).alias("size")).withColumn("at", F.xxhash64(F.col("doc_id").cast("string")))
+    order = F.row_number().over(Window.partitionBy("toxic").orderBy("at", "doc_id", "same"))
+    keys = keys.withColumn("rn", order).where((F.col("rn") <= TOXIC_ROWS) & (F.col("toxic") == 1) | (F.col("rn") <= CLEAN_ROWS) & (F.col("toxic") == 0)).collect()
+    chosen = []
+    for value in most:
+        mine, used = sorted((r for r in keys if r["toxic"] == value), key=lambda r: r["rn"]), 0
+        fitting = []
+        for r in mine:
+            if used + r["size"] <= TRAIN_CHARS:
+                fitting.append(r)
+                used += r["size"]
+        chosen += fitting or sorted(mine, key=lambda r: (r["size"], r["rn"]))[:1]
+    if not chosen:
+        return [], []
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["same"], int(r["toxic"]), r["at"]) for r in chosen], f"doc_id {dict(src.dtypes)['doc_id']}, same long, toxic int, at long")
+    rows = src.join(F.broadcast(wanted), ["doc_id", "same"]).groupBy("at", "doc_id", "same", "toxic").agg(F.min("text").alias("text")).select("at", "doc_id", "text", "toxic").collect()
     rows.sort()
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
 

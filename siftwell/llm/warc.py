@@ -16,13 +16,15 @@ its pieces afterwards.
 
 Defined cases: a null html is an empty payload; empty payloads count as equal; a null url is left out of the header;
 repeated rows of one page make one response and revisits of it; an empty table gives an empty result; a file whose
-chain breaks raises an error instead of losing records; a file without bytes has no records.
+chain breaks raises an error instead of losing records; a file without bytes has no records; ids are any long; ties cannot arise (the largest id is the
+response); a very long payload is one record, which a task holds whole; columns other than the id, the url and the payload are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import itertools
 import re
 import uuid
@@ -119,14 +121,16 @@ def _header(head: bytes) -> dict[str, str]:
 
 def _page(uri: str | None) -> int | None:
     found = (uri or "").strip("<>").removeprefix(ID)
-    return int(found) if re.fullmatch(r"-?\d{1,18}", found) else None
+    if not re.fullmatch(r"-?[0-9]{1,19}", found):
+        return None
+    return int(found) if -(2**63) <= int(found) < 2**63 else None
 
 
 class Candidate:
-    """A record that is being read from the bytes behind its mark. What it keeps of them: headers, a digest, and the payload if asked to."""
+    """A record that is being read from the bytes behind its mark. What it keeps of them: headers, a digest, and the payload if asked to. One that is not read keeps its length only."""
 
-    def __init__(self, at: int, keep: bool):
-        self.at, self.keep, self.head, self.need, self.left = at, keep, None, None, 0
+    def __init__(self, at: int, keep: bool, read: bool = True):
+        self.at, self.keep, self.read, self.head, self.need, self.left = at, keep, read, None, None, 0
         self.pending, self.http, self.tail = bytearray(MARK), None, b""
         self.sha, self.bytes, self.parts, self.valid, self.closed = hashlib.sha1(), 0, [], False, False
 
@@ -143,6 +147,8 @@ class Candidate:
                 return
             self.head, self.left = _header(bytes(self.pending[:end])), int(found[1])
             self.need = end + 4 + self.left + 4
+            if not self.read:
+                return
             data, self.pending = bytes(self.pending[end + 4 :]), bytearray()
         block, rest = data[: self.left], data[self.left :]
         self.left -= len(block)
@@ -200,11 +206,19 @@ def chain(at: np.ndarray, successor: np.ndarray, entries: np.ndarray) -> np.ndar
 
 
 class Split:
-    """The pieces of one split, in order. Offsets count from the first of its pieces."""
+    """The pieces of one split, in order. Offsets count from the first of its pieces.
+
+    Every candidate's length is read from its header and its last four bytes are looked at, which is all that the chain needs. The block of one candidate
+    at a time is read and hashed: a mark inside the record that is being read opens no other. So the work grows with the bytes, however many marks a payload holds. A record
+    that turns out to be on the chain without having been read is put together afterwards, like one that goes on behind its split.
+    In the first split of a file the chain is known from its start, so marks inside its records are no candidates at all.
+    """
 
     def __init__(self, file: str, start: int, keep: bool):
         self.file, self.start, self.keep, self.size, self.pieces = file, start, keep, 0, 0
-        self.open: list[Candidate] = []
+        self.now: Candidate | None = None
+        self.headers: list[Candidate] = []  # whose header goes on; a mark follows an empty line, which ends a header, so there are two at most
+        self.ends: list[tuple[int, int]] = []  # where a candidate ends and begins, the nearest end first
         self.at: list[int] = []
         self.successor: dict[int, int] = {}
         self.before = BREAK
@@ -214,35 +228,42 @@ class Split:
         self.pieces += 1
         marked = self.start > 0 or self.pieces > 1
         whole = MARK + piece if marked else piece
-        for c in self.open:
+        fed = self.headers if self.now is None or self.now in self.headers else [*self.headers, self.now]
+        for c in fed:
             c.feed(whole)
         if marked and piece[:3] in VERSIONS and (self.before == BREAK or self.pieces == 1):
-            c = Candidate(self.size, self.keep)
-            c.feed(piece)
-            self.at.append(c.at)
-            self.open.append(c)
+            now = self.now
+            inside = now is not None and (not now.closed if now.need is None else self.size < now.at + now.need)  # it may end in this piece
+            if not (inside and self.start == 0):
+                c = Candidate(self.size, self.keep, not inside)
+                c.feed(piece)
+                self.at.append(c.at)
+                self.headers.append(c)
+                self.now = self.now if inside else c
+        for c in self.headers:
+            if c.need is not None:
+                heapq.heappush(self.ends, (c.at + c.need, c.at))
+        self.headers = [c for c in self.headers if c.need is None and not c.closed]
+        last = self.before + whole
+        while self.ends and self.ends[0][0] <= self.size + len(whole):
+            end, at = heapq.heappop(self.ends)
+            if last[end - self.size : end - self.size + 4] == BREAK:
+                self.successor[at] = end
+                yield self._record(at, end, self.now if self.now is not None and self.now.at == at else None)
         self.size += len(whole)
-        self.before = (self.before + whole[-4:])[-4:]
-        yield from self._closed()
-
-    def _closed(self) -> Iterator[tuple]:
-        for c in self.open:
-            if c.closed and c.valid:
-                self.successor[c.at] = c.at + c.need
-                yield self._record(c, False)
-        self.open = [c for c in self.open if not c.closed]
+        self.before = last[-4:]
+        if self.now is not None and self.now.closed:
+            self.now = None
 
-    def _record(self, c: Candidate, unfinished: bool) -> tuple:
-        row = (None,) * 7 if unfinished else c.row()
-        return (RECORD, self.file, self.start, c.at, c.at + c.need, None, unfinished, *row)
+    def _record(self, at: int, end: int, read: Candidate | None) -> tuple:
+        return (RECORD, self.file, self.start, at, end, None, read is None, *((None,) * 7 if read is None else read.row()))
 
     def end(self) -> Iterator[tuple]:
-        for c in self.open:
-            if c.need is None:  # its header goes on behind the split
-                yield (HEADLESS, self.file, self.start, c.at, None, None, None, *(None,) * 7)
-            else:  # it goes on behind the split
-                self.successor[c.at] = c.at + c.need
-                yield self._record(c, True)
+        for c in self.headers:  # the header goes on behind the split
+            yield (HEADLESS, self.file, self.start, c.at, None, None, None, *(None,) * 7)
+        for end, at in sorted(self.ends):  # the record does
+            self.successor[at] = end
+            yield self._record(at, end, None)
         at = np.array(self.at, np.int64)
         successor = np.array([self.successor.get(a, -1) for a in self.at], np.int64)
         _, out = leaps(at, successor, self.size)

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -429,3 +430,102 @@ def test_text_buffer_slices():
 
     data, offsets = text_buffer(pa.array(["ab", None, "", "é"]).slice(1))
     assert bytes(data) == "é".encode() and offsets.tolist() == [0, 0, 0, 2]
+
+
+# ---- bounds of samples and of reading ---------------------------------------------------------------------------------
+
+CLASHING = "lang id at size same toxic score value payload best start file salt n_tokens ids"
+
+
+def clashing(df):
+    """With extra columns that are called like columns the operators use inside."""
+    return df.withColumns({x: F.lit(x) for x in CLASHING.split() if x not in df.columns})
+
+
+def test_no_language_is_lost_for_its_length(spark):
+    french = "le chat noir dort sur la chaise du jardin "
+    rows = [(i, french * 150, "fr") for i in range(9)] + [(100 + i, "the black cat sleeps on the garden chair", "en") for i in range(9)] + [(200, None, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.sample_rows(df, F.lit(True), "doc_id", "text", "lang")
+    assert set(sample) == {"fr", "en"} and len(sample["fr"]) == 9
+    model = language_id.train(sample)
+    assert language_id.identify_languages(docs(spark, ["le chat du jardin"]), model).first()["lang_pred"] == "fr"
+    few = language_id.sample_rows(df, F.lit(True), "doc_id", "text", "lang", total=7000)
+    assert len(few["fr"]) == 1 and len(few["en"]) == 9  # the first row is read whole, however long
+    short_first = spark.createDataFrame([(i, "x" * (50 + i % 2 * 9000), "a") for i in range(200)], "doc_id long, text string, lang string")
+    assert {len(t) for t in language_id.sample_rows(short_first, F.lit(True), "doc_id", "text", "lang")["a"]} == {50}
+
+
+def test_a_long_text_hides_no_others(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 1000)
+    rows = [(i, "clean words " + str(i)) for i in range(20)] + [(50, "w " * 9000)] + [(60 + i, f"vile {i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = clashing(df)
+    marks = spark.createDataFrame([(i, 0) for i in [*range(20), 50]] + [(60 + i, 1) for i in range(3)], "doc_id long, toxic int")
+    texts, labels = toxicity.labelled_sample(df, marks)
+    assert labels.count(0) == 20 and labels.count(1) == 3 and max(map(len, texts)) < 100
+    texts, labels = toxicity.labelled_sample(df.where("doc_id >= 50"), marks)
+    assert labels.count(0) == 1  # the only clean row is read, however long
+
+
+def test_rows_of_one_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 50)
+    df = spark.createDataFrame([(1, "")] * 3000 + [(1, f"text {i}") for i in range(3000)] + [(2, "bad")] * 100, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    texts, labels = toxicity.labelled_sample(df, marks)
+    assert labels.count(0) == 50 and labels.count(1) == 1 and len(set(texts)) == 51
+
+
+def test_clashing_names_change_nothing(spark, tmp_path):
+    plain = docs(spark, ["the cat", "le chien", None, "", "vile word", "the cat"])
+    extra = clashing(plain)
+    chain = toxicity.train([f"w{i} vile word" for i in range(40)] + [f"w{i} fine day" for i in range(40)], [1] * 40 + [0] * 40)
+    model = language_id.train({"en": [b"the cat and the dog"], "fr": [b"le chat et le chien"]})
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(toxicity.score_toxicity(extra, chain, spans=True)) == rows(toxicity.score_toxicity(plain, chain, spans=True))
+    assert rows(language_id.identify_languages(extra, model)) == rows(language_id.identify_languages(plain, model))
+    assert rows(piece_encoding.encoding_digests(extra)) == rows(piece_encoding.encoding_digests(plain))
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, None, None)], "page_id long, url string, html string")
+    for name, df in (("a", pages), ("b", clashing(pages))):
+        warc.write_warc(df, f"file://{tmp_path}/{name}")
+    assert rows(warc.read_warc(spark, f"file://{tmp_path}/a")) == rows(warc.read_warc(spark, f"file://{tmp_path}/b"))
+
+
+def test_warc_ids_are_any_long(spark, tmp_path):
+    ids = [1234567890123456789, 2**63 - 1, -(2**63), 0, -5]
+    pages = spark.createDataFrame([(i, "u", h) for i in ids for h in ("same",)], "page_id long, url string, html string")
+    warc.write_warc(pages, f"file://{tmp_path}/a")
+    got = {r["page_id"]: r["refers_to"] for r in warc.read_warc(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {i: None if i == 2**63 - 1 else 2**63 - 1 for i in ids}
+
+
+def false_headers(n):
+    return "".join(f"WARC/1.1\r\nContent-Length: {10**6 + i}\r\n\r\n" for i in range(n))
+
+
+@pytest.mark.parametrize("split", [1 << 30, 40_000])
+def test_warc_with_many_false_headers(spark, tmp_path, split):
+    htmls = ["x\r\n\r\n" + false_headers(3000) + str(i) for i in range(3)] + ["short"]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/a"
+    warc.write_warc(pages.coalesce(1), path, compression="none")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = {r["page_id"]: r for r in warc.read_warc(spark, path, payload=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {k: bytes(r["payload"]).decode() for k, r in rows.items()} == dict(enumerate(htmls))
+
+
+def test_reading_grows_with_the_bytes():
+    def seconds(n):
+        data = ("x\r\n\r\n" + false_headers(n)).encode().split(warc.MARK)
+        began = time.process_time()
+        split = warc.Split("f", 1, False)
+        assert sum(1 for piece in data for _ in split.add(piece)) == 0 and len(list(split.end())) > n
+        return time.process_time() - began
+
+    seconds(500)
+    small, large = min(seconds(2000) for _ in range(3)), min(seconds(8000) for _ in range(2))
+    assert large < 12 * small
