@@ -2,20 +2,23 @@
 
 A page is cut into blocks: runs of text between block-level tags. A classifier gives the log odds that a block is
 content, from its words, full stops and share of links, from what its ancestors' tags and class, id and role words
-say, and from the tag and word names themselves. The odds, bounded by ``MOST_ODDS``, become the capacities of the
+say, and from the tag and word names themselves. Inside an article such a tag or word is no verdict but a doubt, one feature of bounded weight among the others. The odds, bounded by ``MOST_ODDS``, become the capacities of the
 block's edges to the two terminals. Blocks that follow each other and blocks whose tag paths share an ancestor are
-joined by smoothness edges. The maximum flow from the content terminal to the boilerplate terminal gives the cheapest
+joined by smoothness edges, weaker ones where a doubt begins or ends. The maximum flow from the content terminal to the boilerplate terminal gives the cheapest
 labelling; the text of the content blocks is the result.
 
 The classifier is a logistic regression, fitted from a prior that holds the general knowledge (``PRIOR``) to blocks
-of at most ``TRAIN_PAGES`` pages (by hash of the id, of at most ``TRAIN_CHARS`` characters) that mark their article
-themselves. Each block counts twice, once without what its article and its markup say, so that the weights also serve
-pages without such marks. Every page is labelled, whole. Without such pages the prior alone decides.
+of at most ``TRAIN_PAGES`` pages that mark their article themselves: first those of at most ``PAGE_CHARS`` characters (by hash of the id), then longer ones, the
+shortest first, together at most ``TRAIN_CHARS`` characters (but for the first). Each block counts twice, once without what its article and its markup say, so that the weights also serve
+pages without such marks; blocks in doubt teach nothing. Every page is labelled, whole. Without such pages the prior alone decides.
 
-Whatever can never be text (scripts, styles, markup, forms, comments) is dropped while cutting.
+Whatever can never be text (scripts, styles, markup, forms, comments) is dropped while cutting. Tags are found in one pass: a quote counts only where
+a value begins, and once a page has left a quote open, its tags end at the next ``>``. A ``<`` that no ``>`` follows is text.
 
 Defined cases: a null or empty page gives an empty text; unclosed and stray tags are closed by the nearest fitting
-ancestor; white space (including that from character references) becomes one space; an empty table gives an empty result.
+ancestor; white space (including that from character references) becomes one space; a block knows the ``MOST_PATH`` nearest of its open elements and the names of the
+first ``MOST_NAMES``, so that no nesting is too deep; blocks whose capacities tie stay boilerplate; repeated rows are extracted alike, each on its own; very long pages are read whole;
+columns other than the id, the url and the html are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import small_batches, table
 
 #: Elements that hold no text of the page.
-SILENT = frozenset("script style noscript template head iframe form select textarea button datalist".split())
+SILENT = frozenset("script style template head iframe form select textarea button datalist".split())
 #: Elements whose content is raw text up to their end tag.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 #: Elements that have no end tag.
@@ -52,49 +55,102 @@ ENDS |= {"li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd":
 
 #: Of these, the words whose element can't hold the page's article.
 CLOSED_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|comments?|commentlist|reply|replies|disqus|respond|related|cookies?|popup|modal)(?=$|[\s_-]|\d)", re.I)
+#: Of these, the words that leave little doubt inside an article either.
+FIRM_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|comments?|commentlist|reply|replies|disqus|respond|cookies?|popup|modal)(?=$|[\s_-]|\d)", re.I)
 
-TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+COMMENT_END = re.compile(r"--!?>")
+#: Where a tag may end, or a quoted value begin.
+STOP = re.compile(r"=\s*([\"'])|>")
 NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WHITE = re.compile(r"\s+")
 
-#: Weights of the features before anything is learnt, in log odds.
+#: Weights of the features before anything is learnt, in log odds. A doubt is a tag or word inside an article.
 PRIOR = {"bias": -1.5, "words": 3.0, "stops": 1.5, "links": -4.0, "says:content": 6.0, "says:bad word": -6.0, "says:boilerplate": -8.0}
+DOUBTS = {"doubt:firm word": -16.0, "doubt:word": -6.0, "doubt:nav": -14.0, "doubt:menu": -14.0, "doubt:dialog": -12.0, "doubt:footer": -9.0, "doubt:aside": -11.0, "doubt:header": -4.0}
 #: Variances of the weights around these, and of the weights of tag and word names around 0.
 PRIOR_VARIANCE, NAME_VARIANCE = 1.0, 0.25
 #: A weight moves from its prior by at most this; the odds of a block are cut to MOST_ODDS.
 MOST_MOVE, MOST_ODDS = 3.0, 12.0
 #: Capacities of the smoothness edges, in log odds, and units of a log odds in integer capacities.
-NEXT, RELATED, UNITS = 1.0, 0.5, 1000
-TRAIN_PAGES, TRAIN_CHARS = 200, 200_000
+NEXT, BORDER, RELATED, UNITS = 1.0, 0.25, 0.5, 1000
+TRAIN_PAGES, PAGE_CHARS, TRAIN_CHARS = 200, 200_000, 40_000_000
+MOST_PATH, MOST_NAMES = 64, 256
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "verdict", "names")
-
-    def __init__(self, text: str, path: tuple[int, ...], linked: int, verdict: int, names: frozenset[str] = frozenset()) -> None:
-        self.text, self.path, self.linked, self.verdict, self.names = text, path, linked, verdict, names
+    __slots__ = ("text", "path", "linked", "verdict", "names", "doubts")
+
+    def __init__(self, text: str, path: tuple[int, ...], linked: int, verdict: int, names: frozenset[str] = frozenset(), doubts: frozenset[str] = frozenset()) -> None:
+        self.text, self.path, self.linked, self.verdict, self.names, self.doubts = text, path, linked, verdict, names, doubts
+
+
+class Tags:
+    """Finds the tags of a page from left to right, each character looked at a bounded number of times."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last, self.lenient = html, html.rfind(">"), False
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """Begin, end, name (None for what is no tag), whether it is an end tag, and attributes of the next one at or behind at."""
+        html = self.html
+        while (m := OPEN.search(html, at)) is not None:
+            if m[1]:
+                end = COMMENT_END.search(html, m.end())
+                return m.start(), end.end() if end else len(html), None, False, ""
+            if m.start() > self.last:
+                return None  # no > follows: all that is left is text
+            end = self._end(m.end()) if m[3] else html.find(">", m.end())
+            if end < 0:
+                at = m.start() + 1
+                continue
+            return m.start(), end + 1, m[3].lower() if m[3] else None, bool(m[2]), html[m.end() : end] if m[3] else ""
+        return None
+
+    def _end(self, at: int) -> int:
+        start = at
+        while not self.lenient and (m := STOP.search(self.html, at)) is not None:
+            if m[1] is None:
+                return m.start()
+            close = self.html.find(m[1], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.lenient = True  # a quote stays open, here or up to the end of the page
+        return self.html.find(">", start)
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks in page order. path: numbers of the open elements; verdict: what the markup says, below 0 boilerplate (-2: outright), 1 content, 0 nothing."""
+    """Blocks in page order. path: numbers of the nearest open elements; verdict: what the markup says, below 0 boilerplate (-2: outright), 1 content, 0 nothing;
+    doubts: what speaks against a block inside an article."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool, bool, frozenset[str]]] = []  # name, number, verdict, silent, link, tag and word names
+    stack: list[tuple[str, int, bool, bool, frozenset[str], frozenset[str]]] = []  # name, verdict, silent, link, tag and word names, doubts
+    path: list[int] = []  # numbers of the open elements that end blocks
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = number = 0
-    verdict, silent, link, names = 0, False, False, frozenset()
+    bare = (0, False, False, frozenset(), frozenset())
+    verdict, silent, link, names, doubts = bare
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = WHITE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, tuple(x[1] for x in stack if x[0] not in INLINE), min(linked, len(text)), verdict, names))
+                out.append(Block(text, tuple(path[-MOST_PATH:]), min(linked, len(text)), verdict, names, doubts))
             parts.clear()
         linked = 0
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        if name not in INLINE:
+            path.pop()
+        return name
+
     def restore() -> None:
-        nonlocal verdict, silent, link, names
-        verdict, silent, link, names = stack[-1][2:] if stack else (0, False, False, frozenset())
+        nonlocal verdict, silent, link, names, doubts
+        verdict, silent, link, names, doubts = stack[-1][1:] if stack else bare
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -104,23 +160,22 @@ def blocks_of(html: str) -> list[Block]:
             if link:
                 linked += len(piece.strip())
 
-    at = 0
+    at, tags = 0, Tags(html)
     while True:
-        m = TAG.search(html, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        name = m[2]
+        begin, end, name, ends_it, attributes = found
+        text(html[at:begin])
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        if m[1]:
-            if any(x[0] == name for x in stack):
+        if ends_it:
+            if opened.get(name):
                 if name not in INLINE:
                     flush()
-                while stack.pop()[0] != name:
+                while pop() != name:
                     pass
                 restore()
             elif name in ("p", "br"):
@@ -133,34 +188,45 @@ def blocks_of(html: str) -> list[Block]:
                 while depth >= 0 and stack[depth][0] in INLINE:
                     depth -= 1
                 while depth >= 0 and stack[depth][0] in ends:
-                    del stack[depth:]
+                    while len(stack) > depth:
+                        pop()
                     depth -= 1
                 restore()
         if name in VOID:
             continue
-        attributes = m[3]
         number += 1
-        mine, quiet, called = verdict, silent or name in SILENT, [] if name in INLINE else [f"tag:{name}"]
+        mine, quiet, called, doubt = verdict, silent or name in SILENT, [] if name in INLINE else [f"tag:{name}"], []
         if name in CONTENT:
             mine = 1 if verdict >= -1 else verdict
         elif name in BOILERPLATE:
-            mine = -2
+            if verdict > 0:
+                doubt.append(f"doubt:{name}")
+            else:
+                mine = -2
         if attributes and name not in ("html", "body"):
             for a in NAMING.finditer(attributes):
                 word = a[1] or a[2] or a[3] or ""
                 called += [f"word:{x}" for x in word.lower().split()]
-                if verdict >= -1:  # a wrapper that is only called a sidebar or header may still hold the article
+                if verdict > 0:
+                    if FIRM_WORDS.search(word):
+                        doubt.append("doubt:firm word")
+                    elif name not in CONTENT and BAD_WORDS.search(word):
+                        doubt.append("doubt:word")
+                elif verdict >= -1:  # a wrapper that is only called a sidebar or header may still hold the article
                     if CLOSED_WORDS.search(word):
                         mine = -2
                     elif name not in CONTENT and mine > -2 and BAD_WORDS.search(word):
                         mine = -1
         if attributes.endswith("/") and name in ("svg", "math"):
             continue
-        stack.append((name, number, mine, quiet, link or name == "a", names.union(called) if called else names))
+        stack.append((name, mine, quiet, link or name == "a", names.union(called) if called and len(names) < MOST_NAMES else names, doubts.union(doubt) if doubt else doubts))
+        opened[name] = opened.get(name, 0) + 1
+        if name not in INLINE:
+            path.append(number)
         restore()
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = end.start() if end else len(html)
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            at = close.start() if close else len(html)
     flush()
     return out
 
@@ -187,6 +253,7 @@ class Classifier:
         z = sum(w[k] * v for k, v in text_features(b).items()) + sum(w.get(x, 0.0) for x in b.names)
         if b.verdict:
             z += w[SAYS[b.verdict]]
+        z += sum(map(DOUBTS.__getitem__, b.doubts))
         return max(-MOST_ODDS, min(MOST_ODDS, z))
 
 
@@ -199,6 +266,8 @@ def train(pages: list[str], rounds: int = 30) -> Classifier:
         if not any(b.verdict > 0 for b in blocks):
             continue
         for b in blocks:
+            if b.doubts:
+                continue
             plain = text_features(b)
             rows += [plain | {x: 1.0 for x in b.names} | ({SAYS[b.verdict]: 1.0} if b.verdict else {}), plain]
             gold += [float(b.verdict > 0)] * 2
@@ -287,7 +356,7 @@ def label(blocks: list[Block], classifier: Classifier) -> list[bool]:
     s, t = n, n + 1
     flow = MaxFlow(n + 2)
     last: dict[int, int] = {}
-    near, related = round(NEXT * UNITS), round(RELATED * UNITS)
+    near, border, related = round(NEXT * UNITS), round(BORDER * UNITS), round(RELATED * UNITS)
     for i, b in enumerate(blocks):
         odds = round(classifier.odds(b) * UNITS)
         if odds > 0:
@@ -295,7 +364,8 @@ def label(blocks: list[Block], classifier: Classifier) -> list[bool]:
         elif odds < 0:
             flow.edge(i, t, -odds)
         if i:
-            flow.edge(i - 1, i, near, near)
+            side = near if b.doubts == blocks[i - 1].doubts else border
+            flow.edge(i - 1, i, side, side)
         for d, x in enumerate(b.path):  # nearest earlier block below each ancestor but the outermost two; joined once, by the deepest
             last_seen = last.get(x)
             if d >= 2 and last_seen is not None and (d + 1 == len(b.path) or b.path[d + 1] not in last) and last_seen != i - 1:
@@ -313,9 +383,14 @@ def main_text(html: str | None, classifier: Classifier | None = None) -> str:
 
 
 def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[str]:
-    """At most TRAIN_PAGES different whole pages of at most TRAIN_CHARS characters. Only their keys are ordered, not their texts."""
-    src = pages.where(F.length(html_col) <= TRAIN_CHARS).select(F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.xxhash64(html_col).alias("same"), F.col(html_col).alias("html"))
-    picked = src.select("at", "same").distinct().orderBy("at", "same").limit(TRAIN_PAGES)
+    """At most TRAIN_PAGES different whole pages of TRAIN_CHARS characters together (or one). Only their keys are ordered, not their texts."""
+    src = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.xxhash64(html_col).alias("same"), F.length(html_col).alias("size"), F.col(html_col).alias("html"))
+    late = F.when(F.col("size") > PAGE_CHARS, F.col("size")).otherwise(0)
+    keys = src.select("at", "same", "size", late.alias("late")).distinct().orderBy("late", "at", "same").limit(TRAIN_PAGES).collect()
+    if not keys:
+        return []
+    total = np.cumsum([r["size"] for r in keys])
+    picked = pages.sparkSession.createDataFrame([(r["at"], r["same"]) for i, r in enumerate(keys) if i == 0 or total[i] <= TRAIN_CHARS], "at long, same long")
     got = src.join(F.broadcast(picked), ["at", "same"]).groupBy("at", "same").agg(F.min("html").alias("html")).collect()
     return [r["html"] for r in sorted(got)]
 

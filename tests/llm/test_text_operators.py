@@ -313,12 +313,71 @@ def test_classifier_is_bounded_and_learns():
 
 @pytest.mark.parametrize("html, text", [
     ('<article title="The hidden cost"><p>One.</p><p data-x="a hidden b">Two.</p></article>', "One. Two."),
+    ("<article><p>One two three four.</p><div class='share-prices'><p>The share went up by a tenth today. Analysts had expected that much.</p></div><section class='related'><p>A related finding came from the same group last year. It was confirmed.</p></section></article>", "One two three four. The share went up by a tenth today. Analysts had expected that much. A related finding came from the same group last year. It was confirmed."),
+    ("<article><header><h1>The title of it</h1></header><p>Body text. More.</p><div class='share'><a href=x>Tweet</a> <a href=y>Mail</a></div><noscript>Shown without scripts, too. Yes.</noscript></article>", "The title of it Body text. More. Shown without scripts, too. Yes."),
+    ('<article><p title="abc>First paragraph. It counts.</p><p>Second one.</p></article>', "First paragraph. It counts. Second one."),
+    ("<article><p>Prices < 5 and > 3, a<b. End <", "Prices < 5 and > 3, a<b. End <"),
+    ("<article><p title='a > b' class=x>Quoted. <a href=\"x?a='1\">link</a> and text.</p></article>", "Quoted. link and text."),
     ("<article><p>Let <math><mi>x</mi></math> be <object>an object</object>.</p></article>", "Let x be an object ."),
 ])
 def test_nothing_else_is_dropped(html, text):
     assert html_extraction.main_text(html).replace(" .", ".") == text.replace(" .", ".")
 
 
+def test_the_cut_with_and_without_marks(spark, data):
+    """Where marks are missing the cut mends single blocks; where articles hold doubtful elements it decides by their text and neighbours."""
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").where("html IS NOT NULL").collect()]
+    model = html_extraction.train(html_extraction.sample_pages(spark.read.parquet(f"{data}/pages.parquet")))
+    prose = "<p>The market opened higher. Trading was thin.</p><h4>Oil</h4><p>Prices fell by a tenth, as they had the week before. No one knows why.</p>"
+    links = "<ul><li><a href=a>One more</a></li><li><a href=b>Another one</a></li></ul>"
+    scored = {}
+    for kind in ("without marks", "doubtful"):
+        for cut in (False, True):
+            both = found = wanted = changed = 0
+            for i, html in enumerate(pages):
+                inside = re.search(r"<article>(.*)</article>", html, re.S)[1]
+                want = [w for b in html_extraction.blocks_of(inside) for w in b.text.split()]
+                if kind == "without marks":
+                    html = without_marks(html)
+                else:
+                    word = ("share-prices", "related", "side-note")[i % 3]
+                    html = html.replace("</article>", f"<div class='{word}'>{prose}</div><div class='{word}'>{links}</div></article>")
+                    want += [w for b in html_extraction.blocks_of(prose) for w in b.text.split()]
+                blocks = html_extraction.blocks_of(html)
+                plain = [model.odds(b) > 0 for b in blocks]
+                keep = html_extraction.label(blocks, model) if cut else plain
+                got = [w for b, k in zip(blocks, keep, strict=True) if k for w in b.text.split()]
+                both += (Counter(want) & Counter(got)).total()
+                found, wanted, changed = found + len(got), wanted + len(want), changed + sum(a != b for a, b in zip(keep, plain, strict=True))
+            scored[kind, cut] = both / found, both / wanted, changed
+    for kind in ("without marks", "doubtful"):
+        (p, r, _), (q, s, changed) = scored[kind, False], scored[kind, True]
+        assert changed > 0 and 2 * q * s / (q + s) >= 2 * p * r / (p + r) and q > 0.9 and s > 0.97
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a x="', "<p title='", "<b></i>", "<", "<!", '<a x=">', "<div class=c%d>"])
+def test_tags_are_found_in_linear_time(unit):
+    def seconds(n):
+        page = "".join(unit % i if "%" in unit else unit for i in range(n)) + "text >"
+        began = time.process_time()
+        html_extraction.blocks_of(page)
+        return time.process_time() - began
+
+    seconds(100)
+    small, large = min(seconds(2000) for _ in range(3)), min(seconds(16_000) for _ in range(2))
+    assert large < 24 * small + 0.2
+
+
+def test_samples_of_pages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(html_extraction, "PAGE_CHARS", 100)
+    monkeypatch.setattr(html_extraction, "TRAIN_CHARS", 1000)
+    rows = [(i, "x" * (50 + i)) for i in range(5)] + [(10, "y" * 600), (11, "z" * 900), (12, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert sorted(len(x) for x in html_extraction.sample_pages(pages)) == [50, 51, 52, 53, 54, 600]
+    assert [len(x) for x in html_extraction.sample_pages(pages.where("page_id = 11").withColumn("html", F.repeat("html", 2)))] == [1800]
+    assert html_extraction.sample_pages(pages.where("page_id = 12")) == []
+
+
 def test_deep_and_long_pages():
     assert html_extraction.main_text("<div>" * 3000 + "x" + "</div>" * 3000) in ("", "x")
     long = "<article>" + "<p>Some words here, and more.</p>" * 3000 + "</article>"
