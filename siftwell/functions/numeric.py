@@ -247,36 +247,6 @@ def ward(x: np.ndarray, clusters: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def fit_irt(y: np.ndarray, model: str = "2pl", epochs: int = 400, rate: float = 0.05, positive_disc: bool = False, seed: int = 0) -> dict[str, np.ndarray]:
-    """Item-response parameters of a systems x items matrix with scores in [0, 1], by Adam on the cross-entropy with normal priors.
-
-    model: 1pl (diff), 2pl (diff, disc), 4pl (diff, disc, feas; feas stays in [0.01, 0.99]).
-    """
-    m, n = y.shape
-    rng = np.random.default_rng(seed)
-    p = {"theta": rng.normal(0, 0.1, m) + (y.mean(1) - y.mean()), "diff": rng.normal(0, 0.1, n), "disc": np.ones(n), "feas": np.full(n, 0.05)}
-    train = ["theta", "diff"] + ["disc"] * (model != "1pl") + ["feas"] * (model == "4pl")
-    m1, m2 = ({k: np.zeros_like(p[k]) for k in train} for _ in range(2))
-    for t in range(1, epochs + 1):
-        z = p["theta"][:, None] - p["diff"]
-        s = 1 / (1 + np.exp(-np.clip(p["disc"] * z, -30, 30)))
-        low = p["feas"] if model == "4pl" else np.zeros(n)
-        q = np.clip(low + (1 - low) * s, 1e-6, 1 - 1e-6)
-        g = (q - y) / (q * (1 - q))
-        inner = g * (1 - low) * s * (1 - s)
-        grad = {"theta": (inner * p["disc"]).sum(1) + 0.1 * p["theta"], "diff": -(inner * p["disc"]).sum(0) + 0.1 * p["diff"], "disc": (inner * z).sum(0) + 0.5 * (p["disc"] - 1), "feas": (g * (1 - s)).sum(0) + 2 * (p["feas"] - 0.05)}
-        for k in train:
-            m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
-            m2[k] = 0.999 * m2[k] + 0.001 * grad[k] ** 2
-            p[k] = p[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
-        p["feas"] = np.clip(p["feas"], 0.01, 0.99)
-        if positive_disc:
-            p["disc"] = np.maximum(p["disc"], 1e-3)
-    if model != "1pl" and p["disc"].mean() < 0:  # the mirror image fits as well; keep better systems higher
-        p["theta"], p["diff"], p["disc"] = -p["theta"], -p["diff"], -p["disc"]
-    return {k: p[k] for k in train}
-
-
 def earlier_counts(code: np.ndarray, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each weighting and each place: the weight of the earlier places with a smaller code, and with a code at most as large.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import numeric
 from siftwell.functions.columns import irt_prediction, uniform
 from siftwell.operators import evaluate
+from siftwell.operators.response import multidimensional_irt  # noqa: F401
 
 By = tuple[str, ...]
 
@@ -182,42 +183,57 @@ def mean_correlations(correlations: DataFrame) -> DataFrame:
     return correlations.groupBy("metric").agg(F.avg("correlation").alias("correlation"))
 
 
-def metric_quality(scores: DataFrame, methods: dict, target: str = "human", props: list[float] | None = None) -> DataFrame:
-    """metric, method, quality (correlation of the metric with the target), gain (mean over proportions of prefix correlation minus full agreement).
+def metric_quality(scores: DataFrame, methods: dict, target: str = "human", value: str = "spa", props: list[float] | None = None, seeds: int = 10, permutations: int = 1000) -> DataFrame:
+    """metric, method, prop, quality (correlation of the metric with the target), parity (of the target on the order by that metric and method, divided by a random order's).
 
-    methods maps names to functions (scores, metric) -> utility; every metric but the target is swept.
+    methods maps names to functions (scores, metric, by) -> utility. Metric and method are columns from the scorer through the ranking to the curve, so the sweep is one plan.
+    value: correlation, clusters or spa.
     """
+    spark = scores.sparkSession
+    others = scores.where(F.col("metric") != target).select("item_id", "pos", "system", F.col("metric").alias("sweep"), F.lit("x").alias("metric"), "value")
+    ranked = None
+    for name, fn in methods.items():
+        utility = fn(others, "x", ("sweep",)).select("sweep", "item_id", "pos", F.round("utility", evaluate.PLACES).alias("utility"), F.lit(name).alias("method"))
+        ranked = utility if ranked is None else ranked.unionByName(utility)
+    by = ("sweep", "method")
+    ranked = evaluate.rank_items(ranked, by)
+    baseline = evaluate.random_baseline(scores, target, value, props, seeds, permutations)
+    groups = others.select("sweep").distinct().crossJoin(spark.createDataFrame([(m,) for m in methods], "method string"))  # metrics and methods are few
+    targets = groups.crossJoin(baseline.select("prop", "target"))
+    curve = {"correlation": lambda: evaluate.correlation_curve(scores, ranked, target, by=by), "clusters": lambda: evaluate.clusters_every_prefix(scores, ranked, target, by), "spa": lambda: evaluate.spa_every_prefix(scores, ranked, target, permutations, by=by)}
+    if value not in curve:
+        raise ValueError(f"unknown value: {value}")
     n = scores.select("item_id").distinct().count()
-    points = evaluate.proportions(scores.sparkSession, n, props)
-    names = [r["metric"] for r in scores.select("metric").distinct().collect() if r["metric"] != target]  # metrics are few
-    out = None
-    for name in sorted(names):
-        for method, fn in methods.items():
-            curve = evaluate.correlation_curve(scores, evaluate.rank_items(fn(scores, name)), target).join(points, "k")
-            row = curve.agg(F.avg("correlation").alias("gain")).select(F.lit(name).alias("metric"), F.lit(method).alias("method"), "gain")
-            out = row if out is None else out.unionByName(row)
-    return out.join(evaluate.metrics_correlations(scores, target).withColumnRenamed("correlation", "quality"), "metric")
-
-
-def multidimensional_irt(scores: DataFrame, metric: str, dimensions: int = 2, epochs: int = 300, seed: int = 0) -> DataFrame:
-    """item_id, pos, diff, disc_sum: sigmoid(sum over dimensions of disc * theta - diff), fitted on one data set in one task (min-max scaled scores)."""
-    own = scores.where(F.col("metric") == metric).select(F.lit(0).alias("g"), "item_id", "pos", "system", "value")
-    kind = dict(scores.dtypes)["item_id"]
+    found = evaluate.parity(curve[value](), targets, n, value, by=by).join(baseline.select("prop", "random_parity"), "prop")
+    found = found.select(F.col("sweep").alias("metric"), "method", "prop", F.try_divide("parity", "random_parity").alias("parity"))
+    return found.join(evaluate.metrics_correlations(scores, target).withColumnRenamed("correlation", "quality"), "metric")
+
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="system", columns=["pos", "item_id"], values="value").sort_index()
-        y = m.to_numpy(float)
-        y = np.where(np.isnan(y), np.nanmean(y), y)
-        y = (y - y.min()) / max(y.max() - y.min(), 1e-12)
-        rng = np.random.default_rng(seed)
-        p = [rng.normal(0, 0.3, (y.shape[0], dimensions)), 0.5 + rng.normal(0, 0.1, (y.shape[1], dimensions)), np.zeros(y.shape[1])]
-        m1, m2 = ([np.zeros_like(x) for x in p] for _ in range(2))
-        for t in range(1, epochs + 1):
-            q = 1 / (1 + np.exp(-np.clip(p[0] @ p[1].T - p[2], -30, 30)))
-            e = q - y
-            for k, g in enumerate((e @ p[1] + 0.1 * p[0], e.T @ p[0] + 0.1 * (p[1] - 0.5), -e.sum(0) + 0.1 * p[2])):
-                m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g**2
-                p[k] = p[k] - 0.05 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
-        return pd.DataFrame({"item_id": [c[1] for c in m.columns], "pos": [c[0] for c in m.columns], "diff": p[2], "disc_sum": p[1].sum(1)})
-
-    return own.groupBy("g").applyInPandas(fit, f"item_id {kind}, pos long, diff double, disc_sum double")
+def smoothed(curves: DataFrame, x: str, y: str, window: int = 7, degree: int = 2, by: By = ()) -> DataFrame:
+    """Adds smooth: the curve's local polynomial (Savitzky-Golay) at each row, rows ordered by x.
+
+    Each row gets the least-squares polynomial through the window rows around it; within half a window of an end, the polynomial through the first or last window
+    rows. Curves with fewer rows use the largest odd window that fits, and one of degree rows or fewer stays as it is. The fit is a weighted sum of neighbours, so all curves are one window.
+    """
+    if window % 2 == 0 or window < 1 or degree < 0 or degree >= window:
+        raise ValueError("the window must be odd and larger than the degree")
+    keys = list(by)
+    order = Window.partitionBy(*keys).orderBy(x)
+    frame = order.rowsBetween(-(window - 1), window - 1)
+    near = curves.withColumns({"i_": F.row_number().over(order) - 1, "n_": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "near_": F.collect_list(F.coalesce(F.col(y).cast("double"), F.lit(float("nan")))).over(frame)})
+    tables = {}
+    for w in range(1, window + 1, 2):
+        basis = np.vander(np.arange(w, dtype=float), degree + 1, increasing=True) if w > degree else None
+        tables[w] = np.eye(w) if basis is None else basis @ np.linalg.pinv(basis)  # row p: weights of the window's rows for its place p
+    fits = F.least(F.lit(window), F.col("n_") - F.when(F.col("n_") % 2 == 0, 1).otherwise(0))
+    out = F.col(y).cast("double")
+    for w, table in tables.items():
+        if w <= degree:
+            continue
+        start = F.greatest(F.lit(0), F.least(F.col("i_") - w // 2, F.col("n_") - w))  # the window's first row
+        place = F.col("i_") - start
+        first = start - F.greatest(F.lit(0), F.col("i_") - (window - 1))  # within near_
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in table])
+        value = F.aggregate(F.zip_with(F.slice("near_", (first + 1).cast("int"), F.lit(w)), F.element_at(rows, (place + 1).cast("int")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        out = F.when(fits == w, value).otherwise(out)
+    return near.withColumn("smooth", out).drop("i_", "n_", "near_")

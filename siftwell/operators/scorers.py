@@ -17,6 +17,7 @@ from siftwell.functions import numeric
 from siftwell.functions.columns import dot, irt_information, uniform, words
 from siftwell.operators.evaluate import kendall_columns
 from siftwell.operators.ranking import in_order, planned_buckets
+from siftwell.operators.response import irt_fit
 
 By = tuple[str, ...]
 
@@ -172,41 +173,6 @@ def irt_utility(params: DataFrame, kind: str, models: DataFrame | None = None, b
     return both.groupBy(*keys).agg(F.sum(irt_information(F.col("theta"), F.col("diff"), F.col("disc"))).alias("utility"))
 
 
-def irt_fit(scores: DataFrame, metric: str, model: str = "2pl", binarize: bool = True, epochs: int = 400, seed: int = 0, by: By = ()) -> tuple[DataFrame, DataFrame]:
-    """Item and system parameters. Data sets (by) are fitted in parallel, one task each: a fit needs its whole matrix."""
-    keys = list(by)
-    own = _metric(scores, metric).select(*keys, "item_id", "pos", "system", "value")
-    if not keys:
-        own = own.withColumn("d_", F.lit(0))
-        keys = ["d_"]
-    item_type = dict(own.dtypes)["item_id"]
-    schema = ", ".join(f"{k} {dict(own.dtypes)[k]}" for k in keys) + f", kind string, item_id {item_type}, pos long, system string, theta double, diff double, disc double, feas double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="system", columns=["pos", "item_id"], values="value").sort_index()
-        y = m.to_numpy(float)
-        y = np.where(np.isnan(y), np.nanmean(y, axis=0), y)
-        if binarize:
-            y = (y >= np.median(y)).astype(float)
-        else:
-            span = y.max() - y.min()
-            y = (y - y.min()) / span if span else np.zeros_like(y)
-        p = numeric.fit_irt(y, model, epochs, seed=seed)
-        n = y.shape[1]
-        items = pd.DataFrame({"kind": "item", "item_id": [c[1] for c in m.columns], "pos": [c[0] for c in m.columns], "system": None, "theta": np.nan, "diff": p["diff"], "disc": p.get("disc", np.full(n, 1.0)), "feas": p.get("feas", np.full(n, 0.0))})
-        systems = pd.DataFrame({"kind": "system", "item_id": None, "pos": 0, "system": list(m.index), "theta": p["theta"], "diff": np.nan, "disc": np.nan, "feas": np.nan})
-        out = pd.concat([items.astype(object), systems.astype(object)], ignore_index=True)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "kind", "item_id", "pos", "system", "theta", "diff", "disc", "feas"]]
-
-    fitted = own.groupBy(*keys).applyInPandas(fit, schema)
-    return (
-        fitted.where("kind = 'item'").select(*by, "item_id", "pos", "diff", "disc", "feas"),
-        fitted.where("kind = 'system'").select(*by, "system", "theta"),
-    )
-
-
 def pyirt(scores: DataFrame, metric: str, kind: str, model: str = "4pl", binarize: bool = False, by: By = (), **options) -> DataFrame:
     """Fits, then maps the parameters to a utility."""
     items, models = irt_fit(scores, metric, model, binarize, by=by, **options)

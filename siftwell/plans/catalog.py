@@ -284,7 +284,7 @@ def irt_utilities(spark, d):
 
 @query()
 def irt_fit(spark, d):
-    items, _ = S.irt_fit(V.event_scores(spark, d), "m", "4pl", binarize=False, epochs=100)
+    items, _ = S.irt_fit(V.event_scores(spark, d), "m", "4pl", binarize=False)
     return r6(items, "diff", "disc", "feas").select("item_id", "diff", "disc", "feas")
 
 
@@ -681,7 +681,7 @@ def metric_quality(spark, d):
 
 @query()
 def multidimensional_irt(spark, d):
-    return r6(X.multidimensional_irt(V.event_scores(spark, d), "m", epochs=60), "diff", "disc_sum").select("item_id", "diff", "disc_sum")
+    return r6(X.multidimensional_irt(V.event_scores(spark, d), "m"), "diff", "disc_sum").select("item_id", "diff", "disc_sum")
 
 
 @query(EV + RANKED_SQL + POINTS_SQL + SIGNS_SQL + prefix_spa_sql("ranked", "own") + " SELECT round(prop, 2) AS prop, round(spa, 6) AS spa FROM own JOIN pk USING (k)")
@@ -804,7 +804,7 @@ def active_learning(spark, d):
 @query()
 def holdout_error(spark, d):
     scores = V.event_scores(spark, d).withColumn("value", F.when(F.col("metric") == "m", F.col("value") / 100).otherwise(F.col("value")))
-    return r6(X.holdout_error(scores, lambda s: S.irt_fit(s, "m", "4pl", binarize=False, epochs=60), "m"), "mae", "correlation")
+    return r6(X.holdout_error(scores, lambda s: S.irt_fit(s, "m", "4pl", binarize=False), "m"), "mae", "correlation")
 
 
 # ---- sources and sinks ----------------------------------------------------------------------------------------------

@@ -164,7 +164,7 @@ def test_irt_fit_orders_systems(spark):
     rows = [(str(i), i, s, "m", float(np.clip(q + rng.normal(0, 0.1), 0, 1))) for i in range(30) for s, q in zip("ABC", (0.8, 0.5, 0.2), strict=True)]
     df = spark.createDataFrame(rows, "item_id string, pos long, system string, metric string, value double")
     for model in ("1pl", "2pl", "4pl"):
-        items, models = S.irt_fit(df, "m", model, binarize=False, epochs=150)
+        items, models = S.irt_fit(df, "m", model, binarize=False)
         assert items.count() == 30
         assert [r["system"] for r in models.orderBy(F.desc("theta")).collect()] == ["A", "B", "C"]
         assert X.theta_accuracy(models, df, "m").first()["accuracy"] == 1
