@@ -82,3 +82,21 @@ def dot(a: Column, b: Column) -> Column:
 def plain_text(text: Column, most_words: int = 60) -> Column:
     """Whether a text is short and free of links and markup."""
     return ~text.contains("http") & ~text.contains("<div") & (F.size(words(text)) < most_words)
+
+
+#: The rules of the international evaluations' tokenisation, version 13a, in their order.
+RULES_13A = [
+    ("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("^(.*)$", " $1 "),
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "),
+]
+
+
+def tokens_13a(text: Column) -> Column:
+    for pattern, by in RULES_13A:
+        text = F.regexp_replace(text, pattern, by)
+    return words(text)
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """All runs of n tokens, joined by spaces."""
+    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))

@@ -224,26 +224,42 @@ def knapsack(utility: np.ndarray, cost: np.ndarray, budget: float, scale: int =
 
 
 def ward(x: np.ndarray, clusters: int) -> np.ndarray:
-    """Labels of the first level of Ward linkage with at most so many clusters (Lance-Williams on squared distances, ties by the lowest index)."""
+    """Labels of the first level of Ward linkage with at most so many clusters.
+
+    Chains of nearest neighbours: from a cluster to its nearest, on to that one's nearest, until two are nearest to each other and merge (equal distances go by the
+    lowest index, and back along the chain first). Only the centres and sizes are held, so memory is linear in the items. The merges of the least heights are then applied.
+    """
     n = len(x)
-    label, size = np.arange(n), np.ones(n)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
-    d[np.tril_indices(n)] = np.inf
-    left = n
-    while left > max(1, clusters):
-        i, j = divmod(int(np.argmin(d)), n)
-        full = np.minimum(d, d.T)
-        total = size + size[i] + size[j]
-        with np.errstate(invalid="ignore"):
-            merged = ((size + size[i]) * full[i] + (size + size[j]) * full[j] - size * full[i, j]) / total
-        merged[~np.isfinite(merged)] = np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        merged[i] = merged[j] = np.inf
-        d[i, i + 1 :] = merged[i + 1 :]
-        d[:i, i] = merged[:i]
-        d[j, :] = d[:, j] = np.inf
-        left -= 1
+    centre, size, alive = np.array(x, float), np.ones(n), np.ones(n, bool)
+    square = (centre * centre).sum(1)
+    chain: list[int] = []
+    merges: list[tuple[float, int, int]] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            tip = chain[-1]
+            gap = np.maximum(square + square[tip] - 2 * (centre @ centre[tip]), 0.0)
+            height = np.where(alive, 2 * size * size[tip] / (size + size[tip]) * gap, np.inf)
+            height[tip] = np.inf
+            nearest = int(np.argmin(height))
+            if len(chain) > 1 and height[chain[-2]] <= height[nearest] * (1 + 1e-12) + 1e-300:
+                break
+            chain.append(nearest)
+        i, j = sorted((chain.pop(), chain.pop()))
+        merges.append((float(height[i if tip == j else j]), i, j))
+        total = size[i] + size[j]
+        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / total
+        square[i], size[i], alive[j] = (centre[i] ** 2).sum(), total, False
+    label = np.arange(n)
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(0, n - max(1, clusters))]:
+        while label[i] != i:
+            i = label[i]
+        while label[j] != j:
+            j = label[j]
+        label[max(i, j)] = min(i, j)
+    for k in range(n):
+        label[k] = label[label[k]]
     return np.unique(label, return_inverse=True)[1]
 
 

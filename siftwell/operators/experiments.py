@@ -209,31 +209,35 @@ def metric_quality(scores: DataFrame, methods: dict, target: str = "human", valu
     return found.join(evaluate.metrics_correlations(scores, target).withColumnRenamed("correlation", "quality"), "metric")
 
 
+def smoothing_weights(window: int, degree: int) -> np.ndarray:
+    """Row p: weights of the window's rows for the polynomial's value at its place p; the last row: at its middle."""
+    places = np.arange(window, dtype=float)
+    basis = np.vander(places, degree + 1, increasing=True)
+    at = np.vander(np.append(places, (window - 1) / 2), degree + 1, increasing=True)
+    return at @ np.linalg.pinv(basis)
+
+
 def smoothed(curves: DataFrame, x: str, y: str, window: int = 7, degree: int = 2, by: By = ()) -> DataFrame:
     """Adds smooth: the curve's local polynomial (Savitzky-Golay) at each row, rows ordered by x.
 
-    Each row gets the least-squares polynomial through the window rows around it; within half a window of an end, the polynomial through the first or last window
-    rows. Curves with fewer rows use the largest odd window that fits, and one of degree rows or fewer stays as it is. The fit is a weighted sum of neighbours, so all curves are one window.
+    A row gets the value in the middle of the least-squares polynomial through the window rows around it (an even window has one more row behind than before, and
+    its middle lies between two rows); within half a window of an end, the polynomial through the first or last window rows at its own place. Curves with fewer rows
+    use the largest window of the same parity that fits, and stay as they are where that has degree rows or fewer. All curves are one window.
     """
-    if window % 2 == 0 or window < 1 or degree < 0 or degree >= window:
-        raise ValueError("the window must be odd and larger than the degree")
-    keys = list(by)
-    order = Window.partitionBy(*keys).orderBy(x)
-    frame = order.rowsBetween(-(window - 1), window - 1)
-    near = curves.withColumns({"i_": F.row_number().over(order) - 1, "n_": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "near_": F.collect_list(F.coalesce(F.col(y).cast("double"), F.lit(float("nan")))).over(frame)})
-    tables = {}
-    for w in range(1, window + 1, 2):
-        basis = np.vander(np.arange(w, dtype=float), degree + 1, increasing=True) if w > degree else None
-        tables[w] = np.eye(w) if basis is None else basis @ np.linalg.pinv(basis)  # row p: weights of the window's rows for its place p
-    fits = F.least(F.lit(window), F.col("n_") - F.when(F.col("n_") % 2 == 0, 1).otherwise(0))
+    if window < 1 or not 0 <= degree < window:
+        raise ValueError("the window must be larger than the degree")
+    order = Window.partitionBy(*by).orderBy(x)
+    value = F.coalesce(F.col(y).cast("double"), F.lit(float("nan")))
+    near = curves.withColumns({"i_": F.row_number().over(order) - 1, "n_": F.count(F.lit(1)).over(Window.partitionBy(*by)), "near_": F.collect_list(value).over(order.rowsBetween(-(window - 1), window - 1))})
+    fits = F.least(F.lit(window), F.col("n_") - F.pmod(F.col("n_") - window, F.lit(2)))
     out = F.col(y).cast("double")
-    for w, table in tables.items():
-        if w <= degree:
-            continue
-        start = F.greatest(F.lit(0), F.least(F.col("i_") - w // 2, F.col("n_") - w))  # the window's first row
-        place = F.col("i_") - start
+    for w in range(window, degree, -2):
+        half = w // 2
+        low, high = F.col("i_") < half, F.col("i_") >= F.col("n_") - half
+        start = F.when(low, F.lit(0)).when(high, F.col("n_") - w).otherwise(F.col("i_") - (half if w % 2 else half - 1))  # the window's first row
+        place = F.when(low | high, F.col("i_") - start).otherwise(w)
         first = start - F.greatest(F.lit(0), F.col("i_") - (window - 1))  # within near_
-        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in table])
-        value = F.aggregate(F.zip_with(F.slice("near_", (first + 1).cast("int"), F.lit(w)), F.element_at(rows, (place + 1).cast("int")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        out = F.when(fits == w, value).otherwise(out)
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in smoothing_weights(w, degree)])
+        products = F.zip_with(F.slice("near_", (first + 1).cast("int"), F.lit(w)), F.element_at(rows, (place + 1).cast("int")), lambda a, b: a * b)
+        out = F.when(fits == w, F.aggregate(products, F.lit(0.0), lambda s, v: s + v)).otherwise(out)
     return near.withColumn("smooth", out).drop("i_", "n_", "near_")

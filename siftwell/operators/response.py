@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.columns import words
+from siftwell.operators.gradients import Adam, summed
 from siftwell.operators.lineage import written
 from siftwell.operators.normalize import median_binarize, minmax
 
@@ -252,26 +253,12 @@ def feature_irt(scores: DataFrame, vectors: DataFrame, metric: str, rounds: int
         raise ValueError("no item has both scores and a vector")
     model = FeatureModel(first["n"], list(first["systems"]))
     split = model.weights.size
-    m1, m2 = np.zeros(split + len(model.theta)), np.zeros(split + len(model.theta))
-    for t in range(1, rounds + 1):
-
-        def slopes(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            total = None
-            for b in batches:
-                if len(b):
-                    got = model.slopes(matrix(b["x"]), matrix(b["y"]))
-                    total = got if total is None else total + got
-            if total is not None:
-                yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
-
-        sums = cells.select("x", "y").mapInPandas(slopes, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many as there are weights
-        g = np.zeros(len(m1) + 2)
-        for r in sums:
-            g[r["i"]] = r["v"]
+    adam = Adam(split + len(model.theta), rate)
+    for _ in range(rounds):
+        g = summed(cells.select("x", "y"), lambda b, model=model: model.slopes(matrix(b["x"]), matrix(b["y"])), len(adam.first) + 2)
         now = np.concatenate([model.weights.ravel(), model.theta])
         g = g[:-2] / max(1.0, g[-1]) + ridge * np.concatenate([np.where(np.arange(split) < split - 3, model.weights.ravel(), 0.0), model.theta])
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        now = now - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+        now = now - adam.step(g)
         model.weights, model.theta = now[:split].reshape(-1, 3), now[split:]
 
     def predicted(more: DataFrame) -> DataFrame:

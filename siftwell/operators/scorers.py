@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import numeric
-from siftwell.functions.columns import dot, irt_information, uniform, words
+from siftwell.functions.columns import dot, irt_information, ngrams, tokens_13a, uniform, words
 from siftwell.operators.evaluate import kendall_columns
+from siftwell.operators.gradients import Adam, summed
+from siftwell.operators.lineage import written
 from siftwell.operators.ranking import in_order, planned_buckets
 from siftwell.operators.response import irt_fit
 
@@ -217,3 +219,109 @@ def distilled_from_vectors(vectors: DataFrame, utility: DataFrame, train: Column
     data = vectors.select("item_id", "pos", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     known = data.join(utility.select("item_id", F.col("utility").alias("label")), "item_id").where(train)
     return LinearRegression(regParam=regularization, solver="normal").fit(known).transform(data).select("item_id", "pos", F.col("prediction").alias("utility"))
+
+
+class Network:
+    """Two hidden layers of rectified units and one output."""
+
+    def __init__(self, width: int, hidden: tuple[int, int], seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        sizes = [width, *hidden, 1]
+        self.shapes = [shape for a, b in zip(sizes, sizes[1:], strict=False) for shape in ((a, b), (b,))]
+        self.weights = np.concatenate([rng.normal(0, np.sqrt(2 / s[0]), s).ravel() if len(s) == 2 else np.zeros(s) for s in self.shapes])
+
+    def layers(self) -> list[np.ndarray]:
+        cuts = np.cumsum([int(np.prod(s)) for s in self.shapes])[:-1]
+        return [w.reshape(s) for w, s in zip(np.split(self.weights, cuts), self.shapes, strict=True)]
+
+    def forward(self, x: np.ndarray) -> list[np.ndarray]:
+        out, w = [x], self.layers()
+        for k in range(0, len(w), 2):
+            z = out[-1] @ w[k] + w[k + 1]
+            out.append(z if k == len(w) - 2 else np.maximum(z, 0))
+        return out
+
+    def slopes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Slopes of the squared error, added up over the rows."""
+        out, w = self.forward(x), self.layers()
+        back, found = out[-1] - y[:, None], []
+        for k in range(len(w) - 2, -1, -2):
+            found += [back.sum(0), out[k // 2].T @ back]
+            back = (back @ w[k].T) * (out[k // 2] > 0)
+        return np.concatenate([g.ravel() for g in reversed(found)])
+
+
+def distilled_network(vectors: DataFrame, utility: DataFrame, train: Column, hidden: tuple[int, int] = (128, 16), rounds: int = 200, rate: float = 0.02, seed: int = 0) -> DataFrame:
+    """Learns a utility from vectors (all of one length) with two hidden layers on the rows where train holds, and predicts it for all.
+
+    Each round adds up the slopes of all rows over the tasks (back-propagation in Arrow batches) and makes one step; the driver holds the weights. Features and target are standardised.
+    """
+    data = vectors.select("item_id", "pos", F.col("embedding").cast("array<double>").alias("x"))
+    known = written(data.join(utility.select("item_id", F.col("utility").cast("double").alias("y")), "item_id").where(train & F.col("y").isNotNull()).select("x", "y"), "distil")
+    first = known.first()
+    if first is None:
+        raise ValueError("nothing to learn from")
+    width = len(first["x"])
+    frame = lambda b: np.column_stack([np.array(b["x"].tolist(), float), b["y"].to_numpy(float)])
+
+    def moments(b: pd.DataFrame) -> np.ndarray:
+        m = frame(b)
+        return np.concatenate([m.sum(0), (m * m).sum(0), [len(m)]])
+
+    sums = summed(known, moments, 2 * width + 3)
+    mean = sums[: width + 1] / sums[-1]
+    scale = np.sqrt(np.maximum(sums[width + 1 : -1] / sums[-1] - mean**2, 0))
+    scale[scale < 1e-9] = 1.0
+    net = Network(width, hidden, seed)
+    adam = Adam(len(net.weights), rate)
+    for _ in range(rounds):
+
+        def slopes(b: pd.DataFrame, net=net) -> np.ndarray:
+            m = (frame(b) - mean) / scale
+            return net.slopes(m[:, :-1], m[:, -1])
+
+        net.weights = net.weights - adam.step(summed(known, slopes, len(net.weights)) / sums[-1])
+    types = dict(data.dtypes)
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = (np.array(b["x"].tolist(), float) - mean[:-1]) / scale[:-1]
+                yield b[["item_id", "pos"]].assign(utility=net.forward(x)[-1][:, 0] * scale[-1] + mean[-1])
+
+    return data.mapInPandas(predict, f"item_id {types['item_id']}, pos {types['pos']}, utility double")
+
+
+def simplification_score(outputs: DataFrame, sources: DataFrame, references: DataFrame, order: int = 4) -> DataFrame:
+    """item_id, pos, system, value: SARI (0 to 100) of each output (tgt) against the source (item_id, src) and all references (item_id, ref) of its item.
+
+    For each length of n-grams: F1 of what was kept, precision of what was deleted, F1 of what was added, by three multisets that meet on the n-gram; no n-grams count as
+    a perfect match. Texts are lower-cased and cut by the 13a rules; nulls are empty. Items without a reference have no score.
+    """
+    def grams(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+        tokens = df.select(*keys, tokens_13a(F.lower(F.coalesce(text, F.lit("")))).alias("t_"))
+        sizes = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("t_"), n).alias("g")) for n in range(1, order + 1)])
+        sized = tokens.select(*keys, F.explode(sizes).alias("x_")).select(*keys, "x_.n", F.explode("x_.g").alias("g"))
+        return sized.groupBy(*keys, "n", "g").agg(F.count(F.lit(1)).alias("c_"))
+
+    many = references.groupBy("item_id").agg(F.count(F.lit(1)).alias("many_"))
+    own = outputs.select("item_id", "pos", "system").distinct().join(many, "item_id")
+    keys = ["item_id", "system"]
+    s = own.select(*keys).join(grams(sources, "src", ["item_id"]), "item_id").select(*keys, "n", "g", F.col("c_").alias("s"), F.lit(0).alias("c"), F.lit(0).alias("r"))
+    r = own.select(*keys).join(grams(references, "ref", ["item_id"]), "item_id").select(*keys, "n", "g", F.lit(0).alias("s"), F.lit(0).alias("c"), F.col("c_").alias("r"))
+    c = grams(outputs, "tgt", keys).select(*keys, "n", "g", F.lit(0).alias("s"), F.col("c_").alias("c"), F.lit(0).alias("r"))
+    met = s.unionByName(c).unionByName(r).groupBy(*keys, "n", "g").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("r").alias("r"))
+    met = met.join(own.select(*keys, "many_"), keys).select(*keys, "n", (F.col("s") * F.col("many_")).alias("s"), (F.col("c") * F.col("many_")).alias("c"), "r")
+    kept, gone, zero = F.least("s", "c"), F.greatest(F.col("s") - F.col("c"), F.lit(0)), F.lit(0)
+    good = F.least("s", "c", "r")
+    new, wanted = (F.col("c") > 0) & (F.col("s") == 0), (F.col("r") > 0) & (F.col("s") == 0)
+    count = lambda x: F.sum(x.cast("int"))
+    sums = met.groupBy(*keys, "n").agg(
+        F.sum(F.try_divide(good, kept)).alias("k1"), count(kept > 0).alias("k2"), F.sum(good).alias("k3"), F.sum(F.least("s", "r")).alias("k4"),
+        F.sum(F.try_divide(F.greatest(gone - F.col("r"), zero), gone)).alias("d1"), count(gone > 0).alias("d2"), count(new & (F.col("r") > 0)).alias("a1"), count(new).alias("a2"), count(wanted).alias("a3"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(F.coalesce(F.col(a), F.lit(0)), F.col(b)), F.lit(1.0))
+    f1 = lambda p, q: F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))
+    each = own.select("item_id", "pos", "system", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")).join(sums, [*keys, "n"], "left")
+    value = (f1(share("k1", "k2"), share("k3", "k4")) + share("d1", "d2") + f1(share("a1", "a2"), share("a1", "a3"))) / 3
+    return each.groupBy("item_id", "pos", "system").agg((100 * F.avg(value)).alias("value"))

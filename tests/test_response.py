@@ -1,11 +1,15 @@
 """Item-response fits recover what scores were simulated from; features tell about items without scores; curves are smoothed."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import experiments as X
+from siftwell.functions import numeric
 from siftwell.operators import response as R
+from siftwell.operators import scorers as S
 
 SCHEMA = "dataset string, item_id string, pos long, system string, metric string, value double"
 
@@ -97,5 +101,81 @@ def test_smoothing_is_local_least_squares(spark):
             want = v if w <= 2 else np.polyval(np.polyfit(np.arange(w), vs[start : start + w], 2), i - start)
             assert abs(got[k, i] - want) < 1e-8
     assert all(abs(got["d", i] - i * i) < 1e-9 for i in range(9))  # a parabola stays one
+    pairs = {(r["k"], int(r["x"])): r["smooth"] for r in X.smoothed(df, "x", "y", 2, 1, ("k",)).collect()}  # neighbours' means; the ends stay
+    for k, vs in curves.items():
+        assert all(abs(pairs[k, i] - (v if i in (0, len(vs) - 1) else (v + vs[i + 1]) / 2)) < 1e-9 for i, v in enumerate(vs))
     with pytest.raises(ValueError):
-        X.smoothed(df, "x", "y", 4)
+        X.smoothed(df, "x", "y", 2, 2)
+
+
+def test_a_network_beats_a_line(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-1, 1, (600, 3))
+    target = np.abs(x[:, 0]) * 2 + x[:, 1] * x[:, 2]
+    vectors = spark.createDataFrame([(i, i, x[i].tolist()) for i in range(600)], "item_id long, pos long, embedding array<double>")
+    utility = spark.createDataFrame([(i, float(target[i])) for i in range(600)], "item_id long, utility double")
+    train = F.col("item_id") < 400
+    wrong = {}
+    for name, found in (("line", S.distilled_from_vectors(vectors, utility, train)), ("network", S.distilled_network(vectors, utility, train, rounds=80))):
+        got = {r["item_id"]: r["utility"] for r in found.collect()}
+        assert len(got) == 600
+        wrong[name] = np.mean([(got[i] - target[i]) ** 2 for i in range(400, 600)])
+    assert wrong["network"] < 0.5 * wrong["line"]
+
+
+def reference_sari(src, tgt, refs):
+    grams = lambda t, n: Counter(" ".join(t[i : i + n]) for i in range(len(t) - n + 1))
+    s, c, rs = (numeric.tokens_13a(src.lower()), numeric.tokens_13a(tgt.lower()), [numeric.tokens_13a(r.lower()) for r in refs])
+    f = lambda p, r: 2 * p * r / (p + r) if p + r else 0.0
+    total = 0.0
+    for n in range(1, 5):
+        k = len(refs)
+        a, b = (Counter({g: v * k for g, v in grams(t, n).items()}) for t in (s, c))
+        r = sum((grams(t, n) for t in rs), Counter())
+        keep, every = a & b, a & r
+        good = keep & r
+        p1 = sum(good[g] / keep[g] for g in good) / len(keep) if keep else 1.0
+        r1 = good.total() / every.total() if every else 1.0
+        gone = a - b
+        dropped = gone - r
+        p2 = sum(dropped[g] / gone[g] for g in dropped) / len(gone) if gone else 1.0
+        new, wanted = set(b) - set(a), set(r) - set(a)
+        p3, r3 = (len(new & set(r)) / len(new) if new else 1.0), (len(new & set(r)) / len(wanted) if wanted else 1.0)
+        total += (f(p1, r1) + p2 + f(p3, r3)) / 3
+    return 100 * total / 4
+
+
+def test_simplification_score(spark):
+    rng = np.random.default_rng(9)
+    words = "the cat, sat on a mat. Dog's 3.5 big-old house &amp; tree".split()
+    text = lambda: " ".join(rng.choice(words, rng.integers(0, 9)))
+    rows = [(str(i), i, text(), [text() for _ in range(1 + i % 2)], [text() for _ in range(2)]) for i in range(30)] + [("same", 30, "a b", ["a b"], ["a b"]), ("about", 31, "About 95 species are currently accepted.", ["About 95 species are currently known.", "About 95 species are now accepted.", "95 species are now accepted."], ["About 95 you now get in."])]
+    outputs = spark.createDataFrame([(i, p, f"s{k}", t) for i, p, _, _, ts in rows for k, t in enumerate(ts)], "item_id string, pos long, system string, tgt string")
+    sources = spark.createDataFrame([(i, s) for i, _, s, _, _ in rows], "item_id string, src string")
+    refs = spark.createDataFrame([(i, r) for i, _, _, rs, _ in rows for r in rs], "item_id string, ref string")
+    got = {(r["item_id"], r["system"]): r["value"] for r in S.simplification_score(outputs, sources, refs).collect()}
+    want = {(i, f"s{k}"): reference_sari(s, t, rs) for i, _, s, rs, ts in rows for k, t in enumerate(ts)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert got["same", "s0"] == 100 and abs(got["about", "s0"] - 26.953601953601954) < 1e-9
+    assert S.simplification_score(outputs, sources, refs.where("item_id = '1'")).select("item_id").distinct().count() == 1
+
+
+def plain_ward(x, clusters):
+    """Labels by merging the two clusters whose union costs least, over and over."""
+    groups = [[i] for i in range(len(x))]
+    cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+    while len(groups) > max(1, clusters):
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[i] = sorted(groups[i] + groups.pop(j))
+    groups.sort()
+    return [next(k for k, g in enumerate(groups) if i in g) for i in range(len(x))]
+
+
+def test_ward_by_chains():
+    rng = np.random.default_rng(10)
+    for n, k in ((1, 1), (2, 1), (2, 5), (30, 4), (30, 1), (40, 11), (25, 25)):
+        x = rng.normal(0, 1, (n, 3))
+        assert numeric.ward(x, k).tolist() == plain_ward(x, k)
+    same = np.repeat(rng.normal(0, 1, (4, 2)), 5, axis=0)  # heights of 0
+    assert numeric.ward(same, 4).tolist() == plain_ward(same, 4)
+    assert len(set(numeric.ward(rng.normal(0, 1, (2000, 4)), 7).tolist())) == 7
