@@ -15,7 +15,8 @@ Item lists stay in a table of their own, which verified windows are joined with
 
 Defined cases: null texts and texts without words have no words, hits or items; repeated items count once per
 item_id; a null item_id is skipped; every document row gets its own result row, whatever ids are null or shared;
-empty tables give documents without hits, or no rows.
+empty tables give documents without hits, or no rows; words that are equally rare tie by their hash, which changes no result; very long texts are read whole;
+columns other than the ids and texts are ignored, whatever their names.
 """
 
 from __future__ import annotations

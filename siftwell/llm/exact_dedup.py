@@ -9,7 +9,8 @@ at most ``4 * partitions`` hashes can be above the threshold, so that list is br
 salted into ranges of bounded size; the salted groups, again a bounded number, are merged by hash and digest afterwards.
 
 Defined cases: a null text counts as empty; repeated rows (same id, same text) are one group of which exactly one
-row stays; a null id sorts below every other id; an empty table gives an empty result.
+row stays; a null id sorts below every other id; ties of the id go to one of its rows, any; very long texts are compared whole; columns other than the id and
+the text are ignored, or kept as they are with carry, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

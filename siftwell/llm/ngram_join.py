@@ -26,7 +26,8 @@ not meet otherwise.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; a null id keeps its own
 row with a null component; rows that share an id count as linked, and each of their texts links; an empty table gives
-an empty result.
+an empty result; ties cannot arise (the threshold belongs to the links, the smallest id names a component); very long texts are read whole; columns
+other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

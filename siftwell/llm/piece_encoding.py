@@ -10,7 +10,8 @@ If no piece of the model continues behind a space mark, merges never cross the b
 encoded one by one and remembered; otherwise the whole text is one stretch.
 
 Defined cases: a null text is empty and has no ids; an empty table gives an empty result; very long texts are
-encoded whole, one at a time.
+encoded whole, one at a time; repeated rows are encoded alike, each on its own; of merges with equal scores the leftmost goes first, as in the library;
+columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

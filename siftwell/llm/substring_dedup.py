@@ -7,6 +7,7 @@ backward search streams the segments against it.
 
 Defined cases: a null text has no words; texts of fewer words than a window keep all; repeated rows of one document
 are occurrences of their own, so both lose what they share; the digest of no words is that of the empty string;
+ties cannot arise, since every occurrence goes; very long texts are read whole; columns other than the id and the text are ignored, whatever their names;
 an empty table gives an empty result.
 """
 

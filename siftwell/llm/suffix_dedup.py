@@ -7,7 +7,8 @@ segment that is the only one of its anchor skips the index, as its windows occur
 
 Defined cases: a null text has no bytes; texts shorter than a window keep all; repeated rows of one document are
 occurrences of their own, so both lose what they share; kept bytes need not be valid UTF-8, so the general operator
-returns them as binary; an empty table gives an empty result.
+returns them as binary; ties cannot arise, since every occurrence goes; very long texts are read whole; columns other than the id and the text are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
