@@ -309,6 +309,42 @@ def distilled_scorer(spark, d):
     return r6(S.distilled(items, items.select("item_id", F.log1p("utility").alias("utility")), F.col("item_id") % 2 == 0), "utility").select("item_id", "utility")
 
 
+@query()
+def distilled_network(spark, d):
+    x = V.single_vectors(spark, d)
+    target = x.select("item_id", F.abs(F.element_at("embedding", 1)).cast("double").alias("utility"))
+    return r6(S.distilled_network(x, target, F.col("item_id") % 2 == 0, rounds=60), "utility").select("item_id", "utility")
+
+
+def _rules_13a_sql(text: str) -> str:
+    for pattern, by in C.RULES_13A:
+        quote = lambda x: "'" + x.replace("'", "''") + "'"
+        text = f"regexp_replace({text}, {quote(pattern)}, {quote(by.replace('$', chr(92)))}, 'g')"
+    return f"list_filter(regexp_split_to_array({text}, '\\s+'), lambda x: x <> '')"
+
+
+def _grams_sql(source: str, keys: str, text: str) -> str:
+    each = " UNION ALL ".join(f"SELECT {keys}, {n} AS n, unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n - 1}], ' '))) AS g FROM (SELECT {keys}, {_rules_13a_sql(f'lower(coalesce({text}, {chr(39) * 2}))')} AS t FROM {source}) WHERE len(t) >= {n}" for n in range(1, 5))
+    return f"(SELECT {keys}, n, g, count(*) AS c FROM ({each}) GROUP BY ALL)"
+
+
+@query(CV + f""", src AS (SELECT item_id, tgt FROM outputs WHERE system = 't0000'), ref AS (SELECT item_id, tgt FROM outputs WHERE system IN ('t0001', 't0002')), many AS (SELECT item_id, count(*) AS many FROM ref GROUP BY 1),
+own AS (SELECT DISTINCT item_id, system, many FROM outputs JOIN many USING (item_id)),
+x AS (SELECT item_id, system, n, g, sum(s) * any_value(many) AS s, sum(c) * any_value(many) AS c, sum(r) AS r FROM (
+SELECT item_id, system, n, g, c AS s, 0 AS c, 0 AS r FROM own JOIN {_grams_sql('src', 'item_id', 'tgt')} USING (item_id) UNION ALL SELECT item_id, system, n, g, 0, 0, c FROM own JOIN {_grams_sql('ref', 'item_id', 'tgt')} USING (item_id)
+UNION ALL SELECT item_id, system, n, g, 0, c, 0 FROM {_grams_sql('outputs', 'item_id, system', 'tgt')}) JOIN own USING (item_id, system) GROUP BY ALL),
+y AS (SELECT item_id, system, n, sum(least(s, c, r) / least(s, c)) FILTER (least(s, c) > 0) / nullif(count(*) FILTER (least(s, c) > 0), 0) AS kp, sum(least(s, c, r)) / nullif(sum(least(s, r)), 0) AS kr,
+sum(greatest(s - c - r, 0) / (s - c)) FILTER (s > c) / nullif(count(*) FILTER (s > c), 0) AS d, count(*) FILTER (c > 0 AND s = 0 AND r > 0) / nullif(count(*) FILTER (c > 0 AND s = 0), 0) AS ap, count(*) FILTER (c > 0 AND s = 0 AND r > 0) / nullif(count(*) FILTER (r > 0 AND s = 0), 0) AS ar FROM x GROUP BY ALL),
+z AS (SELECT item_id, system, coalesce(kp, 1) AS kp, coalesce(kr, 1) AS kr, coalesce(d, 1) AS d, coalesce(ap, 1) AS ap, coalesce(ar, 1) AS ar FROM own CROSS JOIN (SELECT unnest(range(1, 5)) AS n) LEFT JOIN y USING (item_id, system, n))
+SELECT item_id, system, round(100 * avg((coalesce(2 * kp * kr / nullif(kp + kr, 0), 0) + d + coalesce(2 * ap * ar / nullif(ap + ar, 0), 0)) / 3), 6) AS value FROM z GROUP BY ALL""")
+def simplification_score(spark, d):
+    """Turns as outputs, the first one as the source and the next two as references."""
+    x = V.conversation_outputs(spark, d)
+    sources = x.where("system = 't0000'").select("item_id", F.col("tgt").alias("src"))
+    found = S.simplification_score(x, sources, x.where("system IN ('t0001', 't0002')").select("item_id", F.col("tgt").alias("ref")))
+    return r6(found, "value").select("item_id", "system", "value")
+
+
 @query()
 def distilled_vectors(spark, d):
     x = V.single_vectors(spark, d)
@@ -396,7 +432,7 @@ def diffuse_select(spark, d):
 
 @query()
 def bruteforce_greedy(spark, d):
-    return L.bruteforce_greedy(V.event_scores(spark, d), 20, 10, 64, permutations=30).select("item_id", "utility")
+    return L.bruteforce_greedy(V.event_scores(spark, d), 20, 10).select("item_id", "utility")
 
 
 # ---- meta-evaluation ------------------------------------------------------------------------------------------------
@@ -516,10 +552,10 @@ def clusters_top_dice(spark, d):
     return r6(E.clusters_top(new, old, "m"), "dice")
 
 
-def perm_sql(source: str, name: str, seed: int, n: int = 1000) -> str:
+def perm_sql(source: str, name: str, seed: int, n: int = 1000, metric: str = "m") -> str:
     bit = f"(('0x' || substr(md5('{seed}:' || (perm // 128) || ':' || item_id), 1 + (perm % 128) // 32 * 8, 8))::UBIGINT >> (perm % 32)::UBIGINT) & 1"
-    return f"""{name}_s AS (SELECT perm, system, round(sum(CASE WHEN {bit} = 1 THEN -value ELSE value END), 6) AS s FROM {source}, (SELECT unnest(range({n})) AS perm) WHERE metric = 'm' GROUP BY 1, 2),
-{name}_r AS (SELECT system, round(sum(value), 6) AS r FROM {source} WHERE metric = 'm' GROUP BY 1),
+    return f"""{name}_s AS (SELECT perm, system, round(sum(CASE WHEN {bit} = 1 THEN -value ELSE value END), 6) AS s FROM {source}, (SELECT unnest(range({n})) AS perm) WHERE metric = '{metric}' GROUP BY 1, 2),
+{name}_r AS (SELECT system, round(sum(value), 6) AS r FROM {source} WHERE metric = '{metric}' GROUP BY 1),
 {name} AS (SELECT a.system AS sys_i, b.system AS sys_j, avg((round(a.s - b.s, 5) >= round(x.r - y.r, 5))::INT) AS p FROM {name}_s a JOIN {name}_s b ON a.perm = b.perm AND a.system < b.system JOIN {name}_r x ON x.system = a.system JOIN {name}_r y ON y.system = b.system GROUP BY 1, 2)"""
 
 
@@ -648,15 +684,16 @@ def parity_normalized_clusters(spark, d):
     return r6(found, "parity").select(F.round("prop", 2).alias("prop"), "parity")
 
 
-SIGNS_SQL = ", sg AS (SELECT perm, item_id, 1 - 2 * (((('0x' || substr(md5('0:' || (perm // 128) || ':' || item_id), 1 + (perm % 128) // 32 * 8, 8))::UBIGINT >> (perm % 32)::UBIGINT) & 1)::INT) AS sg FROM (SELECT DISTINCT item_id FROM scores), (SELECT unnest(range(1000)) AS perm)), " + perm_sql("scores", "q", 1)
+SIGN_SQL = ", sg AS (SELECT perm, item_id, 1 - 2 * (((('0x' || substr(md5('0:' || (perm // 128) || ':' || item_id), 1 + (perm % 128) // 32 * 8, 8))::UBIGINT >> (perm % 32)::UBIGINT) & 1)::INT) AS sg FROM (SELECT DISTINCT item_id FROM scores), (SELECT unnest(range(1000)) AS perm)), "
+SIGNS_SQL = SIGN_SQL + perm_sql("scores", "q", 1)
 
 
-def prefix_spa_sql(ranked: str, out: str, key: str = "") -> str:
+def prefix_spa_sql(ranked: str, out: str, key: str = "", metric: str = "m") -> str:
     """spa of every prefix of the rankings in a table (key, item_id, rank)."""
     k, on, own = (f"{key}, ", f"AND b.{key} = a.{key} ", f"a.{key}, ") if key else ("", "", "")
     same = f"AND {{0}}.{key} = a.{key} " if key else ""
-    return f""", {out}_c AS (SELECT {k}perm, system, rank AS k, round(sum(sg * value) OVER (PARTITION BY {k}perm, system ORDER BY rank), 6) AS s FROM scores JOIN {ranked} USING (item_id) JOIN sg USING (item_id) WHERE metric = 'm'),
-{out}_r AS (SELECT {k}system, rank AS k, round(sum(value) OVER (PARTITION BY {k}system ORDER BY rank), 6) AS r FROM scores JOIN {ranked} USING (item_id) WHERE metric = 'm'),
+    return f""", {out}_c AS (SELECT {k}perm, system, rank AS k, round(sum(sg * value) OVER (PARTITION BY {k}perm, system ORDER BY rank), 6) AS s FROM scores JOIN {ranked} USING (item_id) JOIN sg USING (item_id) WHERE metric = '{metric}'),
+{out}_r AS (SELECT {k}system, rank AS k, round(sum(value) OVER (PARTITION BY {k}system ORDER BY rank), 6) AS r FROM scores JOIN {ranked} USING (item_id) WHERE metric = '{metric}'),
 {out}_p AS (SELECT {own}a.k, a.system AS sys_i, b.system AS sys_j, avg((round(a.s - b.s, 5) >= round(x.r - y.r, 5))::INT) AS p FROM {out}_c a JOIN {out}_c b ON a.perm = b.perm AND a.k = b.k {on}AND a.system < b.system JOIN {out}_r x ON x.system = a.system AND x.k = a.k {same.format('x')}JOIN {out}_r y ON y.system = b.system AND y.k = a.k {same.format('y')}GROUP BY {own}a.k, a.system, b.system),
 {out} AS (SELECT {k}k, 1 - avg(abs({out}_p.p - q.p)) AS spa FROM {out}_p JOIN q USING (sys_i, sys_j) GROUP BY {k}k)"""
 
@@ -673,10 +710,40 @@ def parity_normalized_spa(spark, d):
     return r6(found, "parity").select(F.round("prop", 2).alias("prop"), "parity")
 
 
-@query()
+@query(EV + POINTS_SQL + SIGN_SQL + perm_sql("scores", "q", 1, metric="human") + f""", sd AS (SELECT unnest(range(20)) AS seed), rk AS (SELECT seed, item_id, row_number() OVER (PARTITION BY seed ORDER BY {uniform_sql('seed', 'item_id')} DESC, pos) AS rank FROM (SELECT DISTINCT item_id, pos FROM scores), sd),
+ut AS (SELECT metric, 'var' AS method, item_id, pos, round(var_pop(value), 9) AS u FROM scores WHERE metric <> 'human' GROUP BY ALL UNION ALL SELECT metric, 'avg', item_id, pos, round(-avg(value), 9) FROM scores WHERE metric <> 'human' GROUP BY ALL),
+rm AS (SELECT metric || ':' || method AS grp, item_id, row_number() OVER (PARTITION BY metric, method ORDER BY u DESC, pos) AS rank FROM ut)"""
+       + prefix_spa_sql("rm", "own", "grp", "human") + prefix_spa_sql("rk", "ev", "seed", "human") + """, tg AS (SELECT prop, round(avg(spa), 9) AS target FROM ev JOIN pk USING (k) WHERE seed < 10 GROUP BY prop),
+hit AS (SELECT seed, prop, min(k) AS k FROM ev, tg WHERE seed >= 10 AND k >= 5 AND round(spa, 9) >= target GROUP BY 1, 2),
+bl AS (SELECT prop, avg(coalesce(k, n) / (n * prop)) AS random_parity FROM tg CROSS JOIN (SELECT seed FROM sd WHERE seed >= 10) CROSS JOIN n LEFT JOIN hit USING (seed, prop) GROUP BY prop),
+oh AS (SELECT grp, prop, min(k) AS k FROM own, tg WHERE k >= 5 AND round(spa, 9) >= target GROUP BY 1, 2),
+gr AS (SELECT DISTINCT metric, method, metric || ':' || method AS grp FROM ut), ql AS (SELECT a.metric, corr(a.value, b.value) AS quality FROM scores a JOIN scores b USING (item_id, system) WHERE b.metric = 'human' GROUP BY a.metric)
+SELECT metric, method, round(prop, 2) AS prop, round(quality, 6) AS quality, round(coalesce(k, n) / (n * prop) / random_parity, 6) AS parity FROM gr CROSS JOIN bl CROSS JOIN n JOIN ql USING (metric) LEFT JOIN oh USING (grp, prop)""")
 def metric_quality(spark, d):
-    found = X.metric_quality(V.event_scores(spark, d), {"var": S.metric_var, "avg": S.metric_avg}, props=[0.1, 0.25, 0.5])
-    return r6(found, "quality", "gain")
+    methods = {"var": lambda s, m, by: S.metric_var(s, m, by), "avg": lambda s, m, by: S.metric_avg(s, m, by)}
+    found = r6(X.metric_quality(V.event_scores(spark, d), methods), "quality", "parity")
+    return found.select("metric", "method", F.round("prop", 2).alias("prop"), "quality", "parity")
+
+
+# The published weights of the quadratic through five neighbours, in units of 1/35.
+@query(CURVE_SQL + """, l AS (SELECT list(correlation ORDER BY k) AS c, count(*) AS n FROM curve), w AS (SELECT [[31, 9, -3, -5, 3], [9, 13, 12, 6, -5], [-3, 12, 17, 12, -3], [-5, 6, 12, 13, 9], [3, -5, -3, 9, 31]] AS w),
+p AS (SELECT k, greatest(1, least(k - 2, n - 4)) AS s, c, w FROM (SELECT unnest(range(1, n + 1)) AS k, n, c, w FROM l, w))
+SELECT k, round(list_sum(list_transform(range(0, 5), lambda i: c[s + i] * w[k - s + 1][i + 1])) / 35, 6) + 0.0 AS correlation, round(c[k], 6) AS raw FROM p""")
+def smoothed_curve(spark, d):
+    scores = V.event_scores(spark, d)
+    curve = E.correlation_curve(scores, _ranked(scores), "m")
+    found = X.smoothed(curve, "k", "correlation", 5, 2).select(F.col("k").cast("long").alias("k"), F.col("smooth").alias("correlation"), F.col("correlation").alias("raw"))
+    return r6(found, "correlation", "raw")
+
+
+@query()
+def feature_irt(spark, d):
+    """Parameters of parts from the words of their names, learnt from the prices of their lines."""
+    from siftwell.operators import response as R
+
+    names = V.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("src"))
+    items, _, _ = R.feature_irt(V.part_scores(spark, d), R.tfidf_vectors(names, 64), "price")
+    return r6(items, "diff", "disc", "feas").select("item_id", "diff", "disc", "feas")
 
 
 @query()
@@ -873,3 +940,126 @@ def rating_csv(spark, d):
     V.table(spark, d, "supplier").select(F.col("s_name").alias("source"), F.col("s_nationkey").alias("system"), F.col("s_suppkey").cast("string").alias("output"), F.col("s_acctbal").alias("first"), F.col("s_suppkey").alias("second")).write.option("header", True).csv(path)
     found = I.read_rating_csv(spark, path, "source", "output", "system", ["first", "second"])
     return r6(found["scores"].join(found["items"].select("item_id", "src"), "item_id"), "value").select("pos", "src", "system", "value")
+
+
+@query(EV + "SELECT item_id::VARCHAR AS item_id, system, metric, value FROM scores")
+def item_source(spark, d):
+    """Nested items in JSON lines, read by a source with a task for each file."""
+    from siftwell.sources import pluggable
+
+    path = V.scratch(spark, "items")
+    _wire(spark, d).select("i", "scores").repartition(4).write.json(path)
+    pluggable.register_json_items(spark)
+    return spark.read.format("siftwell_items").option("path", path).option("suffix", ".json").load()
+
+
+# ---- collections: the tables in the files of each collection, then read back ---------------------------------------
+
+
+@query("""WITH x AS (SELECT p_partkey, p_name AS src, p_type AS ref, p_brand AS doc, l_returnflag AS system, 100.0 - count(*) FILTER (l_linenumber = 1) - 5 * count(*) FILTER (l_linenumber = 2) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT src, ref, doc, system, round(avg(value), 6) AS value FROM x GROUP BY ALL""")
+def read_biomqm(spark, d):
+    from siftwell.sources import items as I
+
+    path = V.scratch(spark, "biomqm")
+    lines = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    severity = F.when(F.col("l_linenumber") == 1, "Minor").when(F.col("l_linenumber") == 2, "MAJOR").otherwise("critical")
+    rows = lines.groupBy("p_partkey", F.col("p_name").alias("src"), F.array("p_type").alias("ref"), F.col("p_brand").alias("doc_id"), F.col("l_returnflag").alias("system")).agg(F.collect_list(F.struct(severity.alias("severity"))).alias("errors_tgt"))
+    rows.withColumns({"lang_src": F.lit("en"), "lang_tgt": F.lit("de"), "tgt": F.lit("t")}).drop("p_partkey").write.json(path)
+    t = I.load_data(spark, "biomqm", path)
+    return r6(t["scores"].join(t["items"].select("item_id", "src", "ref", "doc"), "item_id"), "value").select("src", "ref", "doc", "system", "value")
+
+
+@query(EV + """, w AS (SELECT item_id::VARCHAR AS item_id, system, max(value) FILTER (metric = 'm') AS m, max(value) FILTER (metric = 'human') AS h, max(value) FILTER (metric = 'n') AS n FROM scores GROUP BY ALL), e AS (SELECT item_id, system, (floor(m) + floor(h)) / 2 AS a, n AS b FROM w)
+SELECT item_id, system, metric, round(value, 6) AS value FROM (SELECT item_id, system, 'coverage' AS metric, m AS value FROM w UNION ALL SELECT item_id, system, 'supert', h FROM w UNION ALL SELECT item_id, system, 'rouge_1', n FROM w
+UNION ALL SELECT item_id, system, 'human_a', a FROM e UNION ALL SELECT item_id, system, 'human_b', b FROM e UNION ALL SELECT item_id, system, 'human_sum', a + b FROM e UNION ALL SELECT item_id, system, 'human_mul', a * b FROM e)""")
+def read_summeval(spark, d):
+    from siftwell.sources import items as I
+
+    path = V.scratch(spark, "summeval")
+    w = V.event_scores(spark, d).groupBy("item_id", "system").pivot("metric", ["m", "human", "n"]).agg(F.max("value"))
+    scores = F.struct(F.col("m").alias("coverage"), F.array("human").alias("supert"), F.struct(F.col("n").alias("rouge_1")).alias("rouge"))
+    experts = F.array(*[F.struct(F.floor(c).cast("double").alias("a"), F.col("n").alias("b")) for c in ("m", "human")])
+    w.select(F.col("item_id").cast("string").alias("id"), F.lit("t").alias("text"), F.col("system").alias("model_id"), F.lit("s").alias("decoded"), scores.alias("metric_scores_1"), experts.alias("expert_annotations")).write.json(path)
+    return r6(I.load_data(spark, "summeval", path, normalize_scores=False)["scores"], "value").select("item_id", "system", "metric", "value")
+
+
+@query(EV + "SELECT 'user ' || item_id AS src, system, value FROM scores WHERE metric = 'm'")
+def read_rose(spark, d):
+    from siftwell.sources import items as I
+
+    path = V.scratch(spark, "rose")
+    own = V.event_scores(spark, d).where("metric = 'm'")
+    maps = own.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("system", F.lit("x")))).alias("system_outputs"), F.map_from_entries(F.collect_list(F.struct("system", F.struct(F.col("value").alias("normalized_acu"))))).alias("annotations"))
+    maps.select(F.concat(F.lit("user "), "item_id").alias("source"), F.lit("r").alias("reference"), "system_outputs", "annotations").coalesce(1).write.json(path)
+    t = I.load_data(spark, "rose", path)
+    return t["items"].select("pos", "src").join(t["scores"], "pos").select("src", "system", "value")
+
+
+@query(EV + "SELECT 'doc' || item_id AS doc, system, value FROM scores WHERE metric = 'm'")
+def read_iwslt(spark, d):
+    from siftwell.sources import items as I
+
+    meta, data = V.scratch(spark, "iwslt"), V.scratch(spark, "iwslt")
+    own = V.event_scores(spark, d).where("metric = 'm'").withColumn("id", F.concat_ws("-", "item_id", "system"))
+    own.select("id", F.concat("system", F.lit(".x.doc"), "item_id", F.lit(".seg_"), "item_id", F.lit(".end")).alias("meta")).write.json(meta)
+    own.select("id", F.lit("s").alias("source"), F.lit("t").alias("target"), F.array(F.struct(F.col("value").alias("quality_rating"))).alias("annotations")).write.json(data)
+    t = I.read_iwslt(spark, meta, data, "en-ar")
+    return t["scores"].join(t["items"].select("item_id", "doc"), "item_id").select("doc", "system", "value")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS doc, 't' || l_linenumber AS system, 'mqm' AS metric, (100 - CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 5 ELSE 26 END)::DOUBLE AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+UNION ALL SELECT o_orderkey::VARCHAR, 't' || l_linenumber, 'time', coalesce(l_quantity::DOUBLE, 0) FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def read_qe4pe(spark, d):
+    from siftwell.sources import items as I
+
+    found = {"A": "[{'severity': 'Minor'}]", "N": '[{"severity": "major"}]', "R": "[{'severity': 'Minor'}, {'severity': 'Critical'}]"}
+    errors = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])[F.col("l_returnflag")]
+    rows = V.table(spark, d, "orders").join(V.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.lit("\ufb01ne ").alias("src_text"), F.lit("m").alias("mt_text"), F.lit("p").alias("pe_text"), F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("segment_in_doc_id"), F.col("o_orderpriority").alias("wmt_category"),
+        F.lit("eng").alias("src_lang"), F.lit("ita").alias("tgt_lang"), F.concat(F.lit("t"), "l_linenumber").alias("translator_main_id"), errors.alias("mqm"), F.col("l_quantity").cast("string").alias("time"),
+    )
+    t = I.read_qe4pe(spark, rows, ["mqm"], ["time"])
+    return t["scores"].join(t["items"].where("src = 'fine'").select("item_id", "doc"), "item_id").select("doc", "system", "metric", "value")
+
+
+WMT_SQL = EV + """, w AS (SELECT dense_rank() OVER (ORDER BY item_id) - 1 AS pos, system, metric, CASE metric WHEN 'human' THEN least(100, greatest(0, value)) ELSE value END AS value FROM scores WHERE metric IN ('m', 'human'))"""
+
+
+def _wmt_folder(spark, d) -> str:
+    """The events as a shared task's folder: files of lines, one for each system and metric."""
+    root = V.scratch(spark, "wmt")
+    base, langs = f"{root}/wmt23", "en-de"
+    scores = V.event_scores(spark, d)
+    users = scores.select("item_id").distinct()
+
+    def lines(df: DataFrame, path: str, *order: str) -> None:
+        df.coalesce(1).sortWithinPartitions(*order).select("value").write.text(f"{base}/{path}")
+
+    lines(users.select("item_id", F.concat(F.lit("user "), "item_id").alias("value")), f"sources/{langs}.txt", "item_id")
+    lines(users.select("item_id", F.lit("reference").alias("value")), f"references/{langs}.refA.txt", "item_id")
+    lines(users.select("item_id", F.concat(F.lit("news\tdoc"), F.pmod("item_id", F.lit(3))).alias("value")), f"documents/{langs}.docs", "item_id")
+    for system in sorted(r["system"] for r in scores.select("system").distinct().collect()):  # systems are few
+        lines(users.select("item_id", F.concat(F.lit(f"{system} "), "item_id").alias("value")), f"system-outputs/{langs}/{system}.txt", "item_id")
+    for metric, path in (("human", f"human-scores/{langs}.mqm.seg.score"), ("m", f"metric-scores/{langs}/m-refA.seg.score")):
+        lines(scores.where(F.col("metric") == metric).select("system", "item_id", F.concat_ws("\t", "system", F.col("value").cast("string")).alias("value")), path, "system", "item_id")
+    return root
+
+
+@query(WMT_SQL + " SELECT 'wmt23/en-de' AS dataset, pos, system, metric, round(value, 6) AS value FROM w")
+def read_wmt(spark, d):
+    from siftwell.sources import items as I
+
+    found = I.load_data(spark, "wmt23/en-de", _wmt_folder(spark, d))
+    return r6(found["scores"], "value").select("dataset", "pos", "system", "metric", "value")
+
+
+@query(WMT_SQL + " SELECT 'wmt23/en-de' AS dataset, metric, count(*) AS n FROM w GROUP BY metric")
+def read_wmt_test(spark, d):
+    """The pairs of the fixed test list that are there, and all pairs below a folder."""
+    from siftwell.sources import items as I
+
+    root = _wmt_folder(spark, d)
+    found, every = I.read_wmt_test(spark, root), I.load_data(spark, "wmt/all", root, min_items=1)
+    assert list(found) == list(every)
+    return found["wmt23", "en-de"]["scores"].groupBy("dataset", "metric").agg(F.count(F.lit(1)).alias("n"))
