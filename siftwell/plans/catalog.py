@@ -811,11 +811,12 @@ def characteristic_curve(spark, d):
     return r6(X.characteristic_curve(items, [-2, -1, 0, 1, 2]), "expected")
 
 
-@query(EV + PARAMS_SQL + ", s AS (SELECT item_id, system, value / 100 AS value FROM scores WHERE metric = 'm') SELECT item_id, round(avg(value), 6) AS mean, round(avg((feas + (1 - feas) / (1 + exp(-disc * (theta - diff))) - value) ** 2), 6) AS loss FROM s JOIN params USING (item_id) JOIN models USING (system) GROUP BY item_id HAVING avg(value) > 0.05 AND avg(value) < 0.8")
+@query(EV + PARAMS_SQL + ", s AS (SELECT item_id, system, value / 100 AS value FROM scores WHERE metric = 'm') SELECT item_id, round(avg(value), 8) AS mean, round(avg((feas + (1 - feas) / (1 + exp(-disc * (theta - diff))) - value) ** 2), 6) AS loss FROM s JOIN params USING (item_id) JOIN models USING (system) GROUP BY item_id HAVING avg(value) > 0.05 AND avg(value) < 0.8")
 def irt_item_error(spark, d):
     items, models = _params(spark, d)
     scores = V.event_scores(spark, d).withColumn("value", F.col("value") / 100)
-    return r6(X.irt_item_error(scores, items, models, "m", 0.05), "mean", "loss").select("item_id", "mean", "loss")
+    found = r6(X.irt_item_error(scores, items, models, "m", 0.05), "loss")
+    return found.select("item_id", F.round("mean", 8).alias("mean"), "loss")  # means of five values of eight digits have nine: at six, some lie between two
 
 
 @query(EV + PARAMS_SQL + ", mu AS (SELECT system, avg(value) AS y FROM scores WHERE metric = 'm' GROUP BY system), t AS (SELECT system, theta AS x, y FROM models JOIN mu USING (system)) SELECT round(avg(((a.x < b.x) = (a.y < b.y))::INT), 6) AS accuracy FROM t a JOIN t b ON a.system < b.system")
