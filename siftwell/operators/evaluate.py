@@ -47,10 +47,7 @@ def kendall_columns(df: DataFrame, keys: list[str], name: str, x: str, y: str, v
 
 def rank_items(utility: DataFrame, by: By = ()) -> DataFrame:
     """rank from 1: utility descending, ties in input order."""
-    if not by:
-        return in_order(utility, "utility", ["pos", "item_id"])
-    order = Window.partitionBy(*by).orderBy(F.desc("utility"), "pos", "item_id")
-    return utility.withColumn("rank", F.row_number().over(order))
+    return in_order(utility, "utility", ["pos", "item_id"], by=by)
 
 
 def model_absolute(scores: DataFrame, metric: str = "human", by: By = ()) -> DataFrame:
@@ -151,11 +148,14 @@ def neighbour_differences(scores: DataFrame, metric: str = "human", by: By = ())
 
 
 def wilcoxon_z(differences: DataFrame, keys: list[str]) -> DataFrame:
-    """n (non-zero differences), w (rank sum of the positive ones) and z of the signed-rank test, normal form with tie correction."""
+    """n (non-zero differences), w (rank sum of the positive ones) and z of the signed-rank test, normal form with tie correction.
+
+    Ranks are running counts of the distinct absolute differences, which with much data are cut into buckets of their size.
+    """
     nonzero = differences.where("d <> 0").withColumn("s_", F.abs("d"))
     tied = nonzero.groupBy(*keys, "s_").agg(F.count(F.lit(1)).alias("t_"), F.sum((F.col("d") > 0).cast("long")).alias("p_"))
-    before = Window.partitionBy(*keys).orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = tied.withColumn("r_", F.coalesce(F.sum("t_").over(before), F.lit(0)) + (F.col("t_") + 1) / 2)
+    ranks = in_order(tied, "s_", [], descending=False, rank="i_", running="t_", total="c_up_", by=tuple(keys))
+    ranks = ranks.withColumn("r_", F.col("c_up_") - (F.col("t_") - 1) / 2)
     t = F.col("t_").cast("double")
     sums = ranks.groupBy(*keys).agg(F.sum("t_").alias("n"), F.sum(F.col("r_") * F.col("p_")).alias("w"), F.sum(t * t * t - t).alias("ties_"))
     n = F.col("n").cast("double")

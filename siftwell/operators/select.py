@@ -66,11 +66,7 @@ def top(ranked: DataFrame, k: int) -> DataFrame:
 def costaware_greedy(items: DataFrame, budget: float, by: By = ()) -> DataFrame:
     """Takes items by utility per cost until the running cost reaches the budget: rank, spent."""
     worth = items.withColumn("worth_", F.try_divide("utility", "cost"))
-    if by:
-        order = Window.partitionBy(*by).orderBy(F.desc("worth_"), "pos", "item_id")
-        ranked = worth.withColumn("rank", F.row_number().over(order)).withColumn("spent", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    else:
-        ranked = in_order(worth, "worth_", ["pos", "item_id"], running="cost", total="spent")
+    ranked = in_order(worth, "worth_", ["pos", "item_id"], running="cost", total="spent", by=by)
     return ranked.where(F.col("spent") < budget).drop("worth_")
 
 
@@ -99,28 +95,39 @@ def costaware(items: DataFrame, budget: float, strict: bool = True, scale: int =
     return src.groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {types[c]}" for c in cols) + ", spent double")
 
 
+def _documents(both: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean utility (rounded, since it is ordered by) and first position of each document."""
+    return both.groupBy(*keys).agg(F.round(F.avg("utility"), 9).alias("doc_utility"), F.min("pos").alias("doc_first_"))
+
+
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their group; nulls are a group too."""
+    groups = groups.withColumnsRenamed({k: f"{k}_of_" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of_")) for k in keys]
+    return rows.join(groups, same).drop(*[f"{k}_of_" for k in keys])
+
+
 def by_document(utility: DataFrame, docs: DataFrame) -> DataFrame:
     """Whole documents by their mean utility: rank. docs has item_id, doc."""
     both = utility.join(docs.select("item_id", "doc"), "item_id")
-    whole = Window.partitionBy("doc")
-    both = both.withColumn("doc_utility", F.round(F.avg("utility").over(whole), 9)).withColumn("first_", F.min("pos").over(whole))
-    return in_order(both, "doc_utility", ["first_", "pos", "item_id"]).drop("first_")
+    both = _joined(both, _documents(both, ["doc"]), ["doc"])
+    return in_order(both, "doc_utility", ["doc_first_", "pos", "item_id"]).drop("doc_first_")
 
 
 def by_domain(utility: DataFrame, docs: DataFrame) -> DataFrame:
     """Interleaves the domains, best items first in each; domains in the order of their first item."""
     both = utility.join(docs.select("item_id", "domain"), "item_id")
-    both = both.withColumn("first_", F.min("pos").over(Window.partitionBy("domain"))).withColumn("turn_", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("utility"), "pos", "item_id")))
+    both = _joined(both, both.groupBy("domain").agg(F.min("pos").alias("first_")), ["domain"])
+    both = in_order(both, "utility", ["pos", "item_id"], rank="turn_", by=("domain",))
     return in_order(both, "turn_", ["first_", "domain"], descending=False).drop("first_", "turn_")
 
 
 def by_domain_document(utility: DataFrame, docs: DataFrame) -> DataFrame:
     """Interleaves the domains document by document; documents by mean utility inside their domain."""
     both = utility.join(docs.select("item_id", "domain", "doc"), "item_id")
-    whole = Window.partitionBy("domain", "doc")
-    both = both.withColumn("doc_utility", F.round(F.avg("utility").over(whole), 9)).withColumn("doc_first_", F.min("pos").over(whole))
-    both = both.withColumn("first_", F.min("pos").over(Window.partitionBy("domain")))
-    both = both.withColumn("turn_", F.dense_rank().over(Window.partitionBy("domain").orderBy(F.desc("doc_utility"), "doc_first_", "doc")))
+    turns = in_order(_documents(both, ["domain", "doc"]), "doc_utility", ["doc_first_", "doc"], rank="turn_", by=("domain",))
+    both = _joined(both, turns, ["domain", "doc"])
+    both = _joined(both, both.groupBy("domain").agg(F.min("pos").alias("first_")), ["domain"])
     return in_order(both, "turn_", ["first_", "domain", "pos", "item_id"], descending=False).drop("first_", "turn_", "doc_first_")
 
 

@@ -1,6 +1,7 @@
 """Hand-checked values for small inputs."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from siftwell.operators import experiments as X
 from siftwell.operators import normalize as N
 from siftwell.operators import scorers as S
 from siftwell.operators import select as L
-from siftwell.operators.ranking import in_order
+from siftwell.operators.ranking import bucketed, in_order
 from siftwell.sources import items
 
 VALUES = {"a": ([0.9, 0.5, 0.1], [90, 60, 20]), "b": ([0.8, 0.8, 0.2], [80, 70, 30]), "c": ([0.5, 0.5, 0.5], [50, 40, 60]), "d": ([0.1, 0.6, 0.7], [30, 65, 70])}
@@ -263,6 +264,49 @@ def test_distributed_order_is_the_plain_one(spark, descending):
     assert in_order(df.limit(0), "u", ["pos"], buckets=4).count() == 0
 
 
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("first", ["u", "big", "dec"])
+def test_groups_are_ordered_in_buckets(spark, descending, first):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        u = None if i % 19 == 0 else [0.0, 0.0, 0.0, float("-inf"), float(rng.integers(0, 4)), float(rng.random())][rng.integers(6)]
+        rows.append((i, f"i{i:03}", u, (1 << 53) + int(rng.integers(0, 4)), Decimal(int(rng.integers(0, 5))) / 4, "hot" if i < 200 else [None, "a", "b"][i % 3], None if rng.random() < 0.2 else float(i % 5), 1, 2))
+    df = spark.createDataFrame(rows, "pos long, item_id string, u double, big long, dec decimal(20,10), g string, cost double, s_ int, c_ int")
+    for rest in (["pos"], ["item_id"]):
+        plain, cut = (in_order(df, first, rest, descending, running="cost", by=("g",), buckets=n).orderBy("pos").collect() for n in (1, 8))
+        assert [(r["pos"], r["g"], r["rank"], r["running"], r["s_"], r["c_"]) for r in plain] == [(r["pos"], r["g"], r["rank"], r["running"], r["s_"], r["c_"]) for r in cut]
+    assert in_order(df.limit(0), first, ["pos"], by=("g",), buckets=4).count() == 0
+
+
+def test_no_bucket_holds_a_hot_group_or_value(spark):
+    df = spark.range(8000).selectExpr("id AS pos", "IF(id % 10 < 9, 'hot', 'other') AS g", "CASE WHEN id % 3 = 0 THEN 1D WHEN id % 3 = 1 THEN NULL ELSE rand(0) END AS u")
+    for descending in (True, False):
+        sizes = [r["count"] for r in bucketed(df, "u", ["pos"], descending, 16).groupBy("g", "bucket_").count().collect()]
+        assert sum(sizes) == 8000 and max(sizes) <= 3 * 8000 / 16
+
+
+def test_groupwise_orders_of_much_data(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, i, float(rng.integers(0, 3)), float(1 + i % 4), "news" if i % 4 else [None, "talks"][i % 8 // 4], f"d{i // 9}" if i % 11 else None) for i in range(240)]
+    items = spark.createDataFrame(rows, "item_id long, pos long, utility double, cost double, domain string, doc string").cache()
+    u, docs, noise = items.select("item_id", "pos", "utility"), items.select("item_id", "domain", "doc"), _noise(spark)
+    kinds = {
+        "document": lambda: L.by_document(u, docs),
+        "domain": lambda: L.by_domain(u, docs),
+        "domain document": lambda: L.by_domain_document(u, docs),
+        "greedy": lambda: L.costaware_greedy(items, 90.0, by=("domain",)),
+        "ranks": lambda: E.rank_items(items, ("domain",)),
+        "signed ranks": lambda: E.wilcoxon_z(E.neighbour_differences(noise, "m"), ["ord"]),
+        "clusters": lambda: E.clusters(noise, "m"),
+    }
+    shown = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    plain = {name: shown(run()) for name, run in kinds.items()}
+    monkeypatch.setattr("siftwell.operators.ranking.planned_buckets", lambda df: 6)
+    for name, run in kinds.items():
+        assert shown(run()) == plain[name], name
+
+
 def test_seeds_share_the_scores(scores):
     curve = E.random_curve(scores, scores, "human", [0, 1, 2])
     assert sorted(r["k"] for r in curve.collect()) == [1, 2, 3, 4] and round(curve.where("k = 4").first()["correlation"], 6) == 1
