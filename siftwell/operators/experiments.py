@@ -10,67 +10,127 @@ from pyspark.sql import functions as F
 from siftwell.functions import numeric
 from siftwell.functions.columns import irt_prediction, uniform
 from siftwell.operators import evaluate
+from siftwell.operators.lineage import written
+from siftwell.operators.ranking import in_order
 from siftwell.operators.response import multidimensional_irt  # noqa: F401
 
 By = tuple[str, ...]
+#: Rows that the search by orderings asks for at once, in each data set.
+NEXT_ITEMS = 64
 
 
-def ordering_distance_selection(scores: DataFrame, budget: int, metric: str = "human", farthest: bool = False, start: int = 10, seed: int = 0) -> DataFrame:
-    """item_id, step: starts with random items, then keeps adding the item whose own ordering of the systems is nearest to (or farthest from) the subset's.
+def complete_items(scores: DataFrame, metric: str, by: By = ()) -> DataFrame:
+    """by, item_id, pos, values (one for each system, by name): the items that have a value for every system of their data set."""
+    own = scores.where((F.col("metric") == metric) & F.col("value").isNotNull()).groupBy(*by, "item_id", "pos", "system").agg(F.avg(F.col("value").cast("double")).alias("v_"))
+    rows = own.groupBy(*by, "item_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("system", "v_"))), lambda x: x["v_"]).alias("values"))  # as many as there are systems
+    systems = own.groupBy(*by).agg(F.countDistinct("system").alias("m_"))
+    both = rows.join(systems, list(by)) if by else rows.crossJoin(F.broadcast(systems))  # without groups, one row
+    return both.where(F.size("values") == F.col("m_")).drop("m_")
 
-    The search is sequential over one data set, so the matrix of that data set is one task.
-    """
-    own = scores.where(F.col("metric") == metric).select(F.lit(0).alias("g"), "item_id", "pos", "system", "value", uniform(seed, F.col("item_id")).alias("r"))
-    kind = dict(scores.dtypes)["item_id"]
 
-    def ranks(x: np.ndarray) -> np.ndarray:
-        return np.argsort(np.argsort(-x, axis=-1, kind="stable"), axis=-1, kind="stable")
+def _places(values: np.ndarray) -> list[int]:
+    """Rank of each system, best 0, equals by name."""
+    return np.argsort(np.argsort(-values, kind="stable"), kind="stable").tolist()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index=["pos", "item_id"], columns="system", values="value").sort_index()
-        first = pdf.drop_duplicates("item_id").set_index("item_id")["r"]
-        order = np.argsort(first.loc[[i for _, i in m.index]].to_numpy(), kind="stable")
-        chosen = order[: min(start, budget)].tolist()
-        x, single = m.to_numpy(float), ranks(m.to_numpy(float))
-        total = x[chosen].sum(0)
-        while len(chosen) < min(budget, len(x)):
-            d = ((single - ranks(total)) ** 2).mean(1)
-            d[chosen] = -np.inf if farthest else np.inf
-            k = int(np.argmax(d) if farthest else np.argmin(d))
-            chosen.append(k)
-            total = total + x[k]
-        return pd.DataFrame({"item_id": [m.index[k][1] for k in chosen], "step": np.arange(len(chosen)) + 1})
-
-    return own.groupBy("g").applyInPandas(run, f"item_id {kind}, step long")
-
-
-def active_learning(scores: DataFrame, budget: int, metric: str = "human", start: int = 10, confidence: float = 0.9, seed: int = 0) -> DataFrame:
-    """step, system, item_id, tau: after start items for all systems, always asks for a random item of the system whose interval overlaps most others; tau-c of the means so far with the full means."""
-    own = scores.where(F.col("metric") == metric).select(F.lit(0).alias("g"), "item_id", "pos", "system", "value")
-    kind = dict(scores.dtypes)["item_id"]
+
+def ordering_distance_selection(scores: DataFrame, budget: int, metric: str = "human", farthest: bool = False, start: int = 10, seed: int = 0, by: By = ()) -> DataFrame:
+    """by, item_id, step: starts with random items, then keeps adding the item whose own ordering of the systems is nearest to (or farthest from) the subset's; equals by pos.
+
+    The search is sequential, but the next items depend on the subset only through its ordering. So one job finds the NEXT_ITEMS nearest items to the present
+    ordering in every data set (each task keeps only as many of a data set), and they are taken in turn until the ordering changes. The driver holds
+    the chosen rows (budget of them for each data set) and such lists, never the items. Items without a value for some system take no part.
+    """
+    spark, types = scores.sparkSession, dict(scores.dtypes)
+    place = F.transform("values", lambda v, i: F.size(F.filter("values", lambda w, j: (w > v) | ((w == v) & (j < i)))))
+    items = written(complete_items(scores, metric, by).withColumn("places", place), "orderings")
+    first = in_order(items.withColumn("r_", uniform(seed, F.col("item_id"))), "r_", ["pos", "item_id"], descending=False, by=by).where(F.col("rank") <= min(start, budget))
+    chosen: dict[tuple, list] = {}
+    totals: dict[tuple, np.ndarray] = {}
+    for r in first.orderBy("rank").collect():
+        key = tuple(r[c] for c in by)
+        chosen.setdefault(key, []).append(r["item_id"])
+        totals[key] = totals.get(key, 0.0) + np.array(r["values"])
+    lists: dict[tuple, list] = {}  # (data set, ordering) -> rows not chosen when they were asked for, best last
+    group = ", ".join(f"{c} {types[c]}" for c in by) + (", " if by else "")
+    same = lambda table: [F.col(f"i.{c}").eqNullSafe(F.col(f"{table}.{c}")) for c in by]
+    distance = F.aggregate(F.zip_with("i.places", "a.asked", lambda x, y: (x - y) * (x - y)), F.lit(0), lambda s, x: s + x)
+    order = [F.desc("d_") if farthest else F.asc("d_"), "pos", "item_id"]
+    active = [k for k in chosen if len(chosen[k]) < budget]
+    while active:
+        asked = []
+        for key in list(active):
+            taken = set(chosen[key])
+            while len(chosen[key]) < budget:
+                at = (key, tuple(_places(totals[key])))
+                rows = lists.get(at, [])
+                while rows and rows[-1][0] in taken:
+                    rows.pop()
+                if not rows:
+                    asked.append(at)
+                    break
+                item, values = rows.pop()
+                chosen[key].append(item)
+                taken.add(item)
+                totals[key] = totals[key] + values
+            else:
+                active.remove(key)
+        if not asked:
+            break
+        orders = spark.createDataFrame([(*key, list(places)) for key, places in asked], group + "asked array<int>").alias("a")  # a row for each data set
+        gone = spark.createDataFrame([(*key, i) for key, _ in asked for i in chosen[key]], group + f"item_id {types['item_id']}").alias("c")  # at most budget rows for each
+        near = items.alias("i").join(F.broadcast(orders), same("a")) if by else items.alias("i").crossJoin(F.broadcast(orders))
+        near = near.join(gone, [*same("c"), F.col("i.item_id") == F.col("c.item_id")], "left_anti")
+        near = near.select("i.*", distance.alias("d_")).withColumn("rn_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn_") <= NEXT_ITEMS)
+        found: dict[tuple, list] = {}
+        for r in near.select(*by, "item_id", "values", "rn_").collect():
+            found.setdefault(tuple(r[c] for c in by), []).append((r["rn_"], r["item_id"], np.array(r["values"])))
+        for at in asked:
+            lists[at] = [x[1:] for x in sorted(found.get(at[0], []), key=lambda x: -x[0])]
+            if not lists[at]:  # no item is left
+                active.remove(at[0])
+    rows = [(*key, item, step) for key, own in chosen.items() for step, item in enumerate(own, 1)]
+    return spark.createDataFrame(rows, group + f"item_id {types['item_id']}, step long")
+
+
+def active_learning(scores: DataFrame, budget: int, metric: str = "human", start: int = 10, confidence: float = 0.9, seed: int = 0, by: By = ()) -> DataFrame:
+    """by, step, system, item_id, tau: after start items for all systems, always asks for a random item of the system whose interval overlaps most others; tau-c of the means so far with the full means.
+
+    At most start + budget items of a system are ever asked for, so each system's random order is cut there before the loop, which then holds so many rows
+    for each system of one data set, however large that is. Means are of all items. Items without a value for some system take no part.
+    """
+    types = dict(scores.dtypes)
+    keys = [*by, "system"]
+    whole = complete_items(scores, metric, by).select(*by, "item_id")
+    own = scores.where((F.col("metric") == metric) & F.col("value").isNotNull()).join(whole, [*by, "item_id"], "left_semi")
+    own = own.groupBy(*keys, "item_id", "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    means = own.groupBy(*keys).agg(F.round(F.avg("value"), evaluate.PLACES).alias("mean"))
+    drawn = in_order(own.withColumn("r_", uniform(seed, F.concat_ws("|", "item_id", "system"))), "r_", ["pos", "item_id"], descending=False, by=tuple(keys)).where(F.col("rank") <= start + budget)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index=["pos", "item_id"], columns="system", values="value").sort_index().dropna()
-        x, rng = m.to_numpy(float), np.random.default_rng(seed)
-        n, k = x.shape
-        known = [rng.permutation(n).tolist() for _ in range(k)]
-        have = np.full(k, min(start, n))
-        full, out = x.mean(0), []
+        parts = [(s, rows.sort_values("rank")) for s, rows in pdf.groupby("system", sort=True)]
+        known = [rows["value"].to_numpy() for _, rows in parts]
+        full = np.array([rows["mean"].iloc[0] for _, rows in parts])
+        have, quantile, out = [min(start, len(v)) for v in known], {}, []
         for step in range(1, budget + 1):
             bands = []
-            for s in range(k):
-                v = x[known[s][: have[s]], s]
-                half = numeric.student_quantile(0.5 + confidence / 2, max(1, len(v) - 1)) * v.std()
-                bands.append((v.mean() - half, v.mean() + half, v.mean()))
-            overlap = [sum(a[0] <= b[1] and b[0] <= a[1] for b in bands) if have[s] < n else -1 for s, a in enumerate(bands)]
+            for n, v in zip(have, known, strict=True):
+                if n not in quantile:
+                    quantile[n] = numeric.student_quantile(0.5 + confidence / 2, max(1, n - 1))
+                half, mean = quantile[n] * v[:n].std(), v[:n].mean()
+                bands.append((mean - half, mean + half, mean))
+            overlap = [sum(a[0] <= b[1] and b[0] <= a[1] for b in bands) if have[s] < len(known[s]) else -1 for s, a in enumerate(bands)]
             s = int(np.argmax(overlap))
             if overlap[s] < 0:
                 break
-            out.append((step, m.columns[s], m.index[known[s][have[s]]][1], numeric.kendall(np.array([b[2] for b in bands]), full, "c")))
+            name, rows = parts[s]
+            out.append((step, name, rows["item_id"].iloc[have[s]], numeric.kendall(np.round([b[2] for b in bands], evaluate.PLACES), full, "c")))
             have[s] += 1
-        return pd.DataFrame(out, columns=["step", "system", "item_id", "tau"])
+        answer = pd.DataFrame(out, columns=["step", "system", "item_id", "tau"])
+        return answer.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, *answer.columns]]
 
-    return own.groupBy("g").applyInPandas(run, f"step long, system string, item_id {kind}, tau double")
+    rows = drawn.join(means, keys)
+    rows = rows if by else rows.withColumn("g_", F.lit(0))
+    return rows.groupBy(*(by or ("g_",))).applyInPandas(run, "".join(f"{c} {types[c]}, " for c in by) + f"step long, system string, item_id {types['item_id']}, tau double")
 
 
 def average_parameters(runs: DataFrame) -> DataFrame:
