@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import numeric
 from siftwell.functions.columns import uniform
 from siftwell.operators import evaluate, scorers
+from siftwell.operators.lineage import written
 from siftwell.operators.ranking import in_order
 
 By = tuple[str, ...]
@@ -209,43 +210,42 @@ def diffuse(vectors: DataFrame, budget: int, by: By = ()) -> DataFrame:
 
 
 def bruteforce_greedy(scores: DataFrame, budget: int, stepsize: int = 10, simulations: int = 1000, metric: str = "human", permutations: int = 50, seed: int = 0) -> DataFrame:
-    """Grows a subset by the best of many random extensions (by soft pairwise accuracy) until it has budget items; utility 1 for the chosen.
+    """Grows a subset by the best of many random extensions (by soft pairwise accuracy, equals by number) until it has budget items; utility 1 for the chosen.
 
-    The driver holds the item x system matrix of one data set, simulations run as rows on the executors.
+    Simulations are a column: tasks draw the numbers of the items of each, a join brings their scores, and one aggregation gives the accuracy of all. The
+    driver knows the number of items and the chosen numbers (budget of them), no scores.
     """
     spark = scores.sparkSession
-    own = scores.where(F.col("metric") == metric).select("item_id", "pos", "system", "value").toPandas()
-    table = own.pivot_table(index=["pos", "item_id"], columns="system", values="value").sort_index()
-    matrix, n = table.to_numpy(float), len(table)
-    i, j = np.triu_indices(matrix.shape[1], 1)
-    flips = np.where(np.random.default_rng(seed).random((permutations, n)) < 0.5, -1.0, 1.0)
-
-    def p_of(rows: np.ndarray, signs: np.ndarray) -> np.ndarray:
-        total, real = signs @ rows, rows.sum(0)
-        return (total[:, i] - total[:, j] >= (real[i] - real[j])).mean(0)
-
-    shipped = spark.sparkContext.broadcast((matrix, flips, p_of(matrix, flips[::-1])))
+    own = scores.where((F.col("metric") == metric) & F.col("value").isNotNull())
+    items = scores.select("item_id", "pos").distinct()
+    own = own.join(in_order(items, "pos", ["item_id"], descending=False, rank="number").select("item_id", "number"), "item_id")
+    own = written(own.select("item_id", "number", "system", "metric", "value"), "numbered")
+    numbers = own.select("number").distinct().where("number IS NOT NULL")
+    n = numbers.count()
+    places = in_order(numbers, "number", [], descending=False, rank="place")  # without gaps, items that lack the metric being left out
+    own = written(own.join(places, "number").select("item_id", (F.col("place") - 1).alias("place"), "system", "metric", "value"), "placed")
+    full = evaluate.permutation_p(own, metric, permutations, seed + 1).withColumnRenamed("p", "full_").cache()
     chosen: list[int] = []
     while len(chosen) < min(budget, n):
-        rest = sorted(set(range(n)) - set(chosen))
-        state, step, left = list(chosen), len(chosen), min(stepsize, len(rest))
+        state, step, size = sorted(chosen), len(chosen), min(stepsize, n - len(chosen))
 
-        def simulate(batches, state=state, rest=rest, step=step, left=left):
-            m, signs, full = shipped.value
+        def draw(batches, state=state, step=step, size=size):
             for b in batches:
-                out = []
                 for k in b["id"]:
-                    add = np.random.default_rng([seed, step, int(k)]).choice(rest, left, replace=False)
-                    rows = np.array(state + add.tolist())
-                    out.append((int(k), float(1 - np.abs(p_of(m[rows], signs[:, : len(rows)]) - full).mean()), add.tolist()))
-                yield pd.DataFrame(out, columns=["id", "spa", "add"])
-
-        best = spark.range(simulations).mapInPandas(simulate, "id long, spa double, add array<long>").orderBy(F.desc("spa"), "id").first()
-        chosen += best["add"]
-    picked = [table.index[k] for k in chosen]
-    kind = dict(scores.dtypes)["item_id"]
-    marked = spark.createDataFrame([(p[1].item() if hasattr(p[1], "item") else p[1],) for p in picked], f"item_id {kind}").withColumn("utility", F.lit(1.0))
-    return scores.select("item_id", "pos").distinct().join(marked, "item_id", "left").select("item_id", "pos", F.coalesce("utility", F.lit(0.0)).alias("utility"))
+                    places = np.random.default_rng([seed, step, int(k)]).choice(n - step, size, replace=False)
+                    for taken in state:  # from places among the rest to places among all
+                        places = places + (places >= taken)
+                    yield pd.DataFrame({"sim": k, "place": np.concatenate([np.array(state, dtype=np.int64), places]), "fresh": np.arange(step + size) >= step})
+
+        drawn = spark.range(simulations).mapInPandas(draw, "sim long, place long, fresh boolean")
+        p = evaluate.permutation_p(drawn.join(own, "place"), metric, permutations, seed, ("sim",))
+        near = p.join(full, ["sys_i", "sys_j"]).groupBy("sim").agg(F.round(1 - F.avg(F.abs(F.col("p") - F.col("full_"))), evaluate.PLACES).alias("spa"))
+        best = near.orderBy(F.desc("spa"), "sim").first()
+        taken = drawn.where((F.col("sim") == (best["sim"] if best else 0)) & F.col("fresh"))  # a single system has no pairs: any extension is as good
+        chosen += [r["place"] for r in taken.select("place").collect()]
+    full.unpersist()
+    marked = own.where(F.col("place").isin(chosen)).select("item_id").distinct().withColumn("utility", F.lit(1.0))
+    return items.join(marked, "item_id", "left").select("item_id", "pos", F.coalesce("utility", F.lit(0.0)).alias("utility"))
 
 
 _defaults()

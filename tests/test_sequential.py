@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import numeric as Q
 from siftwell.functions.columns import uniform
+from siftwell.operators import evaluate as E
 from siftwell.operators import experiments as X
+from siftwell.operators import select as L
 
 SYSTEMS = "abcd"
 
@@ -81,3 +83,25 @@ def test_active_learning_is_the_plain_loop(sets):
     assert X.active_learning(sets.limit(0), 5, "m").count() == 0
     few = X.active_learning(sets.where("dataset = 'x'").where("pos < 3"), 50, "m", start=1).collect()
     assert len(few) == 8  # two more items of each of four systems
+
+
+def test_bruteforce_takes_the_best_simulation(sets):
+    one = sets.where("dataset = 'x'").drop("dataset")
+    ids = [r["item_id"] for r in one.select("item_id", "pos").distinct().orderBy("pos").collect()]
+    full = E.permutation_p(one, "m", 50, 8)
+
+    def spa(places):
+        part = one.where(F.col("item_id").isin([ids[k] for k in places]))
+        return round(E.soft_accuracy(E.permutation_p(part, "m", 50, 7), full).first()["spa"], 9)
+
+    chosen = []
+    for _ in range(2):
+        tries = []
+        for sim in range(4):
+            rest = [k for k in range(len(ids)) if k not in chosen]
+            places = np.random.default_rng([7, len(chosen), sim]).choice(len(rest), 5, replace=False)
+            tries.append([rest[k] for k in places])
+        chosen += max(tries, key=lambda t: spa(chosen + t))  # the first of equals
+    got = L.bruteforce_greedy(one, 10, 5, 4, "m", 50, 7).where("utility = 1").collect()
+    assert sorted(r["item_id"] for r in got) == sorted(ids[k] for k in chosen)
+    assert L.bruteforce_greedy(one.limit(0), 3, 2, 2, "m").count() == 0
