@@ -218,12 +218,9 @@ def bruteforce_greedy(scores: DataFrame, budget: int, stepsize: int = 10, simula
     spark = scores.sparkSession
     own = scores.where((F.col("metric") == metric) & F.col("value").isNotNull())
     items = scores.select("item_id", "pos").distinct()
-    own = own.join(in_order(items, "pos", ["item_id"], descending=False, rank="number").select("item_id", "number"), "item_id")
-    own = written(own.select("item_id", "number", "system", "metric", "value"), "numbered")
-    numbers = own.select("number").distinct().where("number IS NOT NULL")
-    n = numbers.count()
-    places = in_order(numbers, "number", [], descending=False, rank="place")  # without gaps, items that lack the metric being left out
-    own = written(own.join(places, "number").select("item_id", (F.col("place") - 1).alias("place"), "system", "metric", "value"), "placed")
+    places = in_order(own.select("item_id", "pos").distinct(), "pos", ["item_id"], descending=False, rank="place").select("item_id", (F.col("place") - 1).alias("place"))
+    own = written(own.join(places, "item_id").select("item_id", "place", "system", "metric", "value"), "placed")
+    n = own.select("place").distinct().count()
     full = evaluate.permutation_p(own, metric, permutations, seed + 1).withColumnRenamed("p", "full_").cache()
     chosen: list[int] = []
     while len(chosen) < min(budget, n):
