@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import small_batches, table
+from siftwell.llm.common import shuffle_partitions, small_batches, table
 from siftwell.llm.language_id import held_out
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -252,8 +252,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     got = src.join(F.broadcast(picked), "doc_id")
     # one id may have very many rows: only the first keys of each kind are taken, and of those the texts
     keys = got.groupBy("toxic", "doc_id", "same").agg(F.max(F.length("text")).alias("size")).withColumn("at", F.xxhash64(F.col("doc_id").cast("string")))
-    order = F.row_number().over(Window.partitionBy("toxic").orderBy("at", "doc_id", "same"))
-    keys = keys.withColumn("rn", order).where((F.col("rn") <= TOXIC_ROWS) & (F.col("toxic") == 1) | (F.col("rn") <= CLEAN_ROWS) & (F.col("toxic") == 0)).collect()
+    most_rows = F.when(F.col("toxic") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS)
+    for parts in (["toxic", "part"], ["toxic"]):  # the first of each part, of which there are as many as tasks, then of those the first of all
+        order = F.row_number().over(Window.partitionBy(*parts).orderBy("at", "doc_id", "same"))
+        keys = keys.withColumn("part", F.pmod("same", F.lit(shuffle_partitions(docs.sparkSession)))).withColumn("rn", order).where(F.col("rn") <= most_rows)
+    keys = keys.collect()
     chosen = []
     for value in most:
         mine, used = sorted((r for r in keys if r["toxic"] == value), key=lambda r: r["rn"]), 0

@@ -533,6 +533,8 @@ def test_rows_of_one_id_are_bounded(spark, monkeypatch):
     marks = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
     texts, labels = toxicity.labelled_sample(df, marks)
     assert labels.count(0) == 50 and labels.count(1) == 1 and len(set(texts)) == 51
+    first = [r["text"] for r in df.where("doc_id = 1").distinct().orderBy(F.xxhash64("text")).limit(50).collect()]
+    assert set(texts) == {*first, "bad"}  # the first of all, however they are dealt to tasks
 
 
 def test_clashing_names_change_nothing(spark, tmp_path):
